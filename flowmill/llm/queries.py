@@ -40,3 +40,80 @@ def op8_token_files(spark, sf_dir):
     from flowmill.llm.token_files import tokenized
 
     return tokenized(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
+@query
+def op2_mixing(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from flowmill.llm.mixing import with_probabilities
+
+    rows = with_probabilities(table(spark, sf_dir, "documents"), share=0.5, rounds=12)
+    mix = F.col("mix")
+    return rows.select("doc_id", mix.source.alias("source"), mix.lang.alias("lang"), mix.topic.alias("topic"), mix.n_tokens.alias("n_tokens"), F.round(mix.probability, 6).alias("probability"), mix.sampled.alias("sampled"))
+
+
+@query
+def op3_near_duplicates(spark, sf_dir):
+    from flowmill.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=75, words=5)
+
+
+@query
+def op4_language(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from flowmill.llm.langid import fit, with_language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    model = fit(docs.where(~held_out))
+    rows = with_language(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+@query
+def op5_quality(spark, sf_dir):
+    from flowmill.llm.quality import fit, judged
+
+    docs = table(spark, sf_dir, "documents")
+    return judged(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_secrets(spark, sf_dir):
+    from flowmill.llm.secrets import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_token_counts(spark, sf_dir):
+    from flowmill.llm.token_counts import with_token_counts
+
+    rows = with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return rows.select("doc_id", "tokens.n_pretokens", "tokens.n_tokens")
+
+
+@query
+def op9_warc(spark, sf_dir):
+    from flowmill.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"), shard_bytes=64 << 20, file_bytes=1 << 30)
+
+
+@query
+def op10_tool_calls(spark, sf_dir):
+    from flowmill.llm.tool_calls import formatted
+
+    return formatted(table(spark, sf_dir, "conversations"), schemas={}, pair_turns=True)
+
+
+def _oracles():
+    from flowmill.llm import mixing
+
+    ORACLE["op2_mixing"] = mixing.oracle(share=0.5, rounds=12)
+
+
+_oracles()
