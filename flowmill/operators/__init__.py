@@ -1 +1 @@
-"""Package part."""
+"""Table-level operators on flows, accounts and indicators."""

@@ -1 +1 @@
-"""Package part."""
+"""Configuration, staged runs and publication of results."""

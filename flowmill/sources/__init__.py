@@ -1 +1 @@
-"""Package part."""
+"""Readers of source tables and writers of result tables."""

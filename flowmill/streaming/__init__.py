@@ -1 +1 @@
-"""Package part."""
+"""Incremental upkeep of flow tables with Structured Streaming."""
