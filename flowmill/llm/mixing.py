@@ -88,7 +88,9 @@ def with_probabilities(docs: DataFrame, share: float = 0.5, rounds: int = 12, po
     """
     powers = powers or {"source": 0.5, "lang": 0.5, "topic": 0.7}
     labels = {"source": F.coalesce(F.col(source_col), F.lit(UNKNOWN)), "lang": F.coalesce(F.col(lang_col), F.lit(UNKNOWN)), "topic": F.coalesce(topic if topic is not None else shape_topic(F.col(text_col)), F.lit(UNKNOWN))}
-    name, prefix = fresh_name(docs, out), fresh_name(docs, "cell_")
+    name, prefix = fresh_name(docs, out), "cell_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
     facts = docs.select(*(c.alias(m) for m, c in labels.items()), token_count(F.col(text_col)).alias("n_tokens"))
     cells = saved(cells_of(facts), "cells")
     raked = rake(cells, targets or {m: tempered_targets(cells, m, powers[m]) for m in MARGINS}, rounds)

@@ -208,7 +208,7 @@ def with_secrets(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_
     for order, rule in enumerate(rules):
         wanted = F.coalesce(F.array_contains(F.col(kinds), rule.kind), F.lit(False)) if trigram_query(rule.pattern) else F.lit(True)
         each.append(spans_of(rule, order, text, wanted))
-    return rows.withColumn(out, F.array_sort(F.concat(*each))).select(*docs.columns, out)
+    return rows.withColumn(out, F.array_sort(F.concat(*each))).select(*(c for c in docs.columns if c != out), out)
 
 
 def joined(spans: Column) -> Column:
