@@ -44,7 +44,7 @@ def wide_block(spark: SparkSession, path: str, n_label_columns: int, column_labe
 def positional_labels(spark: SparkSession, path: str, names: list[str], sep: str = "\t") -> DataFrame:
     """A label file whose row number is the label's position (labels are few; one file)."""
     rows = spark.read.csv(path, sep=sep, schema=T.StructType([T.StructField(n, T.StringType()) for n in names]))
-    return rows.select(F.monotonically_increasing_id().alias("pos"), *names) if rows.rdd.getNumPartitions() == 1 else rows.coalesce(1).select(F.monotonically_increasing_id().alias("pos"), *names)
+    return rows.coalesce(1).select(F.monotonically_increasing_id().alias("pos"), *names)
 
 
 def filtered_csv(spark: SparkSession, path: str, condition: str | Column, **options) -> DataFrame:
