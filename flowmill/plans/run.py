@@ -77,7 +77,7 @@ def matrices(e: Economy, t: DataFrame, lam: DataFrame | None = None):
     x = t.select("year", "country", "sector", F.col(e.output).alias("x"))
     c = leontief.coefficients(z, x, e.productive)
     labour = leontief.direct_labour(t, "abstract_emp_mv", e.output, e.productive)
-    lam = leontief.solve(c, labour) if lam is None else lam
+    lam = leontief.solve(c, labour).persist() if lam is None else lam  # one row per industry and year; solved once
     valued = flows.with_lambda(e.flows, lam)
     bf = flows.balance_factor(valued, e.productive(F.col("o_sector")))
     return c, labour, lam, flows.with_transfers(valued, bf)

@@ -41,7 +41,9 @@ def q(sql: str | None = None):
 
 
 def economy(spark: SparkSession, sf_dir: str, grain: str = "region") -> plan.Economy:
-    return plan.Economy(market.flows(spark, sf_dir, grain), market.accounts(spark, sf_dir, grain), market.productive)
+    """The aggregates are read by many branches of a calculation and have the size of label tables
+    (years x industries^2), so they are kept."""
+    return plan.Economy(market.flows(spark, sf_dir, grain).persist(), market.accounts(spark, sf_dir, grain).persist(), market.productive)
 
 
 def sector_labels(acc: DataFrame) -> DataFrame:
