@@ -544,12 +544,22 @@ def o157_capital_composition(s, d):
 
 @q(BASE + ", " + _INV + " select year, o_country, o_sector, d_country, d_sector, round(value * case when ktype = 'k0' then 0.05 else 0.1 end, 3) as value from kc where year < 2001")
 def o160_depreciation(s, d):
+    return rounded(_depreciation(s, d), 3, "value")
+
+
+def _depreciation(s, d):
     w, stock = _composition(s, d)
     k = capital.allocate(w.drop("ktype"), stock)
     labels = stock.select("year", "sector").distinct()
     rates = labels.withColumn("ktype", F.lit("k0")).withColumn("rate", F.lit(0.05)).unionByName(labels.withColumn("ktype", F.lit("k1")).withColumn("rate", F.lit(0.1)))
     ktypes = stock.select(F.col("sector").alias("o_sector")).distinct().withColumn("ktype", F.when(F.col("o_sector").isin("S0", "S1"), "k0").otherwise("k1"))
-    return rounded(capital.depreciation(k, rates, ktypes, year_offset=1), 3, "value").where("year < 2001")
+    return capital.depreciation(k, rates, ktypes, year_offset=1).where("year < 2001")
+
+
+@q(BASE + ", " + _INV + " select year, d_country as country, d_sector as sector, round(sum(value * case when ktype = 'k0' then 0.05 else 0.1 end), 2) as depreciation from kc where year < 2001 group by all")
+def i25_capital_depreciation(s, d):
+    k = _depreciation(s, d)
+    return rounded(k.groupBy("year", F.col("d_country").alias("country"), F.col("d_sector").alias("sector")).agg(F.sum("value").alias("depreciation")), 2, "depreciation")
 
 
 @q(BASE + ", w as (select year, o_country, o_sector, d_country, d_sector, case when d_sector = 'S3' then 0 else value end as weight from flow where kind = 'industry'), t as (select year, d_country, d_sector, sum(weight) as t from w group by all), fb as (select year, o_country, o_sector, d_country, sum(value) as v from flow where kind = 'final' group by all), main as (select w.year, w.o_country, w.o_sector, w.d_country, w.d_sector, weight / t * capital as value from w join t using (year, d_country, d_sector) join acc a on a.year = w.year and a.country = d_country and a.sector = d_sector where t <> 0), rest as (select a.year, o_country, o_sector, d_country, a.sector as d_sector, v / sum(v) over (partition by a.year, d_country, a.sector) * capital as value from acc a join fb on fb.year = a.year and fb.d_country = a.country where capital <> 0 and not exists (select 1 from t where t.year = a.year and t.d_country = a.country and t.d_sector = a.sector and t <> 0)) select year, o_country, o_sector, d_country, d_sector, round(value, 3) as value from (select * from main union all select * from rest)")
@@ -627,6 +637,13 @@ _simple("i19_abstract_labour", "abstract_emp_mv", "hours_emp", places=4)
 _simple("i20_gdp_mv", "gdp_mv", "case when sector = 'S4' then 0 else hours_emp end", places=4)
 _simple("i21_gdp_productive", "gdp_p_us", "case when sector = 'S4' then 0 else gdp_us end", places=4)
 
+_simple("i07_exchange_index", "exchange_id", "1.0", _lcu)
+_simple("i09_capital_stock", "capital_us", f"capital * 1.5 / {_X}", lambda t: _lcu(t).withColumn("k_gfcf", F.col("capital")).withColumn("gfcf_p", F.lit(1.5)), 6)
+_simple("i11_capital_stock_constant", "capital_cu", "capital / ((go_us / hours_emp) / first_value(go_us / hours_emp) over (partition by country, sector order by year)) / (1 + length(country) / 10.0)", lambda t: _lcu(t).withColumn("k_gfcf", F.col("capital")), 3)
+_simple("i36_surplus_by_skill", "surplus_hs", "hours_empe * (hours_hs / hours_emp) / nullif(comp_empe * 0.001 * (comp_hs / comp_emp), 0) - 1", lambda t: t.withColumn("lfv_empe", F.col("comp_empe") * 0.001))
+_simple("i41_compensation_constant", "comp_emp_cu", "comp_emp / 1.25", lambda t: t.withColumn("basket_price", F.lit(1.25)), 4)
+
+
 #: Sector table with everything from flows, for the later indicators.
 SEC = VAL + """,
 ind as (select a.year, a.country, a.sector, a.go_us, a.gdp_us, a.emp, a.hours_emp, a.comp_emp, l.lam, case when a.sector = 'S4' then 0 else 1 end as p,
