@@ -35,6 +35,12 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sets Arrow batches to at most ``rows`` rows, so that a worker holds few texts at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def filesystem(uri: str):
     """``(pyarrow filesystem, path)`` of a folder, for use inside tasks."""
     from pyarrow import fs

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowmill.llm.common import small_batches
+
 #: Upper ends of code point ranges and the script that each range holds (fixed values).
 SCRIPT_ENDS = [
     (0x02AF, "latin"), (0x036F, "mark"), (0x03FF, "greek"), (0x052F, "cyrillic"), (0x058F, "armenian"), (0x05FF, "hebrew"), (0x08FF, "arabic"),
@@ -244,6 +246,7 @@ def fit(docs: DataFrame, fit_rows: int = 20_000, buckets: int = 1 << 17, penalty
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language", group: int = 400_000) -> DataFrame:
     """``docs`` and a struct ``out``: lang, score and labelled spans. ``group``: letters decoded at once."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages floats
 
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -262,4 +265,5 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", out: st
         return pd.DataFrame(rows, columns=["lang", "score", "spans"])
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return docs.withColumn(out, F.pandas_udf(run, SPANS)(F.col(text_col)))
+    # not deterministic for the optimizer: else each use of the struct's fields would label all texts again
+    return docs.withColumn(out, F.pandas_udf(run, SPANS).asNondeterministic()(F.col(text_col)))

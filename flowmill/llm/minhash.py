@@ -5,15 +5,18 @@
    the low two bits of every minimum. With 32 bands of 4 rows a pair at similarity 0.75 misses all
    bands with probability 5e-6.
 2. Texts with the same words are one class, represented by its smallest document id.
-3. Representatives that share a band key are candidates. First each key's members are compared
-   with its smallest member alone. Candidates are dropped if their set sizes rule the threshold out
+3. Representatives that share a band key are candidates. First each document is compared with the
+   smallest document of all its keys alone. Candidates are dropped if their set sizes rule the threshold out
    or if the similarity estimated from the signature's bit counts, corrected for chance agreement of
    the low bits, is over five standard deviations below the threshold.
 4. The rest are confirmed on the full shingle sets and joined into components.
-5. Keys whose members lie in different components are then compared in full: members are dealt
-   into blocks, blocks meet pairwise in tasks, and signatures are compared by bit counts there.
-   What passes is confirmed on full sets again. Pairs that are already connected are never
-   tested, so a group of n near copies costs about n tests and emits no list of its pairs.
+5. Keys whose members lie in different components are then compared: members reside in blocks,
+   those outside the key's largest component visit every block, and signatures are compared by bit
+   counts there. The partners of highest agreement are confirmed first. What then still lies in
+   different components is compared in full, every pair under its first common key, on whole sets
+   within the tasks; links between components come out, and are confirmed on the words again. Pairs
+   that are connected need no test, so a group of n near copies costs about n tests, and the pairs
+   of a group are never emitted.
 
 No candidate is capped. Hot keys: counts are pre-aggregated, a left document with many partners is
 dealt over salted tasks, blocks bound what a task holds.
@@ -26,13 +29,12 @@ one document; an empty table gives an empty result; extra columns don't matter.
 from __future__ import annotations
 
 import hashlib
-from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.llm.common import saved
+from flowmill.llm.common import saved, small_batches
 from flowmill.llm.components import components
 
 #: A-Z to lower case.
@@ -152,11 +154,12 @@ def _agree(x: str, y: str, n: int):
     return F.lit(n) - total
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, per_task: int = 256) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, per_task: int = 256) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
-    Partners of one left document are dealt over salted groups of about ``per_task``; a group's left
-    text comes first in its sorted run, so a task holds one set and reads partners one by one.
+    ``texts``: (id, text) of all documents named. Partners of one left document are dealt over salted
+    groups of about ``per_task``; a group's left text comes first in its sorted run, so a task holds
+    one set and reads partners one by one.
     """
 
     def compare(batches):
@@ -186,80 +189,154 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_co
     roles = dealt.select(F.col("b").alias("id"), "a", "salt", F.col("b").alias("doc")).unionByName(
         dealt.select(F.col("a").alias("id"), "a", "salt", F.lit(None).cast("long").alias("doc")).distinct()
     )
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = roles.join(texts, "id").select("a", "salt", "doc", "text")
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("doc")).mapInArrow(compare, "a long, b long").distinct()
 
 
-def _blocked(members: DataFrame, floor: float, n: int, percent: int, block: int) -> DataFrame:
-    """Pairs of one key's members in different components that sizes and signatures let pass.
+#: Rounds of comparison over keys with several components before the full one: how many partners of a
+#: document are confirmed, by agreement, of all its partners or (True) of each component's.
+ROUNDS = ((False, 2),)
+
+
+def _placed(members: DataFrame, block: int) -> DataFrame:
+    """Members of each key at home in a block (``at``), those outside the key's largest component also
+    as visitors of all of its blocks; partitioned and sorted so that residents come first."""
+    counts = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    largest = counts.groupBy("bucket").agg(F.max(F.struct("k", "comp")).getField("comp").alias("largest"), F.ceil(F.sum("k") / block).cast("int").alias("blocks"))
+    sized = members.join(largest, "bucket")
+    at_home = sized.select(*members.columns, F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("at"), F.lit(False).alias("visits"))
+    visiting = sized.where(F.col("comp") != F.col("largest")).select(*members.columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), F.lit(True).alias("visits"))
+    return at_home.unionByName(visiting).repartition("bucket", "at").sortWithinPartitions("bucket", "at", "visits")
+
 
-    Members of a key are dealt into blocks; every two blocks meet in one run of a sorted partition,
-    of at most about twice ``block`` rows, where signatures are compared by bit counts.
+def _in_full(members: DataFrame, floor: float, n: int, percent: int, words: int, block: int = 512) -> DataFrame:
+    """Pairs of members in different components whose full sets of shingle hashes are similar.
+
+    ``members``: bucket, doc_id, comp, n_shingles, sig, bands, text. A pair is compared under its first
+    common key alone, and not if this run's links have connected it by then; so what is returned
+    are links between components, not the pairs of a group. Sets are made when first needed.
     """
     half = n // 64
 
     def compare(batches):
         import pyarrow as pa
 
-        def flush(rows):
-            found: list[list] = [[], []]
-            if len(rows) > 1:
-                ids, comps, sizes, sides, leads = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(1, 6))
-                sig = np.array([r[6] for r in rows], dtype=np.int64).view(np.uint64)
-                for i in range(len(rows) - 1):
-                    if ids[i] == leads[i]:
-                        continue
-                    rest = slice(i + 1, None)
-                    ok = (comps[rest] != comps[i]) & (ids[rest] != leads[i])
-                    ok &= 100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])
-                    if rows[i][7]:  # two different blocks: pairs within one are another run's
-                        ok &= sides[rest] != sides[i]
-                    if not ok.any():
+        signer = Signer(1, 64, words)
+        key, rows, home, sets, parent = None, [], None, {}, {}
+
+        def root(c):
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        def similar(a, b):
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            return 100 * both >= percent * (len(a) + len(b) - both)
+
+        for batch in batches:
+            found: list = []
+            columns = [batch.column(i) for i in range(9)]
+            for row in zip(*(c.to_pylist() for c in columns)):
+                if (row[0], row[7]) != key:
+                    key, rows, home, sets, parent = (row[0], row[7]), [], None, {}, {}
+                if not row[8]:
+                    rows.append(row)
+                    continue
+                if home is None and rows:
+                    home = (*(np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3)), np.array([r[4] for r in rows], dtype=np.int64).view(np.uint64), np.array([r[5] for r in rows], dtype=np.int64))
+                if home is None:
+                    continue
+                ids, comps, sizes, sig, bands = home
+                at = np.flatnonzero((comps != row[2]) & (100 * np.minimum(sizes, row[3]) >= percent * np.maximum(sizes, row[3])))
+                x = sig[at] ^ np.array(row[4], dtype=np.int64).view(np.uint64)
+                at = at[n - np.bitwise_count(x[:, :half] | x[:, half:]).sum(axis=1).astype(np.int64) >= floor]
+                own = np.array(row[5], dtype=np.int64)
+                at = at[own[(bands[at] == own).argmax(axis=1)] == row[0]]
+                mine = None
+                for j in at.tolist():
+                    a, b = root(row[2]), root(int(comps[j]))
+                    if a == b:
                         continue
-                    x = sig[rest] ^ sig[i]
-                    agree = n - np.bitwise_count(x[:, :half] | x[:, half:]).sum(axis=1)
-                    for j in np.flatnonzero(ok & (agree >= floor)):
-                        found[0].append(min(ids[i], ids[i + 1 + j]))
-                        found[1].append(max(ids[i], ids[i + 1 + j]))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
-
-        held: list = []
+                    if mine is None:
+                        mine = signer.hashes(words_of(row[6]))
+                    if j not in sets:
+                        sets[j] = signer.hashes(words_of(rows[j][6]))
+                    if similar(mine, sets[j]):
+                        parent[max(a, b)] = min(a, b)
+                        found.append((min(row[1], int(ids[j])), max(row[1], int(ids[j]))))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return _placed(members.select("bucket", "doc_id", "comp", "n_shingles", "sig", "bands", "text"), block).mapInArrow(compare, "a long, b long").distinct()
+
+
+def _blocked(members: DataFrame, floor: float, n: int, percent: int, block: int, each: bool, most: int) -> DataFrame:
+    """Pairs of members of one key in different components that sizes and signatures let pass.
+
+    Members of a key reside in blocks; those outside the key's largest component also visit all of
+    its blocks, so a run of a sorted partition holds about ``block`` residents and takes the visitors
+    one by one. Of a visitor's partners in a run the ``most`` of highest agreement are returned, of
+    all or (``each``) of each component's.
+    """
+    half = n // 64
+
+    def compare(batches):
+        import pyarrow as pa
+
+        def visited(home, row):
+            ids, comps, sizes, sig = home
+            at = np.flatnonzero((comps != row[2]) & (100 * np.minimum(sizes, row[3]) >= percent * np.maximum(sizes, row[3])))
+            x = sig[at] ^ np.array(row[4], dtype=np.int64).view(np.uint64)
+            agree = n - np.bitwise_count(x[:, :half] | x[:, half:]).sum(axis=1).astype(np.int64)
+            at, agree = at[agree >= floor], agree[agree >= floor]
+            group = comps[at] if each else np.zeros(len(at), np.int64)
+            order = np.lexsort((ids[at], -agree, group))
+            at, group = at[order], group[order]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(at) else np.empty(0, np.intp)
+            rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+            for j in at[rank < most]:
+                yield (min(row[1], int(ids[j])), max(row[1], int(ids[j])))
+
+        key, residents, home = None, [], None
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(10)))
-            for key, run in groupby(rows, key=lambda r: (r[0], r[8], r[9])):
-                run = list(run)
-                if held and (held[0][0], held[0][8], held[0][9]) != key:
-                    yield flush(held)
-                    held = []
-                held += run
-        yield flush(held)
-
-    sized = members.join(members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "bucket")
-    placed = sized.withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-    met = met.select("bucket", "doc_id", "comp", "n_shingles", "side", "lead", "sig", (F.col("lo") != F.col("hi")).alias("two"), "lo", "hi")
-    return met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(compare, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: int = 32, rows: int = 4, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            found: list = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if (row[0], row[5]) != key:
+                    key, residents, home = (row[0], row[5]), [], None
+                if not row[6]:
+                    residents.append(row)
+                    continue
+                if home is None and residents:
+                    home = (*(np.array([r[i] for r in residents], dtype=np.int64) for i in (1, 2, 3)), np.array([r[4] for r in residents], dtype=np.int64).view(np.uint64))
+                if home is not None:
+                    found += visited(home, row)
+            pairs = sorted(set(found))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return _placed(members.select("bucket", "doc_id", "comp", "n_shingles", "sig"), block).mapInArrow(compare, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: int = 32, rows: int = 4, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, class_id (smallest id with the same words),
     component_id (smallest id linked over any number of steps) and kept."""
+    small_batches(docs.sparkSession)
     n = bands * rows
     floor = agreement_floor(percent / 100, n)
     signed = saved(signatures(docs, words, bands, rows, id_col, text_col), "signatures")
     classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
     copied = saved(classes.where("n > 1").drop("n"), "classes")
-    marked = signed.join(copied, "key", "left")
+    marked = signed.join(copied.hint("merge"), "key", "left")
     alone = marked.where("size(bands) > 0 and doc_id is not null and (class_id is null or class_id = doc_id)")
     heads = saved(alone.select("doc_id", "n_shingles", "bands", "sig"), "heads")
 
     keyed = heads.select("doc_id", F.explode("bands").alias("bucket"))
     leads = keyed.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead <> last").drop("last")
-    shared = saved(keyed.join(leads, "bucket"), "buckets")
+    shared = saved(keyed.join(leads.hint("merge"), "bucket"), "buckets")
     side = heads.select("doc_id", "n_shingles", "sig")
-    star = shared.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    involved = shared.select(F.col("doc_id").alias("id")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = saved(texts.join(involved.hint("merge"), "id", "left_semi"), "texts")  # the one shuffle of all texts, at any size
+
+    star = shared.groupBy(F.col("doc_id").alias("b")).agg(F.min("lead").alias("a")).where("a <> b")
     near = (
         star.join(side.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a")
         .join(side.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b")
@@ -267,18 +344,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
         .where(_agree("sa", "sb", n) >= floor)
         .select("a", "b")
     )
-    linked = saved(confirmed(saved(near, "candidates"), docs, words, percent, id_col, text_col), "links")
+    linked = saved(confirmed(saved(near, "candidates"), texts, words, percent), "links")
     comps = components(linked)
-
-    member = shared.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-    open_keys = member.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("k")).where("c0 <> c1 and k > 2").select("bucket")
-    rest = member.join(open_keys, "bucket").join(side, "doc_id").select("bucket", "doc_id", "comp", "n_shingles", "lead", "sig")
-    more = saved(_blocked(saved(rest, "open"), floor, n, percent, block), "candidates")
-    if not more.isEmpty():
-        linked = linked.unionByName(confirmed(more, docs, words, percent, id_col, text_col))
+    for round_ in (*ROUNDS, None):
+        now = shared.select("bucket", "doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+        open_keys = now.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
+        rest = now.join(open_keys, "bucket")
+        if round_:
+            more = _blocked(saved(rest.join(side, "doc_id"), "open"), floor, n, percent, block, *round_)
+        else:
+            full = heads.join(texts.withColumnRenamed("id", "doc_id"), "doc_id")
+            more = _in_full(rest.join(full, "doc_id"), floor, n, percent, words)
+        more = saved(more, "candidates")
+        if more.isEmpty():
+            break
+        linked = saved(linked.unionByName(confirmed(more, texts, words, percent)), "links")
         comps = components(linked)
     comps = comps.withColumnRenamed("node", "class_id")
-    out = signed.select("doc_id", "n_shingles", "key").join(copied, "key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    out = signed.select("doc_id", "n_shingles", "key").join(copied.hint("merge"), "key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = out.join(comps, "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
 
