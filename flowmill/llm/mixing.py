@@ -3,8 +3,13 @@ functions only).
 
 Documents are pre-aggregated to cells (source, language, topic) of token weights. Raking scales the
 cells' weights to each marginal's target shares in turn, for a number of rounds. A document's
-probability is ``share`` times its cell's ratio of raked to present tokens, at most 1, and a hash
-of its id decides, so the sample is the same on any cluster.
+probability is ``share`` times its cell's ratio of raked to present tokens, and a hash of its id
+decides, so the sample is the same on any cluster.
+
+A ratio may exceed 1. ``with_probabilities`` alone cuts it there, as its SQL does: the sample then
+misses the target shares. With ``bounded`` (the default of ``mixed``) the bound is part of the
+raking: what a cell can't hold is raked over the other cells of its labels, and ``share`` is lowered
+as far as the targets need it, since a label can't give more tokens than it has.
 
 Only cells are shuffled more than once. Raking runs on the cell table, in windows by one label each;
 its size is the product of label counts, not of documents. It is joined to the documents by broadcast
@@ -74,17 +79,53 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, writ
     return rows.drop(*(f"goal_{m}" for m in targets))
 
 
+def rake_bounded(raked: DataFrame, share: float, margins=MARGINS, rounds: int = 12, write_every: int = 4, tolerance: float = 1e-3) -> DataFrame:
+    """``raked`` cells with ``expected``: tokens of the sample, at most those present, whose marginals
+    are in proportion to those of ``weight``.
+
+    The sample is ``share`` of all tokens, or the largest part found at which every label's expected
+    tokens come within ``tolerance`` of its goal. Where no ratio exceeds 1, ``weight`` itself is in
+    proportion, so the search ends there at the latest.
+    """
+    ratio = raked.where("weight > 0").agg(F.min(F.col("tokens") / F.col("weight")).alias("r")).first().r
+    if ratio is None:
+        return raked.withColumn("expected", F.lit(0.0))
+    tops = [raked.groupBy(m).agg((F.sum("tokens") / F.sum("weight")).alias("r"), F.sum("weight").alias("w")).where("w > 0").agg(F.min("r").alias("r")).first().r for m in margins]
+    part = min(share, *tops)
+    while part > ratio:
+        rows = raked.withColumn("expected", F.col("weight") * F.lit(part))
+        for m in margins:
+            rows = rows.withColumn(f"goal_{m}", F.sum("expected").over(W.partitionBy(m)))
+        for k in range(rounds):
+            for m in margins:
+                # cells reach their bound in this order; the factor that gives the goal is the largest of those by number of cells at the bound
+                order = W.partitionBy(m).orderBy(F.when(F.col("expected") > 0, F.col("tokens") / F.col("expected")).otherwise(F.lit(float("inf"))), *margins)
+                before = F.coalesce(F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+                free = F.sum("expected").over(order.rowsBetween(0, W.unboundedFollowing))
+                rows = rows.withColumn("factor", F.when(free > 0, (F.col(f"goal_{m}") - before) / free))
+                rows = rows.withColumn("expected", F.col("expected") * F.coalesce(F.max("factor").over(W.partitionBy(m)), F.lit(0.0))).drop("factor")
+            if (k + 1) % write_every == 0:
+                rows = saved(rows, "raking")
+        rows = saved(rows.withColumn("expected", F.least("expected", F.col("tokens").cast("double"))), "bounded")
+        met = [rows.groupBy(m).agg((F.sum("expected") / F.first(f"goal_{m}")).alias("r"), F.first(f"goal_{m}").alias("g")).where("g > 0").agg(F.min("r").alias("low"), F.max("r").alias("high")).first() for m in margins]
+        low, high = min(r.low for r in met), max(r.high for r in met)
+        if low >= 1 - tolerance and high <= 1 + tolerance:
+            return rows.drop(*(f"goal_{m}" for m in margins))
+        part *= min(low, 0.98)
+    return raked.withColumn("expected", F.col("weight") * F.lit(min(share, ratio)))
+
+
 def uniform(id_: Column) -> Column:
     """A number in [0, 1) from a hash of the id."""
     return F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def with_probabilities(docs: DataFrame, share: float = 0.5, rounds: int = 12, powers: dict[str, float] | None = None, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-                       source_col: str = "source", lang_col: str = "lang", out: str = "mix", broadcast_cells: int = 100_000, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+                       source_col: str = "source", lang_col: str = "lang", out: str = "mix", broadcast_cells: int = 100_000, targets: dict[str, DataFrame] | None = None, bounded: bool = False) -> DataFrame:
     """``docs`` and a struct ``out``: source, lang, topic, n_tokens, probability, sampled.
 
     Targets are ``targets`` (tables of label and target, named as the marginals) or else the
-    present shares tempered by ``powers``.
+    present shares tempered by ``powers``. ``bounded``: see ``rake_bounded``.
     """
     powers = powers or {"source": 0.5, "lang": 0.5, "topic": 0.7}
     labels = {"source": F.coalesce(F.col(source_col), F.lit(UNKNOWN)), "lang": F.coalesce(F.col(lang_col), F.lit(UNKNOWN)), "topic": F.coalesce(topic if topic is not None else shape_topic(F.col(text_col)), F.lit(UNKNOWN))}
@@ -94,7 +135,8 @@ def with_probabilities(docs: DataFrame, share: float = 0.5, rounds: int = 12, po
     facts = docs.select(*(c.alias(m) for m, c in labels.items()), token_count(F.col(text_col)).alias("n_tokens"))
     cells = saved(cells_of(facts), "cells")
     raked = rake(cells, targets or {m: tempered_targets(cells, m, powers[m]) for m in MARGINS}, rounds)
-    odds = saved(raked.select(*(F.col(m).alias(prefix + m) for m in MARGINS), F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(share) * F.col("weight") / F.col("tokens"))).otherwise(F.lit(0.0)).alias(prefix + "p")), "odds")
+    raked = rake_bounded(saved(raked, "raked"), share, MARGINS, rounds) if bounded else raked.withColumn("expected", F.lit(share) * F.col("weight"))
+    odds = saved(raked.select(*(F.col(m).alias(prefix + m) for m in MARGINS), F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("expected") / F.col("tokens"))).otherwise(F.lit(0.0)).alias(prefix + "p")), "odds")
     small = odds.count() <= broadcast_cells
     rows = docs.select("*", *(c.alias(f"{prefix}_{m}") for m, c in labels.items()))
     rows = rows.join(F.broadcast(odds) if small else odds, [F.col(f"{prefix}_{m}") == F.col(prefix + m) for m in MARGINS])
@@ -103,10 +145,10 @@ def with_probabilities(docs: DataFrame, share: float = 0.5, rounds: int = 12, po
     return rows.select(*(docs[c] for c in docs.columns), F.struct(*parts, token_count(F.col(text_col)).alias("n_tokens"), p.alias("probability"), (uniform(F.col(id_col)) < p).alias("sampled")).alias(name))
 
 
-def mixed(docs: DataFrame, out: str = "mix", **options) -> DataFrame:
+def mixed(docs: DataFrame, out: str = "mix", bounded: bool = True, **options) -> DataFrame:
     """The sampled documents."""
     name = fresh_name(docs, out)
-    return with_probabilities(docs, out=out, **options).where(F.col(f"{name}.sampled")).select(*docs.columns)
+    return with_probabilities(docs, out=out, bounded=bounded, **options).where(F.col(f"{name}.sampled")).select(*docs.columns)
 
 
 def oracle(share: float = 0.5, rounds: int = 12, powers: dict[str, float] | None = None) -> str:

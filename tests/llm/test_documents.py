@@ -285,6 +285,22 @@ def test_sampling(make, crowded):
     assert mixing.mixed(docs).columns == docs.columns and mixing.with_probabilities(make([])).count() == 0
 
 
+def test_sample_meets_the_targets_where_cells_are_scarce(make):
+    sizes = {("en", "s0", " "): 300, ("en", "s1", " "): 60, ("fr", "s0", " "): 40, ("fr", "s1", " "): 4, ("en", "s0", "\n"): 9, ("fr", "s1", "\n"): 3}
+    keys = [k for k, n in sizes.items() for _ in range(n)]
+    docs = make([(i, sep.join(["w"] * 20), lang, source) for i, (lang, source, sep) in enumerate(keys)])
+    rows = mixing.with_probabilities(docs, share=0.8, bounded=True).select("doc_id", "mix.*").toPandas()
+    rows["expected"] = rows["probability"] * rows["n_tokens"]
+    assert rows["probability"].between(0, 1).all() and (rows["probability"] == 1).any()
+    assert 0.2 < rows["expected"].sum() / rows["n_tokens"].sum() < 0.8  # the targets don't leave room for 0.8
+    for m, power in (("source", 0.5), ("lang", 0.5), ("topic", 0.7)):
+        goal = rows.groupby(m)["n_tokens"].sum() ** power
+        got = rows.groupby(m)["expected"].sum()
+        for k in goal.index:
+            assert got[k] / got.sum() == pytest.approx(goal[k] / goal.sum(), rel=3e-3)
+    assert {r.doc_id for r in mixing.mixed(docs, share=0.8).select("doc_id").collect()} == set(rows["doc_id"][rows["sampled"]])
+
+
 # ------------------------------------------------------------------ tokens
 
 
