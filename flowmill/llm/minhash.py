@@ -7,14 +7,14 @@
 2. Texts with the same words are one class, represented by its smallest document id.
 3. Representatives that share a band key are candidates. First each document is compared with the
    smallest document of all its keys alone. Candidates are dropped if their set sizes rule the threshold out
-   or if the similarity estimated from the signature's bit counts, corrected for chance agreement of
-   the low bits, is over five standard deviations below the threshold.
+   or if fewer of the signature's minima agree than equal minima alone would give, less five standard
+   deviations. Chance agreement of the low bits is not counted on: between few shingles it can be 0.
 4. The rest are confirmed on the full shingle sets and joined into components.
 5. Keys whose members lie in different components are then compared: members reside in blocks,
    those outside the key's largest component visit every block, and signatures are compared by bit
-   counts there. The partners of highest agreement are confirmed first. What then still lies in
-   different components is compared in full, every pair under its first common key, on whole sets
-   within the tasks; links between components come out, and are confirmed on the words again. Pairs
+   counts there. The partners of highest agreement are confirmed first. Of what then still lies in
+   different components every pair that sizes and signatures let pass is compared under its first
+   common key, on whole sets within the tasks; links between components come out, and are confirmed on the words again. Pairs
    that are connected need no test, so a group of n near copies costs about n tests, and the pairs
    of a group are never emitted.
 
@@ -134,10 +134,10 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str =
 
 
 def agreement_floor(threshold: float, n: int) -> float:
-    """Least number of agreeing 2-bit minima of ``n``: chance agreement is 1/4 of what differs, so
-    the expected share is 1/4 + 3/4 similarity; five standard deviations are allowed."""
-    share = 0.25 + 0.75 * threshold
-    return n * share - 5 * (n * share * (1 - share)) ** 0.5
+    """Least number of agreeing 2-bit minima of ``n``: equal minima agree, different ones need not
+    (how many do depends on the low bits of the pair's few shingles), so the expected share is the
+    similarity at least; five standard deviations are allowed."""
+    return n * threshold - 5 * (n * threshold * (1 - threshold)) ** 0.5
 
 
 def estimated_similarity(agree, n: int):
@@ -210,7 +210,8 @@ def _placed(members: DataFrame, block: int) -> DataFrame:
 
 
 def _in_full(members: DataFrame, floor: float, n: int, percent: int, words: int, block: int = 512) -> DataFrame:
-    """Pairs of members in different components whose full sets of shingle hashes are similar.
+    """Pairs of members in different components whose full sets of shingle hashes are similar, of those
+    that sizes and signatures let pass.
 
     ``members``: bucket, doc_id, comp, n_shingles, sig, bands, text. A pair is compared under its first
     common key alone, and not if this run's links have connected it by then; so what is returned

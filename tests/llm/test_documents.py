@@ -120,6 +120,21 @@ def test_near_duplicates_of_nothing(make):
     assert minhash.near_duplicates(make([])).count() == 0
 
 
+def test_short_pairs_without_chance_agreement_are_linked(make):
+    s = minhash.Signer(32, 4, 5)
+    half, pairs = 2, []
+    for i in range(8000):  # 7 and 8 words: 3 and 4 shingles, similarity 0.75
+        words = [f"p{i}q{k}".encode() for k in range(8)]
+        h = [s.hashes(words[:7]), s.hashes(words)]
+        x, y = (s.packed(s.minima(v)).view(np.uint64) for v in h)
+        if 128 - int(np.bitwise_count((x[:half] ^ y[:half]) | (x[half:] ^ y[half:])).sum()) < 82:
+            pairs.append([b" ".join(w).decode() for w in (words[:7], words)])
+    assert pairs
+    rows = [(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(make(rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_signature_estimates_similarity():
     s = minhash.Signer(32, 4, 5)
     a = some_words(1200)
