@@ -218,7 +218,6 @@ class ChunkEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.letters = {b: c for b, c in enumerate(byte_letters())}
@@ -226,6 +225,9 @@ class ChunkEncoder(dict):
         self.most = most
         if self.tokenizer.normalizer is not None:
             raise ValueError("a tokenizer with a normalizer can't be applied in chunks")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Added tokens that reach over a space or into plain words rule chunks out.
+        self.chunked = not any(t.lstrip or t.rstrip or t.single_word or LATIN_WORD.search(t.content[:1]) or any(c.isspace() for c in t.content) for t in added)
 
     def pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
@@ -257,7 +259,7 @@ class ChunkEncoder(dict):
         if not text:
             return b""
         chunks = text.split(" ")
-        if "" in chunks or any(c in text and (" " + c in text or c + " " in text) for c in ODD_SPACE):
+        if not self.chunked or "" in chunks or any(c in text and (" " + c in text or c + " " in text) for c in ODD_SPACE):
             return self.whole(text)
         return self.whole(chunks[0]) + b"".join(map(self.__getitem__, chunks[1:]))
 

@@ -334,6 +334,18 @@ def test_chunked_encoding_equals_the_library():
         assert list(np.frombuffer(enc.ids(t), enc.kind)) == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_chunks_with_an_added_token_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer().path("byte_bpe_50k.json")
+    enc, whole = token_files.ChunkEncoder(path, most=50), Tokenizer.from_file(path)
+    assert enc.chunked and list(np.frombuffer(enc.ids("a <|endoftext|> b"), enc.kind)) == [64, 220, 50256, 275]
+    draw = random.Random(8)
+    pool = ["<|endoftext|>", "the", "x<|endoftext|>", "<|endoftext|>.", "the\n<|endoftext|>", "<|endoftext|>\nété", "\n", "", "<|endoftext|><|endoftext|>", "<|endoftext", "|>", "x."]
+    for t in ("".join(draw.choice(pool) + draw.choice([" ", " ", "", "\n"]) for _ in range(draw.randint(1, 10))) for _ in range(3000)):
+        assert list(np.frombuffer(enc.ids(t), enc.kind)) == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_coder_round_trips():
     rng = np.random.default_rng(11)
     for n in (1, 2, 63, 64, 65, 5000):
