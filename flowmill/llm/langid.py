@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmill.llm.common import small_batches
+from flowmill.llm.common import fresh_name, small_batches
 
 #: Upper ends of code point ranges and the script that each range holds (fixed values).
 SCRIPT_ENDS = [
@@ -42,6 +42,7 @@ SPANS = T.StructType([
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))),
 ])
 NGRAMS = (2, 3, 4)
+UNIT = 1024
 _letters: np.ndarray | None = None
 
 
@@ -59,66 +60,75 @@ def letters() -> np.ndarray:
 
 
 class Words:
-    """The words of a list of texts, laid end to end.
+    """The words of a list of texts, laid end to end with zeros around each text.
 
     ``begin``/``end``: code point places in the joined text; ``doc``: text of each word; ``lower``:
     letters with zeros between words.
     """
 
     def __init__(self, texts: list[str]):
-        joined = "\0".join(texts) + "\0"
+        joined = "\0" + "".join(t + "\0" for t in texts) + "\0" * max(NGRAMS)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         self.lower = letters()[points]
-        inside = np.concatenate([[False], self.lower != 0]).astype(np.int8)
-        turn = np.diff(inside)
-        self.begin = np.flatnonzero(turn == 1)
-        self.end = np.flatnonzero(turn == -1)[: len(self.begin)]
+        turn = np.diff((self.lower != 0).astype(np.int8))
+        self.begin = np.flatnonzero(turn == 1) + 1
+        self.end = np.flatnonzero(turn == -1) + 1
         lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-        self.offset = np.cumsum(lengths) - lengths
+        self.offset = np.cumsum(lengths) - lengths + 1
         self.doc = np.searchsorted(self.offset, self.begin, side="right") - 1
 
-    def buckets(self, n: int, size: int) -> np.ndarray:
-        """Bucket of the n-gram that starts at each place; borders count as letter 0."""
-        x = self.lower.astype(np.uint64)
-        h = np.zeros(len(x), dtype=np.uint64)
-        for i in range(n):
-            part = np.zeros_like(x)
-            part[: len(x) - i] = x[i:]
-            h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return ((h + np.uint64(n * 0xD1B54A32D192ED03 % (1 << 64))) % np.uint64(size)).astype(np.intp)
-
-    def valid(self, n: int) -> np.ndarray:
-        """Where an n-gram within one word, with its borders, starts: no border inside it."""
-        x = self.lower != 0
-        ok = np.ones(len(x), dtype=bool)
-        for i in range(1, n - 1):
-            ok[: len(x) - i] &= x[i:]
-        ok[len(x) - n + 1 :] = False
-        if n == 2:
-            ok[: len(x) - 1] &= x[:-1] | x[1:]
-        return ok
+    def slices(self, size: int = 1 << 18):
+        """Ranges of words that cover about ``size`` places each."""
+        a = 0
+        while a < len(self.begin):
+            b = max(a + 1, int(np.searchsorted(self.end, self.begin[a] + size, side="right")))
+            yield a, b
+            a = b
 
     def scripts(self) -> np.ndarray:
         """Script of each word, by its first letter."""
-        return _NAMES[np.searchsorted(_ENDS, self.lower[self.begin])] if len(self.begin) else np.empty(0, np.uint8)
+        return _NAMES[np.searchsorted(_ENDS, self.lower[self.begin])]
+
+
+def grams(lower: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where an n-gram within one word, with its borders, starts, and the n-grams' buckets.
+    Borders count as letter 0."""
+    places = max(0, len(lower) - n + 1)
+    inside = lower != 0
+    ok = np.ones(places, dtype=bool)
+    for i in range(1, n - 1):
+        ok &= inside[i : i + places]
+    if n == 2:
+        ok = inside[:places] | inside[1 : 1 + places]
+    at = np.flatnonzero(ok)
+    h = np.zeros(len(at), dtype=np.uint64)
+    for i in range(n):
+        h = (h ^ lower[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return at, ((h + np.uint64(n * 0xD1B54A32D192ED03 % (1 << 64))) % np.uint64(size)).astype(np.intp)
 
 
 class Model:
+    """``table``: log likelihood ratios of the buckets in whole ``UNIT``-ths, so that sums are exact
+    and a word's score doesn't depend on the words around it."""
+
     def __init__(self, langs: list[str], table: np.ndarray, scripts: np.ndarray, penalty: float):
         self.langs, self.table, self.scripts, self.penalty = langs, table, scripts, penalty
 
     def word_scores(self, w: Words) -> np.ndarray:
         """Words x languages; languages not seen with a word's script get a low score, unless none was."""
-        n, L = len(w.begin), len(self.langs)
-        total = np.zeros((len(w.lower) + 1, L), dtype=np.float64)
-        at = np.zeros((len(w.lower), L), dtype=np.float32)
-        for k in NGRAMS:
-            ok = np.flatnonzero(w.valid(k))
-            at[ok] += self.table[w.buckets(k, len(self.table))[ok]]
-        np.cumsum(at, axis=0, out=total[1:], dtype=np.float64)
-        scores = total[w.end] - total[np.maximum(w.begin - 1, 0)] if n else np.zeros((0, L))
-        allowed = self.scripts[:, w.scripts()].T if n else np.zeros((0, L), dtype=bool)
+        scores = np.zeros((len(w.begin), len(self.langs)))
+        for a, b in w.slices():
+            first = w.begin[a] - 1
+            lower = w.lower[first : w.end[b - 1] + 1]
+            at = np.zeros((len(lower), len(self.langs)), dtype=np.int32)
+            for k in NGRAMS:
+                places, buckets = grams(lower, k, len(self.table))
+                at[places] += self.table[buckets]
+            total = np.cumsum(at, axis=0, dtype=np.int64)
+            begin, end = w.begin[a:b] - first - 1, w.end[a:b] - first - 1
+            scores[a:b] = (total[end] - total[begin] + at[begin]) / UNIT
+        allowed = self.scripts[:, w.scripts()].T
         none = ~allowed.any(axis=1)
         scores = np.where(allowed, scores, -1e3)
         scores[none] = 0.0
@@ -127,6 +137,8 @@ class Model:
     def label(self, texts: list[str]) -> list[tuple]:
         """``(language, score, spans)`` of each text, spans in code points."""
         w = Words(texts)
+        if not len(w.begin):
+            return [("und", 0.0, [])] * len(texts)
         scores = self.word_scores(w)
         path = viterbi(scores, w.doc, len(texts), self.penalty)
         size = (w.end - w.begin).astype(np.float64)
@@ -157,11 +169,12 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float) ->
     order = np.argsort(-counts, kind="stable")
     first = (np.cumsum(counts) - counts)[order]
     counts = counts[order]
-    back = np.empty((n, L), dtype=np.uint8)
+    kind = np.min_scalar_type(L)
+    back = np.empty((n, L), dtype=kind)
     path = np.empty(n, dtype=np.intp)
     active = int((counts > 0).sum())
     best = scores[first[:active]].copy()
-    stay = np.arange(L, dtype=np.uint8)
+    stay = np.arange(L, dtype=kind)
     alive, t = [active], 1
     while t < counts[0]:
         active = int(np.searchsorted(-counts, -t, side="left"))  # texts of more than t words
@@ -173,7 +186,7 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float) ->
         switch = now[np.arange(active), top] - penalty
         move = switch[:, None] > now
         at = first[:active] + t
-        back[at] = np.where(move, top[:, None].astype(np.uint8), stay)
+        back[at] = np.where(move, top[:, None].astype(kind), stay)
         best[:active] = np.where(move, switch[:, None], now) + scores[at]
         t += 1
     label = best.argmax(axis=1)
@@ -223,9 +236,9 @@ def fit(docs: DataFrame, fit_rows: int = 20_000, buckets: int = 1 << 17, penalty
             for lang, texts in by.items():
                 at = table.setdefault(lang, np.zeros(buckets + len(SCRIPTS), dtype=np.int64))
                 w = Words(texts)
-                for k in NGRAMS:
-                    ok = w.valid(k)
-                    at[:buckets] += np.bincount(w.buckets(k, buckets)[ok], minlength=buckets)
+                for a, b in w.slices():
+                    for k in NGRAMS:
+                        at[:buckets] += np.bincount(grams(w.lower[w.begin[a] - 1 : w.end[b - 1] + 1], k, buckets)[1], minlength=buckets)
                 at[buckets:] += np.bincount(w.scripts(), minlength=len(SCRIPTS))
         for lang, at in table.items():
             some = np.flatnonzero(at)
@@ -236,16 +249,17 @@ def fit(docs: DataFrame, fit_rows: int = 20_000, buckets: int = 1 << 17, penalty
     table = np.zeros((buckets + len(SCRIPTS), max(1, len(langs))), dtype=np.float64)
     if len(langs):
         table[counts["k"].to_numpy(), np.searchsorted(np.array(langs), counts["lang"].to_numpy(dtype=str))] = counts["n"].to_numpy()
-    grams, scripts = table[:buckets], table[buckets:]
-    p = np.log((grams + smoothing) / (grams.sum(axis=0) + smoothing * buckets))
+    sums, scripts = table[:buckets], table[buckets:]
+    p = np.log((sums + smoothing) / (sums.sum(axis=0) + smoothing * buckets))
     p -= p.mean(axis=1, keepdims=True)
-    p[grams.sum(axis=1) == 0] = 0.0
+    p[sums.sum(axis=1) == 0] = 0.0
     seen = scripts >= np.maximum(1, 1e-4 * scripts.sum(axis=0))
-    return Model(langs, p.astype(np.float32), seen.T, penalty)
+    return Model(langs, np.rint(p * UNIT).astype(np.int16), seen.T, penalty)
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language", group: int = 400_000) -> DataFrame:
-    """``docs`` and a struct ``out``: lang, score and labelled spans. ``group``: letters decoded at once."""
+    """``docs`` and a struct ``out`` (its name made fresh): lang, score and labelled spans. ``group``:
+    letters decoded at once."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages floats
 
@@ -266,4 +280,4 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", out: st
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
     # not deterministic for the optimizer: else each use of the struct's fields would label all texts again
-    return docs.withColumn(out, F.pandas_udf(run, SPANS).asNondeterministic()(F.col(text_col)))
+    return docs.withColumn(fresh_name(docs, out), F.pandas_udf(run, SPANS).asNondeterministic()(F.col(text_col)))

@@ -174,6 +174,50 @@ def test_nothing_learned(make):
     assert langid.with_language(make([]), model).count() == 0
 
 
+def random_model(n, penalty, seed=0):
+    rng = np.random.default_rng(seed)
+    return langid.Model([f"l{i:03d}" for i in range(n)], rng.integers(-3000, 3000, (1 << 12, n)).astype(np.int16), np.ones((n, len(langid.SCRIPTS)), bool), penalty)
+
+
+@pytest.mark.parametrize("n, penalty", [(4, 12.0), (300, 0.5)])
+def test_a_text_is_labelled_alike_alone_and_beside_others(n, penalty):
+    model = random_model(n, penalty)
+    draw = random.Random(3)
+    texts = ["", "a", "I", "12 !?", "жа"] + ["".join(draw.choice("abcdé xyz 1Я日") for _ in range(draw.randint(0, 40))) for _ in range(200)]
+    alone = [model.label([t])[0] for t in texts]
+    assert model.label(texts) == alone and model.label(texts[::-1]) == alone[::-1]
+    if n == 300:
+        assert len({s["lang"] for _, _, spans in alone for s in spans}) > 256 // 2
+        word = [w for w in {w for t in texts for w in re.findall("[a-z]+", t)}]
+        found = model.label([" ".join(word)])[0][2]  # with this penalty nearly every word has a language of its own
+        scores = model.word_scores(langid.Words([" ".join(word)]))
+        path = [next(model.langs.index(s["lang"]) for s in found if s["start"] <= b - 1 < s["end"]) for b in langid.Words([" ".join(word)]).begin]
+        value = lambda p: scores[np.arange(len(p)), p].sum() - penalty * (np.diff(p) != 0).sum()
+        assert value(np.array(path)) >= value(scores.argmax(axis=1)) and max(path) > 255
+
+
+def test_partitions_without_letters_or_with_one(make, crowded):
+    model = langid.fit(make([(k, babble(lang, 60), lang) for k, lang in enumerate(["aa", "bb"] * 20)]))
+    for texts, want in ((["12 34", "!?", None], ["und"] * 3), (["12 !?"], ["und"]), (["a"], None), (["I", "I"], None)):
+        rows = langid.with_language(crowded(make([(None if k else 7, t) for k, t in enumerate(texts)], 1)), model)
+        assert rows.columns == [*crowded(make([])).columns, "language_"]
+        got = [r.language_.lang for r in rows.collect()]
+        assert got == want if want else set(got) <= {"aa", "bb"} and len(got) == len(texts)
+    (r,) = langid.with_language(make([(1, (babble("aa", 9) + " ") * 30_000)], 1), model).collect()
+    assert r.language.lang == "aa" and r.language.score > 0.9
+
+
+def test_language_query_on_held_out_documents(spark):
+    from flowmill.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    truth = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null").select("doc_id", "lang")
+    got = QUERIES["op4_language"](spark, sf)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    rows = got.where("held_out").join(truth, "doc_id").collect()
+    assert len(rows) > 100 and sum(r.lang == r.lang_pred for r in rows) > 0.97 * len(rows)
+
+
 def test_viterbi_is_optimal():
     from itertools import product
 
