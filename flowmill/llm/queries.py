@@ -100,7 +100,7 @@ def op7_token_counts(spark, sf_dir):
 def op9_warc(spark, sf_dir):
     from flowmill.llm.warc import archived
 
-    return archived(table(spark, sf_dir, "pages"), shard_bytes=64 << 20, file_bytes=1 << 30)
+    return archived(table(spark, sf_dir, "pages"), shard_bytes=64 << 20, file_bytes=16 << 20)
 
 
 @query

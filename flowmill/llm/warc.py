@@ -1,11 +1,16 @@
 """Operator 9: deterministic sharded WARC writer and reader.
 
-Records are sorted by page id over contiguous id ranges ("shards"). The cuts come from exact counts
-of bytes per id bucket, refined where a bucket is too heavy, so they depend on the rows alone and a
-second run writes the same files. A task writes a shard's records in order, each as its own gzip
-member with a fixed time stamp, and rolls to a new file once ``file_bytes`` compressed bytes are
-written. Files get a temporary name per attempt and are renamed when whole; the manifest, written
-by Spark, lists what successful attempts made.
+Records are sorted by page id over contiguous id ranges ("shards") of ``shard_bytes`` payload bytes.
+The cuts come from running sums of exact sizes in id order, so they depend on the rows alone and a
+second run writes the same files under the same names. A task writes its shards' records in order,
+each as its own gzip member with a fixed time stamp, and rolls to a new file once ``file_bytes``
+compressed bytes are written. Files get a temporary name per attempt and are renamed when whole to
+the name of their shard and roll, which any attempt gives to the same bytes; the manifest, written by
+Spark, lists what successful attempts made, and only listed files are read.
+
+Sizes are summed in one pass: ids and sizes are range-partitioned and sorted, each partition keeps
+its running sum, and the partitions' totals (one number each) place them after one another. The cuts
+are at most ``MOST_SHARDS`` numbers; shards grow beyond ``shard_bytes`` where there would be more.
 
 Of records with equal payloads of ``least_bytes`` or more, the one with the smallest page id is a
 response and the others are revisits that name it. Digests are grouped without the payloads; the
@@ -13,8 +18,9 @@ few bytes of a revisit then meet the record in the same sort that carries the pa
 are shuffled once.
 
 Defined cases: null html is an empty payload, null url an empty URI; null page ids sort first and are
-always responses; repeated rows give repeated records (rows that share the smallest id are all
-responses); an empty table gives an empty manifest; other columns don't matter.
+always responses; repeated rows give repeated records with numbered record ids (rows that share the
+smallest id are all responses, and revisits refer to the first of them); rows that share an id share a
+shard, whose files still roll; an empty table gives an empty manifest; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ import io
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,20 +47,21 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+def record_id(page_id, digest: str, again: int = 0) -> str:
+    """``again``: how many equal records of the same page come before."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}' + (f':{again}' if again else ''))}>"
 
 
 def one_line(text: str | None) -> str:
     return " ".join((text or "").split())
 
 
-def record(page_id, url, payload: bytes, refers_to, date: str, payload_digest: str | None = None) -> bytes:
+def record(page_id, url, payload: bytes, refers_to, date: str, payload_digest: str | None = None, again: int = 0) -> bytes:
     """A WARC/1.1 record: a response with its payload, or a revisit with the HTTP headers alone."""
     digest = payload_digest or base32_sha1(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}",
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest, again)}", f"WARC-Date: {date}",
             f"WARC-Target-URI: {one_line(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}"]
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
@@ -98,41 +107,42 @@ def parsed(data: bytes) -> dict:
     return out
 
 
-def balanced_cuts(rows: DataFrame, target: int, buckets: int = 4096) -> list[int]:
-    """Lower bounds of contiguous id ranges of about ``target`` bytes each.
+#: Shards at most: eight bytes each on the driver and the executors.
+MOST_SHARDS = 1 << 20
+#: Writing tasks at most; beyond that a task writes several shards in a row.
+MOST_TASKS = 100_000
 
-    ``rows``: (id, bytes). Bytes are counted per equal id bucket; buckets over twice the target are
-    counted again at a finer grain, until they are light or a single id. Only counts per bucket
-    reach the driver: at most ``buckets`` for each range that is refined.
-    """
-    ends = rows.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
-    if ends.lo is None:
+
+def balanced_cuts(rows: DataFrame, target: int, rows_per_part: int = 1_000_000) -> list[int]:
+    """Lower bounds of contiguous id ranges of about ``target`` bytes each. ``rows``: (id, bytes)."""
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        pid, held = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            run = np.cumsum(batch.column(1).to_numpy(zero_copy_only=False), dtype=np.int64) + held
+            held = int(run[-1]) if len(run) else held
+            yield pa.RecordBatch.from_arrays([pa.array([pid] * len(run), pa.int32()), batch.column(0), batch.column(1), pa.array(run)], names=["pid", "id", "bytes", "upto"])
+
+    parts = min(10_000, 1 + rows.count() // rows_per_part)
+    placed = rows.select("id", F.col("bytes").cast("long").alias("bytes")).repartitionByRange(parts, "id").sortWithinPartitions("id")
+    placed = saved(placed.mapInArrow(sums, "pid int, id long, bytes long, upto long"), "sizes")
+    totals = {r.pid: r.n for r in placed.groupBy("pid").agg(F.max("upto").alias("n")).collect()}  # a row for each partition
+    if not totals:
         return []
-    weights: dict[tuple[int, int], int] = {}
-    todo = [(ends.lo, ends.hi + 1)]
-    while todo:
-        again = []
-        for lo, hi in todo:
-            width = max(1, -(-(hi - lo) // buckets))
-            place = F.expr(f"cast((cast(id as decimal(20,0)) - {lo}) div {width} as long)")
-            found = rows.where((F.col("id") >= lo) & (F.col("id") < hi)).groupBy(place.alias("k")).agg(F.sum("bytes").alias("n")).collect()
-            for r in found:
-                start = lo + r.k * width
-                if r.n > 2 * target and width > 1:
-                    again.append((start, min(hi, start + width)))
-                else:
-                    weights[start, min(hi, start + width)] = int(r.n)
-        todo = again
-    cuts, held = [], target
-    for (start, _), n in sorted(weights.items()):
-        if held + n > target and held:
-            cuts.append(start)
-            held = 0
-        held += n
-    return cuts
-
-
-def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20, file_bytes: int = 1 << 30, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z",
+    before, held = [0] * (max(totals) + 1), 0
+    for pid in sorted(totals):
+        before[pid], held = held, held + totals[pid]
+    target = max(target, -(-held // MOST_SHARDS))
+    start = F.element_at(F.lit(before), F.col("pid") + 1) + F.col("upto") - F.col("bytes")
+    cuts = placed.groupBy((start / F.lit(target)).cast("long").alias("shard")).agg(F.min("id").alias("id")).collect()
+    return sorted({r.id for r in cuts})
+
+
+def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20, file_bytes: int = 16 << 20, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z",
                id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes all pages as WARC files into ``folder`` and returns the manifest."""
 
@@ -147,8 +157,8 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20, file
         def close():
             if state["out"] is not None:
                 state["out"].close()
-                name = f"pages-{state['shard']:08d}-{state['roll']:05d}-{uuid.uuid4().hex[:8]}.warc.gz"
-                where.move(state["tmp"], f"{base}/{name}")
+                name = f"pages-{state['shard']:08d}-{state['roll']:05d}.warc.gz"
+                renamed(where, state["tmp"], f"{base}/{name}", state["bytes"])
                 done.append({"shard": state["shard"], "roll": state["roll"], "file": name, "n_records": state["n"], "n_bytes": state["bytes"], "sha256": state["sha"].hexdigest()})
                 state.update(out=None, roll=state["roll"] + 1)
 
@@ -160,7 +170,8 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20, file
             if state["out"] is None:
                 tmp = f"{base}/.{uuid.uuid4().hex}.tmp"
                 state.update(tmp=tmp, out=where.open_output_stream(tmp, compression=None), n=0, bytes=0, sha=hashlib.sha256())
-            data = packed(record(page_id, url, payload, refers_to, date, digest))
+            same[digest] = same.get(digest, -1) + 1
+            data = packed(record(page_id, url, payload, refers_to, date, digest, same[digest]))
             state["out"].write(data)
             state["sha"].update(data)
             state["n"] += 1
@@ -169,6 +180,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20, file
                 close()
 
         refers: dict = {}
+        same: dict = {}  # records written of the page id at hand, by digest
         at = None
         for batch in batches:
             columns = [batch.column(i) for i in range(6)]
@@ -176,6 +188,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20, file
                 digest = base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
                 if page_id != at:
                     refers, at = {}, page_id
+                    same.clear()
                 if refers_to is not None:  # sorts before the record that it is about
                     refers[digest] = refers_to
                     continue
@@ -191,23 +204,33 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20, file
     again = facts.where(F.col("n") >= least_bytes).join(first, "sha1").where("page_id <> first").select("page_id", "sha1", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.col("first").alias("refers_to")).distinct()
     cuts = balanced_cuts(facts.select(F.col("page_id").alias("id"), (F.col("n") + 600).alias("bytes")).where("id is not null"), shard_bytes)
     both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(again)
-    shard = F.coalesce(place_among(F.col("page_id"), cuts[1:]), F.lit(0)).cast("long")
-    placed = both.withColumn("shard", shard).select("shard", "page_id", "sha1", "url", "html", "refers_to")
-    sent = placed.repartition(max(1, min(len(cuts), 200_000)), "shard").sortWithinPartitions("shard", "page_id", F.col("refers_to").isNull(), "sha1", "url")
+    if cuts:
+        sent_cuts = spark.sparkContext.broadcast(cuts)
+
+        def place(ids: pd.Series) -> pd.Series:
+            found = np.searchsorted(np.asarray(sent_cuts.value), ids.fillna(sent_cuts.value[0]).to_numpy(dtype=np.int64), side="right") - 1
+            return pd.Series(np.maximum(found, 0))
+
+        place.__annotations__ = {"ids": pd.Series, "return": pd.Series}
+        placed = both.withColumn("shard", F.pandas_udf(place, "long")("page_id"))
+    else:
+        placed = both.withColumn("shard", F.lit(0).cast("long"))
+    shards = max(1, len(cuts))
+    tasks = min(shards, MOST_TASKS)
+    sent = placed.select("shard", "page_id", "sha1", "url", "html", "refers_to").repartitionById(tasks, (F.col("shard") * tasks / shards).cast("int"))
+    sent = sent.sortWithinPartitions("shard", "page_id", F.col("refers_to").isNull(), "sha1", "url")
     sent.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def place_among(value, bounds: list[int]):
-    """How many of the ascending ``bounds`` are at most ``value``: first among every s-th bound, then
-    among the s that follow, so a row costs the square root of their number."""
-    if not bounds:
-        return F.lit(0)
-    step = int(len(bounds) ** 0.5) + 1
-    coarse, fine = F.lit(bounds[::step]), F.lit(bounds)
-    group = F.size(F.filter(coarse, lambda b: b <= value))
-    within = F.size(F.filter(F.slice(fine, F.greatest(group - 1, F.lit(0)) * step + 1, F.lit(step)), lambda b: b <= value))
-    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * step + within)
+def renamed(where, tmp: str, name: str, size: int) -> None:
+    """Gives a whole file its final name. Another attempt may have done so: its bytes are the same."""
+    try:
+        where.move(tmp, name)
+    except OSError:
+        if where.get_file_info(name).size != size:
+            raise
+        where.delete_file(tmp)
 
 
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:

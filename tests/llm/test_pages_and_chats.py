@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import json
+import random
 
 import pytest
+from pyarrow import fs
 
 from flowmill.llm import tool_calls, warc
 from flowmill.llm.common import shared_dir
@@ -40,8 +42,40 @@ def test_writer_is_deterministic(spark):
     seen = []
     for parts in (1, 7):
         m = warc.write_warc(pages(spark, ROWS).repartition(parts), shared_dir(spark, "warc-test"), shard_bytes=20_000, file_bytes=3_000)
-        seen.append(sorted((r.shard, r.roll, r.sha256, r.n_records) for r in m.collect()))
-    assert seen[0] == seen[1]
+        seen.append(sorted((r.shard, r.roll, r.file, r.sha256, r.n_records) for r in m.collect()))
+    assert seen[0] == seen[1] and max(s[1] for s in seen[0]) > 0 and len({s[0] for s in seen[0]}) > 5
+    assert [s[2] for s in seen[0]] == [f"pages-{s[0]:08d}-{s[1]:05d}.warc.gz" for s in seen[0]]
+
+
+def test_cuts_balance_any_ids(spark):
+    draw = random.Random(5)
+    ids = [draw.choice([-(1 << 62), 7, 8, 9, (1 << 62), draw.randrange(1 << 40)]) for _ in range(2000)]
+    rows = [(i, draw.randrange(1, 300)) for i in ids]
+    weight = {}
+    for i, n in rows:
+        weight[i] = weight.get(i, 0) + n
+    for per_part in (50, 10_000):
+        cuts = warc.balanced_cuts(spark.createDataFrame(rows, "id long, bytes long").repartition(5), 5_000, per_part)
+        assert cuts == sorted(set(cuts)) and cuts[0] == min(ids)
+        for lo, hi in zip(cuts, [*cuts[1:], 1 << 63]):
+            held = [weight[i] for i in weight if lo <= i < hi]
+            assert sum(held) <= 5_000 + 300 or max(held) > 4_000  # over the target only by a row, or for the weight of one id
+    assert warc.balanced_cuts(spark.createDataFrame([], "id long, bytes long"), 10) == []
+
+
+def test_record_ids_of_repeated_rows_differ(spark):
+    folder = shared_dir(spark, "warc-test")
+    clashing = pages(spark, ROWS).selectExpr("*", "1 as shard", "2 as sha1", "3 as refers_to", "4 as first", "5 as n")
+    warc.write_warc(clashing, folder)
+    from flowmill.llm.common import filesystem
+
+    where, base = filesystem(folder)
+    ids = []
+    for f in where.get_file_info(fs.FileSelector(base)):
+        if f.path.endswith(".warc.gz"):
+            with where.open_input_stream(f.path, compression=None) as source:
+                ids += [warc.parsed(d)["warc-record-id"] for d in warc.members(source)]
+    assert len(ids) == len(ROWS) == len(set(ids))
 
 
 def test_least_size_and_empty_table(spark):
