@@ -4,13 +4,19 @@ Base figures count words, symbols, repeated lines and repeated five-word windows
 The field labels every line as content or boilerplate by Viterbi decoding; the share of characters
 in content lines decides on the document.
 
-The field is trained here on a bounded sample of documents with a quality label (``fit_rows``, by a
-hash of the id): every line takes its document's label. Line features are made by Spark; the driver
-receives the feature masks of the sample and climbs the exact gradient (forward-backward).
+The field is trained here on a bounded sample: about ``fit_rows`` documents with a quality label, by a
+hash of the id, and of each at most ``fit_runs`` runs of ``RUN`` lines, evenly spread. Only documents
+are labelled, so line labels are hidden variables under one constraint: of a good document most
+characters are expected in content lines, of a bad one in boilerplate lines. Training alternates
+between posterior labels nearest to the field's own that meet the constraint, and the exact gradient
+of the field towards them (forward-backward), so prose lines in a bad document may be content and the
+other way round. Line features are made by Spark; the driver receives masks and lengths of the sample.
 
 Defined cases: null text has no word and fails the base rules; a blank line is neither content nor
-boilerplate for the share; a text of blank lines alone has no word; without labels every line is
-content and the base rules decide alone; rows are judged one by one; other columns don't matter.
+boilerplate for the share; a text of blank lines alone has no word; without labels of both kinds every
+line is content and the base rules decide alone; an id whose labels disagree is not trained on; rows
+are judged one by one; other columns don't matter, and one that is already named like the result keeps
+its name (see ``fresh_name``).
 """
 
 from __future__ import annotations
@@ -21,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowmill.llm.common import fresh_name, saved
+
 FEATURES = ("bias", "upper", "symbols", "many symbols", "bars", "repeated line", "repeated words", "one or two words", "long line", "ends a sentence", "digits", "starts lower", "shouting", "few letters")
 BLANK = -1
 SYMBOLS = "#*$%&|<>"
@@ -132,64 +140,149 @@ class Field:
 NO_FIELD = Field(np.array([[-1.0] + [0.0] * (len(FEATURES) - 1), [1.0] + [0.0] * (len(FEATURES) - 1)]), np.zeros((2, 2)))
 
 
-def train(sequences: list[tuple[list[int], int]], steps: int = 150, rate: float = 0.5, ridge: float = 1e-3) -> Field:
-    """Maximum likelihood by gradient ascent. ``sequences``: (line masks, label of all lines)."""
-    runs = [(s[i : i + 64], y) for s, y in ((tuple(m for m in s if m != BLANK), y) for s, y in sequences) for i in range(0, len(s), 64)]
-    if not runs or len({y for _, y in runs}) < 2:
-        return NO_FIELD
-    D, T_, K = len(runs), max(len(s) for s, _ in runs), len(FEATURES)
-    x, on, y = np.zeros((D, T_, K)), np.zeros((D, T_)), np.array([y for _, y in runs])
-    for d, (s, _) in enumerate(runs):
-        x[d, : len(s)] = (np.array(s)[:, None] >> np.arange(K)) & 1
-        on[d, : len(s)] = 1
-    n = on.sum()
-    weight = np.where(y == 1, 0.5 / max(1, (on.sum(1) * (y == 1)).sum()), 0.5 / max(1, (on.sum(1) * (y == 0)).sum()))  # both labels count alike
-    w, moves, g2w, g2m = np.zeros((2, K)), np.zeros((2, 2)), 1e-8, 1e-8
-    hot = np.eye(2)[y]
-    seen_x = np.einsum("dy,dtk,dt,d->yk", hot, x, on, weight)
-    both = (on[:, 1:] * on[:, :-1]).sum(1) if T_ > 1 else np.zeros(D)
-    seen_m = np.einsum("dy,dz,d,d->yz", hot, hot, both, weight)
-    for _ in range(steps):
-        e = np.einsum("dtk,yk->dty", x, w)
-        alpha, beta = np.zeros((D, T_, 2)), np.zeros((D, T_, 2))
-        alpha[:, 0] = e[:, 0]
-        for t in range(1, T_):
-            alpha[:, t] = np.logaddexp(alpha[:, t - 1, :1] + moves[0], alpha[:, t - 1, 1:] + moves[1]) + e[:, t]
+#: Lines in a run, the unit of training.
+RUN = 32
+
+
+class Runs:
+    """Runs of lines as arrays, time first: feature masks by number, lengths, places in use."""
+
+    def __init__(self, runs: list[tuple[list[int], list[int], int]]):
+        self.y = np.array([y for _, _, y in runs])
+        T_, D = max(len(m) for m, _, _ in runs), len(runs)
+        masks, size, self.on = np.zeros((T_, D), dtype=np.int64), np.zeros((T_, D)), np.zeros((T_, D), dtype=bool)
+        for d, (m, n, _) in enumerate(runs):
+            masks[: len(m), d], size[: len(m), d], self.on[: len(m), d] = m, n, True
+        self.share = size / size.sum(axis=0)  # of the run's characters
+        known, at = np.unique(masks, return_inverse=True)
+        self.at = at.reshape(masks.shape)
+        self.x = ((known[:, None] >> np.arange(len(FEATURES))) & 1).astype(np.float64)
+        lines = self.on.sum(axis=0)
+        self.weight = np.where(self.y == 1, 0.5 / max(1, lines[self.y == 1].sum()), 0.5 / max(1, lines[self.y == 0].sum()))  # both labels count alike
+
+    def marginals(self, scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Label probabilities (time, run, label), pair probabilities summed over time (run, label,
+        label) and the log partition function of each run."""
+        T_, D = self.on.shape
+        top = scores.max(axis=2, keepdims=True)
+        psi, move = np.exp(scores - top), np.exp(moves)
+        alpha, beta, log_z = np.empty((T_, D, 2)), np.ones((T_, D, 2)), (top[..., 0] * self.on).sum(axis=0)
+        for t in range(T_):
+            now = psi[t] if t == 0 else (alpha[t - 1] @ move) * psi[t]
+            scale = now.sum(axis=1)
+            on = self.on[t]
+            alpha[t] = np.where(on[:, None], now / scale[:, None], alpha[t - 1] if t else 0.0)
+            log_z += np.where(on, np.log(scale), 0.0)
         for t in range(T_ - 2, -1, -1):
-            z = (beta[:, t + 1] + e[:, t + 1])[:, None, :] + moves
-            beta[:, t] = np.logaddexp(z[:, :, 0], z[:, :, 1]) * on[:, t + 1, None]
-        last = on.sum(1).astype(int) - 1
-        total = np.logaddexp(*alpha[np.arange(D), last].T)
-        p = np.exp(alpha + beta - total[:, None, None]) * on[..., None]
-        gw = seen_x - np.einsum("dty,dtk,d->yk", p, x, weight) - ridge * w
-        gm = seen_m - ridge * moves
+            back = (psi[t + 1] * beta[t + 1]) @ move.T
+            beta[t] = np.where(self.on[t + 1][:, None], back / back.sum(axis=1, keepdims=True), 1.0)
+        p = alpha * beta
+        p /= p.sum(axis=2, keepdims=True)
+        pairs = np.zeros((D, 2, 2))
         for t in range(1, T_):
-            pair = np.exp(np.minimum(0, alpha[:, t - 1, :, None] + moves + (e[:, t] + beta[:, t])[:, None, :] - total[:, None, None]))
-            gm = gm - np.einsum("dyz,d,d->yz", pair, on[:, t], weight)
-        g2w, g2m = g2w + gw**2, g2m + gm**2
-        w, moves = w + rate * gw / np.sqrt(g2w), moves + rate * gm / np.sqrt(g2m)
-    assert n
+            pair = alpha[t - 1][:, :, None] * move * (psi[t] * beta[t])[:, None, :]
+            pairs += np.where(self.on[t], 1.0, 0.0)[:, None, None] * pair / pair.sum(axis=(1, 2), keepdims=True)
+        return p * self.on[..., None], pairs, log_z
+
+    def counts(self, p: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weighted expected features by label, and label pairs."""
+        w = p * self.weight[:, None]
+        by_mask = np.stack([np.bincount(self.at.ravel(), w[..., k].ravel(), minlength=len(self.x)) for k in (0, 1)])
+        return by_mask @ self.x, np.einsum("dyz,d->yz", pairs, self.weight)
+
+    def constrained(self, scores: np.ndarray, moves: np.ndarray, margin: float = 0.1, halvings: int = 10) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of the distribution nearest to the field's whose expected content share is at
+        least 1/2 + margin in good runs and at most 1/2 - margin in bad ones: a bias towards the run's
+        label in proportion to a line's share, found by halving."""
+        sign = np.where(self.y == 1, 1.0, -1.0)
+        low, high = np.zeros(len(self.y)), np.full(len(self.y), 64.0)
+        p, pairs, _ = self.marginals(scores, moves)
+        met = sign * ((p[..., 1] * self.share).sum(axis=0) - 0.5) >= margin
+        if met.all():
+            return p, pairs
+        for _ in range(halvings):
+            bias = np.where(met, 0.0, (low + high) / 2)
+            p, pairs, _ = self.marginals(self._biased(scores, sign * bias), moves)
+            ok = sign * ((p[..., 1] * self.share).sum(axis=0) - 0.5) >= margin
+            low, high = np.where(ok, low, bias), np.where(ok, bias, high)
+        return self.marginals(self._biased(scores, sign * np.where(met, 0.0, high)), moves)[:2]
+
+    def _biased(self, scores: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        out = scores.copy()
+        out[..., 1] += bias * self.share
+        return out
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return (self.x @ w.T)[self.at]
+
+    def objective(self, w: np.ndarray, moves: np.ndarray, seen: tuple[np.ndarray, np.ndarray], ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Expected log likelihood of labels with the counts ``seen``, and its gradient."""
+        p, pairs, log_z = self.marginals(self.scores(w), moves)
+        x, m = self.counts(p, pairs)
+        value = (seen[0] * w).sum() + (seen[1] * moves).sum() - (log_z * self.weight).sum() - ridge / 2 * ((w**2).sum() + (moves**2).sum())
+        return float(value), seen[0] - x - ridge * w, seen[1] - m - ridge * moves
+
+
+def train(documents: list[tuple[list[int], list[int], int]], rounds: int = 10, steps: int = 10, rate: float = 1.0, ridge: float = 1e-5) -> Field:
+    """A field from (line masks, line lengths, label) of documents. First every line takes its
+    document's label and label changes are free; then labels and field are fitted in turns."""
+    parts = []
+    for masks_, sizes, y in documents:
+        lines = [(m, n) for m, n in zip(masks_, sizes) if m != BLANK]
+        parts += [([m for m, _ in lines[i : i + RUN]], [n for _, n in lines[i : i + RUN]], y) for i in range(0, len(lines), RUN)]
+    if len({y for _, _, y in parts}) < 2:
+        return NO_FIELD
+    runs = Runs(parts)
+    w, moves = np.zeros((2, len(FEATURES))), np.zeros((2, 2))
+    hot = np.eye(2)[runs.y][None] * runs.on[..., None]
+    seen = runs.counts(hot, np.zeros((len(runs.y), 2, 2)))
+    for k in range(rounds):
+        if k:
+            seen = runs.counts(*runs.constrained(runs.scores(w), moves))
+        g2w, g2m = 1e-8, 1e-8
+        for _ in range(steps * (1 if k else 3)):
+            _, gw, gm = runs.objective(w, moves, seen, ridge)
+            g2w, g2m = g2w + gw**2, g2m + gm**2
+            w = w + rate * gw / np.sqrt(g2w)
+            if k:
+                moves = moves + rate * gm / np.sqrt(g2m)
     return Field(w, moves)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 4_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """Trains on about ``fit_rows`` labelled documents."""
-    rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+def spread(n_lines: int, fit_runs: int) -> list[int]:
+    """First lines of at most ``fit_runs`` runs, evenly spread over a text of ``n_lines`` lines."""
+    n = -(-n_lines // RUN)
+    return [RUN * (i * n // min(n, fit_runs)) for i in range(min(n, fit_runs))]
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2_000, fit_runs: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
+    """Trains on about ``fit_rows`` labelled documents, at most ``fit_runs`` x ``RUN`` lines of each."""
+    rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
     n = rows.count()
     if n > fit_rows:
         rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(rows), "id")  # fit_rows rows at most
+    rows = saved(rows.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most"), "labels")
+    small = rows.count() <= 10 * fit_rows  # else one id was repeated in most labels, and the rest is too much to send
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(rows) if small else rows, "id")
 
-    def features(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: masks(t)[0])
+    def features(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            m, sizes, _ = masks(text)
+            lines = [(a, b) for a, b in zip(m, sizes) if a != BLANK]
+            lines = [x for i in spread(len(lines), fit_runs) for x in lines[i : i + RUN]]
+            out.append(([a for a, _ in lines], [b for _, b in lines]))
+        return pd.DataFrame(out, columns=["m", "n"])
 
-    features.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    found = sample.select("id", "y", F.pandas_udf(features, "array<int>")("text").alias("m")).toPandas().sort_values("id")
-    return train([([int(v) for v in m], int(y > 0)) for m, y in zip(found["m"], found["y"])])
+    features.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    found = sample.select("id", "y", F.pandas_udf(features, "m array<int>, n array<int>")("text").alias("f")).select("id", "y", "f.m", "f.n").toPandas()
+    found["order"] = found["m"].map(lambda m: tuple(int(v) for v in m))  # repeated ids in one order
+    found = found.sort_values(["id", "order"])
+    return train([(list(o), [int(v) for v in n], int(y)) for o, n, y in zip(found["order"], found["n"], found["y"])])
 
 
 def with_figures(docs: DataFrame, field: Field, text_col: str = "text", out: str = "figures") -> DataFrame:
-    """``docs`` and a struct ``out``: base figures, content share and the label of each line."""
+    """``docs`` and a struct ``out`` (its name made fresh): base figures, content share and the label of each line."""
     weights = (field.weights, field.moves)
 
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -208,7 +301,7 @@ def with_figures(docs: DataFrame, field: Field, text_col: str = "text", out: str
         return pd.DataFrame(rows, columns=FIGURES.names)
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return docs.withColumn(out, F.pandas_udf(run, FIGURES)(F.col(text_col)))
+    return docs.withColumn(fresh_name(docs, out), F.pandas_udf(run, FIGURES)(F.col(text_col)))
 
 
 def judged(docs: DataFrame, field: Field, least_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

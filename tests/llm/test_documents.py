@@ -257,17 +257,67 @@ def test_base_figures(make):
     assert quality.judged(make([]), quality.NO_FIELD).count() == 0
 
 
-def test_field_is_trained_and_decodes(spark, make):
-    good = lambda: "\n".join(" ".join(some_words(12)).capitalize() + "." for _ in range(6))
-    junk = lambda: "\n".join(" ".join(w + "###" for w in some_words(9)) for _ in range(6))
-    docs = make([(k, good() if k % 2 else junk()) for k in range(120)])
-    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, quality int")
+def good(n=6):
+    return "\n".join(" ".join(some_words(12)).capitalize() + "." for _ in range(n))
+
+
+def junk(n=6):
+    return "\n".join(" ".join(w + "###" for w in some_words(9)) for _ in range(n))
+
+
+def test_field_labels_lines_of_mixed_documents(spark, make, crowded):
+    """Only documents are labelled; most hold lines of the other kind."""
+    texts = [good(6) + ("\n" + junk(1) if k % 6 == 1 else "") if k % 2 else (good(1) + "\n\n" if k % 3 else "") + junk(6) for k in range(160)]
+    docs = crowded(make(list(enumerate(texts))))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)] * 2 + [(3, 0), (None, 1), (5, None)], "doc_id long, quality int")
     field = quality.fit(docs, labels)
     held = [r for r in quality.judged(docs, field).collect() if r.doc_id >= 80]
-    assert all(r.kept == bool(r.doc_id % 2) for r in held)
-    assert quality.fit(docs, labels.limit(0)) is quality.NO_FIELD
-    mixed = field.decode([quality.mask(x, False) for x in (good() + "\n\n" + junk()).split("\n")])
-    assert mixed == [1] * 6 + [None] + [0] * 6
+    assert len(held) == 80 and all(r.kept == bool(r.doc_id % 2) for r in held)
+    assert sum(0 < r.content_share < 1 for r in held) > 30
+    assert field.decode([quality.mask(x, False) for x in (good() + "\n\n" + junk()).split("\n")]) == [1] * 6 + [None] + [0] * 6
+    rows = quality.with_figures(docs.withColumn("figures", F.lit("x")), field)
+    assert rows.columns == [*docs.columns, "figures_"]
+    for r in rows.limit(40).collect():
+        assert [None if y is None else y for y in r.figures_.labels] == [None if not x.strip() else "###" not in x for x in r.text.split("\n")]
+    assert quality.fit(docs, labels.limit(0)) is quality.NO_FIELD and quality.fit(docs.limit(0), labels) is quality.NO_FIELD
+
+
+def test_verdict_is_that_of_the_best_labels(make):
+    from itertools import product
+
+    rng = np.random.default_rng(9)
+    field = quality.Field(rng.normal(size=(2, len(quality.FEATURES))), rng.normal(size=(2, 2)))
+    draw = random.Random(4)
+    rows = [(k, "\n".join(draw.choice(["a b c d e", "x # | y", "", "  ", "p q r s t u v", "ONE!!", "Ends so."]) for _ in range(draw.randint(1, 9)))) for k in range(60)] + ODD[:6]
+    for r in quality.judged(make(rows), field).collect():
+        text = dict(rows)[r.doc_id] or ""
+        m, sizes, _ = quality.masks(text)
+        lines = [(a, n) for a, n in zip(m, sizes) if a != quality.BLANK]
+        if len(lines) < 10:
+            value = lambda p: sum(field.emission(a)[y] for (a, _), y in zip(lines, p)) + sum(field.moves[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+            best = max(product((0, 1), repeat=len(lines)), key=value)
+            share = sum(n for (_, n), y in zip(lines, best) if y) / max(1, sum(n for _, n in lines))
+            assert r.content_share == pytest.approx(share) and r.kept == (not r.base_failed and share >= 0.5)
+
+
+def test_gradient_of_the_field():
+    rng = np.random.default_rng(2)
+    runs = quality.Runs([([int(v) for v in rng.integers(1, 1 << len(quality.FEATURES), n)], [int(v) for v in rng.integers(1, 90, n)], k % 2) for k, n in enumerate((1, 4, 7, 2, 32))])
+    w, moves = rng.normal(size=(2, len(quality.FEATURES))), rng.normal(size=(2, 2))
+    seen = runs.counts(*runs.constrained(runs.scores(w), moves))
+    _, gw, gm = runs.objective(w, moves, seen, 0.1)
+    for param, grad in ((w, gw), (moves, gm)):
+        for at in np.ndindex(param.shape):
+            values = []
+            for step in (1e-5, -1e-5):
+                param[at] += step
+                values.append(runs.objective(w, moves, seen, 0.1)[0])
+                param[at] -= step
+            assert grad[at] == pytest.approx((values[0] - values[1]) / 2e-5, abs=1e-6)
+    p, _ = runs.constrained(runs.scores(w), moves)
+    share = (p[..., 1] * runs.share).sum(axis=0)
+    assert (share[runs.y == 1] > 0.6 - 0.01).all() and (share[runs.y == 0] < 0.4 + 0.01).all()
+    assert quality.spread(1, 2) == [0] and quality.spread(1000, 2) == [0, 512] and quality.spread(0, 2) == []
 
 
 def test_decoding_is_optimal():
