@@ -28,13 +28,26 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage is cut and losses stay local."""
+def saved(df: DataFrame, what: str, by: tuple[str, ...] = (), instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage is cut and losses stay local.
+
+    ``by``: columns that the folder is partitioned by. ``instead_of``: a saved table that nothing
+    but ``df`` was made from; its files are removed once ``df`` is written.
+    """
     path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    if instead_of is not None:
+        removed(instead_of)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Removes the folder of a saved table (without partition columns)."""
+    for file in df.inputFiles()[:1]:
+        where, path = filesystem(file.rsplit("/", 1)[0])
+        where.delete_dir(path)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Sets Arrow batches to at most ``rows`` rows, so that a worker holds few texts at once."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):

@@ -111,8 +111,9 @@ def op10_tool_calls(spark, sf_dir):
 
 
 def _oracles():
-    from flowmill.llm import mixing
+    from flowmill.llm import mixing, tool_calls
 
+    ORACLE["op10_tool_calls"] = tool_calls.ORACLE
     ORACLE["op2_mixing"] = mixing.oracle(share=0.5, rounds=12)
 
 

@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import json
+import os
 import random
 
+import duckdb
 import pytest
 from pyarrow import fs
 
@@ -115,10 +117,10 @@ def test_linking(spark):
     assert calls[1, "c2"].json == '{"arguments":{"q":"é","z":{"a":[1,null],"b":1}},"id":"c2","name":"find"}'
     assert calls[2, "b"].errors == "x: not number; y: not integer" and calls[2, "a"].errors == "x: missing"
     assert calls[2, "c"].errors == "arguments: not an object; name: unknown"
-    assert [calls[2, c].stage for c in "abc"] == [0, 1, 2] and calls[1, "c2"].stage == 0
+    assert [calls[2, c].stage for c in "abc"] == [0, 1, 2] and (calls[1, "c1"].stage, calls[1, "c2"].stage) == (0, 1)
     assert [calls[3, c].stage for c in "pqr"] == [None, None, None]
     assert [(r.call_id, r.errors) for r in got if r.kind == "result"] == [("zz", "no call")]
-    assert sorted(r.json for r in got if r.kind == "message") == sorted(['{"content":"be brief","role":"system"}', '{"content":"héllo \\"q\\"","role":"user"}', '{"content":"{broken","role":"assistant"}', "{}", '{"content":"","role":"user"}', '{"content":"","role":"user"}'])
+    assert sorted(r.json for r in got if r.kind == "message") == sorted(['{"content":"be brief","role":"system"}', '{"content":"héllo \\"q\\"","role":"user"}', '{"content":"{broken","role":"assistant"}', '{"content":null,"role":null}', '{"content":"","role":"user"}', '{"content":"","role":"user"}'])
     assert len(got) == 8 + 1 + 6 and tool_calls.formatted(chat(spark, []), SCHEMAS).count() == 0
 
 
@@ -126,6 +128,71 @@ def test_turns_as_calls(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for c in (1, 2) for t in range(6)] + [(3, 0, "system", "s"), (3, 1, "user", "u"), (3, 2, "assistant", "a"), (3, 4, "assistant", "alone")]
     got = tool_calls.formatted(chat(spark, rows), {}, pair_turns=True).collect()
     calls = [r for r in got if r.kind == "call"]
-    assert len(calls) == 7 and all(r.errors == "" and r.stage == 0 and r.n_results == 1 for r in calls)
-    assert next(r.json for r in calls if (r.conv_id, r.turn) == (1, 2)) == '{"arguments":{"prompt":"t2","turn":2},"id":"turn-2","name":"reply","result":"t3"}'
+    assert len(calls) == 7 and all(r.errors == "words: less than 5" and r.stage == (r.turn // 2 if r.conv_id < 3 else 0) and r.n_results == 1 for r in calls)
+    assert next(r.json for r in calls if (r.conv_id, r.turn) == (1, 2)) == '{"arguments":{"prompt":"t2","turn":2,"words":1},"id":"turn-2","name":"reply","result":"t3"}'
     assert [(r.conv_id, r.turn) for r in got if r.kind == "result"] == [(3, 4)]
+
+
+def brute_stages(calls):
+    """Longest chains of (conv, id, after); None on and behind cycles."""
+    after = {}
+    for c, i, deps in calls:
+        if c is not None and i is not None:
+            after.setdefault((c, i), set()).update((c, d) for d in deps or [])
+
+    def depth(node, path):
+        if node in path:
+            return None
+        found = [depth(d, path | {node}) for d in after[node] if d in after]
+        return None if None in found else max((f + 1 for f in found), default=0)
+
+    return {n: depth(n, frozenset()) for n in after}
+
+
+def test_stages_are_those_of_longest_chains(spark):
+    draw = random.Random(11)
+    rows, calls = [], []
+    for conv in [*range(40), None]:
+        n = draw.randint(1, 9)
+        for turn in range(n):
+            i = draw.choice([f"c{draw.randrange(n)}", f"c{turn}", f"c{turn}", None])
+            after = [f"c{draw.randrange(n + 1)}" for _ in range(draw.choice([0, 1, 1, 2]))] + draw.choice([[], [None]])
+            if draw.random() < 0.6:  # mostly without cycles
+                after = [a for a in after if a and i and a < i]
+            rows.append((conv, turn, "assistant", call((i, "find", {"q": "x"}, after))))
+            calls.append((conv, i, after))
+    chain = [(99, k, "assistant", call((f"k{k}", "find", {"q": "x"}, [f"k{k + 1}"]))) for k in range(300)]  # each refers forward
+    want = brute_stages(calls)
+    got = tool_calls.formatted(chat(spark, rows + chain), SCHEMAS).collect()
+    assert len(got) == len(rows) + 300
+    for r in got:
+        if r.conv_id == 99:
+            assert r.stage == 299 - r.turn
+        elif r.conv_id is None or r.call_id is None:
+            assert r.stage == 0
+        else:
+            assert r.stage == want[r.conv_id, r.call_id], r
+    assert {None, 0, 1, 2} <= set(want.values())
+
+
+def test_schema_bounds_long_texts_and_nulls(spark):
+    schemas = {"f": {"properties": {"s": {"type": "string", "minLength": 2, "maxLength": 4, "pattern": "^a"}, "n": {"type": "number", "minimum": 0, "maximum": 1.5}, "e": {"type": "string", "enum": ["x", "y"]}}}}
+    args = [{"s": "ab", "n": 1, "e": "x"}, {"s": "a", "n": -1, "e": "z"}, {"s": "bcdef", "n": 2}, {"s": 5, "n": "1"}, {}]
+    rows = [(1, k, "assistant", call((f"c{k}", "f", a, None))) for k, a in enumerate(args)] + [(None, 0, "user", "w " * 500_000), (None, None, "assistant", call((None, "f", {}, None))), (2, 0, "tool", json.dumps({"tool_call_id": "gone"}))]
+    got = tool_calls.formatted(chat(spark, rows), schemas).collect()
+    assert len(got) == 8
+    assert [r.errors for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: r.turn)] == ["", "s: shorter than 2; n: less than 0; e: not allowed", "s: longer than 4; s: no match; n: more than 1.5", "s: not string; n: not number", ""]
+    assert next(r.json for r in got if r.kind == "result") == '{"content":null,"id":"gone"}'
+    assert len(next(r.json for r in got if r.conv_id is None and r.kind == "message")) > 1_000_000
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_calls_match_sql(spark):
+    from flowmill.llm.queries import ORACLE, QUERIES
+
+    con = duckdb.connect()
+    con.execute("create view conversations as select * from '/root/testdata/sf0.01/conversations.parquet'")
+    want = con.sql(ORACLE["op10_tool_calls"])
+    got = QUERIES["op10_tool_calls"](spark, "/root/testdata/sf0.01")
+    assert got.columns == want.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
