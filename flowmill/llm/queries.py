@@ -48,7 +48,7 @@ def op2_mixing(spark, sf_dir):
 
     from flowmill.llm.mixing import with_probabilities
 
-    rows = with_probabilities(table(spark, sf_dir, "documents"), share=0.5, rounds=12)
+    rows = with_probabilities(table(spark, sf_dir, "documents"), share=0.5, rounds=12, keep=["doc_id"])
     mix = F.col("mix")
     return rows.select("doc_id", mix.source.alias("source"), mix.lang.alias("lang"), mix.topic.alias("topic"), mix.n_tokens.alias("n_tokens"), F.round(mix.probability, 6).alias("probability"), mix.sampled.alias("sampled"))
 

@@ -387,6 +387,8 @@ def test_sampling(make, crowded):
     got = rows.select("doc_id", "mix_.*" if "mix_" in rows.columns else "mix.*").toPandas()
     assert len(got) == 410 and got["probability"].between(0, 1).all() and (got[got["n_tokens"] == 0]["probability"] < 1).all()
     assert (got["probability"] * got["n_tokens"]).sum() <= 0.5 * got["n_tokens"].sum() * (1 + 1e-9)
+    narrow = mixing.with_probabilities(docs, share=0.5, keep=["doc_id"])
+    assert narrow.columns == ["doc_id", "mix"] and sorted(map(repr, narrow.select("doc_id", "mix.*").collect())) == sorted(map(repr, rows.select("doc_id", "mix_.*" if "mix_" in rows.columns else "mix.*").collect()))
     small = got[got["n_tokens"] == 20]
     assert abs(small["sampled"].sum() - small["probability"].sum()) < 4 * (small["probability"] * (1 - small["probability"])).sum() ** 0.5 + 1
     by_shuffle = mixing.with_probabilities(docs, share=0.5, broadcast_cells=0).toPandas()
@@ -410,6 +412,17 @@ def test_sample_meets_the_targets_where_cells_are_scarce(make):
     assert {r.doc_id for r in mixing.mixed(docs, share=0.8).select("doc_id").collect()} == set(rows["doc_id"][rows["sampled"]])
 
 
+def test_deviations_and_rare_topics(spark):
+    rows = [("a", "x", "t", 900, 9), ("a", "y", "u", 60, 1), ("b", "x", "v", 5, 1), ("b", "y", "w", 4, 1), ("b", "x", "t", 31, 1)]
+    cells = mixing.with_rare_topics(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, docs long"), 0.01)
+    assert {(r.own_topic, r.topic) for r in cells.collect()} == {("t", "t"), ("u", "u"), ("v", "rare"), ("w", "rare")}
+    done = mixing.calibrated(cells, 0.9)
+    assert all(0 <= r.expected <= r.tokens for r in done.collect())
+    report = mixing.deviations(done).collect()
+    assert {r.margin for r in report} == {"source", "lang", "topic"} and all(abs(r.target - r.expected) < 1e-3 for r in report)
+    assert mixing.with_rare_topics(cells.drop("own_topic").limit(0), 0.01).count() == 0
+
+
 # ------------------------------------------------------------------ tokens
 
 
