@@ -14,9 +14,10 @@
    those outside the key's largest component visit every block, and signatures are compared by bit
    counts there. The partners of highest agreement are confirmed first. Of what then still lies in
    different components every pair that sizes and signatures let pass is compared under its first
-   common key, on whole sets within the tasks; links between components come out, and are confirmed on the words again. Pairs
-   that are connected need no test, so a group of n near copies costs about n tests, and the pairs
-   of a group are never emitted.
+   common key: signatures meet without texts, then the texts of those who have a partner meet within
+   the blocks; links between components come out, and are confirmed on the words again. Pairs that are
+   connected need no test, so a group of n near copies costs about n tests, and the pairs of a group
+   are never emitted.
 
 No candidate is capped. Hot keys: counts are pre-aggregated, a left document with many partners is
 dealt over salted tasks, blocks bound what a task holds.
@@ -209,65 +210,111 @@ def _placed(members: DataFrame, block: int) -> DataFrame:
     return at_home.unionByName(visiting).repartition("bucket", "at").sortWithinPartitions("bucket", "at", "visits")
 
 
-def _in_full(members: DataFrame, floor: float, n: int, percent: int, words: int, block: int = 512) -> DataFrame:
+def _meetings(batches, width: int):
+    """Of sorted runs of ``_placed`` rows of ``width`` columns, each visitor with the residents it meets:
+    ``(visitor, residents, arrays of the residents' columns 1 to 3, their signatures)``; the end of a batch
+    gives None."""
+    key, residents, home = None, [], None
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(width))):
+            if (row[0], row[width - 2]) != key:
+                key, residents, home = (row[0], row[width - 2]), [], None
+            if not row[width - 1]:
+                residents.append(row)
+                continue
+            if home is None and residents:
+                home = (*(np.array([r[i] for r in residents], dtype=np.int64) for i in (1, 2, 3)), np.array([r[4] for r in residents], dtype=np.int64).view(np.uint64))
+            if home is not None:
+                yield row, residents, home
+        yield None
+
+
+def _passing(row, home, percent: int, n: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Residents in other components that sizes and signatures let pass, and their agreement."""
+    _, comps, sizes, sig = home
+    half = n // 64
+    at = np.flatnonzero((comps != row[2]) & (100 * np.minimum(sizes, row[3]) >= percent * np.maximum(sizes, row[3])))
+    x = sig[at] ^ np.array(row[4], dtype=np.int64).view(np.uint64)
+    agree = n - np.bitwise_count(x[:, :half] | x[:, half:]).sum(axis=1).astype(np.int64)
+    return at[agree >= floor], agree[agree >= floor]
+
+
+def _in_full(members: DataFrame, heads: DataFrame, texts: DataFrame, floor: float, n: int, percent: int, words: int, block: int = 512) -> DataFrame:
     """Pairs of members in different components whose full sets of shingle hashes are similar, of those
     that sizes and signatures let pass.
 
-    ``members``: bucket, doc_id, comp, n_shingles, sig, bands, text. A pair is compared under its first
-    common key alone, and not if this run's links have connected it by then; so what is returned
-    are links between components, not the pairs of a group. Sets are made when first needed.
+    ``members``: bucket, doc_id, comp; ``heads``: doc_id, n_shingles, sig, bands. Signatures meet first,
+    without texts: who has a partner under the pair's first common key is named with the block. Only
+    these meet again, with their texts, and sets are made when first needed. A pair is not compared if
+    this run's links have connected it by then; so what is returned are links between components, not
+    the pairs of a group.
     """
-    half = n // 64
+
+    def first_common(row, residents, home):
+        at, _ = _passing(row, home, percent, n, floor)
+        own, bands = np.array(row[5], dtype=np.int64), np.array([residents[j][5] for j in at.tolist()], dtype=np.int64).reshape(len(at), len(row[5]))
+        return at[own[(bands == own).argmax(axis=1)] == row[0]]
+
+    def name(batches):
+        import pyarrow as pa
+
+        found: set = set()
+        for met in _meetings(batches, 8):
+            if met is None:
+                rows = sorted(found)
+                found = set()
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], names=["bucket", "doc_id", "at", "visits"])
+                continue
+            row, residents, home = met
+            partners = first_common(row, residents, home).tolist()
+            if partners:
+                found.add((row[0], row[1], row[6], True))
+                found.update((row[0], residents[j][1], row[6], False) for j in partners)
 
     def compare(batches):
         import pyarrow as pa
 
-        signer = Signer(1, 64, words)
-        key, rows, home, sets, parent = None, [], None, {}, {}
+        signer, key, sets, parent, found = Signer(1, 64, words), None, {}, {}, []
 
         def root(c):
             while parent.get(c, c) != c:
                 c = parent[c]
             return c
 
+        def hashes(row):
+            return signer.hashes(words_of(row[6]))
+
         def similar(a, b):
             both = len(np.intersect1d(a, b, assume_unique=True))
             return 100 * both >= percent * (len(a) + len(b) - both)
 
-        for batch in batches:
-            found: list = []
-            columns = [batch.column(i) for i in range(9)]
-            for row in zip(*(c.to_pylist() for c in columns)):
-                if (row[0], row[7]) != key:
-                    key, rows, home, sets, parent = (row[0], row[7]), [], None, {}, {}
-                if not row[8]:
-                    rows.append(row)
+        for met in _meetings(batches, 9):
+            if met is None:
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                found = []
+                continue
+            row, residents, home = met
+            if (row[0], row[7]) != key:
+                key, sets, parent = (row[0], row[7]), {}, {}
+            mine = None
+            for j in first_common(row, residents, home).tolist():
+                other = residents[j]
+                a, b = root(row[2]), root(other[2])
+                if a == b:
                     continue
-                if home is None and rows:
-                    home = (*(np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3)), np.array([r[4] for r in rows], dtype=np.int64).view(np.uint64), np.array([r[5] for r in rows], dtype=np.int64))
-                if home is None:
-                    continue
-                ids, comps, sizes, sig, bands = home
-                at = np.flatnonzero((comps != row[2]) & (100 * np.minimum(sizes, row[3]) >= percent * np.maximum(sizes, row[3])))
-                x = sig[at] ^ np.array(row[4], dtype=np.int64).view(np.uint64)
-                at = at[n - np.bitwise_count(x[:, :half] | x[:, half:]).sum(axis=1).astype(np.int64) >= floor]
-                own = np.array(row[5], dtype=np.int64)
-                at = at[own[(bands[at] == own).argmax(axis=1)] == row[0]]
-                mine = None
-                for j in at.tolist():
-                    a, b = root(row[2]), root(int(comps[j]))
-                    if a == b:
-                        continue
-                    if mine is None:
-                        mine = signer.hashes(words_of(row[6]))
-                    if j not in sets:
-                        sets[j] = signer.hashes(words_of(rows[j][6]))
-                    if similar(mine, sets[j]):
-                        parent[max(a, b)] = min(a, b)
-                        found.append((min(row[1], int(ids[j])), max(row[1], int(ids[j]))))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return _placed(members.select("bucket", "doc_id", "comp", "n_shingles", "sig", "bands", "text"), block).mapInArrow(compare, "a long, b long").distinct()
+                mine = hashes(row) if mine is None else mine
+                if j not in sets:
+                    sets[j] = hashes(other)
+                if similar(mine, sets[j]):
+                    parent[max(a, b)] = min(a, b)
+                    found.append((min(row[1], other[1]), max(row[1], other[1])))
+
+    order = ["bucket", "at", "visits", "doc_id"]
+    signed = members.join(heads, "doc_id").select("bucket", "doc_id", "comp", "n_shingles", "sig", "bands")
+    named = saved(_placed(signed, block).mapInArrow(name, "bucket long, doc_id long, at int, visits boolean").distinct(), "named")
+    full = named.join(members, ["bucket", "doc_id"]).join(heads, "doc_id").join(texts.withColumnRenamed("id", "doc_id"), "doc_id")
+    full = full.select("bucket", "doc_id", "comp", "n_shingles", "sig", "bands", "text", "at", "visits")
+    return full.repartition("bucket", "at").sortWithinPartitions(*order).mapInArrow(compare, "a long, b long").distinct()
 
 
 def _blocked(members: DataFrame, floor: float, n: int, percent: int, block: int, each: bool, most: int) -> DataFrame:
@@ -278,40 +325,28 @@ def _blocked(members: DataFrame, floor: float, n: int, percent: int, block: int,
     one by one. Of a visitor's partners in a run the ``most`` of highest agreement are returned, of
     all or (``each``) of each component's.
     """
-    half = n // 64
 
     def compare(batches):
         import pyarrow as pa
 
-        def visited(home, row):
-            ids, comps, sizes, sig = home
-            at = np.flatnonzero((comps != row[2]) & (100 * np.minimum(sizes, row[3]) >= percent * np.maximum(sizes, row[3])))
-            x = sig[at] ^ np.array(row[4], dtype=np.int64).view(np.uint64)
-            agree = n - np.bitwise_count(x[:, :half] | x[:, half:]).sum(axis=1).astype(np.int64)
-            at, agree = at[agree >= floor], agree[agree >= floor]
+        def best(row, home):
+            ids, comps = home[:2]
+            at, agree = _passing(row, home, percent, n, floor)
             group = comps[at] if each else np.zeros(len(at), np.int64)
             order = np.lexsort((ids[at], -agree, group))
             at, group = at[order], group[order]
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(at) else np.empty(0, np.intp)
             rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-            for j in at[rank < most]:
-                yield (min(row[1], int(ids[j])), max(row[1], int(ids[j])))
+            return [(min(row[1], int(ids[j])), max(row[1], int(ids[j]))) for j in at[rank < most]]
 
-        key, residents, home = None, [], None
-        for batch in batches:
-            found: list = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if (row[0], row[5]) != key:
-                    key, residents, home = (row[0], row[5]), [], None
-                if not row[6]:
-                    residents.append(row)
-                    continue
-                if home is None and residents:
-                    home = (*(np.array([r[i] for r in residents], dtype=np.int64) for i in (1, 2, 3)), np.array([r[4] for r in residents], dtype=np.int64).view(np.uint64))
-                if home is not None:
-                    found += visited(home, row)
-            pairs = sorted(set(found))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        found: set = set()
+        for met in _meetings(batches, 7):
+            if met is None:
+                pairs = sorted(found)
+                found = set()
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            else:
+                found.update(best(met[0], met[2]))
 
     return _placed(members.select("bucket", "doc_id", "comp", "n_shingles", "sig"), block).mapInArrow(compare, "a long, b long").distinct()
 
@@ -354,8 +389,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
         if round_:
             more = _blocked(saved(rest.join(side, "doc_id"), "open"), floor, n, percent, block, *round_)
         else:
-            full = heads.join(texts.withColumnRenamed("id", "doc_id"), "doc_id")
-            more = _in_full(rest.join(full, "doc_id"), floor, n, percent, words)
+            more = _in_full(saved(rest, "open"), heads, texts, floor, n, percent, words)
         more = saved(more, "candidates")
         if more.isEmpty():
             break
