@@ -19,7 +19,7 @@ written by Spark, so it lists only what successful attempts made, and a lost exe
 tasks alone.
 
 Defined cases: null text is the empty document (only the end id); null document ids come first;
-repeated rows are documents of their own; an empty table gives an empty manifest and no file.
+rows that share an id follow one another in order of their texts; an empty table gives an empty manifest and no file.
 """
 
 from __future__ import annotations
@@ -327,7 +327,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             yield rolled()
 
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(encode, MANIFEST).write.parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
