@@ -113,12 +113,12 @@ def windows_of(benchmark: DataFrame, window: int, id_col: str, text_col: str) ->
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
                  out: str = "match", max_pattern_bytes: int = 64 << 20) -> DataFrame:
-    """``docs`` and a struct ``out``: n_words, the merged word spans hit, and the items found."""
+    """``docs`` and a struct ``out`` (its name made fresh): n_words, the merged word spans hit, and the items found."""
     wins = windows_of(benchmark, window, item_id, item_text).persist()
     size = wins.agg(F.coalesce(F.sum(F.length("win") + F.length("item") + 64), F.lit(0)).alias("n")).first().n
     parts = max(1, -(-int(size) // max_pattern_bytes))
     schema, context = MATCH, docs.sparkSession.sparkContext
-    result = docs
+    result, out = docs, fresh_name(docs, out)
     for part in range(parts):
         rows = [(r.item, bytes(r.win)) for r in wins.where(F.pmod(F.xxhash64("win"), F.lit(parts)) == part).toLocalIterator()]
         names = sorted({r[0] for r in rows})

@@ -11,7 +11,7 @@ piece of rank r scores -log(r + 10), by Zipf's law. All bytes are pieces, so eve
 Texts stay where they are: nothing is shuffled, and a task holds one batch and the store.
 
 Defined cases: null and empty text has no pre-token and no token; rows are counted one by one;
-other columns are kept as they are.
+other columns are kept as they are, also one that is already named like the result (see ``fresh_name``).
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowmill.llm.common import fresh_name
+
 #: How byte-level vocabularies split a text (fixed value, as published with them).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 COUNTS = T.StructType([T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())])
@@ -109,7 +111,7 @@ def chunks(text: str) -> list[str]:
 
 
 def with_token_counts(docs: DataFrame, ranks: str, text_col: str = "text", out: str = "tokens", group: int = 500) -> DataFrame:
-    """``docs`` and a struct ``out`` of pre-tokens and tokens. ``ranks``: path of the rank file."""
+    """``docs`` and a struct ``out`` (its name made fresh) of pre-tokens and tokens. ``ranks``: path of the rank file."""
     made: list[Counter] = []
 
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -121,4 +123,4 @@ def with_token_counts(docs: DataFrame, ranks: str, text_col: str = "text", out:
         return pd.DataFrame(rows, columns=COUNTS.names)
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return docs.withColumn(out, F.pandas_udf(run, COUNTS)(F.col(text_col)))
+    return docs.withColumn(fresh_name(docs, out), F.pandas_udf(run, COUNTS)(F.col(text_col)))
