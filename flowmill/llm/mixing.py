@@ -41,12 +41,19 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def style(text: Column) -> Column:
-    """A topic from the text's style, for corpora without topic labels: how many signs (neither letters,
-    digits nor white space) come on a word, and how many words on a line."""
-    words, lines = token_count(text), F.regexp_count(text, F.lit("\n")) + 1
-    signs = F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\x20\x09-\x0D]")) / words
-    density = F.when(signs < 0.05, "bare").when(signs < 0.5, "plain").when(signs < 1.5, "marked").otherwise("dense")
+def sign_count(text: Column) -> Column:
+    """Signs: neither letters, digits nor white space."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\x20\x09-\x0D]")), F.lit(0))
+
+
+def line_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit("\n")), F.lit(0)) + 1
+
+
+def style(words: Column, signs: Column, lines: Column) -> Column:
+    """A topic from the text's style, for corpora without topic labels: how many signs come on a word,
+    and how many words on a line."""
+    density = F.when(signs / words < 0.05, "bare").when(signs / words < 0.5, "plain").when(signs / words < 1.5, "marked").otherwise("dense")
     width = F.when(words < 8 * lines, "short").when(words < 60 * lines, "middle").otherwise("long")
     return F.when(words > 0, F.concat_ws(" ", density, width)).otherwise("empty")
 
@@ -166,10 +173,15 @@ def with_probabilities(docs: DataFrame, share: float = 0.5, rounds: int = 12, po
     prefix = "cell_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"
-    labels = {"source": F.coalesce(F.col(source_col), F.lit(UNKNOWN)), "lang": F.coalesce(F.col(lang_col), F.lit(UNKNOWN)), "topic": F.coalesce(topic if topic is not None else style(F.col(text_col)), F.lit(UNKNOWN))}
     kept = docs.columns if keep is None else keep
     name = fresh_name(docs.select(*kept), out)
-    rows = docs.select(*kept, *(c.alias(f"{prefix}_{m}") for m, c in labels.items()), token_count(F.col(text_col)).alias(f"{prefix}_n"))
+    text = F.col(text_col)
+    rows = docs.select(
+        *kept, F.coalesce(F.col(source_col), F.lit(UNKNOWN)).alias(f"{prefix}_source"), F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias(f"{prefix}_lang"), token_count(text).alias(f"{prefix}_n"),
+        *([sign_count(text).alias(f"{prefix}_signs"), line_count(text).alias(f"{prefix}_lines")] if topic is None else [F.coalesce(topic, F.lit(UNKNOWN)).alias(f"{prefix}_topic")]),
+    )
+    if topic is None:  # from columns, so that each is counted once
+        rows = rows.withColumn(f"{prefix}_topic", style(*(F.col(f"{prefix}_{c}") for c in ("n", "signs", "lines")))).drop(f"{prefix}_signs", f"{prefix}_lines")
     if keep is not None:
         rows = saved(rows, "counts")
     cells = saved(cells_of(rows.select(*(F.col(f"{prefix}_{m}").alias(m) for m in MARGINS), F.col(f"{prefix}_n").alias("n_tokens"))), "cells")
