@@ -34,32 +34,40 @@ def wage_share(accounts: DataFrame, country: str, shares: DataFrame) -> DataFram
     return rows.withColumns(replaced(country, {"empe": F.col("emp") * F.col("percent") / 100, "hours_empe": F.col("hours_emp") * F.col("percent") / 100})).select(*accounts.columns)
 
 
-def least_intensive(accounts: DataFrame, exclude_row: bool = True) -> DataFrame:
-    """(year, least): the country of least capital per hour; zero hours count as infinite, ties go
-    to the first label."""
-    rows = accounts.where(F.col("country") != ROW) if exclude_row else accounts
-    by = rows.groupBy("year", "country").agg(F.sum("capital").alias("k"), F.sum("hours_emp").alias("h"))
-    ratio = F.when(F.col("h") == 0, F.lit(float("inf"))).otherwise(F.col("k") / F.col("h"))
-    return by.groupBy("year").agg(F.min(F.struct(ratio.alias("ratio"), "country")).getField("country").alias("least"))
+def wage_shares(accounts: DataFrame, shares: DataFrame) -> DataFrame:
+    """The same for every country and year in ``shares`` (country, year, percent)."""
+    rows = accounts.join(shares.select("country", "year", "percent"), ["country", "year"], "left")
+    own = lambda total, old: F.when(F.col("percent").isNotNull(), F.col(total) * F.col("percent") / 100).otherwise(F.col(old))
+    return rows.withColumns({"empe": own("emp", "empe"), "hours_empe": own("hours_emp", "hours_empe")}).select(*accounts.columns)
 
 
-def rest_of_world(accounts: DataFrame, jobs: DataFrame, row: str = ROW, exclude_row: bool = True) -> DataFrame:
+def least_intensive(accounts: DataFrame, exclude_row: bool = True, basis: str = "hours_emp", row: str = ROW) -> DataFrame:
+    """(year, least, per_basis): the country of least capital per hour (or worker) and that ratio; a country
+    without either counts as infinite, ties go to the first label."""
+    rows = accounts.where(F.col("country") != row) if exclude_row else accounts
+    by = rows.groupBy("year", "country").agg(F.sum("capital").alias("k"), F.sum(basis).alias("h"))
+    ratio = F.when((F.col("h") == 0) | (F.col("k") == 0), F.lit(float("inf"))).otherwise(F.col("k") / F.col("h"))
+    least = by.groupBy("year").agg(F.min(F.struct(ratio.alias("ratio"), "country")).alias("m"))
+    return least.select("year", F.col("m.country").alias("least"), F.col("m.ratio").alias("per_basis"))
+
+
+def rest_of_world(accounts: DataFrame, jobs: DataFrame, row: str = ROW, exclude_row: bool = True, basis: str = "hours_emp") -> DataFrame:
     """Fills one region's persons, hours and capital.
 
     Persons: the year's total (``jobs``: year, total) spread by value added times the other
     countries' persons per value added; hours by their hours per person; capital by the sector's
-    capital per hour in the least capital-intensive country (its aggregate where it has no hours).
+    capital per ``basis`` (hours, or persons in the older way) in the least capital-intensive country
+    (its aggregate where the sector has none there).
     """
     others = accounts.where(F.col("country") != row)
     world = others.groupBy("year", "sector").agg(F.sum("emp").alias("e"), F.sum("hours_emp").alias("h"), F.sum("gdp_us").alias("va"))
     own = accounts.where(F.col("country") == row).join(world, ["year", "sector"])
     need = F.col("gdp_us") * F.try_divide("e", "va")
     part = F.try_divide(need, F.sum(need).over(W.partitionBy("year")))
-    own = own.join(F.broadcast(jobs), "year").withColumn("emp", F.col("total") * part).withColumn("hours_emp", F.col("emp") * divide("h", "e", "zero_if_denominator_zero"))
-    least = least_intensive(accounts, exclude_row)
-    k = accounts.join(least, ["year"]).where("country = least").select("year", "sector", F.col("capital").alias("lk"), F.col("hours_emp").alias("lh"))
-    k = k.withColumn("per_hour", F.when(F.col("lh") != 0, F.col("lk") / F.col("lh")).otherwise(F.try_divide(F.sum("lk").over(W.partitionBy("year")), F.sum("lh").over(W.partitionBy("year")))))
-    own = own.join(k.select("year", "sector", "per_hour"), ["year", "sector"], "left").withColumn("capital", F.col("hours_emp") * F.col("per_hour"))
+    own = own.join(jobs, "year").withColumn("emp", F.col("total") * part).withColumn("hours_emp", F.col("emp") * divide("h", "e", "zero_if_denominator_zero"))
+    least = least_intensive(accounts, exclude_row, basis, row)
+    k = accounts.join(least, ["year"]).where("country = least").select("year", "sector", F.col("capital").alias("lk"), F.col(basis).alias("lb"), "per_basis")
+    own = own.join(k, ["year", "sector"], "left").withColumn("capital", F.when(F.col("lb") != 0, F.col(basis) * F.col("lk") / F.col("lb")).when(F.col(basis) == 0, 0.0).otherwise(F.col(basis) * F.col("per_basis")))
     return others.unionByName(own.select(*accounts.columns))
 
 
@@ -76,6 +84,21 @@ def compensation_from_world(accounts: DataFrame, row: str = ROW) -> DataFrame:
     return accounts.join(ratio, ["year", "sector"], "left").withColumns(replaced(row, {"comp_emp": F.col("gdp_us") * F.col("r")})).select(*accounts.columns)
 
 
+def compensation_spread(accounts: DataFrame, columns: tuple[str, ...] = ("comp_emp", "comp_empe"), row: str = ROW) -> DataFrame:
+    """The region's compensation := its value added x the other countries' compensation per value added,
+    spread over sectors by value added x their compensation per person."""
+    others = F.col("country") != row
+    year, cell = W.partitionBy("year"), W.partitionBy("year", "sector")
+    out = {}
+    for c in columns:
+        total = F.try_divide(F.sum(F.when(others, F.col(c))).over(year), F.sum(F.when(others, F.col("gdp_us"))).over(year)) * F.sum(F.when(~others, F.col("gdp_us"))).over(year)
+        out[f"{c}_total"] = total
+        out[f"{c}_key"] = F.when(~others, F.col("gdp_us") * F.try_divide(F.sum(F.when(others, F.col(c))).over(cell), F.sum(F.when(others, F.col("emp"))).over(cell)))
+    rows = accounts.withColumns(out)
+    rows = rows.withColumns({f"{c}_part": F.try_divide(F.col(f"{c}_key"), F.sum(f"{c}_key").over(year)) for c in columns})
+    return rows.withColumns(replaced(row, {c: F.col(f"{c}_total") * F.col(f"{c}_part") for c in columns})).select(*accounts.columns)
+
+
 def capital_from_list(accounts: DataFrame, countries: list[str], row: str = ROW) -> DataFrame:
     """The region's capital := value added x capital per value added of a fixed list of countries."""
     ratio = accounts.where(F.col("country").isin(countries)).groupBy("year", "sector").agg(F.try_divide(F.sum("capital"), F.sum("gdp_us")).alias("r"))

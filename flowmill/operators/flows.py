@@ -30,6 +30,12 @@ def with_lambda(flows: DataFrame, lam: DataFrame) -> DataFrame:
     return flows.join(side, ORIGIN, "left").withColumn("worth", F.col("value") * F.coalesce("lam", F.lit(0.0))).drop("lam")
 
 
+def by_destination(valued: DataFrame) -> DataFrame:
+    """Value and worth by origin industry and destination country, whose number does not grow with the
+    flows' cells: balance factors, gross output, exports, imports and bilateral tables are sums of it."""
+    return valued.groupBy(*ORIGIN, "d_country").agg(F.sum("value").alias("value"), F.sum("worth").alias("worth"))
+
+
 def balance_factor(valued: DataFrame, productive: Column) -> DataFrame:
     """(year, bf): value of all trade over prices of trade of productive origin."""
     bottom = F.sum(F.when(trade() & productive, F.col("value")))

@@ -66,9 +66,12 @@ def planned(names: list[str]) -> list[Indicator]:
     return list(done.values())
 
 
-def with_indicators(table: DataFrame, names: list[str]) -> DataFrame:
-    """Adds indicators in dependency order. A raw column that is missing is an error."""
+def with_indicators(table: DataFrame, names: list[str], given: tuple[str, ...] = ()) -> DataFrame:
+    """Adds indicators in dependency order. A raw column that is missing is an error; columns ``given``
+    are taken as they are."""
     for i in planned(names):
+        if i.name in given:
+            continue
         missing = [n for n in i.needs if n not in table.columns]
         if missing:
             raise ValueError(f"{i.name}: no column {missing}")

@@ -1,8 +1,10 @@
 """Technical coefficients and the yearly Leontief solve.
 
 lambda solves (I - C)' lambda = l on the productive block. Years are independent: each is one
-grouped task of n x n doubles (n = industries, a label count that does not grow with the rows). All
-relational work before and after stays in Spark.
+grouped task of n x n doubles (n = industries, a label count that does not grow with the rows). Labels
+become row and column numbers in Spark, so a task receives (int, int, double) cells and fills its matrix
+in one step; a year whose solve breaks the numerical policy is refused. All relational work before
+and after stays in Spark.
 """
 
 from __future__ import annotations
@@ -12,13 +14,15 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowmill.functions.safe import divide
 
 UNIT = 2.0**-53
-#: Largest size of a system that one task may hold (n^2 doubles).
-MOST_INDUSTRIES = 20_000
+#: Largest size of a system for one task: at this size the matrix, its copies in the solve and the cells
+#: as received take about 5 x 8 n^2 bytes, 2.6 GB.
+MOST_INDUSTRIES = 8_000
 DIAGNOSTICS = (
     "year int, n int, n_zero_output int, c_min double, c_max double, c_negative long, c_nonfinite long, l_min double, l_max double, l_negative long, lambda_min double, lambda_max double, "
     "lambda_negative long, norm_inf double, inverse_norm_inf double, rcond_inf double, rcond_min double, gamma_n double, residual_inf double, backward_normwise double, backward_componentwise double, "
@@ -103,7 +107,7 @@ def solve_block(c: np.ndarray, l: np.ndarray) -> tuple[np.ndarray, dict]:  # noq
     r, eta, comp = errors(lam)
     done = 0
     while eta > p["refine"] and done < 2:
-        lam = lam + inverse @ r
+        lam = lam + np.linalg.solve(m, r)
         done += 1
         r, eta, comp = errors(lam)
     kind, ratio, least, ok = certificate(c)
@@ -115,33 +119,59 @@ def solve_block(c: np.ndarray, l: np.ndarray) -> tuple[np.ndarray, dict]:  # noq
     }
 
 
-def _system(a: pd.DataFrame, labour: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    labour = labour.sort_values(["country", "sector"]).reset_index(drop=True)
-    block = labour[labour["productive"]]
-    if len(block) > MOST_INDUSTRIES:
-        raise ValueError("the system is too large for one task")
-    place = {k: i for i, k in enumerate(zip(block["country"], block["sector"]))}
-    c = np.zeros((len(block), len(block)))
-    for oc, os_, dc, ds, v in zip(a["o_country"], a["o_sector"], a["d_country"], a["d_sector"], a["a"]):
-        c[place[oc, os_], place[dc, ds]] += v
-    return labour, block, c
+def numbered(coeffs: DataFrame, labour: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Coefficients as (year, i, j, a) and labour as (y, country, sector, i, x, l, productive): ``i`` numbers a
+    year's productive industries in label order from 0, and is null off the block."""
+    place = F.row_number().over(W.partitionBy("year").orderBy("country", "sector")) - 1
+    labels = labour.where("productive").select("year", "country", "sector", place.alias("i"))
+    right = labour.join(labels, ["year", "country", "sector"], "left").select(F.col("year").alias("y"), "country", "sector", "i", "x", "l", "productive")
+    ends = [labels.select("year", F.col("country").alias(f"{end}_country"), F.col("sector").alias(f"{end}_sector"), F.col("i").alias(k)) for end, k in (("o", "i"), ("d", "j"))]
+    cells = coeffs.join(ends[0], ["year", "o_country", "o_sector"]).join(ends[1], ["year", "d_country", "d_sector"])
+    return cells.select("year", "i", "j", "a"), right
 
 
-def solve(coeffs: DataFrame, labour: DataFrame) -> DataFrame:
-    """(year, country, sector, lam): one grouped solve a year, 0 off the productive block."""
+def matrix(cells: pd.DataFrame, n: int) -> np.ndarray:
+    """The dense matrix of (i, j, a) cells; cells at one place add up."""
+    if n > MOST_INDUSTRIES:
+        raise ValueError(f"a system of {n} industries is too large for one task")
+    flat = cells["i"].to_numpy(dtype=np.int64) * n + cells["j"].to_numpy(dtype=np.int64)
+    return np.bincount(flat, weights=cells["a"].to_numpy(dtype=np.float64), minlength=n * n).reshape(n, n) if n else np.zeros((0, 0))
+
+
+def solved_block(c: np.ndarray, l: np.ndarray, year) -> tuple[np.ndarray, dict]:  # noqa: E741
+    """``solve_block``; a singular system is an error that names the year."""
+    try:
+        return solve_block(c, l)
+    except np.linalg.LinAlgError as e:
+        raise ValueError(f"year {year}: the system is singular") from e
+
+
+def solve(coeffs: DataFrame, labour: DataFrame, checked: bool = True) -> DataFrame:
+    """(year, country, sector, lam): one grouped solve a year, 0 off the productive block.
+
+    ``checked``: a year whose condition, backward error or certificate breaks the policy is an error;
+    without it, only a singular or non-finite solve is.
+    """
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(b):
-            return pd.DataFrame(columns=["year", "country", "sector", "lam"])
-        rows, block, c = _system(a, b)
-        rows["lam"] = 0.0
+        rows = b.sort_values(["country", "sector"]).assign(lam=0.0)
+        block = rows[rows["productive"]].sort_values("i")
         if len(block):
-            lam = np.linalg.solve((np.eye(len(c)) - c).T, block["l"].to_numpy())
+            year, left = int(block["y"].iloc[0]), block["l"].to_numpy()
+            c = matrix(a, len(block))
+            if checked:
+                lam, d = solved_block(c, left, year)
+                if d["status"] != "ok":
+                    raise ValueError(f"year {year}: the solve is rejected: " + ", ".join(f"{k} {d[k]}" for k in ("rcond_inf", "backward_normwise", "sensitivity", "certificate_ratio")))
+            else:
+                lam = np.linalg.solve((np.eye(len(c)) - c).T, left)
+            if not np.isfinite(lam).all():
+                raise ValueError(f"year {year}: labour values are not finite")
             rows.loc[block.index, "lam"] = lam
         return rows.rename(columns={"y": "year"})[["year", "country", "sector", "lam"]]
 
-    right = labour.select(F.col("year").alias("y"), "country", "sector", "l", "productive")
-    return coeffs.groupBy("year").cogroup(right.groupBy("y")).applyInPandas(one, "year int, country string, sector string, lam double")
+    cells, right = numbered(coeffs, labour)
+    return cells.groupBy("year").cogroup(right.drop("x").groupBy("y")).applyInPandas(one, "year int, country string, sector string, lam double")
 
 
 def diagnose(coeffs: DataFrame, labour: DataFrame) -> DataFrame:
@@ -149,20 +179,21 @@ def diagnose(coeffs: DataFrame, labour: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in DIAGNOSTICS.split(", ")]
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(b):
+        block = b[b["productive"]].sort_values("i")
+        if not len(block):
             return pd.DataFrame(columns=names)
-        rows, block, c = _system(a, b)
-        left = block["l"].to_numpy()
-        lam, out = solve_block(c, left)
+        year, left = int(block["y"].iloc[0]), block["l"].to_numpy()
+        c = matrix(a, len(block))
+        lam, out = solved_block(c, left, year)
         out |= {
-            "year": int(b["y"].iloc[0]), "n": len(block), "n_zero_output": int((block["x"] == 0).sum()), "c_min": float(c.min()), "c_max": float(c.max()), "c_negative": int((c < 0).sum()), "c_nonfinite": int((~np.isfinite(c)).sum()),
+            "year": year, "n": len(block), "n_zero_output": int((block["x"] == 0).sum()), "c_min": float(c.min()), "c_max": float(c.max()), "c_negative": int((c < 0).sum()), "c_nonfinite": int((~np.isfinite(c)).sum()),
             "l_min": float(left.min()), "l_max": float(left.max()), "l_negative": int((left < 0).sum()), "lambda_min": float(lam.min()), "lambda_max": float(lam.max()), "lambda_negative": int((lam < 0).sum()),
             "fingerprint": fingerprint([f"{x}.{y}" for x, y in zip(block["country"], block["sector"])], lam),
         }
         return pd.DataFrame([out])[names]
 
-    right = labour.select(F.col("year").alias("y"), "country", "sector", "x", "l", "productive")
-    return coeffs.groupBy("year").cogroup(right.groupBy("y")).applyInPandas(one, DIAGNOSTICS)
+    cells, right = numbered(coeffs, labour)
+    return cells.groupBy("year").cogroup(right.groupBy("y")).applyInPandas(one, DIAGNOSTICS)
 
 
 def appended(old: DataFrame, new: DataFrame, keys=("method", "year")) -> DataFrame:

@@ -139,3 +139,17 @@ def set_fingerprint(df: DataFrame, keys: list[str], label: Column) -> DataFrame:
 def stacked_labels(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, kind) of several label tables, without repeats."""
     return reduce(DataFrame.unionByName, [d.select(F.col(d.columns[0]).cast("string").alias("name"), F.lit(k).alias("kind")) for k, d in tables.items()]).dropDuplicates()
+
+
+def placed(df: DataFrame, groups: list[str], within: list[str], name: str = "place") -> DataFrame:
+    """``name``: the row's number in the order of ``groups`` (nulls last) and ``within``. Groups are sorted
+    apart and moved up by the sizes of those before, so no task sees more than a group."""
+    order = [F.asc_nulls_last(g) for g in groups]
+    sizes = df.groupBy(*groups).agg(F.count("*").alias("size"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row for each group
+    before = before.select(*(F.col(g).alias(f"{g}_") for g in groups), "before")
+    on = F.lit(True)
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"{g}_"))
+    number = F.row_number().over(W.partitionBy(*groups).orderBy(*within))
+    return df.withColumn(name, number).join(before, on).withColumn(name, (F.col(name) + F.col("before")).cast("int")).select(*df.columns, name)

@@ -31,15 +31,25 @@ def structure(df: DataFrame, keys: list[str], expected: int) -> DataFrame:
     return check(n, "structure", "labels", F.abs(F.col("n") - expected) + (F.col("n") - F.col("u")) + F.col("b"), F.lit(1), 0.0)
 
 
-def recomputed(sectors: DataFrame, published: DataFrame, value: str, terms: str | None = None) -> DataFrame:
+def recomputed(sectors: DataFrame, published: DataFrame, value: str, world: str = "WWW") -> DataFrame:
     """Country sums recomputed in SQL text against published ones, within the summation bound."""
-    sectors.createOrReplaceTempView("check_sectors")
-    published.createOrReplaceTempView("check_published")
-    both = sectors.sparkSession.sql(f"""
-        select s.*, p.{value} as got from (select year, country, sum({value}) as want, sum(abs({value})) as size, count({value}) as k from check_sectors group by year, country) s
-        full join check_published p on s.year = p.year and s.country = p.country where p.country is null or p.country <> 'WWW'""")
-    tolerance = 64 * EPS * F.greatest(F.lit(1.0), F.abs("want")) + 8 * gamma(F.col("k").cast("double")) * F.col("size")
-    return check(both, "recomputed_country", value, F.col("want") - F.col("got"), F.col("want"), tolerance)
+    both = sectors.sparkSession.sql(
+        """select s.*, p.got from (select year, country, sum(v) as want, sum(abs(v)) as size, count(v) as k from {sectors} group by year, country) s
+        full join {published} p on s.year = p.year and s.country = p.country where p.country is null or p.country <> {world}""",
+        sectors=sectors.select("year", "country", F.col(value).alias("v")), published=published.select("year", "country", F.col(value).alias("got")), world=world,
+    )
+    return check(both, "recomputed_country", value, F.col("want") - F.col("got"), F.col("want"), _summation_bound())
+
+
+def recomputed_world(sectors: DataFrame, published: DataFrame, value: str, world: str = "WWW") -> DataFrame:
+    """World sums recomputed from sectors against the published ones."""
+    want = sectors.groupBy("year").agg(F.sum(value).alias("want"), F.sum(F.abs(value)).alias("size"), F.count(value).alias("k"))
+    both = want.join(published.where(F.col("country") == world).select("year", F.col(value).alias("got")), "year", "full")
+    return check(both, "recomputed_world", value, F.col("want") - F.col("got"), F.col("want"), _summation_bound())
+
+
+def _summation_bound() -> Column:
+    return 64 * EPS * F.greatest(F.lit(1.0), F.abs("want")) + 8 * gamma(F.col("k").cast("double")) * F.col("size")
 
 
 def zero_diagonal(pairs: DataFrame, values: list[str]) -> DataFrame:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from importlib import resources
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: How names of methods, runs and indicators are written (fixed value).
 SAFE_NAME = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
 CHANNEL = re.compile(r"^[a-z][a-z0-9-]{0,31}$")
 STATUSES = ("stable", "experimental", "disabled")
+BASKETS = ("national", "international")
+DEPRECIATIONS = ("composition", "zero")
 
 
 def safe_name(value: str) -> bool:
@@ -64,27 +68,36 @@ class Method:
     def __post_init__(self):
         if not safe_name(self.name) or self.status not in STATUSES:
             raise ValueError(f"bad method {self.name} ({self.status})")
+        if self.basket not in BASKETS or self.depreciation not in DEPRECIATIONS or not self.multiplier.startswith("multiplier_"):
+            raise ValueError(f"bad method {self.name}: basket {self.basket}, depreciation {self.depreciation}, multiplier {self.multiplier}")
 
 
-#: The methods: what each changes against its source's defaults.
-METHODS = {m.name: m for m in (
-    Method("base13", "w13"), Method("base16", "w16"),
-    Method("skills_fixed", "w13", "experimental", assumptions=("wage_share", "row_reduction"), multiplier="multiplier_skills", year_offset=0),
-    Method("unit_skills", "w13", "experimental", assumptions=("wage_share", "row_reduction"), year_offset=0),
-    Method("world_wage", "w13", "experimental", assumptions=("wage_share", "row_reduction"), basket="international", multiplier="multiplier_world_wage", year_offset=0),
-    Method("national_wage", "w13", "experimental", assumptions=("wage_share", "row_reduction"), multiplier="multiplier_national_wage", year_offset=0),
-    Method("relative_wages", "w13", "experimental", assumptions=("wage_share", "row_reduction"), basket="international", multiplier="multiplier_relative_wages", year_offset=0),
-    Method("without_row", "w13", "experimental", assumptions=("without_region",)),
-    Method("sector_rates13", "w13", "experimental", assumptions=("row_old",)), Method("sector_rates16", "w16", "experimental", assumptions=("row_old",)),
-    Method("no_depreciation13", "w13", "experimental", depreciation="zero"), Method("no_depreciation16", "w16", "experimental", depreciation="zero"),
-    Method("eora", "eora26", "disabled"), Method("exiobase37", "exiobase37", "disabled"), Method("exiobase38", "exiobase38", "disabled"),
-)}
+def methods(path: str | None = None) -> dict[str, Method]:
+    """The methods of a catalogue file, by name; that of this package if no path is given.
 
+    One header line with exactly the expected columns, one line a method, comments after ``#``. The file
+    is a driver-side configuration of a few lines, so it is read without a job.
+    """
+    text = open(path, encoding="utf-8").read() if path else resources.files("flowmill.plans").joinpath("methods.csv").read_text("utf-8")
+    header, *lines = [line.split(";") for line in text.splitlines() if line.strip() and not line.startswith("#")]
+    if header != METHOD_COLUMNS or any(len(line) != len(header) for line in lines):
+        raise ValueError(f"the catalogue must have the columns {METHOD_COLUMNS}")
+    found = {}
+    for line in lines:
+        row = dict(zip(header, line))
+        if row["name"] in found:
+            raise ValueError(f"{row['name']} is listed twice")
+        found[row["name"]] = Method(**{**row, "assumptions": tuple(a for a in row["assumptions"].split(",") if a), "year_offset": int(row["year_offset"])})
+    return found
 
-def admitted(methods: list[str], operation: str, allow_experimental: bool = False, catalog: dict[str, Method] = METHODS) -> list[Method]:
+
+METHOD_COLUMNS = ["name", "source", "status", "assumptions", "multiplier", "basket", "depreciation", "year_offset"]
+
+
+def admitted(names: list[str], operation: str, allow_experimental: bool = False, catalog: dict[str, Method] | None = None) -> list[Method]:
     """Methods that may run: known, enabled, capable, and experimental ones only with consent."""
-    out = []
-    for name in methods:
+    out, catalog = [], methods() if catalog is None else catalog
+    for name in names:
         m = catalog.get(name)
         if m is None:
             raise ValueError(f"unknown method {name}")

@@ -16,14 +16,20 @@ from flowmill.functions.aggspec import AggSpec, Binding
 from flowmill.functions.safe import divide
 from flowmill.operators import assumptions as A
 from flowmill.operators import capital, flows, indicators, leontief, rollup
-from flowmill.plans.config import Method
+from flowmill.plans.config import Method, admitted
 
 STAGES = (1, 4, 5)
 
 
 @dataclass
 class Economy:
-    """What a calculation starts from. ``productive`` maps a sector column to a condition."""
+    """What a calculation starts from. ``productive`` maps a sector column to a condition.
+
+    ``row``: the region that stands for the rest of the world, if there is one to fill. ``jobs``: (year,
+    total) persons of it. ``wage_shares``: (country, year, percent) of wage workers, the region's among
+    them. ``capital_countries``: whose capital per value added the reduction methods give the region.
+    ``capital``: composition, rates and capital types of ``capital.depreciation``.
+    """
 
     flows: DataFrame
     accounts: DataFrame
@@ -32,7 +38,11 @@ class Economy:
     hours: str = "hours_emp"
     output: str = "go_us"
     money_scale: float = 1.0
-    depreciation: DataFrame | None = None
+    row: str | None = None
+    jobs: DataFrame | None = None
+    wage_shares: DataFrame | None = None
+    capital_countries: tuple[str, ...] = ()
+    capital: tuple[DataFrame, DataFrame, DataFrame] | None = None
 
 
 @dataclass
@@ -62,34 +72,87 @@ def formulas() -> dict:
 ADDITIVE = ("go_us", "gdp_us", "emp", "hours_emp", "comp_emp", "abstract_emp_mv", "gdp_mv", "gdp_p_us", "go_mv", "lfv_emp", "exports_us", "exports_mv", "imports_us", "imports_mv", "transfers_mv", "transfers_p_mv", "balance_us", "balance_mv", "transfers_u_mv", "gdp_du", "go_du")
 
 
+def needed(value, what: str, method: Method):
+    if value is None or value == ():
+        raise ValueError(f"{method.name} needs {what}")
+    return value
+
+
+def _row(e: Economy, t: DataFrame, m: Method) -> DataFrame:
+    return A.rest_of_world(t, needed(e.jobs, "the region's jobs", m), e.row)
+
+
+def _row_old(e: Economy, t: DataFrame, m: Method) -> DataFrame:
+    return A.rest_of_world(t, needed(e.jobs, "the region's jobs", m), e.row, exclude_row=False, basis="emp")
+
+
+def _row_reduction(e: Economy, t: DataFrame, m: Method) -> DataFrame:
+    shares = needed(e.wage_shares, "shares of wage workers", m).where(F.col("country") == e.row)
+    t = A.wage_shares(_row(e, t, m), shares)
+    if {"share_hs", "share_ms"} <= set(t.columns):
+        t = A.skill_shares_from_mean(t.drop("share_ls"), e.row)
+    return A.capital_from_list(A.compensation_spread(t, row=e.row), list(needed(e.capital_countries, "capital countries", m)), e.row)
+
+
+def _wage_share(e: Economy, t: DataFrame, m: Method) -> DataFrame:
+    shares = needed(e.wage_shares, "shares of wage workers", m)
+    return A.wage_shares(t, shares if e.row is None else shares.where(F.col("country") != e.row))
+
+
+def _without_region(e: Economy, t: DataFrame, m: Method) -> DataFrame:
+    return A.without_region(t, [c for c in ("emp", "empe", "hours_emp", "hours_empe", "comp_emp", "comp_empe", "capital") if c in t.columns], e.row)
+
+
+#: What a method's assumption does, and whether it is about the region (and void without one).
+ASSUMPTIONS = {"wage_share": (_wage_share, False), "row": (_row, True), "row_old": (_row_old, True), "row_reduction": (_row_reduction, True), "without_region": (_without_region, True)}
+
+
 def prepared(e: Economy, method: Method) -> DataFrame:
-    """Stages 0 to 2 with the method's assumptions."""
+    """Stages 0 to 2 with the method's assumptions, in their order."""
     t = e.accounts.withColumn("productive", e.productive(F.col("sector")).cast("double"))
-    if "without_region" in method.assumptions:
-        t = A.without_region(t, [c for c in ("emp", "empe", "hours_emp", "hours_empe", "comp_emp", "comp_empe", "capital") if c in t.columns])
-    t = indicators.with_indicators(t, ["multiplier_one"]) if method.multiplier == "multiplier_one" else indicators.with_indicators(t, [method.multiplier]).withColumn("multiplier_one", F.col(method.multiplier))
-    return indicators.with_indicators(t, ["abstract_emp_mv", "gdp_mv", "gdp_p_us"])
+    for name in method.assumptions:
+        if name not in ASSUMPTIONS:
+            raise ValueError(f"{method.name}: unknown assumption {name}")
+        apply, regional = ASSUMPTIONS[name]
+        if not regional or e.row is not None:
+            t = apply(e, t, method)
+    t = indicators.with_indicators(t, [method.multiplier]).withColumn(MULTIPLIER[0], F.col(method.multiplier))
+    return indicators.with_indicators(t, ["abstract_emp_mv", "gdp_mv", "gdp_p_us"], MULTIPLIER)
+
+
+#: Where abstract labour finds the method's multiplier; later stages take it as it is.
+MULTIPLIER = ("multiplier_one",)
+
+
+def depreciation(e: Economy, method: Method) -> DataFrame | None:
+    """Capital depreciation as flows, by the method's way and year of the rates."""
+    if e.capital is None or method.depreciation == "zero":
+        return None
+    return capital.depreciation(*e.capital, year_offset=method.year_offset)
 
 
-def matrices(e: Economy, t: DataFrame, lam: DataFrame | None = None):
-    """Coefficients, labour requirements, lambda and valued flows with transfers."""
-    z = leontief.input_flows(e.flows, e.depreciation)
+def matrices(e: Economy, method: Method, t: DataFrame, lam: DataFrame | None = None):
+    """Coefficients, labour requirements, lambda, valued flows with transfers, and the same summed by
+    destination country. Lambda (a row for each industry and year) and the sums are kept: every later
+    table is made from them, and none from the valued cells again."""
+    z = leontief.input_flows(e.flows, depreciation(e, method))
     x = t.select("year", "country", "sector", F.col(e.output).alias("x"))
     c = leontief.coefficients(z, x, e.productive)
     labour = leontief.direct_labour(t, "abstract_emp_mv", e.output, e.productive)
     lam = leontief.solve(c, labour).persist() if lam is None else lam  # one row per industry and year; solved once
     valued = flows.with_lambda(e.flows, lam)
-    bf = flows.balance_factor(valued, e.productive(F.col("o_sector")))
-    return c, labour, lam, flows.with_transfers(valued, bf)
+    sums = flows.by_destination(valued).persist()
+    bf = flows.balance_factor(sums, e.productive(F.col("o_sector")))
+    return c, labour, lam, flows.with_transfers(valued, bf), flows.with_transfers(sums, bf)
 
 
-def from_matrices(e: Economy, t: DataFrame, lam: DataFrame, valued: DataFrame, basket: str) -> DataFrame:
-    """Stage 4: sums of flows joined to the sector table; one shuffle per key family."""
+def from_matrices(e: Economy, t: DataFrame, lam: DataFrame, traded: DataFrame, basket: str) -> DataFrame:
+    """Stage 4: sums of ``traded`` (flows by destination country) joined to the sector table."""
     p = e.productive(F.col("o_sector"))
-    mv = valued.groupBy(*flows.ORIGIN).agg(F.sum("worth").alias("go_mv")).withColumnsRenamed({"o_country": "country", "o_sector": "sector"})
+    mv = traded.groupBy(*flows.ORIGIN).agg(F.sum("worth").alias("go_mv")).withColumnsRenamed({"o_country": "country", "o_sector": "sector"})
     sums = {"us": F.col("value"), "mv": F.col("worth"), "tr": F.col("transfer"), "trp": F.when(p, F.col("transfer")).otherwise(0.0)}
-    out = flows.exports(valued, {f"x_{k}": c for k, c in sums.items()})
-    inn = flows.imports(valued, {f"m_{k}": c for k, c in sums.items()})
+    out = flows.exports(traded, {f"x_{k}": c for k, c in sums.items()})
+    inn = flows.imports(traded, {f"m_{k}": c for k, c in sums.items()})
     t = flows.by_industry(t, mv, out, inn)
     t = t.withColumns({"exports_us": F.col("x_us"), "exports_mv": F.col("x_mv"), "imports_us": F.col("m_us"), "imports_mv": F.col("m_mv"), "transfers_mv": F.col("x_tr") - F.col("m_tr"), "transfers_p_mv": F.col("x_trp") - F.col("m_trp")})
     t = t.drop(*(f"{s}_{k}" for s in "xm" for k in sums))
@@ -102,38 +165,40 @@ def from_matrices(e: Economy, t: DataFrame, lam: DataFrame, valued: DataFrame, b
 LAST = ("gdp_du", "go_du", "abstract_emp_m_mv", "lfv_emp_m_mv", "surplus_emp", "surplus_emp_p", "balance_us", "balance_mv", "transfers_u_mv", "transfers_p_m_pc")
 
 
-def calculate(e: Economy, method: Method, last: tuple[str, ...] = LAST) -> Results:
+def calculate(e: Economy, method: Method, last: tuple[str, ...] = LAST, allow_experimental: bool = False, operation: str = "calculate") -> Results:
+    """A full calculation; disabled methods are refused, experimental ones without consent."""
+    admitted([method.name], operation, allow_experimental, {method.name: method})
     t = prepared(e, method)
-    c, labour, lam, valued = matrices(e, t)
-    t = indicators.with_indicators(from_matrices(e, t, lam, valued, method.basket), list(last))
+    c, labour, lam, valued, traded = matrices(e, method, t)
+    t = indicators.with_indicators(from_matrices(e, t, lam, traded, method.basket), list(last), MULTIPLIER)
     countries = rollup.two_levels(t, {n: sum_of(n) for n in ADDITIVE}, formulas())
-    return Results(t, flows.reduced(valued, e.productive(F.col("o_sector"))), countries, valued, lam, c, labour)
+    return Results(t, flows.reduced(traded, e.productive(F.col("o_sector"))), countries, valued, lam, c, labour)
 
 
-def recalculate(e: Economy, method: Method, parent: DataFrame, at_stage: int, names: tuple[str, ...] = ()) -> DataFrame:
+def recalculate(e: Economy, method: Method, parent: DataFrame, at_stage: int, names: tuple[str, ...] = (), allow_experimental: bool = False) -> DataFrame:
     """Sector results of a child run. Stage 1 starts over; stage 4 takes lambda from the parent's
     value_m_mv; stage 5 computes the named indicators (all, if none) from the parent's columns.
     Columns that are not named stay as they are."""
+    admitted([method.name], "recalculate", allow_experimental, {method.name: method})
     if at_stage not in STAGES:
         raise ValueError(f"stage must be one of {STAGES}")
     if at_stage == 1:
         if names:
             raise ValueError("stage 1 takes no indicator names")
-        return calculate(e, method).sectors
+        return calculate(e, method, allow_experimental=allow_experimental).sectors
     unknown = [n for n in names if n not in indicators.REGISTRY and n not in parent.columns]
     if unknown:
         raise ValueError(f"unknown indicators {unknown}")
     if at_stage == 4:
         lam = parent.select("year", "country", "sector", F.col("value_m_mv").alias("lam"))
         t = prepared(e, method)
-        valued = matrices(e, t, lam)[3]
-        fresh = indicators.with_indicators(from_matrices(e, t, lam, valued, method.basket), list(LAST))
+        fresh = indicators.with_indicators(from_matrices(e, t, lam, matrices(e, method, t, lam)[4], method.basket), list(LAST), MULTIPLIER)
     else:
         early = [n for n in names if indicators.REGISTRY[n].stage < 5]
         if early:
             raise ValueError(f"{early} belong to an earlier stage")
         keep = [c for c in parent.columns if c not in LAST]
-        fresh = indicators.with_indicators(parent.select(*keep), list(names or LAST))
+        fresh = indicators.with_indicators(parent.select(*keep), list(names or LAST), MULTIPLIER)
     if not names:
         return fresh
     keys = ["year", "country", "sector"]

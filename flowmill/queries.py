@@ -7,6 +7,7 @@ indicators, ``a..`` assumptions, ``p..`` preparation, ``v..`` validation, ``x..`
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,11 +17,12 @@ from flowmill.functions import safe
 from flowmill.functions.aggspec import AggSpec, Binding, aggregate
 from flowmill.operators import analytics, assumptions, capital, flows, indicators, leontief, preparation, relational, rollup, validation
 from flowmill.plans import run as plan
-from flowmill.plans.config import METHODS
+from flowmill.plans.config import admitted, methods
 from flowmill.sources import market
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+METHODS = methods()
 BASE = "with " + market.SQL
 LAM = "with recursive " + market.SQL_LAMBDA
 #: Valued flows, balance factor and transfers on top of lambda.
@@ -116,7 +118,7 @@ def o48_precedence(s, d):
 @q("select p_partkey as pos, (p_size % 6)::int as stage, case when p_size % 4 = 0 then null else p_size % 4 end::int as \"order\", row_number() over (order by p_size % 6, case when p_size % 4 = 0 then null else p_size % 4 end nulls last, p_partkey) as place from part")
 def o49_execution_order(s, d):
     rows = market.read(s, d, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_size") % 6).cast("int").alias("stage"), F.when(F.col("p_size") % 4 != 0, F.col("p_size") % 4).cast("int").alias("order"))
-    return relational.execution_order(rows).withColumn("place", F.row_number().over(W.orderBy("stage", F.asc_nulls_last("order"), "pos")))
+    return relational.placed(relational.execution_order(rows), ["stage", "order"], ["pos"])
 
 
 @q("select c_custkey, case when c_acctbal >= 0 then 'finite' else 'source_missing' end as state from customer")
@@ -125,9 +127,12 @@ def o53_missing_state(s, d):
     return c.select("c_custkey", safe.classify("v", F.col("c_acctbal") < 0).alias("state"))
 
 
-@q(BASE + " select year, country, sector, 'x' as indicator, 1.0::double as value from acc where 1 = 0")
+@q(BASE + " select year, country, sector, indicator, value from (select year, country, sector, 'go_us' as indicator, case when sector = 'S3' and country = 'ASIA' then 'NaN'::double else go_us end as value from acc union all select year, country, sector, 'gdp_us', case when sector = 'S1' and year = 1997 then 'Infinity'::double else gdp_us end from acc union all select year, country, sector, 'hours_emp', hours_emp from acc) where isnan(value) or isinf(value)")
 def o54_special_values(s, d):
-    return safe.special_cells(market.accounts(s, d), ["go_us", "gdp_us", "hours_emp"], ["year", "country", "sector"])
+    """NaN and infinities are planted; all of them have to be found."""
+    nan, inf = (F.lit(v).cast("double") for v in ("NaN", "Infinity"))
+    a = market.accounts(s, d).withColumns({"go_us": F.when(F.expr("sector = 'S3' and country = 'ASIA'"), nan).otherwise(F.col("go_us")), "gdp_us": F.when(F.expr("sector = 'S1' and year = 1997"), inf).otherwise(F.col("gdp_us"))})
+    return safe.special_cells(a, ["go_us", "gdp_us", "hours_emp"], ["year", "country", "sector"])
 
 
 @q(BASE + " select year, country, sector, case when country = 'ASIA' and sector = 'S4' then 'source_missing' when sector = 'S4' then 'not_applicable' else 'finite' end as declared from acc where sector = 'S4' or country = 'ASIA'")
@@ -207,7 +212,7 @@ def o66_year_offset(s, d):
 @q(LAM + " select f.year, f.o_country, f.o_sector, f.d_country, f.d_sector, f.kind, round(f.value * lam, 6) as worth from flow f join lam l on f.year = l.year and f.o_country = l.country and f.o_sector = l.sector")
 def o67_lambda_on_flows(s, d):
     e = economy(s, d)
-    r = plan.calculate(e, METHODS["base13"])
+    r = plan.calculate(e, METHODS["wiodr13"])
     return rounded(flows.with_lambda(e.flows, r.lam), 6, "worth").drop("value")
 
 
@@ -304,7 +309,7 @@ def o98_least_positive(s, d):
 
 @q(BASE + ", r as (select year, country, case when sum(hours_emp) = 0 then 'inf'::double else sum(capital) / sum(hours_emp) end as ratio from acc group by all) select year, min(country) as least from r where ratio = (select min(ratio) from r b where b.year = r.year) group by year")
 def o99_argmin(s, d):
-    return assumptions.least_intensive(market.accounts(s, d), exclude_row=False)
+    return assumptions.least_intensive(market.accounts(s, d), exclude_row=False).select("year", "least")
 
 
 @q(BASE + " select year, sector, round(avg(gdp_us), 7) as gdp_us from acc where country <> 'ASIA' group by all")
@@ -478,10 +483,16 @@ def o143_direct_labour(s, d):
 
 def _lam(s, d):
     e = economy(s, d)
-    c, labour, lam, valued = plan.matrices(e, plan.prepared(e, METHODS["base13"]))
+    c, labour, lam, valued, _ = plan.matrices(e, METHODS["wiodr13"], plan.prepared(e, METHODS["wiodr13"]))
     return e, c, labour, lam, valued
 
 
+def _traded(s, d):
+    """The economy and its valued flows by destination country."""
+    e = economy(s, d)
+    return e, plan.matrices(e, METHODS["wiodr13"], plan.prepared(e, METHODS["wiodr13"]))[4]
+
+
 @q(LAM + " select year, country, sector, round(lam, 9) as lam from lam")
 def o144_lambda(s, d):
     return rounded(_lam(s, d)[3], 9, "lam")
@@ -493,6 +504,24 @@ def o150_diagnostics(s, d):
     return leontief.diagnose(c, labour)
 
 
+@q(LAM + ", e as (select a.year, a.i_c, a.i_s, a.j_c, a.j_s, sum(a.a) as a from a group by all), m as (select year, j_c, j_s, sum(case when i_c = j_c and i_s = j_s then abs(1 - a) else abs(a) end) as size from e group by all), nm as (select year, max(size) as norm_inf from m group by year), cs as (select year, count(*) filter (a < 0) as c_negative, max(a) as c_max from e group by year), ls as (select year, count(*)::int as n, min(hours / x) as l_min, max(hours / x) as l_max from x group by year), vs as (select year, min(lam) as lambda_min, max(lam) as lambda_max from lam where sector <> 'S4' group by year) select year, n, c_negative, round(c_max, 9) as c_max, round(l_min, 9) as l_min, round(l_max, 9) as l_max, round(lambda_min, 9) as lambda_min, round(lambda_max, 9) as lambda_max, round(norm_inf, 9) as norm_inf, 'ok' as status from ls join cs using (year) join vs using (year) join nm using (year)")
+def o150_diagnostics_figures(s, d):
+    """The figures of the diagnostics that SQL can express."""
+    _, c, labour, _, _ = _lam(s, d)
+    numbers = ["c_max", "l_min", "l_max", "lambda_min", "lambda_max", "norm_inf"]
+    return rounded(leontief.diagnose(c, labour).select("year", "n", "c_negative", *numbers, "status"), 9, *numbers)
+
+
+_NATIONS = market.SQL_LAMBDA.replace("sr.r_name", "sn.n_name").replace("cr.r_name", "cn.n_name")
+
+
+@q("with recursive " + _NATIONS + " select year, country, sector, round(lam, 9) as lam from lam")
+def o144_lambda_nations(s, d):
+    """The solve by nation: five times as many countries as in the other queries."""
+    e = economy(s, d, "nation")
+    return rounded(plan.matrices(e, METHODS["wiodr13"], plan.prepared(e, METHODS["wiodr13"]))[2], 9, "lam")
+
+
 @q(LAM + ", r as (select a.year, a.j_c as c, a.j_s as s, sum(a.a * l.lam) as inflow from a join lam l on l.year = a.year and l.country = a.i_c and l.sector = a.i_s group by all) select l.year, l.country, l.sector, round(abs(l.lam - inflow - hours / x.x), 9) as residual from lam l join r on r.year = l.year and r.c = l.country and r.s = l.sector join x on x.year = l.year and x.country = l.country and x.sector = l.sector")
 def o146_residual(s, d):
     _, c, labour, lam, _ = _lam(s, d)
@@ -504,8 +533,7 @@ def o146_residual(s, d):
 
 @q(VAL + " select year, round(bf, 9) as bf from bf")
 def o152_balance_factor(s, d):
-    _, _, _, _, valued = _lam(s, d)
-    return rounded(valued.select("year", "bf").distinct(), 9, "bf")
+    return rounded(_traded(s, d)[1].select("year", "bf").distinct(), 9, "bf")
 
 
 @q(VAL + " select year, o_country, o_sector, d_country, d_sector, kind, round(transfer, 5) + 0.0 as transfer from tr")
@@ -542,7 +570,7 @@ def o157_capital_composition(s, d):
     return rounded(capital.allocate(w.drop("ktype"), stock, strict=True), 3, "value")
 
 
-@q(BASE + ", " + _INV + " select year, o_country, o_sector, d_country, d_sector, round(value * case when ktype = 'k0' then 0.05 else 0.1 end, 3) as value from kc where year < 2001")
+@q(BASE + ", " + _INV + " select year, o_country, o_sector, d_country, d_sector, round(value * case when ktype = 'k0' then 0.05 else 0.1 end, 3) as value from kc where year < (select max(year) from acc)")
 def o160_depreciation(s, d):
     return rounded(_depreciation(s, d), 3, "value")
 
@@ -553,10 +581,10 @@ def _depreciation(s, d):
     labels = stock.select("year", "sector").distinct()
     rates = labels.withColumn("ktype", F.lit("k0")).withColumn("rate", F.lit(0.05)).unionByName(labels.withColumn("ktype", F.lit("k1")).withColumn("rate", F.lit(0.1)))
     ktypes = stock.select(F.col("sector").alias("o_sector")).distinct().withColumn("ktype", F.when(F.col("o_sector").isin("S0", "S1"), "k0").otherwise("k1"))
-    return capital.depreciation(k, rates, ktypes, year_offset=1).where("year < 2001")
+    return capital.depreciation(k, rates, ktypes, year_offset=1)
 
 
-@q(BASE + ", " + _INV + " select year, d_country as country, d_sector as sector, round(sum(value * case when ktype = 'k0' then 0.05 else 0.1 end), 2) as depreciation from kc where year < 2001 group by all")
+@q(BASE + ", " + _INV + " select year, d_country as country, d_sector as sector, round(sum(value * case when ktype = 'k0' then 0.05 else 0.1 end), 2) as depreciation from kc where year < (select max(year) from acc) group by all")
 def i25_capital_depreciation(s, d):
     k = _depreciation(s, d)
     return rounded(k.groupBy("year", F.col("d_country").alias("country"), F.col("d_sector").alias("sector")).agg(F.sum("value").alias("depreciation")), 2, "depreciation")
@@ -584,8 +612,8 @@ def o166_value_added_ratio(s, d):
 
 def _reduction(name: str, column: str, sql: str):
     def f(s, d):
-        e, _, _, _, valued = _lam(s, d)
-        return flows.reduced(valued, market.productive("o_sector"), e.accounts.select("country").distinct()).select("year", "origin", "destination", (F.round(column, 5) + 0.0).alias("value"))
+        e, traded = _traded(s, d)
+        return flows.reduced(traded, market.productive("o_sector"), e.accounts.select("country").distinct()).select("year", "origin", "destination", (F.round(column, 5) + 0.0).alias("value"))
 
     f.__name__ = name
     QUERIES[name] = f
@@ -663,7 +691,7 @@ def _result(name: str, made: str, sql: str, places: int = 5):
     """A query of one indicator of a full calculation."""
 
     def f(s, d):
-        return plan.calculate(economy(s, d), METHODS["base13"]).sectors.select("year", "country", "sector", (F.round(made, places) + 0.0).alias("value"))
+        return plan.calculate(economy(s, d), METHODS["wiodr13"]).sectors.select("year", "country", "sector", (F.round(made, places) + 0.0).alias("value"))
 
     f.__name__ = name
     QUERIES[name] = f
@@ -693,7 +721,7 @@ _result("i39_transfers_over_gdp", "transfers_p_m_pc", "case when p = 1 then (x_t
 
 @q(SEC + ", c as (select year, country, sum(go_mv) as go_mv, sum(go_us) as go_us, sum(hours_emp) as h, sum(lfv) as lfv, sum((x_tr - m_tr) * p) as tp, sum(hours_emp * p) as g from ind group by all), w as (select * from c union all select year, 'WWW', sum(go_mv), sum(go_us), sum(h), sum(lfv), sum(tp), sum(g) from c group by year) select year, country, round(go_mv, 4) as go_mv, round(go_mv / go_us, 9) as value_m_mv, round(h / lfv - 1, 6) as surplus_emp, round(tp / g, 6) + 0.0 as transfers_p_m_pc from w")
 def i_country_rollup(s, d):
-    r = plan.calculate(economy(s, d), METHODS["base13"]).countries
+    r = plan.calculate(economy(s, d), METHODS["wiodr13"]).countries
     return r.select("year", "country", F.round("go_mv", 4).alias("go_mv"), F.round("value_m_mv", 9).alias("value_m_mv"), F.round("surplus_emp", 6).alias("surplus_emp"), (F.round("transfers_p_m_pc", 6) + 0.0).alias("transfers_p_m_pc"))
 
 
@@ -722,6 +750,78 @@ def i42_monetary_rate(s, d):
     return rounded(indicators.monetary_rate_by_country(t), 9, "monetary_rate")
 
 
+# ---------------------------------------------------------------- methods
+
+#: In these queries AFRICA stands for the rest of the world.
+REGION = "AFRICA"
+
+
+def _method_economy(s, d) -> plan.Economy:
+    e = economy(s, d)
+    w, stock = _composition(s, d)
+    labels = stock.select("year", "sector").distinct()
+    rates = labels.withColumn("ktype", F.lit("k0")).withColumn("rate", F.lit(0.01)).unionByName(labels.withColumn("ktype", F.lit("k1")).withColumn("rate", F.lit(0.02)))
+    ktypes = stock.select(F.col("sector").alias("o_sector")).distinct().withColumn("ktype", F.when(F.col("o_sector").isin("S0", "S1"), "k0").otherwise("k1"))
+    jobs = e.accounts.groupBy("year").agg((F.sum("emp") / 4).alias("total"))
+    shares = e.accounts.where("country in ('ASIA', 'AFRICA')").select("country", "year").distinct().withColumn("percent", (60 + F.col("year") % 10).cast("double"))
+    return replace(e, row=REGION, jobs=jobs, wage_shares=shares, capital_countries=("ASIA", "EUROPE"), capital=(capital.allocate(w.drop("ktype"), stock), rates, ktypes))
+
+
+def _method_sql(region: str, multiplier: str, offset: int | None) -> str:
+    """``region``: how AFRICA is filled; ``offset``: year of the depreciation rates, None for none."""
+    per = "emp" if region == "old" else "hours_emp"
+    among = "true" if region == "old" else "country <> 'AFRICA'"
+    new_capital = "a.gdp_us * lc.r" if region == "reduction" else f"nr.{per} * lk.capital / lk.{per}"
+    comp = "c.total * c.key / sum(c.key) over (partition by a.year)" if region == "reduction" else "a.comp_emp"
+    parts = [market.SQL, _INV, f"""world as (select year, sector, sum(emp) as e, sum(hours_emp) as h, sum(gdp_us) as va, sum(comp_emp) as w from acc where country <> 'AFRICA' group by all),
+jobs as (select year, sum(emp) / 4 as total from acc group by year),
+persons as (select a.year, a.sector, total * (gdp_us * e / va) / sum(gdp_us * e / va) over (partition by a.year) as emp, h / e as per from acc a join world using (year, sector) join jobs on jobs.year = a.year where country = 'AFRICA'),
+nr as (select year, sector, emp, emp * per as hours_emp from persons),
+least as (select year, arg_min(country, r) as country from (select year, country, sum(capital) / sum({per}) as r from acc where {among} group by all) group by year),
+lc as (select year, sector, sum(capital) / sum(gdp_us) as r from acc where country in ('ASIA', 'EUROPE') group by all),
+tot as (select year, sum(comp_emp) filter (country <> 'AFRICA') / sum(gdp_us) filter (country <> 'AFRICA') * sum(gdp_us) filter (country = 'AFRICA') as total from acc group by year),
+c as (select a.year, a.sector, total, gdp_us * w / e as key from acc a join world using (year, sector) join tot on tot.year = a.year where country = 'AFRICA'),
+filled as (select a.year, a.country, a.sector, nr.emp, nr.hours_emp, {new_capital} as capital, {comp} as comp_emp from acc a join nr on nr.year = a.year and nr.sector = a.sector join least on least.year = a.year
+  join acc lk on lk.year = a.year and lk.sector = a.sector and lk.country = least.country join lc on lc.year = a.year and lc.sector = a.sector join c on c.year = a.year and c.sector = a.sector where a.country = 'AFRICA')"""]
+    if region == "none":
+        parts.append("full_acc as (select * replace (case when country = 'AFRICA' then 0 else emp end as emp, case when country = 'AFRICA' then 0 else hours_emp end as hours_emp, case when country = 'AFRICA' then 0 else capital end as capital, case when country = 'AFRICA' then 0 else comp_emp end as comp_emp) from acc)")
+    else:
+        parts.append("full_acc as (select a.* replace (coalesce(f.emp, a.emp) as emp, coalesce(f.hours_emp, a.hours_emp) as hours_emp, coalesce(f.capital, a.capital) as capital, coalesce(f.comp_emp, a.comp_emp) as comp_emp) from acc a left join filled f on f.year = a.year and f.country = a.country and f.sector = a.sector)")
+    dep = "" if offset is None else f" union all select year, o_country, o_sector, d_country, d_sector, value * case when ktype = 'k0' then 0.01 else 0.02 end from kc where exists (select 1 from acc where acc.year = kc.year + {offset} and acc.sector = kc.d_sector)"
+    parts.append(f"inputs as (select year, o_country, o_sector, d_country, d_sector, 'industry' as kind, sum(value) as value from (select year, o_country, o_sector, d_country, d_sector, value from flow where kind = 'industry'{dep}) group by all)")
+    parts.append(f"labour as (select * replace (hours_emp * coalesce(m, 0) as hours_emp) from (select *, {multiplier} as m from full_acc))")
+    solve = market.SQL_LAMBDA.removeprefix(market.SQL + ",").replace("from acc where", "from labour where").replace("from flow f", "from inputs f").replace("from acc p", "from labour p")
+    return "with recursive " + ",".join([*parts, solve]) + " select l.year, l.country, l.sector, round(case when l.sector = 'S4' then 0 else hours_emp end, 3) + 0.0 as abstract, round(lam, 9) + 0.0 as lam, round(capital, 2) + 0.0 as capital from labour l join lam on lam.year = l.year and lam.country = l.country and lam.sector = l.sector"
+
+
+def _method(name: str, region: str, multiplier: str = "1.0", offset: int | None = 1):
+    """Abstract labour, labour values and capital stock under one method."""
+
+    def f(s, d):
+        (method,) = admitted([name], "calculate", allow_experimental=True, catalog=METHODS)
+        e = _method_economy(s, d)
+        t = plan.prepared(e, method)
+        lam = plan.matrices(e, method, t)[2]
+        rows = t.select("year", "country", "sector", F.col("abstract_emp_mv").alias("abstract"), "capital").join(lam, ["year", "country", "sector"])
+        return rows.select("year", "country", "sector", (F.round(F.when(market.productive("sector"), F.col("abstract")).otherwise(0.0), 3) + 0.0).alias("abstract"), (F.round("lam", 9) + 0.0).alias("lam"), (F.round("capital", 2) + 0.0).alias("capital"))
+
+    f.__name__ = f"m_{name}"
+    QUERIES[f.__name__] = f
+    ORACLE[f.__name__] = _method_sql(region, multiplier, offset)
+
+
+_WAGE = "(comp_emp / hours_emp) / min(comp_emp / hours_emp) filter (comp_emp > 0) over (partition by year{})"
+_method("wiodr13", "row")
+_method("zerodep_1", "row", offset=None)
+_method("norow_w13", "none")
+_method("wiodr13v09", "old")
+_method("alternative_1", "reduction", offset=0)
+_method("alternative_2", "reduction", "6.25 * hours_hs / hours_emp + 2.5 * hours_ms / hours_emp + (1 - hours_hs / hours_emp - hours_ms / hours_emp)", 0)
+_method("ochoa_1", "reduction", _WAGE.format(""), 0)
+_method("ochoa_2", "reduction", _WAGE.format(", country"), 0)
+_method("petrovic", "reduction", _R.format("hs") + " * hours_hs / hours_emp + " + _R.format("ms") + " * hours_ms / hours_emp + (1 - hours_hs / hours_emp - hours_ms / hours_emp)", 0)
+
+
 # ---------------------------------------------------------------- assumptions
 
 
@@ -803,29 +903,54 @@ def p5_disaggregation(s, d):
     return rounded(preparation.disaggregated(totals, mapping, a.select("year", "country", F.col("sector").alias("code"), F.col("gdp_us").alias("weight"))), 4, "value")
 
 
-@q(BASE + " select year, country, sector, 0.0::double as uses, 0.0::double as x from acc where 1 = 0")
+@q(BASE + ", o as (select year, country, sector, go_us * case when country = 'ASIA' and sector = 'S0' then 1.01 when sector = 'S3' then 1 + 1e-10 else 1 end as x from acc where not (country = 'EUROPE' and year = 1996)), u as (select year, o_country as country, o_sector as sector, sum(value) as uses from flow group by all) select year, country, sector, round(uses, 2) as uses, round(x, 2) as x from u full join o using (year, country, sector) where abs(coalesce(uses, 0) - coalesce(x, 0)) > 1e-6 + 1e-8 * abs(coalesce(x, 0))")
 def p6_accounting_identity(s, d):
-    return preparation.accounting_errors(market.flows(s, d), market.accounts(s, d).select("year", "country", "sector", F.col("go_us").alias("x")))
+    """Planted: output 1 % too high, output missing, and output off by less than the tolerance."""
+    x = F.col("go_us") * F.when(F.expr("country = 'ASIA' and sector = 'S0'"), 1.01).when(F.col("sector") == "S3", 1 + 1e-10).otherwise(1.0)
+    output = market.accounts(s, d).where("not (country = 'EUROPE' and year = 1996)").select("year", "country", "sector", x.alias("x"))
+    return rounded(preparation.accounting_errors(market.flows(s, d), output), 2, "uses", "x")
 
 
-@q(BASE + " select 'sum_of_uses' as problem, count(*) as n from acc where 1 = 0 having count(*) > 0")
+@q(BASE + ", t as (select year, country, sector, case when country = 'ASIA' and sector = 'S2' then null else go_us end as go_us, case when sector = 'S4' then 'Infinity'::double else gdp_us end as gdp_us from acc union all select year, country, sector, go_us, gdp_us from acc where sector = 'S1') select * from (select 'repeated key' as problem, count(*) as n from (select 1 from t group by year, country, sector having count(*) > 1) union all select 'go_us: not finite', count(*) from t where go_us is null or isnan(go_us) or isinf(go_us) union all select 'gdp_us: not finite', count(*) from t where gdp_us is null or isnan(gdp_us) or isinf(gdp_us)) where n > 0")
 def p8_table_keys(s, d):
-    return preparation.key_errors(market.accounts(s, d), ["year", "country", "sector"], ["go_us", "gdp_us"])
-
-
-@q("select * from (values ('column_sums', 'passed'), ('diagnostics', 'passed'), ('range', 'passed'), ('recomputed_country', 'passed'), ('row_sums', 'passed'), ('structure', 'passed'), ('transfers_cancel', 'passed'), ('zero_diagonal', 'passed')) t(check_id, status)")
+    """Planted: repeated keys, missing and infinite values."""
+    a = market.accounts(s, d).select("year", "country", "sector", "go_us", "gdp_us")
+    damaged = a.withColumns({"go_us": F.when(~F.expr("country = 'ASIA' and sector = 'S2'"), F.col("go_us")), "gdp_us": F.when(F.col("sector") == "S4", F.lit("Infinity").cast("double")).otherwise(F.col("gdp_us"))})
+    return preparation.key_errors(damaged.unionByName(a.where("sector = 'S1'")), ["year", "country", "sector"], ["go_us", "gdp_us"])
+
+
+_LEDGER = SEC + """, checks as (
+  select 'structure' as check_id, 1 as n, case when count(*) = count(distinct (year, country, sector)) then 0.0 else 1.0 end as scaled from acc
+  union all select 'recomputed_country', count(*), max(abs(want - got) / greatest(1, abs(want))) from (select year, country, sum(gdp_us) as want, sum(gdp_us * case when country = 'ASIA' then 1.1 else 1 end) as got from acc group by all)
+  union all select 'recomputed_world', count(*), max(abs(want - got) / greatest(1, abs(want))) from (select year, sum(gdp_us) as want, sum(gdp_us * case when country = 'ASIA' then 1.1 else 1 end) as got from acc group by all)
+  union all select 'zero_diagonal', count(distinct (year, o_country)), 0.0 from flow where o_country = d_country
+  union all select 'transfers_cancel', count(*), max(abs(t) / greatest(1, size)) from (select year, sum(t) as t, sum(abs(t)) as size from (select year, o_country, d_country, sum(case when o_sector <> 'S4' then transfer else 0 end) as t from tr group by all) group by year)
+  union all select 'column_sums', count(*), 0.0 from acc
+  union all select 'row_sums', count(*), max(abs(go_mv - bad) / greatest(1, abs(bad))) from (select go_mv, go_mv * case when sector = 'S1' then 1.01 else 1 end as bad from ind)
+  union all select 'range', count(*), max(greatest(-lam, 0)) from lam
+  union all select 'diagnostics', count(distinct year), 0.0 from acc)
+select check_id, n, round(scaled, 6) as max_scaled, case when scaled > 1e-9 then 'failed' else 'passed' end as status from checks"""
+
+
+@q(_LEDGER)
 def v_ledger(s, d):
+    """Planted: one country's published value added 10 % too high, one sector's output in values 1 %."""
     e = economy(s, d)
-    r = plan.calculate(e, METHODS["base13"])
+    r = plan.calculate(e, METHODS["wiodr13"])
     n = e.accounts.count()
     w, stock = _composition(s, d)
     k = capital.allocate(w.drop("ktype"), stock)
     totals = stock.select("year", F.col("country").alias("d_country"), F.col("sector").alias("d_sector"), F.col("stock").alias("total"))
+    raised = F.when(F.col("country") == "ASIA", F.col("gdp_us") * 1.1).otherwise(F.col("gdp_us"))
+    published = r.sectors.groupBy("year", "country").agg(F.sum("gdp_us").alias("gdp_us")).withColumn("gdp_us", raised)
+    published = published.unionByName(published.groupBy("year").agg(F.lit("WWW").alias("country"), F.sum("gdp_us").alias("gdp_us")))
+    damaged = r.sectors.withColumn("go_mv", F.when(F.col("sector") == "S1", F.col("go_mv") * 1.01).otherwise(F.col("go_mv")))
     rows = validation.ledger(
-        validation.structure(r.sectors, ["year", "country", "sector"], n), validation.recomputed(r.sectors, r.countries, "gdp_us"), validation.zero_diagonal(r.bilateral, ["exports_values", "transfers_values"]),
-        validation.transfers_cancel(r.bilateral), validation.column_sums(k, totals, "column_sums"), validation.row_sums(r.valued, r.sectors), validation.in_range(r.lam, "lam"), validation.diagnostics_profile(leontief.diagnose(r.coefficients, r.labour)),
+        validation.structure(r.sectors, ["year", "country", "sector"], n), validation.recomputed(r.sectors, published, "gdp_us"), validation.recomputed_world(r.sectors, published, "gdp_us"),
+        validation.zero_diagonal(r.bilateral, ["exports_values", "transfers_values"]), validation.transfers_cancel(r.bilateral), validation.column_sums(k, totals, "column_sums"),
+        validation.row_sums(r.valued, damaged), validation.in_range(r.lam, "lam"), validation.diagnostics_profile(leontief.diagnose(r.coefficients, r.labour)),
     )
-    return rows.select("check_id", "status")
+    return rows.select("check_id", "n", F.round("max_scaled", 6).alias("max_scaled"), "status")
 
 
 @q(BASE + ", p as (select year, gdp_us as x, comp_emp as y from acc where gdp_us <> 0 and comp_emp <> 0) select year, count(*) as n, round(corr(x, y), 8) as r, round(avg(abs(x - y) / abs(y)), 8) as mad, round(sum(abs(x - y)) / sum(y), 8) as mawd, round(sqrt(sum((x - y) * (x - y))) / sqrt(sum(y * y)), 8) as nvd, round(sqrt(avg(((x - y) / y) * ((x - y) / y))), 8) as rmspe, round(stddev_samp(x / y) / avg(x / y), 8) as cv, round(degrees(atan(stddev_samp(x / y) / avg(x / y))), 6) as theta, round(2 * sin(atan(stddev_samp(x / y) / avg(x / y)) / 2), 8) as d from p group by year")
@@ -849,7 +974,7 @@ def x4_pair_series(s, d):
 
 @q(SEC + ", g as (select year, country, sum(hours_emp * p) as gdp_mv from ind group by all), st as (select year, o_country as country, sum(transfer) as v from tr group by all), gt as (select year, d_country as country, sum(transfer) as v from tr group by all) select g.year, g.country, round((coalesce(st.v, 0) - coalesce(gt.v, 0)) / gdp_mv, 8) as share from g left join st using (year, country) left join gt using (year, country)")
 def x4_net_transfer_share(s, d):
-    r = plan.calculate(economy(s, d), METHODS["base13"])
+    r = plan.calculate(economy(s, d), METHODS["wiodr13"])
     return rounded(flows.net_transfer_share(r.bilateral, r.sectors.groupBy("year", "country").agg(F.sum("gdp_mv").alias("gdp_mv"))), 8, "share")
 
 

@@ -1,18 +1,22 @@
 import hashlib
+from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from fixture import LAMBDA, OUTPUT, TRADE, economy
 from pyspark.sql import functions as F
 
-from flowmill.operators import leontief, validation
-from flowmill.plans.config import METHODS
-from flowmill.plans.run import LAST, calculate, recalculate
+from flowmill.operators import assumptions, leontief, validation
+from flowmill.plans.config import METHOD_COLUMNS, Method, methods
+from flowmill.plans.run import LAST, calculate, prepared, recalculate
+
+METHODS = methods()
 
 
 @pytest.fixture(scope="module")
 def results(spark):
-    return calculate(economy(spark), METHODS["base13"])
+    return calculate(economy(spark), METHODS["wiodr13"])
 
 
 def test_labour_values_and_output(results):
@@ -49,18 +53,18 @@ def test_recalculation_equals_parent(spark, results, tmp_path):
     parent = spark.read.parquet(parent_path)
     want = {(r.year, r.country): r.asDict() for r in parent.collect()}
     for stage in (4, 5):
-        got = recalculate(economy(spark), METHODS["base13"], parent, stage)
+        got = recalculate(economy(spark), METHODS["wiodr13"], parent, stage)
         for r in got.collect():
             for k, v in r.asDict().items():
                 assert v == pytest.approx(want[r.year, r.country][k], rel=1e-12) if isinstance(v, float) else v == want[r.year, r.country][k]
-    one = recalculate(economy(spark), METHODS["base13"], parent.withColumn("gdp_du", F.lit(0.0)), 5, ("gdp_du",))
+    one = recalculate(economy(spark), METHODS["wiodr13"], parent.withColumn("gdp_du", F.lit(0.0)), 5, ("gdp_du",))
     assert all(r.gdp_du == pytest.approx(want[r.year, r.country]["gdp_du"]) for r in one.collect())
     with pytest.raises(ValueError):
-        recalculate(economy(spark), METHODS["base13"], parent, 1, ("gdp_du",))
+        recalculate(economy(spark), METHODS["wiodr13"], parent, 1, ("gdp_du",))
     with pytest.raises(ValueError):
-        recalculate(economy(spark), METHODS["base13"], parent, 5, ("gdp_mv",))
+        recalculate(economy(spark), METHODS["wiodr13"], parent, 5, ("gdp_mv",))
     with pytest.raises(ValueError):
-        recalculate(economy(spark), METHODS["base13"], parent, 3)
+        recalculate(economy(spark), METHODS["wiodr13"], parent, 3)
     assert set(LAST) <= set(parent.columns)
 
 
@@ -102,3 +106,74 @@ def test_undeclared_missing_depreciation_aborts(spark):
     with pytest.raises(Exception, match="missing depreciation"):
         leontief.input_flows(e.flows, dep).collect()
     assert leontief.input_flows(e.flows, dep, "d_country = d_country").count() == 8
+
+
+def test_methods_are_gated_and_complete(spark):
+    e = economy(spark)
+    assert {m.status for m in METHODS.values()} == {"stable", "experimental", "disabled"} and len(METHODS) == 17
+    with pytest.raises(PermissionError):
+        calculate(e, METHODS["eora26"])
+    with pytest.raises(PermissionError):
+        calculate(e, METHODS["ochoa_1"])
+    with pytest.raises(ValueError, match="unknown assumption"):
+        prepared(e, Method("m", "s", assumptions=("nope",)))
+    with pytest.raises(ValueError, match="wage workers"):
+        prepared(e, METHODS["ochoa_1"])
+    with pytest.raises(ValueError, match="jobs"):
+        prepared(replace(e, row="B"), METHODS["wiodr13"])
+    with pytest.raises(ValueError):
+        Method("m", "s", depreciation="odd")
+
+
+def test_catalogue_is_strict(tmp_path):
+    bad = tmp_path / "m.csv"
+    bad.write_text("name;source\na;b\n")
+    with pytest.raises(ValueError):
+        methods(str(bad))
+    head = ";".join(METHOD_COLUMNS)
+    bad.write_text(f"{head}\na;s;stable;;multiplier_one;national;zero;1\na;s;stable;;multiplier_one;national;zero;1\n")
+    with pytest.raises(ValueError, match="twice"):
+        methods(str(bad))
+
+
+def test_multiplier_reaches_later_stages(spark):
+    e = replace(economy(spark), wage_shares=spark.createDataFrame([("A", 2000, 50.0)], "country string, year int, percent double"))
+    e = replace(e, accounts=e.accounts.withColumns({"empe": F.lit(1.0), "hours_empe": F.col("hours_emp")}))
+    one = {(r.year, r.country): r.abstract_emp_mv for r in calculate(e, METHODS["wiodr13"]).sectors.collect()}
+    r = calculate(e, METHODS["ochoa_1"], allow_experimental=True)
+    got = {(r.year, r.country): r.abstract_emp_mv for r in r.sectors.collect()}
+    acc = {(r.year, r.country): r for r in e.accounts.collect()}
+    for (y, c), v in got.items():
+        wage = {k: a.comp_emp / a.hours_emp for (yy, k), a in acc.items() if yy == y}
+        assert v == pytest.approx(one[y, c] * wage[c] / min(wage.values()))
+    assert got != one
+    halves = {(x.year, x.country): x.hours_empe for x in prepared(e, METHODS["ochoa_1"]).collect()}
+    assert halves[2000, "A"] == acc[2000, "A"].hours_emp / 2 and halves[2001, "A"] == acc[2001, "A"].hours_emp
+
+
+def test_rest_of_world_by_workers_and_spread(spark):
+    rows = [(2000, "A", "S", 10.0, 100.0, 50.0, 20.0, 5.0), (2000, "A", "T", 0.0, 0.0, 10.0, 5.0, 0.0), (2000, "B", "S", 5.0, 80.0, 50.0, 40.0, 8.0), (2000, "B", "T", 5.0, 20.0, 30.0, 10.0, 2.0), (2000, "R", "S", 0.0, 0.0, 30.0, 0.0, 0.0), (2000, "R", "T", 0.0, 0.0, 30.0, 0.0, 0.0)]
+    acc = spark.createDataFrame(rows, "year int, country string, sector string, emp double, hours_emp double, gdp_us double, capital double, comp_emp double")
+    jobs = spark.createDataFrame([(2000, 9.0)], "year int, total double")
+    got = {r.sector: r for r in assumptions.rest_of_world(acc, jobs, "R", exclude_row=False, basis="emp").where("country = 'R'").collect()}
+    need = {"S": 30 * 15 / 100, "T": 30 * 5 / 40}
+    assert got["S"].emp == pytest.approx(9 * need["S"] / sum(need.values())) and got["S"].emp + got["T"].emp == pytest.approx(9)
+    assert got["S"].hours_emp == pytest.approx(got["S"].emp * 180 / 15)
+    assert got["S"].capital == pytest.approx(got["S"].emp * 20 / 10) and got["T"].capital == pytest.approx(got["T"].emp * 25 / 10)  # A is least; its T has no workers
+    spread = {r.sector: r.comp_emp for r in assumptions.compensation_spread(acc, ("comp_emp",), "R").where("country = 'R'").collect()}
+    assert sum(spread.values()) == pytest.approx(15 / 140 * 60) and spread["S"] / spread["T"] == pytest.approx((30 * 13 / 15) / (30 * 2 / 5))
+
+
+def test_bad_years_are_refused(spark):
+    labour = spark.createDataFrame([(2000, "A", "S", 1.0, 1.0, True), (2000, "B", "S", 1.0, 1.0, True), (2000, "B", "T", 1.0, 0.0, False)], "year int, country string, sector string, x double, l double, productive boolean")
+    cells = lambda *a: spark.createDataFrame([(2000, o, "S", d, "S", v) for o, d, v in a], "year int, o_country string, o_sector string, d_country string, d_sector string, a double")
+    got = {(r.country, r.sector): r.lam for r in leontief.solve(cells(("A", "A", 0.1), ("A", "B", 0.3), ("B", "A", 0.05), ("B", "B", 0.2)), labour).collect()}
+    want = np.linalg.solve((np.eye(2) - C3).T, [1, 1])
+    assert got == {("A", "S"): pytest.approx(want[0]), ("B", "S"): pytest.approx(want[1]), ("B", "T"): 0.0}
+    for bad, words in ((cells(("A", "A", 1.0)), "singular"), (cells(("A", "A", 1.2)), "rejected")):
+        with pytest.raises(Exception, match=words):
+            leontief.solve(bad, labour).collect()
+    assert leontief.solve(cells(("A", "A", 1.2)), labour, checked=False).count() == 3
+    assert (leontief.matrix(pd.DataFrame({"i": [0, 0, 1], "j": [1, 1, 0], "a": [1.0, 2.0, 3.0]}), 2) == [[0, 3], [3, 0]]).all()
+    with pytest.raises(ValueError):
+        leontief.matrix(pd.DataFrame({"i": [], "j": [], "a": []}), leontief.MOST_INDUSTRIES + 1)

@@ -15,11 +15,11 @@ def test_layers_and_order():
 
 
 def test_access_and_names():
-    assert [m.name for m in config.admitted(["base13"], "calculate")] == ["base13"]
-    for names, kind in ((["eora"], PermissionError), (["world_wage"], PermissionError), (["nope"], ValueError), (["base13", "base13"], ValueError)):
+    assert [m.name for m in config.admitted(["wiodr13"], "calculate")] == ["wiodr13"]
+    for names, kind in ((["eora26"], PermissionError), (["ochoa_1"], PermissionError), (["nope"], ValueError), (["wiodr13", "wiodr13"], ValueError)):
         with pytest.raises(kind):
             config.admitted(names, "calculate")
-    assert config.admitted(["world_wage"], "calculate", allow_experimental=True)
+    assert config.admitted(["ochoa_1"], "calculate", allow_experimental=True)
     assert config.safe_reference("a/b.py") and not config.safe_reference("../b") and not config.safe_name("") and config.valid_channel("stable-1") and not config.valid_channel("Stable")
 
 
