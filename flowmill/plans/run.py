@@ -1,8 +1,9 @@
 """A full calculation and its recalculation, as a plan over long tables.
 
 Stages: 0 raw columns, 1 derived from raw, 2 assumptions and abstract labour, 4 from matrices,
-5 from sector results; then roll-ups. Nothing is computed until an action; the coefficients, the
-solve and the flows' reductions share the flow aggregate.
+5 from sector results; then roll-ups. Tables of label size that later stages read more than once (the
+prepared accounts, lambda, flows by destination, the sector table) are written once each; the rest is one
+lazy plan over them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.functions.aggspec import AggSpec, Binding
+from flowmill.functions.keep import kept
 from flowmill.functions.safe import divide
 from flowmill.operators import assumptions as A
 from flowmill.operators import capital, flows, indicators, leontief, rollup
@@ -117,7 +119,7 @@ def prepared(e: Economy, method: Method) -> DataFrame:
         if not regional or e.row is not None:
             t = apply(e, t, method)
     t = indicators.with_indicators(t, [method.multiplier]).withColumn(MULTIPLIER[0], F.col(method.multiplier))
-    return indicators.with_indicators(t, ["abstract_emp_mv", "gdp_mv", "gdp_p_us"], MULTIPLIER)
+    return kept(indicators.with_indicators(t, ["abstract_emp_mv", "gdp_mv", "gdp_p_us"], MULTIPLIER), "prepared")
 
 
 #: Where abstract labour finds the method's multiplier; later stages take it as it is.
@@ -139,9 +141,9 @@ def matrices(e: Economy, method: Method, t: DataFrame, lam: DataFrame | None = N
     x = t.select("year", "country", "sector", F.col(e.output).alias("x"))
     c = leontief.coefficients(z, x, e.productive)
     labour = leontief.direct_labour(t, "abstract_emp_mv", e.output, e.productive)
-    lam = leontief.solve(c, labour).persist() if lam is None else lam  # one row per industry and year; solved once
+    lam = kept(leontief.solve(c, labour), "lambda") if lam is None else lam
     valued = flows.with_lambda(e.flows, lam)
-    sums = flows.by_destination(valued).persist()
+    sums = kept(flows.by_destination(valued), "traded")
     bf = flows.balance_factor(sums, e.productive(F.col("o_sector")))
     return c, labour, lam, flows.with_transfers(valued, bf), flows.with_transfers(sums, bf)
 
@@ -170,7 +172,7 @@ def calculate(e: Economy, method: Method, last: tuple[str, ...] = LAST, allow_ex
     admitted([method.name], operation, allow_experimental, {method.name: method})
     t = prepared(e, method)
     c, labour, lam, valued, traded = matrices(e, method, t)
-    t = indicators.with_indicators(from_matrices(e, t, lam, traded, method.basket), list(last), MULTIPLIER)
+    t = kept(indicators.with_indicators(kept(from_matrices(e, t, lam, traded, method.basket), "matrices"), list(last), MULTIPLIER), "sectors")
     countries = rollup.two_levels(t, {n: sum_of(n) for n in ADDITIVE}, formulas())
     return Results(t, flows.reduced(traded, e.productive(F.col("o_sector"))), countries, valued, lam, c, labour)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from flowmill.functions import safe
 from flowmill.functions.aggspec import AggSpec, Binding, aggregate
+from flowmill.functions.keep import kept
 from flowmill.operators import analytics, assumptions, capital, flows, indicators, leontief, preparation, relational, rollup, validation
 from flowmill.plans import run as plan
 from flowmill.plans.config import admitted, methods
@@ -45,7 +46,7 @@ def q(sql: str | None = None):
 def economy(spark: SparkSession, sf_dir: str, grain: str = "region") -> plan.Economy:
     """The aggregates are read by many branches of a calculation and have the size of label tables
     (years x industries^2), so they are kept."""
-    return plan.Economy(market.flows(spark, sf_dir, grain).persist(), market.accounts(spark, sf_dir, grain).persist(), market.productive)
+    return plan.Economy(kept(market.flows(spark, sf_dir, grain), "flows"), kept(market.accounts(spark, sf_dir, grain), "accounts"), market.productive)
 
 
 def sector_labels(acc: DataFrame) -> DataFrame:
