@@ -106,6 +106,23 @@ def aggregate(df: DataFrame, keys: list[str], specs: dict[str, AggSpec], states:
     return df.groupBy(*keys).agg(*out) if keys else df.agg(*out)
 
 
+def audited(df: DataFrame, keys: list[str], specs: dict[str, AggSpec]) -> DataFrame:
+    """``aggregate`` with states and, for sums and means, ``<name>__audit``: whether a plain reduction in
+    the same pass gives the same value within the rounding of its terms."""
+    out: list[Column] = []
+    for name, spec in specs.items():
+        out += [c.alias(n) for n, c in compiled(spec, name).items()]
+        if spec.strategy in ("sum", "mean"):
+            v = F.col(spec.value)
+            total = F.sum(F.coalesce(v, F.lit(0.0)))
+            plain = total if spec.strategy == "sum" else F.try_divide(total, F.count(v))
+            size = F.sum(F.abs(F.coalesce(v, F.lit(0.0))))
+            held = compiled(spec, name)[name]
+            lacking = held.isNull()
+            out.append(F.when(lacking, "no value").when(F.abs(held - plain) <= 2.0**-52 * F.count(F.lit(1)) * size, "equal").otherwise("differs").alias(f"{name}__audit"))
+    return df.groupBy(*keys).agg(*out)
+
+
 @dataclass(frozen=True)
 class Binding:
     indicator: str

@@ -5,23 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` and read back.
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path below ``spark.checkpoint.dir``.
 
-    For aggregates of label size that many branches of a plan read: they are computed once, lost
-    executors cost nothing, and plans stay short. Only a local session that names no such folder gets a
-    temporary one; elsewhere its absence is an error, because executors would not see each other's files.
+    Only a local session that names no such folder gets a temporary one; elsewhere its absence is an
+    error, because executors would not see each other's files.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="flowmill-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to a shared path and read back.
+
+    For aggregates of label size that many branches of a plan read: they are computed once, lost
+    executors cost nothing, and plans stay short.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

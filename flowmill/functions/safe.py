@@ -139,3 +139,11 @@ def declared_states(cells: DataFrame, rules: DataFrame, default: str = "finite")
 def observed_mask_errors(df: DataFrame, value: str, declared: str) -> DataFrame:
     """Cells whose missingness differs from what is declared: the validator of masks."""
     return df.where(F.col(value).isNull() != (F.col(declared) != "finite"))
+
+
+def anomalies(df: DataFrame, keys: list[str], values: list[str], declared: Column, context: str, action: str) -> DataFrame:
+    """Rows (keys, indicator, problem, context, action) of cells that are NaN, infinite, or missing where
+    ``declared`` (a condition on keys and ``indicator``) doesn't allow it."""
+    long = df.unpivot(keys, values, "indicator", "value")
+    problem = F.when(is_special("value"), "not finite").when(F.col("value").isNull() & ~F.coalesce(declared, F.lit(False)), "missing")
+    return long.withColumn("problem", problem).where("problem is not null").select(*keys, "indicator", "problem", F.lit(context).alias("context"), F.lit(action).alias("action"))

@@ -106,7 +106,7 @@ def truncated(df: DataFrame, value: str, allowed: DataFrame | None = None, keys:
         wrong = exact_set_errors(ledger, allowed, keys)
         if not wrong.isEmpty():
             raise ValueError(f"negative {value} outside the allow-list: {[r.asDict() for r in wrong.orderBy(*keys).limit(3).collect()]}")
-    return df.withColumn(value, F.greatest(F.col(value), F.lit(0.0))), ledger
+    return df.withColumn(value, F.when(F.col(value) < 0, 0.0).otherwise(F.col(value))), ledger
 
 
 def exact_set_errors(observed: DataFrame, expected: DataFrame, keys: list[str], value: str | None = None, tolerance: float = 0.0) -> DataFrame:
@@ -138,3 +138,29 @@ def laspeyres(basket: DataFrame, prices: DataFrame, base_year: int) -> DataFrame
     p = prices.select("year", F.col("country").alias("o_country"), F.col("sector").alias("o_sector"), "price")
     level = p.join(fixed, ["o_country", "o_sector"]).groupBy("year", F.col("d_country").alias("country")).agg(F.sum(F.col("basket") * F.col("price")).alias("index"))
     return rebased(level, "index", ["country"], base_year)
+
+
+def sanitised_stock(stock: DataFrame, pinned: DataFrame, row: str, tolerance: float = 1e-9) -> DataFrame:
+    """Negative stocks, which must be exactly the pinned ones (year, country, sector, stock), become 0; a
+    missing stock outside the rest of the world aborts, and one there stays missing."""
+    keys = ["year", "country", "sector"]
+    wrong = exact_set_errors(stock.where("stock < 0"), pinned, keys, "stock", tolerance)
+    if not wrong.isEmpty():
+        raise ValueError(f"negative stocks are not the pinned ones: {[r.asDict() for r in wrong.orderBy(*keys).limit(3).collect()]}")
+    missing = F.raise_error(F.lit("missing capital stock")).cast("double")
+    return stock.withColumn("stock", F.when(F.col("stock").isNull() & (F.col("country") != row), missing).when(F.col("stock") < 0, 0.0).otherwise(F.col("stock")))
+
+
+def strict_allocation(weights: DataFrame, stock: DataFrame, fallback: DataFrame, allowed: DataFrame, tolerance: float = 1e-10) -> DataFrame:
+    """``allocate`` that takes no negative weight, uses the fallback for exactly the ``allowed`` columns
+    (year, d_country, d_sector), and gives back every stock within the relative tolerance."""
+    s = stock.select("year", F.col("country").alias("d_country"), F.col("sector").alias("d_sector"), "stock")
+    weighted = weights.groupBy(*COLUMN).agg(F.sum("weight").alias("total")).where("total <> 0")
+    wrong = exact_set_errors(s.where("stock <> 0").join(weighted, COLUMN, "left_anti"), allowed, COLUMN)
+    if not wrong.isEmpty():
+        raise ValueError(f"columns without weight are not the allowed ones: {[r.asDict() for r in wrong.orderBy(*COLUMN).limit(3).collect()]}")
+    out = allocate(weights, stock, fallback, strict=True)
+    lost = conservation_errors(out, stock, tolerance)
+    if not lost.isEmpty():
+        raise ValueError(f"stock not conserved: {[r.asDict() for r in lost.limit(3).collect()]}")
+    return out

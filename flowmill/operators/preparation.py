@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowmill.operators.capital import exact_set_errors
+
 
 def long_years(wide: DataFrame, keys: list[str], drop_code: str | None = "TOT", code: str = "code", prefix: str = "_") -> DataFrame:
     """One row per year from year columns; the total's rows are dropped."""
@@ -93,3 +95,16 @@ def euro_members(rates: DataFrame, members: DataFrame) -> DataFrame:
     euro = rates.where("country = 'EUR'").select("year", F.col("rate").alias("euro"))
     joined = rates.join(F.broadcast(members), "country", "left").join(F.broadcast(euro), "year", "left")
     return joined.withColumn("rate", F.when(F.col("year") >= F.col("start"), F.col("euro")).otherwise(F.col("rate"))).select(*rates.columns)
+
+
+def with_io_rows(long: DataFrame, io: DataFrame, rows: dict[str, str]) -> DataFrame:
+    """Adds variables that stand as rows below a flow table: ``rows`` maps a row's label to the variable.
+    ``long``: (year, country, code, variable, value)."""
+    named = F.create_map(*(F.lit(x) for kv in rows.items() for x in kv))
+    extra = io.where(F.col("o_sector").isin(list(rows))).groupBy("year", F.col("d_country").alias("country"), F.col("d_sector").alias("code"), named[F.col("o_sector")].alias("variable")).agg(F.sum("value").alias("value"))
+    return long.unionByName(extra)
+
+
+def negatives_apart(df: DataFrame, value: str, pinned: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Negative cells that differ from the pinned ones: (keys, problem)."""
+    return exact_set_errors(df.where(F.col(value) < 0), pinned, keys, value, tolerance)

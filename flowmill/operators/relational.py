@@ -153,3 +153,15 @@ def placed(df: DataFrame, groups: list[str], within: list[str], name: str = "pla
         on = on & F.col(g).eqNullSafe(F.col(f"{g}_"))
     number = F.row_number().over(W.partitionBy(*groups).orderBy(*within))
     return df.withColumn(name, number).join(before, on).withColumn(name, (F.col(name) + F.col("before")).cast("int")).select(*df.columns, name)
+
+
+def side_by_side(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of two results; columns that both have get the suffixes _x and _y."""
+    shared = [c for c in a.columns if c in b.columns and c not in keys]
+    named = lambda df, end: df.select(*keys, *(F.col(c).alias(f"{c}{end}" if c in shared else c) for c in df.columns if c not in keys))
+    return named(a, "_x").join(named(b, "_y"), keys, "left")
+
+
+def first_examples(rows: DataFrame, groups: list[str], order: list[str], n: int = 3) -> DataFrame:
+    """The first n rows of each group, for error reports."""
+    return rows.withColumn("rn", F.row_number().over(W.partitionBy(*groups).orderBy(*order))).where(F.col("rn") <= n).drop("rn")

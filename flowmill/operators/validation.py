@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowmill.operators.capital import exact_set_errors
+
 EPS = 2.0**-52
 
 
@@ -93,3 +95,24 @@ def ledger(*rows: DataFrame) -> DataFrame:
 
 def failures(rows: DataFrame) -> DataFrame:
     return rows.where("status <> 'passed'")
+
+
+def lambda_fingerprints(lam: DataFrame, published: DataFrame, column: str = "value_m_mv") -> DataFrame:
+    """(year, status): whether labels and values of a year, each written with 17 digits, have the MD5 of the
+    published ones. One value per label and year, so a group is of label size."""
+
+    def marks(df: DataFrame, value: str, name: str) -> DataFrame:
+        line = F.concat_ws("\t", "country", "sector", F.format_string("%.17g", F.col(value)))
+        return df.groupBy("year").agg(F.md5(F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias(name))
+
+    both = marks(lam, "lam", "own").join(marks(published, column, "theirs"), "year", "full")
+    return both.select("year", F.when(F.col("own").eqNullSafe(F.col("theirs")), "passed").otherwise("failed").alias("status"))
+
+
+def round_trip(artifact: str, wanted: DataFrame, staged: DataFrame | None, keys: list[str], value: str) -> DataFrame:
+    """(artifact, rows, missing, unexpected, different) of a staged result against what was computed; a
+    result that wasn't staged lacks all its rows."""
+    staged = wanted.limit(0) if staged is None else staged
+    off = exact_set_errors(staged, wanted, keys, value)
+    counts = off.agg(*(F.count_if(F.col("problem") == p).alias(p) for p in ("missing", "unexpected", "different")))
+    return wanted.agg(F.lit(artifact).alias("artifact"), F.count("*").alias("n")).crossJoin(counts)  # one row each

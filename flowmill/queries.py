@@ -217,17 +217,20 @@ def o67_lambda_on_flows(s, d):
     return rounded(flows.with_lambda(e.flows, r.lam), 6, "worth").drop("value")
 
 
-@q("select l.l_orderkey as key, case when l.l_orderkey is null then 'right' else 'left' end as only from (select distinct l_orderkey from lineitem where l_quantity > 49) l full join (select distinct o_orderkey from orders where o_totalprice > 450000) o on l_orderkey = o_orderkey where o_orderkey is null union all select o_orderkey, 'right' from (select distinct o_orderkey from orders where o_totalprice > 450000) o where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 49)")
+@q("with a as (select distinct l_orderkey as key, year(l_shipdate) as year from lineitem), b as (select o_orderkey as key, year(o_orderdate) as year from orders) select coalesce(a.key, b.key) as key, coalesce(a.year, b.year)::int as year, case when a.key is null then 'right' else 'left' end as only from a full join b on a.key = b.key and a.year = b.year where a.key is null or b.key is null")
 def o70_bijection(s, d):
-    a = market.read(s, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("key")).distinct()
-    b = market.read(s, d, "orders").where("o_totalprice > 450000").select(F.col("o_orderkey").alias("key")).distinct()
-    return relational.unmatched(a, b, ["key"])
+    """Orders by the years in which they were placed and shipped."""
+    a = market.read(s, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.year("l_shipdate").alias("year")).distinct()
+    b = market.read(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.year("o_orderdate").alias("year"))
+    return relational.unmatched(a, b, ["key", "year"])
 
 
-@q("with o as (select s_suppkey, s_acctbal from supplier where s_acctbal < 2000), e as (select s_suppkey, s_acctbal + s_suppkey % 2 as s_acctbal from supplier where s_acctbal < 1500 or s_suppkey % 10 = 0) select coalesce(o.s_suppkey, e.s_suppkey) as s_suppkey, case when e.s_suppkey is null then 'unexpected' when o.s_suppkey is null then 'missing' else 'different' end as problem from o full join e using (s_suppkey) where e.s_suppkey is null or o.s_suppkey is null or abs(o.s_acctbal - e.s_acctbal) > 1e-9 * greatest(1.0, abs(e.s_acctbal))")
+@q("with e as (select case when s_acctbal < 0 then -s_suppkey else s_suppkey end as s_suppkey, s_acctbal + case when s_nationkey < 10 then 1 else 0 end as s_acctbal from supplier) select coalesce(o.s_suppkey, e.s_suppkey) as s_suppkey, case when e.s_suppkey is null then 'unexpected' when o.s_suppkey is null then 'missing' else 'different' end as problem from supplier o full join e on o.s_suppkey = e.s_suppkey where e.s_suppkey is null or o.s_suppkey is null or abs(o.s_acctbal - e.s_acctbal) > 1e-9 * greatest(1.0, abs(e.s_acctbal))")
 def o71_exact_set(s, d):
+    """Planted: other keys for suppliers in debt, other values for some nations."""
     t = market.read(s, d, "supplier")
-    return capital.exact_set_errors(t.where("s_acctbal < 2000"), t.where("s_acctbal < 1500 or s_suppkey % 10 = 0").withColumn("s_acctbal", F.col("s_acctbal") + F.col("s_suppkey") % 2), ["s_suppkey"], "s_acctbal", 1e-9)
+    changed = t.select(F.expr("if(s_acctbal < 0, -s_suppkey, s_suppkey)").alias("s_suppkey"), F.expr("s_acctbal + if(s_nationkey < 10, 1, 0)").alias("s_acctbal"))
+    return capital.exact_set_errors(t, changed, ["s_suppkey"], "s_acctbal", 1e-9)
 
 
 # ---------------------------------------------------------------- aggregations
@@ -886,8 +889,10 @@ def a9_conversion(s, d):
 
 @q(BASE + " select country, sector as code, year, gdp_us as value from acc where sector <> 'S0'")
 def p1_long_years(s, d):
-    wide = market.accounts(s, d).groupBy("country", F.col("sector").alias("code")).pivot("year", list(range(1990, 2005))).agg(F.first("gdp_us"))
-    wide = wide.select("country", "code", *(F.col(str(y)).alias(f"_{y}") for y in range(1990, 2005)))
+    a = market.accounts(s, d)
+    years = [r.year for r in a.select("year").distinct().orderBy("year").collect()]
+    wide = a.groupBy("country", F.col("sector").alias("code")).pivot("year", years).agg(F.first("gdp_us"))
+    wide = wide.select("country", "code", *(F.col(str(y)).alias(f"_{y}") for y in years))
     return preparation.long_years(wide, ["country", "code"], "S0").where("value is not null")
 
 

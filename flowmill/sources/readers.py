@@ -62,7 +62,7 @@ def override(base: DataFrame, later: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def years_of(spark: SparkSession, path: str) -> list[int]:
-    """Years from the partition folders alone; no data is read."""
+    """Years of a table partitioned by year: only the partition column is read."""
     return sorted(int(r.year) for r in spark.read.parquet(path).select("year").distinct().collect())
 
 
@@ -81,21 +81,15 @@ def coefficients_file(spark: SparkSession, path: str, sectors: list[str], years:
     return out
 
 
-def file_sha256(path: str | Path) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            h.update(block)
-    return h.hexdigest()
-
-
 def check_file(path: str | Path, size: int | None = None, digest: str | None = None, algorithm: str = "sha256", validator=None) -> None:
     """Exact size, digest and an own test of a landed file."""
     p = Path(path)
     if size is not None and p.stat().st_size != size:
         raise ValueError(f"{p.name}: {p.stat().st_size} bytes, not {size}")
-    if digest is not None and hashlib.new(algorithm, p.read_bytes()).hexdigest() != digest:
-        raise ValueError(f"{p.name}: wrong {algorithm}")
+    if digest is not None:
+        with open(p, "rb") as f:
+            if hashlib.file_digest(f, algorithm).hexdigest() != digest:
+                raise ValueError(f"{p.name}: wrong {algorithm}")
     if validator is not None:
         validator(p)
 
@@ -156,5 +150,27 @@ def _meta(df: DataFrame) -> dict:
 
 
 def write_result_csv(df: DataFrame, path: str) -> None:
-    """One UTF-8 file with semicolons, for result tables of label size."""
-    df.coalesce(1).write.mode("error").csv(path, sep=";", header=True, encoding="UTF-8")
+    """One UTF-8 file with semicolons, for result tables of label size, compared after reading it back."""
+    text = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns))
+    text.coalesce(1).write.mode("error").csv(path, sep=";", header=True, encoding="UTF-8")
+    back = df.sparkSession.read.csv(path, sep=";", header=True, schema=text.schema, encoding="UTF-8")
+    if _meta(back) != _meta(text):
+        raise ValueError(f"{path}: what was written differs from what was read back")
+
+
+def artifact_errors(spark: SparkSession, path: str, patterns: list[str], manifest: list[str]) -> DataFrame:
+    """(file, problem) of the files below ``path`` that match a pattern against the manifest's names.
+    Files are listed; their contents aren't read."""
+    found = None
+    for p in patterns:
+        part = spark.read.format("binaryFile").option("pathGlobFilter", p).option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+        found = part if found is None else found.unionByName(part)
+    wanted = spark.createDataFrame([(m,) for m in manifest], "file string")
+    both = found.distinct().withColumn("have", F.lit(True)).join(wanted.withColumn("want", F.lit(True)), "file", "full")
+    return both.where("have is null or want is null").select("file", F.when(F.col("have").isNull(), "missing").otherwise("not in manifest").alias("problem"))
+
+
+def append_report(rows: DataFrame, path: str) -> DataFrame:
+    """Appends anomaly rows to a Parquet report and returns the whole report."""
+    rows.write.mode("append").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
