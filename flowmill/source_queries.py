@@ -171,7 +171,7 @@ def o167_sanitised_stock(s, d):
 
 _simple("i02_skill_share", "share_hs", "hours_hs / hours_emp", places=9)
 _X = "(sum(gdp_us * (1 + length(country) / 10.0)) over (partition by year, country) / sum(gdp_us) over (partition by year, country))"
-_simple("i10_capital_stock_listed", "capital_us", f"greatest(capital - 5000, 0) / {_X}", lambda t: _lcu(t).withColumn("k_gfcf", F.greatest(F.col("capital") - 5000, F.lit(0.0))).withColumn("gfcf_p", F.lit(1.0)), 7)
+_simple("i10_capital_stock_listed", "capital_us", f"greatest(capital - 5000, 0) * 1.2345678 / {_X}", lambda t: _lcu(t).withColumn("k_gfcf", F.greatest(F.col("capital") - 5000, F.lit(0.0))).withColumn("gfcf_p", F.lit(1.2345678)), 4)
 
 
 @q(BASE + " select a.year, a.country, a.sector, case when a.country = 'AFRICA' then round(a.capital * (1 + (a.year - 1995) * 0.1) / (1 + (a.year - 1995) * 0.05), 6) end as capital_cu from acc a")
