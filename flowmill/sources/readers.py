@@ -150,7 +150,8 @@ def _meta(df: DataFrame) -> dict:
 
 
 def write_result_csv(df: DataFrame, path: str) -> None:
-    """One UTF-8 file with semicolons, for result tables of label size, compared after reading it back."""
+    """One UTF-8 file with semicolons, for result tables of label size, compared after reading it back.
+    Missing cells are empty, so a table with empty texts, which would come back as missing, is refused."""
     text = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns))
     text.coalesce(1).write.mode("error").csv(path, sep=";", header=True, encoding="UTF-8")
     back = df.sparkSession.read.csv(path, sep=";", header=True, schema=text.schema, encoding="UTF-8")
