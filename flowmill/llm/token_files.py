@@ -197,6 +197,11 @@ class Segment:
 LATIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
+def is_word(text: str) -> bool:
+    """``LATIN_WORD`` matches all of it."""
+    return text.isalpha() if text.isascii() else LATIN_WORD.fullmatch(text) is not None
+
+
 def byte_letters() -> list[str]:
     """The letters by which byte-level vocabularies write the 256 bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -209,7 +214,7 @@ class ChunkEncoder(dict):
 
     The pre-tokenizer of a byte-level vocabulary never joins text across a space that stands
     between two other characters, so such chunks can be encoded apart and remembered; a memory
-    beyond ``most`` entries is emptied. Plain words go to the library's model at once, anything else
+    beyond ``most`` entries is emptied, and chunks of two parts are put together anew. Plain words go to the library's model at once, anything else
     through its whole chain.
     """
 
@@ -229,6 +234,8 @@ class ChunkEncoder(dict):
         #: Added tokens that reach over a space or into plain words rule chunks out.
         self.chunked = not any(t.lstrip or t.rstrip or t.single_word or LATIN_WORD.search(t.content[:1]) or any(c.isspace() for c in t.content) for t in added)
 
+        self.line_break = self.whole("\n")
+
     def pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
 
@@ -237,22 +244,24 @@ class ChunkEncoder(dict):
 
     def word(self, text: str) -> bytes:
         """A word of Latin letters, with a space before it or none: one pre-token."""
-        return self.pack([t.id for t in self.model.tokenize(text.translate(LATIN_BYTES).translate(self.letters))])
+        letters = text.replace(" ", self.letters[32]) if text.isascii() else text.translate(LATIN_BYTES).translate(self.letters)
+        return self.pack([t.id for t in self.model.tokenize(letters)])
 
     def __missing__(self, chunk: str) -> bytes:
-        if LATIN_WORD.fullmatch(chunk):
+        if is_word(chunk):
             out = self.word(" " + chunk)
         elif chunk[0] == " ":  # a word without a space before it; no chunk has a space itself
-            out = self.word(chunk[1:]) if LATIN_WORD.fullmatch(chunk, 1) else self.whole(chunk[1:])
-        elif (m := WORD_AND_END.fullmatch(chunk)) is not None:
-            out = self[m[1]] + self[" " + m[2]]
+            out = self.word(chunk[1:]) if is_word(chunk[1:]) else self.whole(chunk[1:])
+        elif chunk[-1] in SIGNS and is_word(chunk[:-1]):  # made of remembered parts, not remembered
+            return self[chunk[:-1]] + self[" " + chunk[-1]]
         elif (m := OVER_LINES.fullmatch(chunk)) is not None:
-            out = self[m[1]] + self.whole("\n") + self[" " + m[2]]
+            return self[m[1]] + self.line_break + self[" " + m[2]]
         else:
             out = self.whole(" " + chunk)
-        if len(self) >= self.most:
-            self.clear()
-        self[chunk] = out
+        if len(chunk) <= 100:  # longer ones would make the memory large and seldom come again
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = out
         return out
 
     def ids(self, text: str) -> bytes:
@@ -261,13 +270,14 @@ class ChunkEncoder(dict):
         chunks = text.split(" ")
         if not self.chunked or "" in chunks or any(c in text and (" " + c in text or c + " " in text) for c in ODD_SPACE):
             return self.whole(text)
-        return self.whole(chunks[0]) + b"".join(map(self.__getitem__, chunks[1:]))
+        chunks[0] = " " + chunks[0]  # the way a chunk without a space before it is remembered
+        return b"".join(map(self.__getitem__, chunks))
 
 
 #: White space other than space; where it meets a space, chunks are not independent.
 ODD_SPACE = "\n\r\t\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0" + "".join(chr(c) for c in range(0x1680, 0x3001) if chr(c).isspace())
-#: A word and one sign; text over one line break. Their parts are pre-tokens of their own.
-WORD_AND_END = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)])")
+#: Signs after a word; text over one line break. Their parts are pre-tokens of their own.
+SIGNS = frozenset(".,;:!?)")
 OVER_LINES = re.compile("([^\\s]+)\n([^\\s]+)")
 #: Latin-1 letters as the one or two letters that stand for their UTF-8 bytes.
 LATIN_BYTES = {c: chr(c).encode().decode("latin-1") for c in range(0xC0, 0x100)}
