@@ -110,8 +110,32 @@ def op10_tool_calls(spark, sf_dir):
     return formatted(table(spark, sf_dir, "conversations"), schemas={}, pair_turns=True)
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    from flowmill.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_exact_duplicates(spark, sf_dir):
+    from flowmill.llm.exact import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_vector_codes(spark, sf_dir):
+    from flowmill.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def _oracles():
-    from flowmill.llm import mixing, tool_calls
+    from flowmill.llm import exact, mixing, tool_calls, vector_codes
+
+    ORACLE["op12_exact_duplicates"] = exact.ORACLE
+    ORACLE["op13_vector_codes"] = vector_codes.oracle()
 
     ORACLE["op10_tool_calls"] = tool_calls.ORACLE
     ORACLE["op2_mixing"] = mixing.oracle(share=0.5, rounds=12)
