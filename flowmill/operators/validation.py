@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.operators.capital import exact_set_errors
+from flowmill.operators.leontief import contract_errors, for_method, year_fingerprints
 
 EPS = 2.0**-52
 
@@ -85,8 +86,10 @@ def in_range(df: DataFrame, value: str, low: float = 0.0) -> DataFrame:
 
 
 def diagnostics_profile(diagnostics: DataFrame) -> DataFrame:
-    bad = F.when((F.col("status") == "ok") & (F.col("rcond_inf") >= F.col("rcond_min")) & (F.col("backward_normwise") <= F.col("allowed_backward")) & F.col("certificate_ok"), 0.0).otherwise(1.0)
-    return check(diagnostics, "diagnostics", "method-year", bad, F.lit(1), 0.0)
+    """A method-year fails if its row says so or breaks the contract of published rows."""
+    broken = contract_errors(for_method(diagnostics, "any")).select("year").distinct().withColumn("broken", F.lit(True))
+    bad = F.when((F.col("status") == "ok") & F.col("broken").isNull(), 0.0).otherwise(1.0)
+    return check(diagnostics.join(broken, "year", "left"), "diagnostics", "method-year", bad, F.lit(1), 0.0)
 
 
 def ledger(*rows: DataFrame) -> DataFrame:
@@ -99,14 +102,9 @@ def failures(rows: DataFrame) -> DataFrame:
 
 def lambda_fingerprints(lam: DataFrame, published: DataFrame, column: str = "value_m_mv") -> DataFrame:
     """(year, status): whether labels and values of a year, each written with 17 digits, have the MD5 of the
-    published ones. One value per label and year, so a group is of label size."""
-
-    def marks(df: DataFrame, value: str, name: str) -> DataFrame:
-        line = F.concat_ws("\t", "country", "sector", F.format_string("%.17g", F.col(value)))
-        return df.groupBy("year").agg(F.md5(F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias(name))
-
-    both = marks(lam, "lam", "own").join(marks(published, column, "theirs"), "year", "full")
-    return both.select("year", F.when(F.col("own").eqNullSafe(F.col("theirs")), "passed").otherwise("failed").alias("status"))
+    published ones."""
+    own, theirs = year_fingerprints(lam, "lam"), year_fingerprints(published, column).withColumnRenamed("mark", "theirs")
+    return own.join(theirs, "year", "full").select("year", F.when(F.col("mark").eqNullSafe(F.col("theirs")), "passed").otherwise("failed").alias("status"))
 
 
 def round_trip(artifact: str, wanted: DataFrame, staged: DataFrame | None, keys: list[str], value: str) -> DataFrame:

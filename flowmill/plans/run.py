@@ -56,6 +56,7 @@ class Results:
     lam: DataFrame
     coefficients: DataFrame
     labour: DataFrame
+    diagnostics: DataFrame | None = None
 
 
 def sum_of(name: str) -> Binding:
@@ -133,19 +134,27 @@ def depreciation(e: Economy, method: Method) -> DataFrame | None:
     return capital.depreciation(*e.capital, year_offset=method.year_offset)
 
 
-def matrices(e: Economy, method: Method, t: DataFrame, lam: DataFrame | None = None):
+def system(e: Economy, method: Method, t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Coefficients with row and column numbers, and labour requirements."""
+    labour = kept(leontief.labelled(leontief.direct_labour(t, "abstract_emp_mv", e.output, e.productive)), "labour")
+    return leontief.system(leontief.input_flows(e.flows, depreciation(e, method)), labour), labour
+
+
+def matrices(e: Economy, method: Method, t: DataFrame):
     """Coefficients, labour requirements, lambda, valued flows with transfers, and the same summed by
-    destination country. Lambda (a row for each industry and year) and the sums are kept: every later
+    destination country. The solution (a row for each industry and year) is kept."""
+    c, labour = system(e, method, t)
+    lam = leontief.lambda_of(kept(leontief.solution(c, labour), "solution"))
+    return c, labour, lam, *revalued(e, lam)
+
+
+def revalued(e: Economy, lam: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valued flows with transfers, and the same summed by destination country. The sums are kept: every later
     table is made from them, and none from the valued cells again."""
-    z = leontief.input_flows(e.flows, depreciation(e, method))
-    x = t.select("year", "country", "sector", F.col(e.output).alias("x"))
-    c = leontief.coefficients(z, x, e.productive)
-    labour = leontief.direct_labour(t, "abstract_emp_mv", e.output, e.productive)
-    lam = kept(leontief.solve(c, labour), "lambda") if lam is None else lam
     valued = flows.with_lambda(e.flows, lam)
     sums = kept(flows.by_destination(valued), "traded")
     bf = flows.balance_factor(sums, e.productive(F.col("o_sector")))
-    return c, labour, lam, flows.with_transfers(valued, bf), flows.with_transfers(sums, bf)
+    return flows.with_transfers(valued, bf), flows.with_transfers(sums, bf)
 
 
 def from_matrices(e: Economy, t: DataFrame, lam: DataFrame, traded: DataFrame, basket: str) -> DataFrame:
@@ -171,10 +180,12 @@ def calculate(e: Economy, method: Method, last: tuple[str, ...] = LAST, allow_ex
     """A full calculation; disabled methods are refused, experimental ones without consent."""
     admitted([method.name], operation, allow_experimental, {method.name: method})
     t = prepared(e, method)
-    c, labour, lam, valued, traded = matrices(e, method, t)
+    c, labour = system(e, method, t)
+    solved = kept(leontief.solution(c, labour), "solution")
+    lam, (valued, traded) = leontief.lambda_of(solved), revalued(e, leontief.lambda_of(solved))
     t = kept(indicators.with_indicators(kept(from_matrices(e, t, lam, traded, method.basket), "matrices"), list(last), MULTIPLIER), "sectors")
     countries = rollup.two_levels(t, {n: sum_of(n) for n in ADDITIVE}, formulas())
-    return Results(t, flows.reduced(traded, e.productive(F.col("o_sector"))), countries, valued, lam, c, labour)
+    return Results(t, flows.reduced(traded, e.productive(F.col("o_sector"))), countries, valued, lam, c, labour, leontief.diagnostics_of(solved))
 
 
 def recalculate(e: Economy, method: Method, parent: DataFrame, at_stage: int, names: tuple[str, ...] = (), allow_experimental: bool = False) -> DataFrame:
@@ -194,7 +205,7 @@ def recalculate(e: Economy, method: Method, parent: DataFrame, at_stage: int, na
     if at_stage == 4:
         lam = parent.select("year", "country", "sector", F.col("value_m_mv").alias("lam"))
         t = prepared(e, method)
-        fresh = indicators.with_indicators(from_matrices(e, t, lam, matrices(e, method, t, lam)[4], method.basket), list(LAST), MULTIPLIER)
+        fresh = indicators.with_indicators(from_matrices(e, t, lam, revalued(e, lam)[1], method.basket), list(LAST), MULTIPLIER)
     else:
         early = [n for n in names if indicators.REGISTRY[n].stage < 5]
         if early:

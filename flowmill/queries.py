@@ -44,9 +44,10 @@ def q(sql: str | None = None):
 
 
 def economy(spark: SparkSession, sf_dir: str, grain: str = "region") -> plan.Economy:
-    """The aggregates are read by many branches of a calculation and have the size of label tables
-    (years x industries^2), so they are kept."""
-    return plan.Economy(kept(market.flows(spark, sf_dir, grain), "flows"), kept(market.accounts(spark, sf_dir, grain), "accounts"), market.productive)
+    """One pass over the facts gives the cells, which are kept (years x industries^2 rows at most); flows and
+    accounts are made from them. The accounts, which many branches read, are kept too."""
+    cells = kept(market.cells(spark, sf_dir, grain), "cells")
+    return plan.Economy(market.flows_of(cells), kept(market.accounts_of(cells), "accounts"), market.productive)
 
 
 def sector_labels(acc: DataFrame) -> DataFrame:
@@ -502,18 +503,50 @@ def o144_lambda(s, d):
     return rounded(_lam(s, d)[3], 9, "lam")
 
 
-@q()
-def o150_diagnostics(s, d):
-    _, c, labour, _, _ = _lam(s, d)
-    return leontief.diagnose(c, labour)
+def _diagnosed(s, d):
+    e = economy(s, d)
+    c, labour = plan.system(e, METHODS["wiodr13"], plan.prepared(e, METHODS["wiodr13"]))
+    return kept(leontief.solution(c, labour), "solution")
 
 
-@q(LAM + ", e as (select a.year, a.i_c, a.i_s, a.j_c, a.j_s, sum(a.a) as a from a group by all), m as (select year, j_c, j_s, sum(case when i_c = j_c and i_s = j_s then abs(1 - a) else abs(a) end) as size from e group by all), nm as (select year, max(size) as norm_inf from m group by year), cs as (select year, count(*) filter (a < 0) as c_negative, max(a) as c_max from e group by year), ls as (select year, count(*)::int as n, min(hours / x) as l_min, max(hours / x) as l_max from x group by year), vs as (select year, min(lam) as lambda_min, max(lam) as lambda_max from lam where sector <> 'S4' group by year) select year, n, c_negative, round(c_max, 9) as c_max, round(l_min, 9) as l_min, round(l_max, 9) as l_max, round(lambda_min, 9) as lambda_min, round(lambda_max, 9) as lambda_max, round(norm_inf, 9) as norm_inf, 'ok' as status from ls join cs using (year) join vs using (year) join nm using (year)")
+@q()
+def o150_diagnostics(s, d):
+    """The published table: 47 columns."""
+    return leontief.for_method(leontief.diagnostics_of(_diagnosed(s, d)), "wiodr13")
+
+
+#: Columns of the diagnostics that SQL can express: what rounding errors alone decide is left out.
+_TOLD = ("total_dimension", "productive_dimension", "refinement_count", "coefficient_count", "coefficient_zero_count", "coefficient_negative_count", "coefficient_nonfinite_count", "gross_output_count", "gross_output_zero_count", "gross_output_nonfinite_count", "labour_zero_count", "labour_negative_count", "labour_nonfinite_count", "lambda_zero_count", "lambda_negative_count", "lambda_nonfinite_count")
+_ROUNDED = ("rcond", "coefficient_min", "coefficient_max", "labour_min", "labour_max", "lambda_min", "lambda_max", "certificate_rcond", "certificate_margin", "certificate_ratio_upper")
+_DIAGNOSED = LAM + """,
+e as (select year, i_c, i_s, j_c, j_s, sum(a) as a from a group by all),
+zs(k, year, country, sector, z) as (select 0, year, country, sector, 1.0::double from x union all select k + 1, a.year, a.j_c, a.j_s, 1 + sum(a.a * zs.z) from zs join a on zs.year = a.year and zs.country = a.i_c and zs.sector = a.i_s where k < 150 group by k, a.year, a.j_c, a.j_s),
+zr as (select year, max(z) as top, max((z - 1) / z) as ratio from zs where k = 150 group by year),
+mr as (select year, max(size) as norm from (select year, j_c, j_s, sum(case when i_c = j_c and i_s = j_s then abs(1 - a) else abs(a) end) as size from e group by all) group by year),
+cs as (select year, count(*) filter (a <> 0) as filled, count(*) filter (a < 0) as neg, max(a) as high from e group by year),
+ac as (select year, count(*) as t, count(*) filter (sector <> 'S4') as p, count(*) filter (go_us = 0) as x0, min(go_us) as x_low, max(go_us) as x_high, count(*) filter (sector = 'S4' or hours_emp = 0) as l0,
+  min(case when sector = 'S4' then 0 else hours_emp / go_us end) as l_low, max(case when sector = 'S4' then 0 else hours_emp / go_us end) as l_high from acc group by year),
+vs as (select year, count(*) filter (lam = 0) as v0, count(*) filter (lam < 0) as vn, min(lam) as v_low, max(lam) as v_high from lam group by year)
+select 'wiodr13' as method, year, 'productivity_nonnegative' as certificate_type, t::int as total_dimension, p::int as productive_dimension, 0 as refinement_count, t * t as coefficient_count, t * t - filled as coefficient_zero_count, neg as coefficient_negative_count, 0::bigint as coefficient_nonfinite_count,
+  t as gross_output_count, x0 as gross_output_zero_count, 0::bigint as gross_output_nonfinite_count, x_low as gross_output_min, x_high as gross_output_max, l0 as labour_zero_count, 0::bigint as labour_negative_count, 0::bigint as labour_nonfinite_count, v0 as lambda_zero_count, vn as lambda_negative_count, 0::bigint as lambda_nonfinite_count,
+  round(1 / (norm * top), 9) as rcond, 0.0::double as coefficient_min, round(high, 9) as coefficient_max, round(l_low, 9) as labour_min, round(l_high, 9) as labour_max, round(v_low, 9) as lambda_min, round(v_high, 9) as lambda_max, round(1 / (norm * top), 9) as certificate_rcond, 1.0::double as certificate_margin, round(ratio, 9) as certificate_ratio_upper,
+  2.0::double ** -52 as machine_epsilon, p * 2.0::double ** -52 / (1 - p * 2.0::double ** -52) as gamma_n, 1e-8::double as forward_error_budget, 64 * 2.0::double ** -52 as refinement_trigger
+from ac join cs using (year) join vs using (year) join mr using (year) join zr using (year)"""
+
+
+@q(_DIAGNOSED)
 def o150_diagnostics_figures(s, d):
     """The figures of the diagnostics that SQL can express."""
-    _, c, labour, _, _ = _lam(s, d)
-    numbers = ["c_max", "l_min", "l_max", "lambda_min", "lambda_max", "norm_inf"]
-    return rounded(leontief.diagnose(c, labour).select("year", "n", "c_negative", *numbers, "status"), 9, *numbers)
+    r = leontief.for_method(leontief.diagnostics_of(_diagnosed(s, d)), "wiodr13")
+    return rounded(r.select("method", "year", "certificate_type", *_TOLD, "gross_output_min", "gross_output_max", *_ROUNDED, "machine_epsilon", "gamma_n", "forward_error_budget", "refinement_trigger"), 9, *_ROUNDED)
+
+
+@q("with recursive " + market.SQL_LAMBDA.replace("sr.r_name", "sn.n_name").replace("cr.r_name", "cn.n_name") + " select year, country, sector, round(lam, 9) as lam from lam")
+def o144_lambda_in_rounds(s, d):
+    """The solve by nation with no year in one task: rounds of a join and a sum over the cells."""
+    e = economy(s, d, "nation")
+    c, labour = plan.system(e, METHODS["wiodr13"], plan.prepared(e, METHODS["wiodr13"]))
+    return rounded(leontief.solve(c, labour, limit=1), 9, "lam")
 
 
 _NATIONS = market.SQL_LAMBDA.replace("sr.r_name", "sn.n_name").replace("cr.r_name", "cn.n_name")
@@ -954,7 +987,7 @@ def v_ledger(s, d):
     rows = validation.ledger(
         validation.structure(r.sectors, ["year", "country", "sector"], n), validation.recomputed(r.sectors, published, "gdp_us"), validation.recomputed_world(r.sectors, published, "gdp_us"),
         validation.zero_diagonal(r.bilateral, ["exports_values", "transfers_values"]), validation.transfers_cancel(r.bilateral), validation.column_sums(k, totals, "column_sums"),
-        validation.row_sums(r.valued, damaged), validation.in_range(r.lam, "lam"), validation.diagnostics_profile(leontief.diagnose(r.coefficients, r.labour)),
+        validation.row_sums(r.valued, damaged), validation.in_range(r.lam, "lam"), validation.diagnostics_profile(r.diagnostics),
     )
     return rows.select("check_id", "n", F.round("max_scaled", 6).alias("max_scaled"), "status")
 

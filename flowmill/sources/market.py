@@ -43,29 +43,45 @@ def lines(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
     return joined.withColumn("kind", kind).withColumn("d_sector", F.when(F.col("kind") == "final", HOUSEHOLDS).otherwise(sector))
 
 
-def flows(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
-    """io_flow(year, o_country, o_sector, d_country, d_sector, kind, value)."""
-    keys = ["year", "o_country", "o_sector", "d_country", "d_sector", "kind"]
-    return lines(spark, sf_dir, grain).groupBy(*keys).agg(F.sum(money("l_extendedprice")).cast("double").alias("value"))
+FLOW = ["year", "o_country", "o_sector", "d_country", "d_sector", "kind"]
+#: Bounds of the discount that set the two upper skills apart.
+HIGH, MIDDLE = 0.03, 0.07
 
 
-def accounts(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
-    """Socio-economic accounts per (year, country, sector), wide."""
+def cells(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
+    """All measures by flow cell: the only aggregation of the facts. Flows and accounts are sums of it, exact as it
+    holds decimals."""
     price, one = money("l_extendedprice"), F.lit(1).cast("decimal(18,2)")
-    net = price * (one - money("l_discount"))
+    discount, hours = money("l_discount"), money("l_quantity")
     pay = price * money("l_tax") * F.lit(8).cast("decimal(18,2)")
-    hours = money("l_quantity")
-    open_ = F.col("l_linestatus") == "O"
-    total = lambda c: F.sum(c).cast("double")
-    return lines(spark, sf_dir, grain).groupBy("year", F.col("o_country").alias("country"), F.col("o_sector").alias("sector")).agg(
-        total(price).alias("go_us"), total(net).alias("gdp_us"), F.count("*").cast("double").alias("emp"), F.sum(F.when(open_, 1).otherwise(0)).cast("double").alias("empe"),
-        total(hours).alias("hours_emp"), total(F.when(open_, hours).otherwise(0)).alias("hours_empe"), total(pay).alias("comp_emp"), total(F.when(open_, pay).otherwise(0)).alias("comp_empe"),
-        total(price * money("l_discount") * F.lit(20).cast("decimal(18,2)")).alias("capital"),
-        total(F.when(money("l_discount") < 0.03, hours).otherwise(0)).alias("hours_hs"), total(F.when((money("l_discount") >= 0.03) & (money("l_discount") < 0.07), hours).otherwise(0)).alias("hours_ms"),
-        total(F.when(money("l_discount") < 0.03, pay).otherwise(0)).alias("comp_hs"), total(F.when((money("l_discount") >= 0.03) & (money("l_discount") < 0.07), pay).otherwise(0)).alias("comp_ms"),
+    open_, high, middle = F.col("l_linestatus") == "O", discount < HIGH, (discount >= HIGH) & (discount < MIDDLE)
+    part = lambda cond, c: F.sum(F.when(cond, c).otherwise(F.lit(0)))
+    return lines(spark, sf_dir, grain).groupBy(*FLOW).agg(
+        F.sum(price).alias("go_us"), F.sum(price * (one - discount)).alias("gdp_us"), F.count("*").alias("emp"), F.count_if(open_).alias("empe"), F.sum(hours).alias("hours_emp"), part(open_, hours).alias("hours_empe"),
+        F.sum(pay).alias("comp_emp"), part(open_, pay).alias("comp_empe"), F.sum(price * discount * F.lit(20).cast("decimal(18,2)")).alias("capital"),
+        part(high, hours).alias("hours_hs"), part(middle, hours).alias("hours_ms"), part(high, pay).alias("comp_hs"), part(middle, pay).alias("comp_ms"),
     )
 
 
+def flows_of(cells: DataFrame) -> DataFrame:
+    """io_flow(year, o_country, o_sector, d_country, d_sector, kind, value)."""
+    return cells.select(*FLOW, F.col("go_us").cast("double").alias("value"))
+
+
+def accounts_of(cells: DataFrame) -> DataFrame:
+    """Socio-economic accounts per (year, country, sector), wide."""
+    names = [c for c in cells.columns if c not in FLOW]
+    return cells.groupBy("year", F.col("o_country").alias("country"), F.col("o_sector").alias("sector")).agg(*(F.sum(c).cast("double").alias(c) for c in names))
+
+
+def flows(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
+    return flows_of(cells(spark, sf_dir, grain))
+
+
+def accounts(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
+    return accounts_of(cells(spark, sf_dir, grain))
+
+
 def productive(sector: str | Column) -> Column:
     return ~(F.col(sector) if isinstance(sector, str) else sector).isin(*UNPRODUCTIVE)
 
