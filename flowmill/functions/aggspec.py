@@ -134,7 +134,7 @@ def resolve(rows: list[dict], stable: bool = True, allow_legacy: bool = False) -
     """A registry from contract rows (indicator, level, strategy, numerator, denominator, weight,
     zero_denominator, module).
 
-    Stable methods need a typed row at both levels; experimental ones may use plain sum or mean.
+    Stable methods need a typed row at both levels; experimental ones may use legacy means, with consent.
     Both levels agree on formula; a direct world rule may not rest on a formula's result.
     """
     by: dict[str, dict[str, AggSpec]] = {}
@@ -142,11 +142,12 @@ def resolve(rows: list[dict], stable: bool = True, allow_legacy: bool = False) -
         level = r["level"]
         if level not in ("country", "world") or level in by.setdefault(r["indicator"], {}):
             raise ValueError(f"bad or repeated level {level} of {r['indicator']}")
-        if not stable and not allow_legacy and r.get("legacy"):
-            raise ValueError(f"{r['indicator']}: legacy rule without consent")
+        legacy = r["strategy"] == "legacy_mean" or r.get("legacy")
+        if legacy and (stable or not allow_legacy):
+            raise ValueError(f"{r['indicator']}: a stable method takes typed rules alone" if stable else f"{r['indicator']}: legacy rule without consent")
         strategy = {"legacy_mean": "mean"}.get(r["strategy"], r["strategy"])
         fields = {k: r.get(k) or None for k in ("numerator", "denominator", "weight", "module")}
-        by[r["indicator"]][level] = AggSpec(strategy, None if strategy in ("ratio_of_sums", "not_applicable", "formula") else r["indicator"], zero=r.get("zero_denominator") or "error", **fields)
+        by[r["indicator"]][level] = AggSpec(strategy, None if strategy in ("ratio_of_sums", "not_applicable", "formula") else r["indicator"], missing=r.get("missing") or "available", zero=r.get("zero_denominator") or "error", **fields)
     formulas = {i for i, b in by.items() if any(s.strategy == "formula" for s in b.values())}
     for i, b in by.items():
         if set(b) != {"country", "world"}:

@@ -6,8 +6,10 @@ where amounts are added: price basis, base year, index base and, for local curre
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
+#: Base units (fixed values).
 BASES = ("USD", "LCU", "person", "hour", "labour_value")
 
 
@@ -71,15 +73,41 @@ class Unit:
         return replace(self, index_base=base)
 
 
-def check_aggregation(strategy: str, unit: Unit, numerator: Unit | None = None, denominator: Unit | None = None, across_countries: bool = False) -> Unit:
-    """The unit of a roll-up, or an error: sums need addable amounts (no index, no local currency
-    across countries); a ratio of sums must have the indicator's own unit."""
-    if strategy == "sum":
-        if unit.index_base is not None:
+def parsed(text: str) -> Unit:
+    """A unit from its text: ``1``, ``index:2000``, or bases with ``*`` and ``/`` in between; a base may carry
+    attributes, as in ``LCU@USA`` (scope), ``USD#current`` (price basis) or ``USD#constant:2000`` (and base year)."""
+    text = text.strip()
+    if text == "1":
+        return Unit.ratio()
+    if text.startswith("index:"):
+        return Unit.index(text[6:])
+    out, sign = None, 1
+    for part in re.split("([*/])", text):
+        if part in ("*", "/"):
+            sign = 1 if part == "*" else -1
+            continue
+        m = re.fullmatch(r"\s*(\w+)(?:@(\w+))?(?:#(\w+)(?::(\d+))?)?\s*", part)
+        if not m:
+            raise ValueError(f"bad unit {text!r}")
+        base = Unit.base(m[1], scope=m[2], price_basis=m[3], base_year=int(m[4]) if m[4] else None)
+        out = (base if sign > 0 else Unit() / base) if out is None else (out * base if sign > 0 else out / base)
+    return out
+
+
+def check_aggregation(strategy: str, unit: Unit, numerator: Unit | None = None, denominator: Unit | None = None, weight: Unit | None = None, across_countries: bool = False) -> Unit:
+    """The unit of a roll-up, or an error: sums need addable amounts (no index, no ratio, no local currency
+    across countries); a ratio of sums must have the indicator's own unit; weights must be addable."""
+    for u in (unit if strategy == "sum" else None, *((numerator, denominator) if strategy == "ratio_of_sums" else ()), weight if strategy == "weighted_mean" else None):
+        if u is None:
+            continue
+        if u.index_base is not None:
             raise ValueError("indices can't be summed")
-        if across_countries and unit.power("LCU"):
+        if not u.exponents:
+            raise ValueError("ratios can't be summed")
+        if across_countries and u.power("LCU"):
             raise ValueError("local currencies can't be summed across countries")
-        return unit
+    if strategy in ("mean", "weighted_mean") and across_countries and unit.power("LCU"):
+        raise ValueError("local currencies of different countries have no mean")
     if strategy == "ratio_of_sums":
         got = numerator / denominator
         if got.exponents != unit.exponents:

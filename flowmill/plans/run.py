@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from flowmill.functions.aggspec import AggSpec, Binding
 from flowmill.functions.keep import kept
-from flowmill.functions.safe import divide
 from flowmill.operators import assumptions as A
 from flowmill.operators import capital, flows, indicators, leontief, rollup
+from flowmill.plans import registry
 from flowmill.plans.config import Method, admitted
 
 STAGES = (1, 4, 5)
@@ -56,25 +56,14 @@ class Results:
     lam: DataFrame
     coefficients: DataFrame
     labour: DataFrame
-    diagnostics: DataFrame | None = None
+    diagnostics: DataFrame
+    rules: registry.Rules
 
 
 def sum_of(name: str) -> Binding:
     return Binding(name, AggSpec("sum", name), AggSpec("sum", name))
 
 
-def formulas() -> dict:
-    """Country and world formulas from totals."""
-    ratio = lambda a, b, minus=0.0: lambda: divide(a, b, "not_applicable") - F.lit(minus)
-    return {
-        "abstract_emp_m_mv": ratio("abstract_emp_mv", "emp"), "lfv_emp_m_mv": ratio("lfv_emp", "emp"), "surplus_emp": ratio("abstract_emp_mv", "lfv_emp", 1.0),
-        "value_m_mv": ratio("go_mv", "go_us"), "transfers_p_m_pc": ratio("transfers_p_mv", "gdp_mv"),
-    }
-
-
-ADDITIVE = ("go_us", "gdp_us", "emp", "hours_emp", "comp_emp", "abstract_emp_mv", "gdp_mv", "gdp_p_us", "go_mv", "lfv_emp", "exports_us", "exports_mv", "imports_us", "imports_mv", "transfers_mv", "transfers_p_mv", "balance_us", "balance_mv", "transfers_u_mv", "gdp_du", "go_du")
-
-
 def needed(value, what: str, method: Method):
     if value is None or value == ():
         raise ValueError(f"{method.name} needs {what}")
@@ -176,25 +165,41 @@ def from_matrices(e: Economy, t: DataFrame, lam: DataFrame, traded: DataFrame, b
 LAST = ("gdp_du", "go_du", "abstract_emp_m_mv", "lfv_emp_m_mv", "surplus_emp", "surplus_emp_p", "balance_us", "balance_mv", "transfers_u_mv", "transfers_p_m_pc")
 
 
-def calculate(e: Economy, method: Method, last: tuple[str, ...] = LAST, allow_experimental: bool = False, operation: str = "calculate") -> Results:
+#: What ``from_matrices`` adds to the sector table.
+FROM_FLOWS = ("go_mv", "exports_us", "exports_mv", "imports_us", "imports_mv", "transfers_mv", "transfers_p_mv", "lfv_emp", "value_m_mv")
+
+
+def ruled(e: Economy, method: Method, rows: list[dict] | None, last: tuple[str, ...], allow_experimental: bool) -> registry.Rules:
+    """The roll-up rules of a calculation; a missing level, an unknown operand or a wrong unit is an error, and no job has
+    run by then. ``rows``: of a registry file, the default one if none are given."""
+    found = registry.rules(registry.read_rows() if rows is None else rows, method.status == "stable", allow_experimental)
+    raw = {*e.accounts.columns, "productive", *FROM_FLOWS}
+    registry.checked(found, raw, [method.multiplier, "abstract_emp_mv", "gdp_mv", "gdp_p_us", *last], MULTIPLIER if method.multiplier not in MULTIPLIER else ())
+    return found
+
+
+def calculate(e: Economy, method: Method, last: tuple[str, ...] = LAST, allow_experimental: bool = False, operation: str = "calculate", rules: list[dict] | None = None) -> Results:
     """A full calculation; disabled methods are refused, experimental ones without consent."""
     admitted([method.name], operation, allow_experimental, {method.name: method})
+    found = ruled(e, method, rules, last, allow_experimental)
     t = prepared(e, method)
     c, labour = system(e, method, t)
     solved = kept(leontief.solution(c, labour), "solution")
     lam, (valued, traded) = leontief.lambda_of(solved), revalued(e, leontief.lambda_of(solved))
     t = kept(indicators.with_indicators(kept(from_matrices(e, t, lam, traded, method.basket), "matrices"), list(last), MULTIPLIER), "sectors")
-    countries = rollup.two_levels(t, {n: sum_of(n) for n in ADDITIVE}, formulas())
-    return Results(t, flows.reduced(traded, e.productive(F.col("o_sector"))), countries, valued, lam, c, labour, leontief.diagnostics_of(solved))
+    countries = rollup.two_levels(t, found.direct, {i: f.make for i, f in found.formulas.items()})
+    return Results(t, flows.reduced(traded, e.productive(F.col("o_sector"))), countries, valued, lam, c, labour, leontief.diagnostics_of(solved), found)
 
 
-def recalculate(e: Economy, method: Method, parent: DataFrame, at_stage: int, names: tuple[str, ...] = (), allow_experimental: bool = False) -> DataFrame:
-    """Sector results of a child run. Stage 1 starts over; stage 4 takes lambda from the parent's
+def recalculate(e: Economy, method: Method, parent: DataFrame, at_stage: int, names: tuple[str, ...] = (), allow_experimental: bool = False, sidecar: DataFrame | None = None) -> DataFrame:
+    """Sector results of a child run. ``sidecar``: the parent's stored rules, which must be those in force. Stage 1 starts over; stage 4 takes lambda from the parent's
     value_m_mv; stage 5 computes the named indicators (all, if none) from the parent's columns.
     Columns that are not named stay as they are."""
     admitted([method.name], "recalculate", allow_experimental, {method.name: method})
     if at_stage not in STAGES:
         raise ValueError(f"stage must be one of {STAGES}")
+    if sidecar is not None:
+        registry.reconciled(ruled(e, method, None, LAST, allow_experimental), sidecar)
     if at_stage == 1:
         if names:
             raise ValueError("stage 1 takes no indicator names")

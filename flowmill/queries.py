@@ -17,6 +17,7 @@ from flowmill.functions import safe
 from flowmill.functions.aggspec import AggSpec, Binding, aggregate
 from flowmill.functions.keep import kept
 from flowmill.operators import analytics, assumptions, capital, flows, indicators, leontief, preparation, relational, rollup, validation
+from flowmill.plans import registry
 from flowmill.plans import run as plan
 from flowmill.plans.config import admitted, methods
 from flowmill.sources import market
@@ -456,6 +457,40 @@ def o34_stacked_labels(s, d):
     return relational.stacked_labels({"country": a.select("country"), "sector": a.select("sector")})
 
 
+_SEVEN = BASE + """, a as (select *, comp_emp / hours_emp as pay, go_us / emp as share, 1995 + 0.0 as base_year from acc),
+c as (select year, country, sum(gdp_us) as gdp_us, avg(hours_emp) as hours_emp, sum(emp) as emp, sum(go_us) as go_us, sum(pay * emp) / sum(emp) as pay, sum(go_us) / sum(emp) as share, any_value(base_year) as base_year from a group by all),
+w as (select year, 'WWW' as country, sum(gdp_us) as gdp_us, avg(hours_emp) as hours_emp, sum(emp) as emp, sum(go_us) as go_us, sum(pay * emp) / sum(emp) as pay, sum(go_us) / sum(emp) as share, any_value(base_year) as base_year from c group by year),
+b as (select * from c union all by name select * from w)
+select year, country, round(gdp_us, 4) as gdp_us, round(hours_emp, 6) as hours_emp, round(pay, 9) as pay, round(share, 6) as share, base_year, null::double as gini, round(go_us / emp, 6) as per_person from b"""
+
+
+@q(_SEVEN)
+def o91_registry(s, d):
+    """One registry with all seven strategies at both levels, its units checked before the roll-up."""
+    one = [("gdp_us", "sum"), ("emp", "sum"), ("go_us", "sum"), ("hours_emp", "mean"), ("pay", "weighted_mean"), ("share", "ratio_of_sums"), ("base_year", "invariant"), ("gini", "not_applicable"), ("per_person", "formula")]
+    more = {"weighted_mean": {"weight": "emp"}, "ratio_of_sums": {"numerator": "go_us", "denominator": "emp"}, "formula": {"module": "output_per_person"}}
+    rows = [{"indicator": i, "level": level, "strategy": k, **more.get(k, {})} for i, k in one for level in ("country", "world")]
+    found = registry.rules(rows)
+    registry.checked(found, {"gdp_us", "emp", "go_us", "hours_emp"}, [], declared={"pay": "USD#current/hour", "share": "USD#current/person", "base_year": "1", "gini": "1"})
+    t = market.accounts(s, d).withColumns({"pay": F.col("comp_emp") / F.col("hours_emp"), "base_year": F.lit(1995.0)})
+    r = rollup.two_levels(t, found.direct, {i: f.make for i, f in found.formulas.items()})
+    return rounded(rounded(rounded(r, 4, "gdp_us"), 6, "hours_emp", "share", "per_person"), 9, "pay").select("year", "country", "gdp_us", "hours_emp", "pay", "share", "base_year", "gini", "per_person")
+
+
+_SIDECAR = BASE + """, r(indicator) as (select unnest(['abstract_emp_m_mv', 'value_m_mv'])) select indicator, 'formula' as strategy, (select count(distinct year) from acc) as years from r"""
+
+
+@q(_SIDECAR)
+def o92_sidecar(s, d):
+    """Formulas among a calculation's stored rules, reconciled with those in force, with the years they were applied to."""
+    r = plan.calculate(economy(s, d), METHODS["wiodr13"])
+    stored = kept(registry.sidecar(s, r.rules), "sidecar")
+    registry.reconciled(r.rules, stored)
+    years = r.countries.agg(F.count_distinct("year").alias("years"))
+    named = stored.where("strategy = 'formula' and level = 'world' and module in ('abstract_labour_per_person', 'value_of_money')")
+    return named.select("indicator", "strategy").crossJoin(years)  # one row
+
+
 # ---------------------------------------------------------------- matrices and the solve
 
 
