@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from flowmill.functions import safe
 from flowmill.functions.aggspec import AggSpec, Binding, aggregate
 from flowmill.functions.keep import kept
-from flowmill.operators import analytics, assumptions, capital, flows, indicators, leontief, preparation, relational, rollup, validation
+from flowmill.operators import analytics, assumptions, capital, flows, indicators, leontief, preparation, recomputed, relational, rollup, validation
 from flowmill.plans import registry
 from flowmill.plans import run as plan
 from flowmill.plans.config import admitted, methods
@@ -457,40 +457,6 @@ def o34_stacked_labels(s, d):
     return relational.stacked_labels({"country": a.select("country"), "sector": a.select("sector")})
 
 
-_SEVEN = BASE + """, a as (select *, comp_emp / hours_emp as pay, go_us / emp as share, 1995 + 0.0 as base_year from acc),
-c as (select year, country, sum(gdp_us) as gdp_us, avg(hours_emp) as hours_emp, sum(emp) as emp, sum(go_us) as go_us, sum(pay * emp) / sum(emp) as pay, sum(go_us) / sum(emp) as share, any_value(base_year) as base_year from a group by all),
-w as (select year, 'WWW' as country, sum(gdp_us) as gdp_us, avg(hours_emp) as hours_emp, sum(emp) as emp, sum(go_us) as go_us, sum(pay * emp) / sum(emp) as pay, sum(go_us) / sum(emp) as share, any_value(base_year) as base_year from c group by year),
-b as (select * from c union all by name select * from w)
-select year, country, round(gdp_us, 4) as gdp_us, round(hours_emp, 6) as hours_emp, round(pay, 9) as pay, round(share, 6) as share, base_year, null::double as gini, round(go_us / emp, 6) as per_person from b"""
-
-
-@q(_SEVEN)
-def o91_registry(s, d):
-    """One registry with all seven strategies at both levels, its units checked before the roll-up."""
-    one = [("gdp_us", "sum"), ("emp", "sum"), ("go_us", "sum"), ("hours_emp", "mean"), ("pay", "weighted_mean"), ("share", "ratio_of_sums"), ("base_year", "invariant"), ("gini", "not_applicable"), ("per_person", "formula")]
-    more = {"weighted_mean": {"weight": "emp"}, "ratio_of_sums": {"numerator": "go_us", "denominator": "emp"}, "formula": {"module": "output_per_person"}}
-    rows = [{"indicator": i, "level": level, "strategy": k, **more.get(k, {})} for i, k in one for level in ("country", "world")]
-    found = registry.rules(rows)
-    registry.checked(found, {"gdp_us", "emp", "go_us", "hours_emp"}, [], declared={"pay": "USD#current/hour", "share": "USD#current/person", "base_year": "1", "gini": "1"})
-    t = market.accounts(s, d).withColumns({"pay": F.col("comp_emp") / F.col("hours_emp"), "base_year": F.lit(1995.0)})
-    r = rollup.two_levels(t, found.direct, {i: f.make for i, f in found.formulas.items()})
-    return rounded(rounded(rounded(r, 4, "gdp_us"), 6, "hours_emp", "share", "per_person"), 9, "pay").select("year", "country", "gdp_us", "hours_emp", "pay", "share", "base_year", "gini", "per_person")
-
-
-_SIDECAR = BASE + """, r(indicator) as (select unnest(['abstract_emp_m_mv', 'value_m_mv'])) select indicator, 'formula' as strategy, (select count(distinct year) from acc) as years from r"""
-
-
-@q(_SIDECAR)
-def o92_sidecar(s, d):
-    """Formulas among a calculation's stored rules, reconciled with those in force, with the years they were applied to."""
-    r = plan.calculate(economy(s, d), METHODS["wiodr13"])
-    stored = kept(registry.sidecar(s, r.rules), "sidecar")
-    registry.reconciled(r.rules, stored)
-    years = r.countries.agg(F.count_distinct("year").alias("years"))
-    named = stored.where("strategy = 'formula' and level = 'world' and module in ('abstract_labour_per_person', 'value_of_money')")
-    return named.select("indicator", "strategy").crossJoin(years)  # one row
-
-
 # ---------------------------------------------------------------- matrices and the solve
 
 
@@ -993,6 +959,111 @@ def p8_table_keys(s, d):
     return preparation.key_errors(damaged.unionByName(a.where("sector = 'S1'")), ["year", "country", "sector"], ["go_us", "gdp_us"])
 
 
+_SEVEN = BASE + """, a as (select *, comp_emp / hours_emp as pay, go_us / emp as share, 1995 + 0.0 as base_year from acc),
+c as (select year, country, sum(gdp_us) as gdp_us, avg(hours_emp) as hours_emp, sum(emp) as emp, sum(go_us) as go_us, sum(pay * emp) / sum(emp) as pay, sum(go_us) / sum(emp) as share, any_value(base_year) as base_year from a group by all),
+w as (select year, 'WWW' as country, sum(gdp_us) as gdp_us, avg(hours_emp) as hours_emp, sum(emp) as emp, sum(go_us) as go_us, sum(pay * emp) / sum(emp) as pay, sum(go_us) / sum(emp) as share, any_value(base_year) as base_year from c group by year),
+b as (select * from c union all by name select * from w)
+select year, country, round(gdp_us, 4) as gdp_us, round(hours_emp, 6) as hours_emp, round(pay, 9) as pay, round(share, 6) as share, base_year, null::double as gini, round(go_us / emp, 6) as per_person from b"""
+
+
+def _seven(s, d):
+    """A registry with all seven strategies at both levels, its sector table and the roll-up."""
+    one = [("gdp_us", "sum"), ("emp", "sum"), ("go_us", "sum"), ("hours_emp", "mean"), ("pay", "weighted_mean"), ("share", "ratio_of_sums"), ("base_year", "invariant"), ("gini", "not_applicable"), ("per_person", "formula")]
+    more = {"weighted_mean": {"weight": "emp"}, "ratio_of_sums": {"numerator": "go_us", "denominator": "emp"}, "formula": {"module": "output_per_person"}}
+    rows = [{"indicator": i, "level": level, "strategy": k, **more.get(k, {})} for i, k in one for level in ("country", "world")]
+    found = registry.rules(rows)
+    registry.checked(found, {"gdp_us", "emp", "go_us", "hours_emp"}, [], declared={"pay": "USD#current/hour", "share": "USD#current/person", "base_year": "1", "gini": "1"})
+    t = kept(market.accounts(s, d).withColumns({"pay": F.col("comp_emp") / F.col("hours_emp"), "base_year": F.lit(1995.0)}), "sectors")
+    return found, t, rollup.two_levels(t, found.direct, {i: f.make for i, f in found.formulas.items()})
+
+
+@q(_SEVEN)
+def o91_registry(s, d):
+    """One registry with all seven strategies at both levels, its units checked before the roll-up."""
+    r = _seven(s, d)[2]
+    return rounded(rounded(rounded(r, 4, "gdp_us"), 6, "hours_emp", "share", "per_person"), 9, "pay").select("year", "country", "gdp_us", "hours_emp", "pay", "share", "base_year", "gini", "per_person")
+
+
+_RECOMPUTED = BASE + """, y as (select count(distinct year) as w from acc), c as (select count(*) as n from (select distinct year, country from acc)),
+planted(check_id, scope, off) as (values ('recomputed_country', 'pay', 0.1), ('recomputed_country', 'share', 0.1), ('recomputed_country', 'per_person', 0.1), ('recomputed_world', 'gdp_us', 0.1), ('recomputed_world', 'hours_emp', 0.1), ('recomputed_world', 'base_year', round(1 / 1995.0, 6))),
+l(check_id, n) as (select 'recomputed_country', n from c union all select 'recomputed_world', w from y),
+i(scope) as (select unnest(['gdp_us', 'emp', 'go_us', 'hours_emp', 'pay', 'share', 'base_year', 'gini', 'per_person']))
+select l.check_id, i.scope, n, coalesce(off, 0)::double as max_scaled, case when off is null then 'passed' else 'failed' end as status from l cross join i left join planted p on p.check_id = l.check_id and p.scope = i.scope"""
+
+
+@q(_RECOMPUTED)
+def v2_recomputed(s, d):
+    """Every strategy recomputed by error-free sums at both levels. Planted: a fault in each kind of rule, at one level."""
+    found, t, r = _seven(s, d)
+    at = lambda c, place, by=1.1, plus=0.0: F.when(F.col("country") == place, F.col(c) * by + plus).otherwise(F.col(c))
+    published = r.withColumns({"pay": at("pay", "ASIA"), "share": at("share", "EUROPE"), "per_person": at("per_person", "AMERICA"), "gdp_us": at("gdp_us", "WWW"), "hours_emp": at("hours_emp", "WWW"), "base_year": at("base_year", "WWW", 1.0, 1.0)})
+    rows = recomputed.recomputed_all(t, published, found)
+    return rows.select("check_id", "scope", "n", F.round(F.when(F.col("status") == "passed", 0.0).otherwise(F.col("max_scaled")), 6).alias("max_scaled"), "status")
+
+
+_RUN = BASE + """, y as (select count(distinct year) as w from acc), c as (select count(*) as n from (select distinct year, country from acc)), l(check_id, n) as (select 'recomputed_country', n from c union all select 'recomputed_world', w from y)
+select check_id, sum(n)::bigint * 26 as n, 26::bigint as indicators, 0::bigint as failed from l group by check_id"""
+
+
+@q(_RUN)
+def v2_recomputed_run(s, d):
+    """All 26 roll-ups of a full calculation, recomputed at both levels."""
+    r = plan.calculate(economy(s, d), METHODS["wiodr13"])
+    rows = recomputed.recomputed_all(r.sectors, r.countries, r.rules)
+    return rows.groupBy("check_id").agg(F.sum("n").alias("n"), F.count("*").alias("indicators"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+_RANGES = BASE + """, planted(scope, off) as (values ('exports_us', 1.0), ('emp', 1.0), ('depreciation_us', 0.5)),
+i(scope) as (select unnest(['go_us', 'gdp_us', 'emp', 'hours_emp', 'comp_emp', 'abstract_emp_mv', 'gdp_mv', 'gdp_p_us', 'go_mv', 'lfv_emp', 'value_m_mv', 'exports_us', 'exports_mv', 'imports_us', 'imports_mv', 'gdp_du', 'go_du', 'depreciation_us', 'surplus_emp']))
+select 'range' as check_id, i.scope, (select count(*) from acc) as n, coalesce(off, 0)::double as max_abs, case when off is null then 'passed' else 'failed' end as status from i left join planted p using (scope)"""
+
+
+@q(_RANGES)
+def v7_ranges(s, d):
+    """The range profile of a method without depreciation over all its indicators. Planted: negative exports, a pinned
+    negative cell (excused), a pin on a cell that is sound (stale) and depreciation where there must be none."""
+    t = plan.calculate(economy(s, d), METHODS["wiodr13"]).sectors
+    cell = lambda year, country, sector: F.expr(f"year = {year} and country = '{country}' and sector = '{sector}'")
+    t = t.withColumns({
+        "exports_us": F.when(F.expr("country = 'AFRICA' and sector = 'S0'"), -1.0).otherwise(F.col("exports_us")), "comp_emp": F.when(cell(1996, "ASIA", "S2"), -5.0).otherwise(F.col("comp_emp")),
+        "depreciation_us": F.when(cell(1995, "ASIA", "S4"), 0.5).otherwise(0.0),
+    })
+    pinned = s.createDataFrame([(1996, "ASIA", "S2", "comp_emp", -1), (1997, "EUROPE", "S3", "emp", -1)], "year int, country string, sector string, indicator string, sign int")
+    profile = recomputed.profile_of("zero", ({"indicator": "surplus_emp", "low": -1.0, "missing": True},))
+    return recomputed.in_profile(t, profile, pinned).select("check_id", "scope", "n", "max_abs", "status")
+
+
+@q(BASE + ", " + _INV + ", g as (select distinct year, d_country, d_sector, ktype from kc where year < (select max(year) from acc)) select 'depreciation_sums' as check_id, count(*) as n, 0.01::double as max_scaled, 'failed' as status from g")
+def v5_depreciation_sums(s, d):
+    """Depreciation against capital times rates. Planted: one destination's, of one type, 1 % too high."""
+    w, stock = _composition(s, d)
+    k = kept(capital.allocate(w.drop("ktype"), stock), "composition")
+    labels = stock.select("year", "sector").distinct()
+    rates = labels.withColumn("ktype", F.lit("k0")).withColumn("rate", F.lit(0.05)).unionByName(labels.withColumn("ktype", F.lit("k1")).withColumn("rate", F.lit(0.1)))
+    ktype = F.when(F.col("o_sector").isin("S0", "S1"), "k0").otherwise("k1")
+    ktypes = stock.select(F.col("sector").alias("o_sector")).distinct().withColumn("ktype", ktype)
+    dep = capital.depreciation(k, rates, ktypes, year_offset=1).withColumn("ktype", ktype)
+    dep = dep.withColumn("value", F.when(F.expr("d_country = 'EUROPE' and ktype = 'k0'"), F.col("value") * 1.01).otherwise(F.col("value")))
+    last = rates.agg(F.max("year").alias("last"))
+    applied = rates.select((F.col("year") - 1).alias("year"), F.col("sector").alias("d_sector"), "ktype", "rate")
+    base = k.withColumn("ktype", ktype).crossJoin(last).where("year < last").drop("last")  # one row
+    return recomputed.depreciation_sums(dep, base, applied).select("check_id", "n", F.round("max_scaled", 6).alias("max_scaled"), "status")
+
+
+_SIDECAR = BASE + """, r(indicator) as (select unnest(['abstract_emp_m_mv', 'value_m_mv'])) select indicator, 'formula' as strategy, (select count(distinct year) from acc) as years from r"""
+
+
+@q(_SIDECAR)
+def o92_sidecar(s, d):
+    """Formulas among a calculation's stored rules, reconciled with those in force, with the years they were applied to."""
+    r = plan.calculate(economy(s, d), METHODS["wiodr13"])
+    stored = kept(registry.sidecar(s, r.rules), "sidecar")
+    registry.reconciled(r.rules, stored)
+    years = r.countries.agg(F.count_distinct("year").alias("years"))
+    named = stored.where("strategy = 'formula' and level = 'world' and module in ('abstract_labour_per_person', 'value_of_money')")
+    return named.select("indicator", "strategy").crossJoin(years)  # one row
+
+
 _LEDGER = SEC + """, checks as (
   select 'structure' as check_id, 1 as n, case when count(*) = count(distinct (year, country, sector)) then 0.0 else 1.0 end as scaled from acc
   union all select 'recomputed_country', count(*), max(abs(want - got) / greatest(1, abs(want))) from (select year, country, sum(gdp_us) as want, sum(gdp_us * case when country = 'ASIA' then 1.1 else 1 end) as got from acc group by all)
