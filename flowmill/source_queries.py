@@ -10,7 +10,7 @@ from flowmill.functions.aggspec import AggSpec, audited
 from flowmill.functions.keep import kept, shared_path
 from flowmill.operators import assumptions, capital, flows, preparation, relational, validation
 from flowmill.queries import _INV, _LACK, BASE, _lacking, _lam, _lcu, _simple, q, rounded
-from flowmill.sources import market, readers
+from flowmill.sources import bundles, market, positions, readers
 
 KEYS = ["year", "country", "sector"]
 
@@ -93,6 +93,84 @@ def o56_anomaly_examples(s, d):
     return relational.first_examples(_odd(s, d, "first"), ["indicator"], KEYS)
 
 
+_WIDE = f"(select year, country, sector, i as indicator, case i when 'go_us' then go_us else emp end as value from acc, (values ('emp'), ('go_us')) v(i) where not (sector = 'S2' and i = 'emp'))"
+
+
+@q(BASE + f" select y.year, i.indicator, s.sector, c.country, w.value from (select distinct year from acc) y cross join (select distinct country from acc) c cross join (select distinct sector from acc) s cross join (values ('emp'), ('go_us')) i(indicator) left join {_WIDE} w on w.year = y.year and w.country = c.country and w.sector = s.sector and w.indicator = i.indicator")
+def o02_legacy_array(s, d):
+    """An array of four axes as lines in column-major order, over many files; labels come back from positions."""
+    a = market.accounts(s, d)
+    cells = a.unpivot(KEYS, ["emp", "go_us"], "indicator", "value").where("not (sector = 'S2' and indicator = 'emp')")
+    of = lambda c: sorted(r[0] for r in a.select(c).distinct().collect())
+    axes = {"year": of("year"), "indicator": ["emp", "go_us"], "sector": of("sector"), "country": of("country")}
+    path = shared_path(s, "legacy")
+    text = F.coalesce(F.col("value").cast("string"), F.lit("NA"))
+    positions.encoded(cells, axes).repartitionByRange(6, "pos").sortWithinPartitions("pos").select(text.alias("value")).write.text(path)
+    read = positions.numbered_lines(s, path).select(F.col("line").alias("pos"), F.when(F.col("value") != "NA", F.col("value").cast("double")).alias("value"))
+    kinds = dict(cells.dtypes)
+    return positions.decoded(read, {k: (v, kinds[k]) for k, v in axes.items()}, [len(v) for v in axes.values()])
+
+
+_BY_NATION = "with " + market.SQL.replace("sr.r_name", "sn.n_name").replace("cr.r_name", "cn.n_name")
+
+
+@q(_BY_NATION + " select year, o_country, o_sector, d_country, d_sector, round(sum(value) / 1000, 6) as value from flow where kind = 'industry' and o_country not in ('CHINA', 'EGYPT') and d_country not in ('CHINA', 'EGYPT') group by all having sum(value) <> 0")
+def o09_positioned_block(s, d):
+    """Flows by nation as lines of bare numbers, labels in files of their own, two nations named ROW, over many files and splits."""
+    f = kept(market.flows(s, d, "nation").where("kind = 'industry'"), "flows")
+    renamed = lambda c: F.when(F.col(c).isin("CHINA", "EGYPT"), "ROW").otherwise(F.col(c))
+    columns = f.select("d_country", "d_sector").distinct().orderBy("d_country", "d_sector").collect()
+    wide = f.withColumn("d", F.concat_ws(".", "d_country", "d_sector")).groupBy(*flows.ORIGIN).pivot("d", [f"{r.d_country}.{r.d_sector}" for r in columns]).agg(F.sum("value"))
+    wide = kept(wide.select(*flows.ORIGIN, F.concat_ws("\t", *(F.coalesce(F.col(f"`{r.d_country}.{r.d_sector}`"), F.lit(0.0)).cast("decimal(30,2)").cast("string") for r in columns)).alias("value")), "wide")
+    block, rows, cols = (shared_path(s, n) for n in ("block", "rows", "columns"))
+    ordered = wide.repartitionByRange(5, *flows.ORIGIN).sortWithinPartitions(*flows.ORIGIN)
+    ordered.select("value").write.text(block)
+    wide.repartitionByRange(3, *flows.ORIGIN).sortWithinPartitions(*flows.ORIGIN).select(F.concat_ws("\t", "year", renamed("o_country"), F.lit("Industries"), "o_sector").alias("value")).write.text(rows)
+    labels = s.createDataFrame(columns).repartitionByRange(2, "d_country", "d_sector").sortWithinPartitions("d_country", "d_sector")
+    labels.select(F.concat_ws("\t", F.lit("x"), renamed("d_country"), F.lit("Industries"), "d_sector").alias("value")).write.text(cols)
+    left = positions.label_file(s, rows, {"year": 0, "o_country": 1, "o_sector": 3})
+    r = positions.positioned_block(s, block, left, positions.label_file(s, cols, {"d_country": 1, "d_sector": 3}), scale=1 / 1000)
+    return r.where("value <> 0").withColumns({"year": F.col("year").cast("int"), "value": F.round("value", 6)})
+
+
+@q(BASE + " select year, case year when 1995 then 'changed' when 1996 then 'removed' else 'added' end as problem from (select distinct year from acc where year in (1995, 1996) union all select 2050)")
+def o26_generation(s, d):
+    """A source generation verified after a file was changed under its old name, one removed and one added."""
+    path, other = shared_path(s, "source"), shared_path(s, "other")
+    a = kept(market.accounts(s, d).select(*KEYS, "go_us"), "accounts")
+    a.repartition(1).write.partitionBy("year").parquet(path)
+    before = kept(bundles.scanned(s, path), "manifest")
+    bundles.verified(s, path, before, bundles.generation_id(before))
+    folder = lambda root, year: bundles.files(s, root, True).where(F.col("file").startswith(f"year={year}/")).first().file
+    changed = a.withColumns({"go_us": F.col("go_us") + 1})
+    changed.where("year = 1995").withColumn("year", F.when(F.col("year") == 1995, 1995)).unionByName(a.where("year = 1997").withColumn("year", F.lit(2050))).repartition(1).write.partitionBy("year").parquet(other)
+    old, new = folder(path, 1995), folder(other, 1995)
+    bundles.removed(s, f"{path}/{old}")
+    bundles.moved(s, f"{other}/{new}", f"{path}/{old}")
+    bundles.removed(s, f"{path}/year=1996")
+    bundles.moved(s, f"{other}/year=2050", f"{path}/year=2050")
+    now = bundles.scanned(s, path, before)
+    return bundles.changes(before, now).select(F.regexp_extract("file", "year=(\\d+)", 1).cast("int").alias("year"), "problem")
+
+
+@q(BASE + " select year, country, sector, go_us * 2 as go_us from acc")
+def o20_install(s, d):
+    """A bundle with file hashes, replaced by another in two steps, verified and read."""
+    path = shared_path(s, "bundle")
+    a = market.accounts(s, d).select(*KEYS, "go_us")
+    bundles.install(a, path)
+    bundles.install(a.withColumn("go_us", F.col("go_us") * 2), path, replace=True)
+    return bundles.opened(s, path)
+
+
+@q(BASE + " select distinct year from acc")
+def o17_years(s, d):
+    """Years of a partitioned table from its folders, beside the table's own."""
+    path = shared_path(s, "by_year")
+    market.accounts(s, d).select(*KEYS, "go_us").write.partitionBy("year").parquet(path)
+    return s.createDataFrame([(y,) for y in bundles.years_of(s, path)], "year int")
+
+
 # ---------------------------------------------------------------- joins, audits, lists
 
 

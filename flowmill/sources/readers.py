@@ -41,12 +41,6 @@ def wide_block(spark: SparkSession, path: str, n_label_columns: int, column_labe
     return cells.select("o_country", "o_sector", F.element_at(labels, F.col("k") + 1).alias("d"), F.col("v").cast("double").alias("value")).select("o_country", "o_sector", "d.d_country", "d.d_sector", "value")
 
 
-def positional_labels(spark: SparkSession, path: str, names: list[str], sep: str = "\t") -> DataFrame:
-    """A label file whose row number is the label's position (labels are few; one file)."""
-    rows = spark.read.csv(path, sep=sep, schema=T.StructType([T.StructField(n, T.StringType()) for n in names]))
-    return rows.coalesce(1).select(F.monotonically_increasing_id().alias("pos"), *names)
-
-
 def filtered_csv(spark: SparkSession, path: str, condition: str | Column, **options) -> DataFrame:
     return spark.read.csv(path, header=True, **options).where(condition)
 
@@ -61,11 +55,6 @@ def override(base: DataFrame, later: DataFrame, keys: list[str]) -> DataFrame:
     return base.join(later.select(*keys).distinct(), keys, "left_anti").unionByName(later)
 
 
-def years_of(spark: SparkSession, path: str) -> list[int]:
-    """Years of a table partitioned by year: only the partition column is read."""
-    return sorted(int(r.year) for r in spark.read.parquet(path).select("year").distinct().collect())
-
-
 def coefficients_file(spark: SparkSession, path: str, sectors: list[str], years: list[int], low: float = 0.0, high: float = 8.784) -> DataFrame:
     """(year, sector, coefficient) of a wide file (setor; code; years): exact columns and labels in
     order, values within a range; anything else aborts."""
