@@ -2,13 +2,13 @@
 
 1. Every text gets, in one pass, its number of distinct word shingles, ``bands * rows`` minima of
    its shingle hashes, and from them the band keys (``rows`` minima each) and a packed signature of
-   the low two bits of every minimum. With 32 bands of 4 rows a pair at similarity 0.75 misses all
+   the low two bits of every minimum, once its bits are stirred. With 32 bands of 4 rows a pair at similarity 0.75 misses all
    bands with probability 5e-6.
 2. Texts with the same words are one class, represented by its smallest document id.
 3. Representatives that share a band key are candidates. First each document is compared with the
    smallest document of all its keys alone. Candidates are dropped if their set sizes rule the threshold out
-   or if fewer of the signature's minima agree than equal minima alone would give, less five standard
-   deviations. Chance agreement of the low bits is not counted on: between few shingles it can be 0.
+   or if their similarity as estimated from the signatures, corrected for the fourth of different minima
+   whose two bits agree by chance, is more than five standard deviations below the threshold.
 4. The rest are confirmed on the full shingle sets and joined into components.
 5. Keys whose members lie in different components are then compared: members reside in blocks,
    those outside the key's largest component visit every block, and signatures are compared by bit
@@ -97,8 +97,18 @@ class Signer:
         return self.mixed((rows * self.row).sum(axis=1, dtype=np.uint64) + self.band).view(np.int64)
 
     @staticmethod
-    def packed(minima: np.ndarray) -> np.ndarray:
-        """Bit 0 of all minima, then bit 1 of all, as longs."""
+    def low_bits(minima: np.ndarray) -> np.ndarray:
+        """The two bits that are kept of each minimum. The hashes are linear, so whether the low bits of two shingles agree
+        would be the same under all of them; stirred, they agree in a fourth of the hashes, however few shingles there are."""
+        x = minima.astype(np.uint32)
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+        x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+        return (x ^ (x >> np.uint32(16))) & np.uint32(3)
+
+    @classmethod
+    def packed(cls, minima: np.ndarray) -> np.ndarray:
+        """Bit 0 of the two of all minima, then bit 1 of all, as longs."""
+        minima = cls.low_bits(minima)
         m = np.concatenate([minima & 1, (minima >> 1) & 1]).astype(np.uint8)
         return np.packbits(m).view(">i8").astype(np.int64)
 
@@ -134,16 +144,19 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sign, SIGNATURES)
 
 
-def agreement_floor(threshold: float, n: int) -> float:
-    """Least number of agreeing 2-bit minima of ``n``: equal minima agree, different ones need not
-    (how many do depends on the low bits of the pair's few shingles), so the expected share is the
-    similarity at least; five standard deviations are allowed."""
-    return n * threshold - 5 * (n * threshold * (1 - threshold)) ** 0.5
+#: Share of different minima whose two kept bits agree.
+CHANCE = 0.25
 
 
 def estimated_similarity(agree, n: int):
-    """Similarity corrected for chance agreement of two low bits (numbers or columns)."""
-    return (agree / n - 0.25) / 0.75
+    """Similarity from the number of agreeing minima of ``n``, corrected for chance agreement (numbers or columns)."""
+    return (agree / n - CHANCE) / (1 - CHANCE)
+
+
+def least_estimate(threshold: float, n: int) -> float:
+    """The threshold less five standard deviations of the estimate: pairs at it fall below with a chance of 3e-7."""
+    agree = threshold + (1 - threshold) * CHANCE
+    return threshold - 5 * (agree * (1 - agree) / n) ** 0.5 / (1 - CHANCE)
 
 
 def _agree(x: str, y: str, n: int):
@@ -236,7 +249,8 @@ def _passing(row, home, percent: int, n: int, floor: float) -> tuple[np.ndarray,
     at = np.flatnonzero((comps != row[2]) & (100 * np.minimum(sizes, row[3]) >= percent * np.maximum(sizes, row[3])))
     x = sig[at] ^ np.array(row[4], dtype=np.int64).view(np.uint64)
     agree = n - np.bitwise_count(x[:, :half] | x[:, half:]).sum(axis=1).astype(np.int64)
-    return at[agree >= floor], agree[agree >= floor]
+    near = estimated_similarity(agree, n) >= floor
+    return at[near], agree[near]
 
 
 def _in_full(members: DataFrame, heads: DataFrame, texts: DataFrame, floor: float, n: int, percent: int, words: int, block: int = 512) -> DataFrame:
@@ -356,7 +370,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
     component_id (smallest id linked over any number of steps) and kept."""
     small_batches(docs.sparkSession)
     n = bands * rows
-    floor = agreement_floor(percent / 100, n)
+    floor = least_estimate(percent / 100, n)
     signed = saved(signatures(docs, words, bands, rows, id_col, text_col), "signatures")
     classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
     copied = saved(classes.where("n > 1").drop("n"), "classes")
@@ -377,7 +391,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, bands: i
         star.join(side.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a")
         .join(side.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b")
         .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .where(_agree("sa", "sb", n) >= floor)
+        .where(estimated_similarity(_agree("sa", "sb", n), n) >= floor)
         .select("a", "b")
     )
     linked = saved(confirmed(saved(near, "candidates"), texts, words, percent), "links")

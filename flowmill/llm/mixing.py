@@ -58,20 +58,27 @@ def style(words: Column, signs: Column, lines: Column) -> Column:
     return F.when(words > 0, F.concat_ws(" ", density, width)).otherwise("empty")
 
 
-def with_rare_topics(cells: DataFrame, least: float) -> DataFrame:
-    """Topics with less than ``least`` of all tokens are raked as one, ``rare``: targets for labels that
-    hardly exist would bound the whole sample. ``own_topic``: the label before."""
-    total = cells.agg(F.sum("tokens").alias("n")).first().n or 0
-    held = F.sum("tokens").over(W.partitionBy("own_topic"))
-    return cells.withColumn("own_topic", F.col("topic")).withColumn("topic", F.when((held > 0) & (held < F.lit(least * float(total))), F.lit("rare")).otherwise(F.col("topic")))
-
-
 def tempered_targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """Target shares of a marginal's labels: present token shares to a power, normalised."""
     sums = cells.groupBy(margin).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
     return sums.select(margin, F.pow(F.col("tokens").cast("double"), F.lit(power)).alias("target"))
 
 
+def attainable_targets(targets: DataFrame, cells: DataFrame, margin: str, share: float) -> DataFrame:
+    """``targets`` where no label is asked for more than it holds: at most its tokens over ``share`` of all tokens. What such
+    labels can't give is shared out among the others in proportion to their targets."""
+    sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("tokens")).where("tokens > 0")
+    rows = sums.join(targets, margin).where("target > 0")
+    whole = W.partitionBy()  # a row a label
+    rows = rows.withColumns({"part": F.col("target") / F.sum("target").over(whole), "cap": F.col("tokens") / F.sum("tokens").over(whole) / F.lit(share)})
+    # labels reach their caps in this order; the factor of the rest is the largest of those by number of labels at their caps
+    order = W.partitionBy().orderBy(F.col("cap") / F.col("part"), margin)
+    before = F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    free = F.sum("part").over(order.rowsBetween(0, W.unboundedFollowing))
+    rows = rows.withColumn("factor", (1 - before) / free)
+    return rows.select(margin, F.least("cap", F.col("part") * F.max("factor").over(whole)).alias("target"))
+
+
 def cells_of(rows: DataFrame, margins=MARGINS, tokens: str = "n_tokens") -> DataFrame:
     return rows.groupBy(*margins).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("docs"))
 
@@ -154,21 +161,23 @@ def uniform(id_: Column) -> Column:
 
 def calibrated(cells: DataFrame, share: float, rounds: int = 12, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, bounded: bool = True) -> DataFrame:
     """``cells`` with ``weight`` and ``expected`` tokens. Targets are ``targets`` (tables of label and
-    target, named as the marginals) or else the present shares tempered by ``powers``."""
+    target, named as the marginals) or else the present shares tempered by ``powers``, those of topics as far as they
+    are attainable at ``share``."""
     powers = powers or POWERS
-    raked = rake(cells, targets or {m: tempered_targets(cells, m, powers[m]) for m in MARGINS}, rounds)
+    if targets is None:
+        targets = {m: tempered_targets(cells, m, powers[m]) for m in MARGINS}
+        targets["topic"] = attainable_targets(targets["topic"], cells, "topic", share)
+    raked = rake(cells, targets, rounds)
     return rake_bounded(saved(raked, "raked"), share, MARGINS, rounds) if bounded else raked.withColumn("expected", F.lit(share) * F.col("weight"))
 
 
 def with_probabilities(docs: DataFrame, share: float = 0.5, rounds: int = 12, powers: dict[str, float] | None = None, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-                       source_col: str = "source", lang_col: str = "lang", out: str = "mix", broadcast_cells: int = 100_000, targets: dict[str, DataFrame] | None = None, bounded: bool = True, keep: list[str] | None = None,
-                       least_topic: float = 0.01) -> DataFrame:
+                       source_col: str = "source", lang_col: str = "lang", out: str = "mix", broadcast_cells: int = 100_000, targets: dict[str, DataFrame] | None = None, bounded: bool = True, keep: list[str] | None = None) -> DataFrame:
     """``docs`` and a struct ``out``: source, lang, topic, n_tokens, probability, sampled.
 
     ``topic``: a column, ``style`` of the text if there is none. ``keep``: columns to return (the id among
     them) if not all; with it texts are counted once and the counts are written, else they are counted
-    for the cells and again for the rows. ``least_topic``: see ``with_rare_topics``. For the rest see
-    ``calibrated``.
+    for the cells and again for the rows. For the rest see ``calibrated``.
     """
     prefix = "cell_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
@@ -185,9 +194,7 @@ def with_probabilities(docs: DataFrame, share: float = 0.5, rounds: int = 12, po
     if keep is not None:
         rows = saved(rows, "counts")
     cells = saved(cells_of(rows.select(*(F.col(f"{prefix}_{m}").alias(m) for m in MARGINS), F.col(f"{prefix}_n").alias("n_tokens"))), "cells")
-    merged = saved(with_rare_topics(cells, least_topic), "cells")
-    raked = calibrated(merged.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")), share, rounds, powers, targets, bounded)
-    raked = merged.select("source", "lang", "topic", "own_topic").join(raked, list(MARGINS)).drop("topic").withColumnRenamed("own_topic", "topic")
+    raked = calibrated(cells, share, rounds, powers, targets, bounded)
     odds = saved(raked.select(*(F.col(m).alias(prefix + m) for m in MARGINS), F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("expected") / F.col("tokens"))).otherwise(F.lit(0.0)).alias(prefix + "p")), "odds")
     small = odds.count() <= broadcast_cells
     rows = rows.join(F.broadcast(odds) if small else odds, [F.col(f"{prefix}_{m}") == F.col(prefix + m) for m in MARGINS])
@@ -202,7 +209,7 @@ def mixed(docs: DataFrame, out: str = "mix", **options) -> DataFrame:
     return with_probabilities(docs, out=out, **options).where(F.col(f"{name}.sampled")).select(*docs.columns)
 
 
-def oracle(share: float = 0.5, rounds: int = 12, tolerance: float = 1e-3, step: float = 0.95, least_topic: float = 0.01) -> str:
+def oracle(share: float = 0.5, rounds: int = 12, tolerance: float = 1e-3, step: float = 0.95) -> str:
     """The same as DuckDB SQL: the rounds are written out as common table expressions."""
     sql = [
         """counts as (select doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as n_tokens,
@@ -210,16 +217,19 @@ def oracle(share: float = 0.5, rounds: int = 12, tolerance: float = 1e-3, step:
         """facts as (select doc_id, coalesce(source, 'unknown') as source, coalesce(lang, 'unknown') as lang, n_tokens, case when n_tokens > 0 then
   case when signs / n_tokens < 0.05 then 'bare' when signs / n_tokens < 0.5 then 'plain' when signs / n_tokens < 1.5 then 'marked' else 'dense' end
   || ' ' || case when n_tokens < 8 * lines then 'short' when n_tokens < 60 * lines then 'middle' else 'long' end else 'empty' end as topic from counts)""",
-        f"kinds as (select topic as own_topic, case when sum(n_tokens) > 0 and sum(n_tokens) < {least_topic} * (select sum(n_tokens) from facts)::double then 'rare' else topic end as topic from facts group by topic)",
-        "cells as (select source, lang, kinds.topic as topic, sum(n_tokens)::double as tokens from facts join kinds on facts.topic = own_topic group by all)",
+        "cells as (select source, lang, topic, sum(n_tokens)::double as tokens from facts group by all)",
     ]
     for m in MARGINS:
         sql.append(f"g_{m} as (select {m}, pow(t, {POWERS[m]}) * (select sum(tokens) from cells) / sum(pow(t, {POWERS[m]})) over () as goal from (select {m}, sum(tokens) as t from cells group by {m}) where t > 0)")
+    sql.append(f"""c_topic as (select t.topic, goal / sum(goal) over () as part, tokens / sum(tokens) over () / {share} as cap from (select topic, sum(tokens) as tokens from cells group by topic) t join g_topic g on g.topic = t.topic),
+l_topic as (select *, (1 - coalesce(sum(cap) over (w rows between unbounded preceding and 1 preceding), 0)) / sum(part) over (w rows between current row and unbounded following) as factor from c_topic window w as (order by cap / part, topic)),
+h_topic as (select topic, least(cap, part * (select max(factor) from l_topic)) * (select sum(tokens) from cells) as goal from l_topic)""")
+    named = {m: f"{'h' if m == 'topic' else 'g'}_{m}" for m in MARGINS}
     sql.append("r0 as (select *, tokens as weight from cells)")
     n = 0
     for _ in range(rounds):
         for m in MARGINS:
-            sql.append(f"r{n + 1} as materialized (select source, lang, topic, tokens, case when h > 0 then weight * goal / h else 0 end as weight from (select r.*, coalesce(g.goal, 0) as goal, sum(weight) over (partition by r.{m}) as h from r{n} r left join g_{m} g on g.{m} = r.{m}))")
+            sql.append(f"r{n + 1} as materialized (select source, lang, topic, tokens, case when h > 0 then weight * goal / h else 0 end as weight from (select r.*, coalesce(g.goal, 0) as goal, sum(weight) over (partition by r.{m}) as h from r{n} r left join {named[m]} g on g.{m} = r.{m}))")
             n += 1
     tops = ", ".join(f"(select min(t / w) from (select sum(tokens) as t, sum(weight) as w from r{n} group by {m}) where w > 0)" for m in MARGINS)
     goals = ", ".join(f"goal_{m}" for m in MARGINS)
@@ -239,6 +249,6 @@ def oracle(share: float = 0.5, rounds: int = 12, tolerance: float = 1e-3, step:
     sql.append(f"best as (select coalesce((select min(try) from parts where try not in ({missed})), (select max(try) from parts)) as try)")
     sql.append("odds as (select *, case when tokens > 0 then least(1.0, expected / tokens) else 0 end as p from bounded where try = (select try from best))")
     return "with " + ",\n".join(sql) + """
-select doc_id, facts.source, facts.lang, own_topic as topic, n_tokens::bigint as n_tokens, round(p, 6) as probability,
+select doc_id, facts.source, facts.lang, facts.topic, n_tokens::bigint as n_tokens, round(p, 6) as probability,
   ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0 < p as sampled
-from facts join kinds on facts.topic = own_topic join odds on odds.source = facts.source and odds.lang = facts.lang and odds.topic = kinds.topic"""
+from facts join odds on odds.source = facts.source and odds.lang = facts.lang and odds.topic = facts.topic"""

@@ -5,9 +5,8 @@ The field labels every line as content or boilerplate by Viterbi decoding; the s
 in content lines decides on the document.
 
 The field is trained here on a bounded sample: about ``fit_rows`` documents with a quality label, by a
-hash of the id, and of each at most ``fit_runs`` runs of ``RUN`` lines, evenly spread. Only documents
-are labelled, so line labels are hidden variables under one constraint: of a good document most
-characters are expected in content lines, of a bad one in boilerplate lines. Training alternates
+hash of the id, and all their lines, in runs of ``RUN``. Only documents are labelled, so line labels
+are hidden variables under one constraint: of a good document most characters are expected in content lines, of a bad one in boilerplate lines. Training alternates
 between posterior labels nearest to the field's own that meet the constraint, and the exact gradient
 of the field towards them (forward-backward), so prose lines in a bad document may be content and the
 other way round. Line features are made by Spark; the driver receives masks and lengths of the sample.
@@ -249,14 +248,8 @@ def train(documents: list[tuple[list[int], list[int], int]], rounds: int = 10, s
     return Field(w, moves)
 
 
-def spread(n_lines: int, fit_runs: int) -> list[int]:
-    """First lines of at most ``fit_runs`` runs, evenly spread over a text of ``n_lines`` lines."""
-    n = -(-n_lines // RUN)
-    return [RUN * (i * n // min(n, fit_runs)) for i in range(min(n, fit_runs))]
-
-
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2_000, fit_runs: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """Trains on about ``fit_rows`` labelled documents, at most ``fit_runs`` x ``RUN`` lines of each."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
+    """Trains on about ``fit_rows`` labelled documents, on all lines of each."""
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
     n = rows.count()
     if n > fit_rows:
@@ -270,7 +263,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 2_000, fit_runs: int
         for text in texts:
             m, sizes, _ = masks(text)
             lines = [(a, b) for a, b in zip(m, sizes) if a != BLANK]
-            lines = [x for i in spread(len(lines), fit_runs) for x in lines[i : i + RUN]]
             out.append(([a for a, _ in lines], [b for _, b in lines]))
         return pd.DataFrame(out, columns=["m", "n"])
 

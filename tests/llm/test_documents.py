@@ -120,17 +120,16 @@ def test_near_duplicates_of_nothing(make):
     assert minhash.near_duplicates(make([])).count() == 0
 
 
-def test_short_pairs_without_chance_agreement_are_linked(make):
+def test_short_pairs_of_least_agreement_are_linked(make):
     s = minhash.Signer(32, 4, 5)
-    half, pairs = 2, []
+    pairs = []
     for i in range(8000):  # 7 and 8 words: 3 and 4 shingles, similarity 0.75
         words = [f"p{i}q{k}".encode() for k in range(8)]
-        h = [s.hashes(words[:7]), s.hashes(words)]
-        x, y = (s.packed(s.minima(v)).view(np.uint64) for v in h)
-        if 128 - int(np.bitwise_count((x[:half] ^ y[:half]) | (x[half:] ^ y[half:])).sum()) < 82:
-            pairs.append([b" ".join(w).decode() for w in (words[:7], words)])
-    assert pairs
-    rows = [(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+        x, y = (s.low_bits(s.minima(s.hashes(w))) for w in (words[:7], words))
+        pairs.append((minhash.estimated_similarity(int((x == y).sum()), 128), [b" ".join(w).decode() for w in (words[:7], words)]))
+    pairs.sort()
+    assert pairs[0][0] >= minhash.least_estimate(0.75, 128)
+    rows = [(2 * i + j, t) for i, (_, pair) in enumerate(pairs[:50]) for j, t in enumerate(pair)]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(make(rows)).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
 
@@ -144,7 +143,31 @@ def test_signature_estimates_similarity():
     agree = 128 - int(np.bitwise_count((p ^ q)[:2] | (p ^ q)[2:]).sum())
     true = len(minhash.shingles(a, 5) & minhash.shingles(b, 5)) / len(minhash.shingles(a, 5) | minhash.shingles(b, 5))
     assert abs(minhash.estimated_similarity(agree, 128) - true) < 0.25
-    assert agree == int(((x & 3) == (y & 3)).sum())
+    assert agree == int((s.low_bits(x) == s.low_bits(y)).sum())
+
+
+@pytest.mark.parametrize("size", [1, 2, 40])
+def test_chance_agreement_is_a_fourth_for_few_shingles_too(size):
+    s = minhash.Signer(32, 4, 5)
+    draw = np.random.default_rng(size)
+    shares = []
+    for _ in range(300):
+        a, b = (s.low_bits(s.minima(draw.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))) for _ in range(2))
+        shares.append((a == b).mean())
+    assert abs(np.mean(shares) - minhash.CHANCE) < 0.02 and np.std(shares) < 1.6 * (0.25 * 0.75 / 128) ** 0.5
+
+
+@pytest.mark.parametrize("size", [4, 20, 400])
+def test_estimates_at_the_threshold_stay_above_the_floor(size):
+    """Pairs at similarity 0.75, of few and of many shingles: the estimate has the right mean and none falls below."""
+    s = minhash.Signer(32, 4, 5)
+    draw = np.random.default_rng(size)
+    floor, found = minhash.least_estimate(0.75, 128), []
+    for _ in range(400):
+        x = draw.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2)
+        a, b = s.low_bits(s.minima(x)), s.low_bits(s.minima(x[: size * 3 // 4]))
+        found.append(minhash.estimated_similarity(int((a == b).sum()), 128))
+    assert abs(np.mean(found) - 0.75) < 0.02 and min(found) >= floor > 0.49
 
 
 # ------------------------------------------------------------------ language
@@ -317,7 +340,6 @@ def test_gradient_of_the_field():
     p, _ = runs.constrained(runs.scores(w), moves)
     share = (p[..., 1] * runs.share).sum(axis=0)
     assert (share[runs.y == 1] > 0.6 - 0.01).all() and (share[runs.y == 0] < 0.4 + 0.01).all()
-    assert quality.spread(1, 2) == [0] and quality.spread(1000, 2) == [0, 512] and quality.spread(0, 2) == []
 
 
 def test_decoding_is_optimal():
@@ -404,7 +426,7 @@ def test_sample_meets_the_targets_where_cells_are_scarce(make):
     rows["expected"] = rows["probability"] * rows["n_tokens"]
     assert rows["probability"].between(0, 1).all() and (rows["probability"] == 1).any()
     assert 0.2 < rows["expected"].sum() / rows["n_tokens"].sum() < 0.8  # the targets don't leave room for 0.8
-    for m, power in (("source", 0.5), ("lang", 0.5), ("topic", 0.7)):
+    for m, power in (("source", 0.5), ("lang", 0.5)):
         goal = rows.groupby(m)["n_tokens"].sum() ** power
         got = rows.groupby(m)["expected"].sum()
         for k in goal.index:
@@ -412,15 +434,38 @@ def test_sample_meets_the_targets_where_cells_are_scarce(make):
     assert {r.doc_id for r in mixing.mixed(docs, share=0.8).select("doc_id").collect()} == set(rows["doc_id"][rows["sampled"]])
 
 
-def test_deviations_and_rare_topics(spark):
+def test_every_topic_has_its_own_target(spark):
     rows = [("a", "x", "t", 900, 9), ("a", "y", "u", 60, 1), ("b", "x", "v", 5, 1), ("b", "y", "w", 4, 1), ("b", "x", "t", 31, 1)]
-    cells = mixing.with_rare_topics(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, docs long"), 0.01)
-    assert {(r.own_topic, r.topic) for r in cells.collect()} == {("t", "t"), ("u", "u"), ("v", "rare"), ("w", "rare")}
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, docs long")
+    held = {"t": 931, "u": 60, "v": 5, "w": 4}
+    want = {k: v**0.7 for k, v in held.items()}
+    for share in (0.2, 0.5, 0.9):
+        got = {r.topic: r.target for r in mixing.attainable_targets(mixing.tempered_targets(cells, "topic", 0.7), cells, "topic", share).collect()}
+        assert sum(got.values()) == pytest.approx(1)
+        free = {k for k in got if got[k] < held[k] / 1000 / share * (1 - 1e-9)}
+        assert all(got[k] <= held[k] / 1000 / share * (1 + 1e-9) for k in got)
+        scale = {round(got[k] / want[k], 9) for k in free}
+        assert len(scale) <= 1 and all(got[k] / want[k] <= min(scale, default=9) * (1 + 1e-6) for k in got)  # the others ask for more than they hold
     done = mixing.calibrated(cells, 0.9)
     assert all(0 <= r.expected <= r.tokens for r in done.collect())
     report = mixing.deviations(done).collect()
-    assert {r.margin for r in report} == {"source", "lang", "topic"} and all(abs(r.target - r.expected) < 1e-3 for r in report)
-    assert mixing.with_rare_topics(cells.drop("own_topic").limit(0), 0.01).count() == 0
+    assert {r.label for r in report if r.margin == "topic"} == set(held) and all(abs(r.target - r.expected) < 1e-3 for r in report)
+    assert mixing.attainable_targets(mixing.tempered_targets(cells.limit(0), "topic", 0.7), cells.limit(0), "topic", 0.5).count() == 0
+
+
+def test_rare_topics_get_what_they_are_due(spark):
+    """On the whole table no topic misses its target, however few tokens it has."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.with_probabilities(docs, share=0.5, keep=["doc_id"]).select("mix.*").toPandas()
+    rows["expected"] = rows["probability"] * rows["n_tokens"]
+    held, got = rows.groupby("topic")["n_tokens"].sum(), rows.groupby("topic")["expected"].sum()
+    total = held.sum()
+    part = held**0.7 / (held**0.7).sum()
+    order = sorted(held.index, key=lambda k: held[k] / part[k])
+    factor = max((1 - sum(held[k] / total / 0.5 for k in order[:i])) / sum(part[k] for k in order[i:]) for i in range(len(order)))
+    for k in held.index:
+        assert got[k] / got.sum() == pytest.approx(min(held[k] / total / 0.5, factor * part[k]), rel=5e-3)
+    assert (held / total < 0.01).sum() >= 3
 
 
 # ------------------------------------------------------------------ tokens
@@ -504,3 +549,21 @@ def test_token_counts(make):
 def test_trie_shares_prefixes():
     scores = {b: -1.0 for b in (b"a", b"b", b"c", b"ab", b"abc")}
     assert token_counts.trie_counts([b"abc", b"abca", b"b", b"abab"], scores, 3) == {b"abc": 1, b"abca": 2, b"b": 1, b"abab": 2}
+
+
+def test_token_counts_of_odd_tables(make, crowded):
+    path = tokenizer().path("byte_bpe_50k.tiktoken")
+    long = "wordy " * 200_000
+    docs = crowded(make([*ODD, (50, long), (50, long), (51, "x" * 3000)]))
+    rows = token_counts.with_token_counts(docs, path)
+    name = next(c for c in rows.columns if c not in docs.columns)
+    assert rows.columns[:-1] == docs.columns and name != "tokens"  # taken, so made fresh
+    got = Counter((r.doc_id, r[name].n_pretokens, r[name].n_tokens) for r in rows.collect())
+    one = token_counts.with_token_counts(make([(1, "wordy wordy"), (2, "wordy wordy wordy")]), path).collect()
+    step = [b - a for a, b in zip(*(sorted((r.tokens.n_pretokens, r.tokens.n_tokens) for r in one)))]
+    base = min((r.tokens.n_pretokens, r.tokens.n_tokens) for r in one)
+    tail = [c for c in got if c[0] == 50]
+    assert len(tail) == 1 and got[tail[0]] == 2
+    assert abs(tail[0][1] - (base[0] + 199_998 * step[0])) <= 1 and abs(tail[0][2] - (base[1] + 199_998 * step[1])) <= 2  # and the last blank
+    assert sum(got.values()) == len(ODD) + 3 and {c[1:] for c in got if c[0] in (1000, 1001)} == {(0, 0)}
+    assert token_counts.with_token_counts(make([]), path).count() == 0
