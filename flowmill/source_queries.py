@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from flowmill.functions import safe
 from flowmill.functions.aggspec import AggSpec, audited
 from flowmill.functions.keep import kept, shared_path
-from flowmill.operators import assumptions, capital, flows, preparation, relational, validation
-from flowmill.queries import _INV, _LACK, BASE, _lacking, _lam, _lcu, _simple, q, rounded
+from flowmill.operators import assumptions, capital, flows, preparation, relational, satellites, validation
+from flowmill.queries import _INV, _LACK, BASE, LAM, _lacking, _lam, _lcu, _simple, q, rounded
 from flowmill.sources import bundles, market, positions, readers
 
 KEYS = ["year", "country", "sector"]
@@ -271,6 +271,79 @@ def a6_rest_of_world_by_worker(s, d):
     return rounded(rounded(r.where("country = 'ASIA'"), 6, "emp", "hours_emp"), 4, "capital").select("year", "sector", "emp", "hours_emp", "capital")
 
 
+# ---------------------------------------------------------------- satellites
+
+_BY_SKILL = [*satellites.PEOPLE, *satellites.HOURS, *satellites.COMPENSATION, *satellites.TAXES, *satellites.NET_SURPLUS, satellites.FIXED_CAPITAL, "Land use: Cropland"]
+_BY_ACCOUNT = [*satellites.JOBS, satellites.WAGES, satellites.VALUE_ADDED, satellites.DEPRECIATION, *satellites.SURPLUS_AND_MIXED, "Land use (ha).Total"]
+
+
+def _satellite(s, d, variables):
+    """The k-th variable is k times the hours; planted: the second one lacks in AFRICA, the last in ASIA has no value."""
+    rows = market.accounts(s, d).select(*KEYS, "hours_emp", F.posexplode(F.array(*map(F.lit, variables))).alias("k", "variable"))
+    value = F.when(~((F.col("country") == "ASIA") & (F.col("k") == len(variables) - 2)), F.col("hours_emp") * (F.col("k") + 1))
+    return rows.where("not (country = 'AFRICA' and k = 1)").select(*KEYS, "variable", value.alias("value"))
+
+
+def _satellite_sql(variables):
+    names = ", ".join("'" + v.replace("'", "''") + "'" for v in variables)
+    return BASE + f""", v as (select unnest([{names}]) as variable, unnest(range(1, {len(variables) + 1})) as k),
+sat as (select year, country, sector, variable, case when not (country = 'ASIA' and k = {len(variables) - 1}) then hours_emp * k end as value from acc, v where not (country = 'AFRICA' and k = 2))"""
+
+
+def _whole(condition, n):
+    """SQL of a sum that needs all its n variables."""
+    return f"case when count(value) filter ({condition}) = {n} then sum(value) filter ({condition}) end"
+
+
+_PAY = "variable like 'Compensation %'"
+_SURPLUS = "variable like 'Operating surplus: R%'"
+_STOCK = "variable like 'Operating surplus: C%'"
+
+
+def _skill_sql(gdp):
+    return _satellite_sql(_BY_SKILL) + f""", t as (select year, country, sector, {_whole("variable like 'Employment people%'", 6)} * 1000 as emp, {_whole("variable like 'Employment hours%'", 6)} * 1000000 as hours_emp,
+coalesce(sum(value) filter ({_PAY}), 0) as comp_emp, {gdp} as gdp_us, {_whole(_SURPLUS, 3)} as profit_us, {_whole(_STOCK, 1)} as depreciation_us from sat group by all)
+select *, emp as empe, hours_emp as hours_empe, comp_emp as comp_empe, 0.0::double as capital from t"""
+
+
+@q(_skill_sql(_whole(f"{_PAY} or variable like 'Tax%' or variable like '%net tax%' or variable like 'Operating surplus%'", 9)))
+def i44_accounts_by_skill(s, d):
+    return satellites.accounts_by_recipe(_satellite(s, d, _BY_SKILL), satellites.RECIPES["by_skill"])
+
+
+@q(_skill_sql(f"coalesce(sum(value) filter ({_PAY} or variable like '%surplus:%' or variable like '%axes %'), 0)"))
+def i44_accounts_by_pattern(s, d):
+    """The older release, which adds up the variables that there are."""
+    return satellites.accounts_by_recipe(_satellite(s, d, _BY_SKILL), satellites.RECIPES["by_skill_3_7"])
+
+
+@q(_satellite_sql(_BY_ACCOUNT) + f""", t as (select year, country, sector, {_whole("variable like 'Employment%'", 2)} * 1000 as emp, {_whole("variable like '%wages%'", 1)} / 1000 as comp_emp, {_whole("variable like 'Value added, Total%'", 1)} / 1000 as gdp_us,
+{_whole("variable like '%NOS%' or variable like '%NMI%'", 2)} / 1000 as profit_us, {_whole("variable like '%depreciation%'", 1)} / 1000 as depreciation_us from sat group by all)
+select year, country, sector, emp, emp as empe, emp as abstract_labour_emp, emp as abstract_labour_empe, round(comp_emp, 6) as comp_emp, round(comp_emp, 6) as comp_empe, round(gdp_us, 6) as gdp_us, round(profit_us, 6) as profit_us, round(depreciation_us, 6) as depreciation_us, 0.0::double as capital from t""")
+def i45_accounts_in_thousands(s, d):
+    got = satellites.accounts_by_recipe(_satellite(s, d, _BY_ACCOUNT), satellites.RECIPES["by_account"])
+    return rounded(got, 6, "comp_emp", "comp_empe", "gdp_us", "profit_us", "depreciation_us")
+
+
+_RATES = ", r as (select country as currency, year, sum(go_us) / 1e7 as rate from acc group by all), quoted as (select * from r where year % 2 = 1), used(country, year, currency, per_unit) as (values ('ASIA', 1996, 'EUROPE', 2.0), ('AFRICA', 1998, 'EUROPE', 4.0), ('AFRICA', 1996, 'ASIA', 3.0))"
+
+
+@q(LAM + _RATES + """, b as (select o_country, o_sector, d_country as country, value / sum(value) over (partition by d_country) as b from flow where kind = 'final' and year = 1995),
+w as (select * from b union all select o_country, o_sector, 'WWW', sum(b) / (select count(distinct country) from b) from b group by all),
+h as (select l.year, w.country, sum(b * lam) as hours from w join lam l on l.country = o_country and l.sector = o_sector group by all),
+c as (select h.year, h.country, coalesce(max_by(u.currency, u.year), h.country) as currency, coalesce(max_by(u.per_unit, u.year), 1) as per_unit from h left join used u on u.country = h.country and u.year <= h.year group by h.year, h.country),
+e as (select c.year, c.country, max_by(rate, quoted.year) * any_value(per_unit) as rate from c left join quoted on quoted.currency = c.currency and quoted.year <= c.year group by c.year, c.country)
+select h.year, h.country, round(hours, 9) as basket_hours, round(hours * f.rate * (100 + length(h.country) * (h.year - 1995)) / e.rate, 6) as value from h join e on e.year = h.year and e.country = h.country left join e f on f.country = h.country and f.year = 1995""")
+def i43_reference_basket_value(s, d):
+    """Planted: rates are quoted every other year, and two countries change their currency, one of them twice."""
+    e, _, _, lam, _ = _lam(s, d)
+    rates = e.accounts.groupBy(F.col("country").alias("currency"), "year").agg((F.sum("go_us") / 1e7).alias("rate")).where("year % 2 = 1")
+    used = s.createDataFrame([("ASIA", 1996, "EUROPE", 2.0), ("AFRICA", 1998, "EUROPE", 4.0), ("AFRICA", 1996, "ASIA", 3.0)], "country string, year int, currency string, per_unit double")
+    prices = e.accounts.select("country", "year").distinct().withColumn("cpi", 100 + F.length("country") * (F.col("year") - 1995))
+    got = satellites.reference_basket_value(capital.national_basket(e.flows, "HH"), lam, prices, rates, used, 1995)
+    return rounded(rounded(got, 9, "basket_hours"), 6, "value")
+
+
 # ---------------------------------------------------------------- preparation
 
 
