@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowmill.operators.relational import exact_quantile, weighted_mean
+
 
 def deviations(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", logs: bool = False) -> DataFrame:
     """Deviation measures of a from b over pairs where neither is 0, one aggregation per key:
@@ -50,8 +52,6 @@ def rate_series(rows: DataFrame, value: str) -> DataFrame:
 
 
 def regional_average(rows: DataFrame, members: list[str], value: str, weight: str) -> DataFrame:
-    from flowmill.operators.relational import weighted_mean
-
     return rows.where(F.col("country").isin(members)).groupBy("year").agg(weighted_mean(value, weight).alias(value))
 
 
@@ -61,5 +61,5 @@ def bundle_sums(rows: DataFrame, bundles: DataFrame, value: str, unit: float = 2
 
 
 def timing_summary(runs: DataFrame) -> DataFrame:
-    """Median, least and most seconds of each strategy."""
-    return runs.groupBy("strategy").agg(F.percentile("seconds", 0.5).alias("median"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))
+    """Median, least and most seconds of each strategy, exact at any number of runs."""
+    return exact_quantile(runs, ["strategy"], "seconds", 0.5, "median")

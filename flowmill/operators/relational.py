@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowmill.functions.keep import kept
+
 
 def precedence(layers: list[DataFrame], key: str) -> DataFrame:
     """Rows of the first layer that has a key; within a layer the first position wins."""
@@ -16,9 +18,9 @@ def precedence(layers: list[DataFrame], key: str) -> DataFrame:
     return all_.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def execution_order(rows: DataFrame) -> DataFrame:
-    """By stage, then order (missing last), then position."""
-    return rows.orderBy("stage", F.asc_nulls_last("order"), "pos")
+def execution_order(rows: DataFrame, name: str = "place") -> DataFrame:
+    """Adds the place by stage, then order (missing last), then position."""
+    return placed(rows, ["stage", "order"], ["pos"], name)
 
 
 def columns_like(df: DataFrame, pattern: str) -> list[str]:
@@ -93,10 +95,13 @@ def share_of_total(value: str, label: str, total: str, keys: list[str]) -> Colum
     return F.try_divide(F.col(value), F.max(F.when(F.col(label) == total, F.col(value))).over(W.partitionBy(*keys)))
 
 
-def absolute_rank(value: str, ties: list[str], keys: list[str]) -> Column:
-    """Rank by size within a partition, ties by label order. Ranks run within ``keys``, so that no
-    task sorts the whole table."""
-    return F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(F.abs(value)), *ties))
+def absolute_rank(df: DataFrame, value: str, ties: list[str], keys: list[str], name: str = "rank") -> DataFrame:
+    """Adds the rank by size within ``keys``, ties by label order; a missing value ranks last. Ranks are
+    places in one sorted table less the place where a group begins, so a group may be of any size."""
+    order = [*(F.asc_nulls_first(k) for k in keys), F.abs(value).desc_nulls_last(), *(F.asc_nulls_first(t) for t in ties)]
+    rows = in_places(df, order, name)
+    begins = rows.groupBy(*(F.col(k).alias(f"{k}_") for k in keys)).agg(F.min(name).alias("begins_"))
+    return rows.join(begins, same(keys)).withColumn(name, F.col(name) - F.col("begins_") + 1).select(*df.columns, name)
 
 
 def cumulative_index(df: DataFrame, percent: str, keys: list[str], base_year: int, name: str = "index") -> DataFrame:
@@ -141,18 +146,50 @@ def stacked_labels(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [d.select(F.col(d.columns[0]).cast("string").alias("name"), F.lit(k).alias("kind")) for k, d in tables.items()]).dropDuplicates()
 
 
+def same(keys: list[str]) -> Column:
+    """Join condition: equal keys, missing ones equal to each other, against columns with a trailing underscore."""
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+
+
+#: A row's identifier is its partition's number and, in this many bits, its place there.
+ROW_BITS = 33
+
+
+def in_places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Adds ``name``, the row's number from 1 in the order given, which should leave no ties.
+
+    Rows are range-partitioned and sorted once and written with their place in the partition; sizes
+    of partitions, a row each, give what stands before. No window or task sees more than a range,
+    however few the leading keys are.
+    """
+    rows = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row_", F.monotonically_increasing_id()), "places")
+    part = F.shiftright("row_", ROW_BITS)
+    sizes = rows.groupBy(part.alias("part_")).agg(F.count("*").alias("size_"))
+    before = F.coalesce(F.sum("size_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part_", before.alias("before_"))  # a row for each partition, so it can be broadcast
+    place = F.col("row_").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + F.col("before_") + 1
+    return rows.join(F.broadcast(starts), part == F.col("part_")).select(*df.columns, place.alias(name))
+
+
 def placed(df: DataFrame, groups: list[str], within: list[str], name: str = "place") -> DataFrame:
-    """``name``: the row's number in the order of ``groups`` (nulls last) and ``within``. Groups are sorted
-    apart and moved up by the sizes of those before, so no task sees more than a group."""
-    order = [F.asc_nulls_last(g) for g in groups]
-    sizes = df.groupBy(*groups).agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row for each group
-    before = before.select(*(F.col(g).alias(f"{g}_") for g in groups), "before")
-    on = F.lit(True)
-    for g in groups:
-        on = on & F.col(g).eqNullSafe(F.col(f"{g}_"))
-    number = F.row_number().over(W.partitionBy(*groups).orderBy(*within))
-    return df.withColumn(name, number).join(before, on).withColumn(name, (F.col(name) + F.col("before")).cast("int")).select(*df.columns, name)
+    """``name``: the row's number in the order of ``groups`` (nulls last) and ``within``."""
+    return in_places(df, [*map(F.asc_nulls_last, groups), *map(F.asc_nulls_first, within)], name)
+
+
+def exact_quantile(df: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
+    """(keys, ``name``, least, most): the exact quantile of each group, linear between neighbours, as double.
+
+    Missing values are left out; a group without others has missing results. The values that a
+    quantile lies between are looked up by their places in one sorted table, at most two a group.
+    """
+    rows = in_places(df.select(*keys, F.col(value).cast("double").alias("value_")), [*map(F.asc_nulls_first, keys), F.asc_nulls_last("value_")], "place_")
+    groups = rows.groupBy(*keys).agg(F.min("place_").alias("begins_"), F.count("value_").alias("n_"), F.min("value_").alias("least"), F.max("value_").alias("most"))
+    at = (F.col("n_") - 1) * F.lit(float(share))
+    groups = kept(groups.withColumns({"low_": F.col("begins_") + F.floor(at), "high_": F.col("begins_") + F.ceil(at), "between_": at - F.floor(at)}), "quantiles")
+    asked = groups.where("n_ > 0").select("begins_", F.explode(F.array_distinct(F.array("low_", "high_"))).alias("place_"))
+    pair = rows.select("place_", "value_").join(asked, "place_").groupBy("begins_").agg(F.min("value_").alias("from_"), F.max("value_").alias("to_"))
+    step = F.when(F.col("from_") == F.col("to_"), F.col("from_")).otherwise(F.col("from_") + F.col("between_") * (F.col("to_") - F.col("from_")))
+    return groups.join(pair, "begins_", "left").select(*keys, step.alias(name), "least", "most")
 
 
 def side_by_side(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

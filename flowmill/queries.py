@@ -121,7 +121,7 @@ def o48_precedence(s, d):
 @q("select p_partkey as pos, (p_size % 6)::int as stage, case when p_size % 4 = 0 then null else p_size % 4 end::int as \"order\", row_number() over (order by p_size % 6, case when p_size % 4 = 0 then null else p_size % 4 end nulls last, p_partkey) as place from part")
 def o49_execution_order(s, d):
     rows = market.read(s, d, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_size") % 6).cast("int").alias("stage"), F.when(F.col("p_size") % 4 != 0, F.col("p_size") % 4).cast("int").alias("order"))
-    return relational.placed(relational.execution_order(rows), ["stage", "order"], ["pos"])
+    return relational.execution_order(rows)
 
 
 @q("select c_custkey, case when c_acctbal >= 0 then 'finite' else 'source_missing' end as state from customer")
@@ -375,7 +375,8 @@ def o111_share_of_row(s, d):
 
 @q(BASE + " select year, o_country, o_sector, d_country, d_sector, row_number() over (partition by year order by abs(value) desc, o_country, o_sector, d_country, d_sector) as rank from flow")
 def o113_absolute_rank(s, d):
-    return market.flows(s, d).select("year", "o_country", "o_sector", "d_country", "d_sector", relational.absolute_rank("value", ["o_country", "o_sector", "d_country", "d_sector"], ["year"]).alias("rank"))
+    ties = ["o_country", "o_sector", "d_country", "d_sector"]
+    return relational.absolute_rank(market.flows(s, d), "value", ties, ["year"]).select("year", *ties, "rank")
 
 
 @q(BASE + ", p as (select country, year, sum(hours_hs) / sum(hours_emp) * 10 as pct from acc group by all), l as (select country, year, exp(sum(ln(1 + pct / 100)) over (partition by country order by year)) as v from p) select country, year, round(100 * v / max(v) filter (year = 1996) over (partition by country), 6) as index from l")
