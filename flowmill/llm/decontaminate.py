@@ -11,9 +11,11 @@ The documents never move: windows go to the tasks by a broadcast of at most ``ma
 beyond that size they are cut into chunks and the documents pass once per chunk, each pass
 adding to the hits of the one before (written to the shared folder between passes).
 
-Defined cases: null text has no words; items with null id or without a word give no window; items
-with one id are one item with all their windows; an empty item table marks nothing; rows are judged
-one by one, so repeated rows give repeated results; other columns are kept as they are.
+Defined cases: null text, of a document or an item, has no words; an item without a word gives no
+window; windows of items with null id hit words as others do, but these items are neither named nor
+counted; items with one id are one item with all their windows; an empty item table marks nothing, an
+empty document table gives no rows; very long texts are searched whole; rows are judged one by one,
+so repeated rows give repeated results; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ MATCH = T.StructType([
     T.StructField("items", T.ArrayType(T.StringType())),
 ])
 
+#: Number of all items without an id.
+UNNAMED = -1
+
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
@@ -107,7 +112,7 @@ def windows_of(benchmark: DataFrame, window: int, id_col: str, text_col: str) ->
                     rows[1].append(win)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.binary())], names=["item", "win"])
 
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
     return items.mapInArrow(cut, "item string, win binary").distinct()
 
 
@@ -115,14 +120,14 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_c
                  out: str = "match", max_pattern_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` and a struct ``out`` (its name made fresh): n_words, the merged word spans hit, and the items found."""
     wins = windows_of(benchmark, window, item_id, item_text).persist()
-    size = wins.agg(F.coalesce(F.sum(F.length("win") + F.length("item") + 64), F.lit(0)).alias("n")).first().n
+    size = wins.agg(F.coalesce(F.sum(F.length("win") + F.coalesce(F.length("item"), F.lit(0)) + 64), F.lit(0)).alias("n")).first().n
     parts = max(1, -(-int(size) // max_pattern_bytes))
     schema, context = MATCH, docs.sparkSession.sparkContext
     result, out = docs, fresh_name(docs, out)
     for part in range(parts):
         rows = [(r.item, bytes(r.win)) for r in wins.where(F.pmod(F.xxhash64("win"), F.lit(parts)) == part).toLocalIterator()]
-        names = sorted({r[0] for r in rows})
-        number = {n: k for k, n in enumerate(names)}
+        names = sorted({r[0] for r in rows if r[0] is not None})
+        number = {None: UNNAMED} | {n: k for k, n in enumerate(names)}
         sent = context.broadcast((names, [(number[i], w) for i, w in rows]))
         result = result.withColumn(out, matcher(sent)(F.col(text_col), F.col(out) if part else F.lit(None).cast(schema)))
         if part + 1 < parts:
@@ -148,8 +153,8 @@ def matcher(sent):
                 for start, numbers in finder.search(words):
                     spans.append((start, start + finder.length))
                     items.update(numbers)
-            found = {names[i] for i in items}
-            if old_items is not None and len(old_items):
+            found = {names[i] for i in items if i != UNNAMED}
+            if old_spans is not None and len(old_spans):  # of items without an id, too
                 spans += [(s["start"], s["end"]) for s in old_spans]
                 found |= set(old_items)
             rows.append((len(words), [{"start": a, "end": b} for a, b in merged(spans)], sorted(found)))

@@ -30,15 +30,15 @@ def brute_hits(docs, items, n):
     for i, t in items:
         w = word.findall(low(t))
         for k in range(max(1, len(w) - n + 1)):
-            if w and i is not None:
-                pats.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+            if w:
+                pats.setdefault(tuple(w[k : k + n]), set()).update([str(i)] if i is not None else [])
     out = []
     for d, t in docs:
         w, hit, found = word.findall(low(t)), set(), set()
         for size in {len(p) for p in pats}:
             for k in range(len(w) - size + 1):
                 p = pats.get(tuple(w[k : k + size]))
-                if p:
+                if p is not None:
                     hit |= set(range(k, k + size))
                     found |= p
         out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
@@ -47,9 +47,10 @@ def brute_hits(docs, items, n):
 
 def test_decontamination(spark, make, crowded):
     items = [(k, " ".join(some_words(R.choice([1, 3, 10, 11, 25])))) for k in range(20)] + [(50, None), (51, "..."), (None, "a b c"), (3, "Extra Window")]
-    docs = ODD + [(k, " ".join(some_words(40) + R.choice(items[:20])[1].upper().split() + some_words(5))) for k in range(60)] + [(70, "EXTRA, window!")]
+    docs = ODD + [(k, " ".join(some_words(40) + R.choice(items[:20])[1].upper().split() + some_words(5))) for k in range(60)] + [(70, "EXTRA, window!"), (71, "x a b. C a"), (72, "a b")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_hits(docs, items, 10)
+    assert (71, 5, 3, 0, hashlib.sha256(b"").hexdigest(), True) in want  # an item without an id
     for limit in (64 << 20, 4000):
         got = decontaminate.contamination(crowded(make(docs)), bench, 10, max_pattern_bytes=limit)
         assert Counter(tuple(r)[:6] for r in got.collect()) == want
