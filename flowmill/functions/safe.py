@@ -125,7 +125,7 @@ def restored_states(df: DataFrame, keys: list[str], values: list[str], sparse: D
 def declared_states(cells: DataFrame, rules: DataFrame, default: str = "finite") -> DataFrame:
     """Adds ``declared`` by a rule table (indicator, checkpoint, country or NULL for all, state). The
     most specific rule wins; two states at the same level abort."""
-    hit = cells.alias("c").join(F.broadcast(rules.alias("r")), (F.col("c.indicator") == F.col("r.indicator")) & (F.col("c.checkpoint") == F.col("r.checkpoint")) & (F.col("r.country").isNull() | (F.col("r.country") == F.col("c.country"))), "left")
+    hit = cells.alias("c").join(rules.alias("r"), (F.col("c.indicator") == F.col("r.indicator")) & (F.col("c.checkpoint") == F.col("r.checkpoint")) & (F.col("r.country").isNull() | (F.col("r.country") == F.col("c.country"))), "left")
     keys = [F.col(f"c.{k}") for k in cells.columns]
     special = F.col("r.country").isNotNull() & F.col("r.state").isNotNull()
     out = hit.groupBy(*keys).agg(

@@ -57,7 +57,7 @@ def regional_average(rows: DataFrame, members: list[str], value: str, weight: st
 
 def bundle_sums(rows: DataFrame, bundles: DataFrame, value: str, unit: float = 2e9) -> DataFrame:
     """Sums of sector bundles in a unit. ``bundles``: (sector, bundle)."""
-    return rows.join(F.broadcast(bundles), "sector").groupBy("year", "country", "bundle").agg((F.sum(value) / unit).alias(value))
+    return rows.join(bundles, "sector").groupBy("year", "country", "bundle").agg((F.sum(value) / unit).alias(value))
 
 
 def timing_summary(runs: DataFrame) -> DataFrame:

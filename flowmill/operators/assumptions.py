@@ -23,14 +23,14 @@ def employees_as_engaged(accounts: DataFrame, country: str) -> DataFrame:
 
 def hours_per_worker(accounts: DataFrame, country: str, hours: DataFrame) -> DataFrame:
     """Hours = persons x coefficient x 1000 by (year, sector); employees := engaged."""
-    rows = accounts.join(F.broadcast(hours.select("year", "sector", "coefficient")), ["year", "sector"], "left")
+    rows = accounts.join(hours.select("year", "sector", "coefficient"), ["year", "sector"], "left")
     rows = rows.withColumns(replaced(country, {"hours_emp": F.col("emp") * F.col("coefficient") * 1000}))
     return rows.withColumns(replaced(country, {"empe": F.col("emp"), "hours_empe": F.col("hours_emp")})).select(*accounts.columns)
 
 
 def wage_share(accounts: DataFrame, country: str, shares: DataFrame) -> DataFrame:
     """Employees and hours := engaged x the year's share of wage workers in per cent."""
-    rows = accounts.join(F.broadcast(shares.select("year", "percent")), "year", "left")
+    rows = accounts.join(shares.select("year", "percent"), "year", "left")
     return rows.withColumns(replaced(country, {"empe": F.col("emp") * F.col("percent") / 100, "hours_empe": F.col("hours_emp") * F.col("percent") / 100})).select(*accounts.columns)
 
 
@@ -121,5 +121,5 @@ def without_region(accounts: DataFrame, columns: list[str], row: str = ROW) -> D
 
 def converted(flows: DataFrame, accounts: DataFrame, rates: DataFrame, money: list[str]) -> tuple[DataFrame, DataFrame]:
     """Flows and money columns times the year's rate; the rate itself is kept."""
-    r = F.broadcast(rates.select("year", "rate"))
+    r = rates.select("year", "rate")
     return flows.join(r, "year").withColumn("value", F.col("value") * F.col("rate")).drop("rate"), accounts.join(r, "year").withColumns({m: F.col(m) * F.col("rate") for m in money}).drop("rate")

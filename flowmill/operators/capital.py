@@ -79,7 +79,7 @@ def composition(shares: DataFrame, investment: DataFrame, ratio: DataFrame) -> D
     d_country, value); ``ratio``: (year, country, sector, ratio).
     """
     known = shares.select(F.col("country").alias("have")).distinct()
-    dest = ratio.join(F.broadcast(known), F.col("country") == F.col("have"), "left").withColumn("key", F.coalesce("have", F.lit("MD"))).drop("have")
+    dest = ratio.join(known, F.col("country") == F.col("have"), "left").withColumn("key", F.coalesce("have", F.lit("MD"))).drop("have")
     part = shares.select("year", F.col("country").alias("key"), "sector", "ktype", "share")
     d = dest.join(part, ["year", "key", "sector"]).select("year", F.col("country").alias("d_country"), F.col("sector").alias("d_sector"), "ktype", (F.col("ratio") * F.col("share")).alias("factor"))
     return investment.join(d, ["year", "d_country", "ktype"]).select("year", "o_country", "o_sector", "d_country", "d_sector", "ktype", (F.col("value") * F.col("factor")).alias("weight"))
@@ -89,8 +89,8 @@ def depreciation(allocated: DataFrame, rates: DataFrame, ktypes: DataFrame, year
     """k_depreciation = composition x rate of the destination sector and the origin's capital type,
     taken from year + offset. ``rates``: (year, sector, ktype, rate); ``ktypes``: (o_sector, ktype)."""
     r = rates.select((F.col("year") - year_offset).alias("year"), F.col("sector").alias("d_sector"), "ktype", "rate")
-    typed = allocated.join(F.broadcast(ktypes), "o_sector")
-    return typed.join(F.broadcast(r), ["year", "d_sector", "ktype"]).select("year", "o_country", "o_sector", "d_country", "d_sector", (F.col("value") * F.col("rate")).alias("value"))
+    typed = allocated.join(ktypes, "o_sector")
+    return typed.join(r, ["year", "d_sector", "ktype"]).select("year", "o_country", "o_sector", "d_country", "d_sector", (F.col("value") * F.col("rate")).alias("value"))
 
 
 def zero_depreciation(flows: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def trade() -> Column:
 
 def only_productive(flows: DataFrame, sectors: DataFrame) -> DataFrame:
     """Flows whose origin sector is productive. ``sectors``: (sector, productive), a label table."""
-    return flows.join(F.broadcast(sectors.where("productive = 1").select(F.col("sector").alias("o_sector"))), "o_sector", "left_semi").select(*flows.columns)
+    return flows.join(sectors.where("productive = 1").select(F.col("sector").alias("o_sector")), "o_sector", "left_semi").select(*flows.columns)
 
 
 def with_lambda(flows: DataFrame, lam: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def balance_factor(valued: DataFrame, productive: Column) -> DataFrame:
 
 def with_transfers(valued: DataFrame, bf: DataFrame) -> DataFrame:
     """Adds ``transfer`` = price x balance factor - value between countries, 0 within one."""
-    return valued.join(F.broadcast(bf), "year").withColumn("transfer", F.when(trade(), F.col("value") * F.col("bf") - F.col("worth")).otherwise(F.lit(0.0)))
+    return valued.join(bf, "year").withColumn("transfer", F.when(trade(), F.col("value") * F.col("bf") - F.col("worth")).otherwise(F.lit(0.0)))
 
 
 def bilateral(flows: DataFrame, columns: dict[str, Column], countries: DataFrame | None = None) -> DataFrame:
@@ -65,7 +65,7 @@ def reduced(transferred: DataFrame, productive: Column, countries: DataFrame | N
         "exports_values": F.col("worth"), "exports_mp": F.col("value"), "exports_productive_mp": p("value"), "transfers_values": F.col("transfer"), "transfers_productive_values": p("transfer"),
     }, countries)
     bf = transferred.select("year", "bf").distinct()
-    out = out.join(F.broadcast(bf), "year")
+    out = out.join(bf, "year")
     return out.withColumn("transfers_dp", F.try_divide("transfers_values", "bf")).withColumn("transfers_productive_dp", F.try_divide("transfers_productive_values", "bf")).drop("bf")
 
 

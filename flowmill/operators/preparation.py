@@ -68,7 +68,7 @@ def disaggregated(totals: DataFrame, mapping: DataFrame, weights: DataFrame, val
 
 def reaggregated(df: DataFrame, mapping: DataFrame, value: str = "value") -> DataFrame:
     """Sums parts to their aggregate codes."""
-    return df.join(F.broadcast(mapping), F.col("code") == F.col("disaggregated")).groupBy("year", "country", F.col("aggregated").alias("code")).agg(F.sum(value).alias(value))
+    return df.join(mapping, F.col("code") == F.col("disaggregated")).groupBy("year", "country", F.col("aggregated").alias("code")).agg(F.sum(value).alias(value))
 
 
 def with_mean_country(df: DataFrame, value: str, name: str = "MD") -> DataFrame:
@@ -80,7 +80,7 @@ def with_mean_country(df: DataFrame, value: str, name: str = "MD") -> DataFrame:
 def complete_countries(df: DataFrame, n_expected: int, exclude: list[str], value: str = "value") -> DataFrame:
     """Countries that have every cell and are not excluded."""
     ok = df.groupBy("country").agg(F.count(value).alias("n")).where(F.col("n") == n_expected).where(~F.col("country").isin(exclude))
-    return df.join(F.broadcast(ok.select("country")), "country", "left_semi")
+    return df.join(ok.select("country"), "country", "left_semi")
 
 
 def weighted_depreciation(rates: DataFrame, stocks: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def weighted_depreciation(rates: DataFrame, stocks: DataFrame, mapping: DataFram
 def euro_members(rates: DataFrame, members: DataFrame) -> DataFrame:
     """Members take the euro's rate from their first year. ``members``: (country, start)."""
     euro = rates.where("country = 'EUR'").select("year", F.col("rate").alias("euro"))
-    joined = rates.join(F.broadcast(members), "country", "left").join(F.broadcast(euro), "year", "left")
+    joined = rates.join(members, "country", "left").join(euro, "year", "left")
     return joined.withColumn("rate", F.when(F.col("year") >= F.col("start"), F.col("euro")).otherwise(F.col("rate"))).select(*rates.columns)
 
 

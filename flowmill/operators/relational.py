@@ -48,7 +48,7 @@ def typed_lookup(rows: DataFrame, wide: DataFrame, keys: list[str], types: list[
 def with_fallback(rows: DataFrame, table: DataFrame, key: str, fallback: str, on: list[str]) -> DataFrame:
     """Rows joined to a table, keys that it lacks to its fallback key."""
     known = table.select(F.col(key).alias("known")).distinct()
-    keyed = rows.join(F.broadcast(known), F.col(key) == F.col("known"), "left").withColumn("used", F.coalesce("known", F.lit(fallback))).drop("known")
+    keyed = rows.join(known, F.col(key) == F.col("known"), "left").withColumn("used", F.coalesce("known", F.lit(fallback))).drop("known")
     return keyed.join(table.withColumnRenamed(key, "used"), ["used", *on], "left")
 
 
