@@ -1,5 +1,7 @@
+import functools
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -242,6 +244,97 @@ def test_language_query_on_held_out_documents(spark):
     assert len(rows) > 100 and sum(r.lang == r.lang_pred for r in rows) > 0.97 * len(rows)
 
 
+def brute_languages(learned, texts, penalty=12.0, smoothing=0.5, buckets=1 << 17):
+    """The verdict of each text by plain loops: counts, word scores and a decoding over all languages."""
+    mask, ends = (1 << 64) - 1, langid.SCRIPT_ENDS
+
+    def words(t):
+        out, now = [], []
+        for c in (t or "") + " ":
+            if c.isalpha():
+                now.append(ord(c.lower()[0]))
+            elif now:
+                out.append(tuple(now))
+                now = []
+        return out
+
+    @functools.cache
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h ^ c) * 0x9E3779B97F4A7C15 & mask
+            h ^= h >> 29
+        return (h + len(gram) * 0xD1B54A32D192ED03 & mask) % buckets
+
+    @functools.cache
+    def of_word(w):
+        w = (0, *w, 0)
+        return [bucket(w[k : k + n]) for n in langid.NGRAMS for k in range(len(w) - n + 1)]
+
+    script = lambda w: next(s for end, s in ends if w[0] <= end)
+    langs = sorted({lang for _, lang in learned})
+    grams, scripts = {k: Counter() for k in langs}, {k: Counter() for k in langs}
+    for t, lang in learned:
+        for w in words(t):
+            grams[lang].update(of_word(w))
+            scripts[lang][script(w)] += 1
+    total = {k: sum(grams[k].values()) for k in langs}
+    fits = {k: {s for s, n in scripts[k].items() if n >= 1e-4 * sum(scripts[k].values())} for k in langs}
+
+    @functools.cache
+    def weights(b):
+        p = [math.log((grams[k][b] + smoothing) / (total[k] + smoothing * buckets)) for k in langs]
+        return [round((x - sum(p) / len(p)) * 1024) if any(grams[k][b] for k in langs) else 0 for x in p]
+
+    @functools.cache
+    def scores(w):
+        can = [script(w) in fits[k] for k in langs]
+        raw = [sum(col) / 1024 for col in zip(*map(weights, of_word(w)))]
+        return [(x if ok else -1e3) if any(can) else 0.0 for x, ok in zip(raw, can)]
+
+    out = []
+    for t in texts:
+        ws = words(t)
+        if not ws:
+            out.append(("und", 0.0))
+            continue
+        best, backs = scores(ws[0]), []
+        for w in ws[1:]:
+            back = [max(range(len(langs)), key=lambda j: (best[j] - penalty * (j != k), j == k, -j)) for k in range(len(langs))]  # noqa: B023
+            best = [best[j] - penalty * (j != k) + x for k, (j, x) in enumerate(zip(back, scores(w)))]
+            backs.append(back)
+        path = [best.index(max(best))]
+        for back in reversed(backs):
+            path.append(back[path[-1]])
+        share = Counter()
+        for w, k in zip(ws, reversed(path)):
+            share[k] += len(w)
+        top = min(share, key=lambda k: (-share[k], k))
+        out.append((langs[top], share[top] / sum(share.values())))
+    return out
+
+
+def test_language_query_equals_brute_force(spark):
+    from flowmill.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs}
+    learned = [(r.text, r.lang) for r in docs if r.lang is not None and r.text is not None and not held[r.doc_id]]
+    want = brute_languages(learned, [r.text for r in docs])
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in QUERIES["op4_language"](spark, sf).collect()}
+    assert got == {r.doc_id: (held[r.doc_id], *w) for r, w in zip(docs, want)}
+
+
+def test_word_scores_and_verdicts_equal_brute_force(make):
+    learned = [(babble(lang, 30), lang) for lang in ["aa", "bb", "cc"] * 15]
+    model = langid.fit(make([(k, t, lang) for k, (t, lang) in enumerate(learned)]))
+    mixed = [" ".join(babble(R.choice(["aa", "bb", "cc"]), R.randint(1, 5)) for _ in range(R.randint(1, 6))) for _ in range(60)]
+    texts = [*mixed, None, "", " 12 ", "a", "日本 語", "é1é", "lo жа", babble("cc", 4000)]
+    got = {r.doc_id: (r.language.lang, r.language.score) for r in langid.with_language(make(list(enumerate(texts))), model).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_languages(learned, texts)
+
+
 def test_viterbi_is_optimal():
     from itertools import product
 
