@@ -15,7 +15,8 @@ the cost per word is constant and memory is bounded by a group.
 
 Defined cases: null text and text without a letter is ``und`` with score 0 and no span; with no
 labelled row nothing can be learned and everything is ``und``; ties take the language that sorts
-first; rows are judged one by one; other columns are neither read nor changed.
+first; a long text is read whole, by a task of its own group; an empty table gives an empty result;
+rows are judged one by one; other columns are neither read nor changed.
 """
 
 from __future__ import annotations

@@ -24,7 +24,7 @@ dealt over salted tasks, blocks bound what a task holds.
 
 Defined cases: null, empty or blank text has no shingle and stays alone; fewer than ``words`` words
 are one shingle; a null document id can't be linked (component null, kept); rows with one id are
-one document; an empty table gives an empty result; extra columns don't matter.
+one document; long texts are compared whole; an empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ if it has at most ``broadcast_cells`` cells, and by a shuffle join beyond that.
 Defined cases: null labels are the label "unknown"; null text has no token; a cell without tokens
 keeps weight 0 and its documents probability 0; targets for absent labels are shared out among the
 present ones; labels without a target get share 0; a null id hashes as the empty string; repeated
-rows are decided alike; an empty table gives an empty result; other columns are kept as they are.
+rows are decided alike; long texts count whole; an empty table gives an empty result; other columns are kept as they are.
 """
 
 from __future__ import annotations

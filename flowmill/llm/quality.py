@@ -13,7 +13,8 @@ other way round. Line features are made by Spark; the driver receives masks and
 
 Defined cases: null text has no word and fails the base rules; a blank line is neither content nor
 boilerplate for the share; a text of blank lines alone has no word; without labels of both kinds every
-line is content and the base rules decide alone; an id whose labels disagree is not trained on; rows
+line is content and the base rules decide alone; long texts are read and labelled whole; an empty
+table gives an empty result; an id whose labels disagree is not trained on; rows
 are judged one by one; other columns don't matter, and one that is already named like the result keeps
 its name (see ``fresh_name``).
 """

@@ -11,7 +11,7 @@ previous match, so gap and match lengths add up to code point offsets.
 
 Texts are shuffled once, to meet their candidate rules by document id; postings are a few bytes.
 
-Defined cases: null text is empty and has no span; a null id is matched like any other; rows with
+Defined cases: null text is empty and has no span; long texts are searched whole; a null id is matched like any other; rows with
 one id share their candidates (a superset) and are verified on their own text; an empty table gives
 an empty result; other columns don't matter.
 """

@@ -11,6 +11,7 @@ piece of rank r scores -log(r + 10), by Zipf's law. All bytes are pieces, so eve
 Texts stay where they are: nothing is shuffled, and a task holds one batch and the store.
 
 Defined cases: null and empty text has no pre-token and no token; rows are counted one by one;
+long texts are counted whole; an empty table gives an empty result;
 other columns are kept as they are, also one that is already named like the result (see ``fresh_name``).
 """
 

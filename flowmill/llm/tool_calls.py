@@ -22,7 +22,7 @@ without an id can't be linked and has stage 0, whatever it names; several result
 earliest is linked and their number given; results without a call are kept,
 unlinked; calls that share an identifier are one call for the order, each get the result and are
 flagged; references to absent calls are ignored; null conversations are never linked; repeated rows are
-repeated; an empty table gives an empty result; other columns don't matter.
+repeated; long turns are read whole; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations

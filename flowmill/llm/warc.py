@@ -17,10 +17,12 @@ response and the others are revisits that name it. Digests are grouped without t
 few bytes of a revisit then meet the record in the same sort that carries the payloads, so these
 are shuffled once.
 
-Defined cases: null html is an empty payload, null url an empty URI; null page ids sort first and are
-always responses; repeated rows give repeated records with numbered record ids (rows that share the
-smallest id are all responses, and revisits refer to the first of them); rows that share an id share a
-shard, whose files still roll; an empty table gives an empty manifest; other columns don't matter.
+Defined cases: null html is an empty payload, null url an empty URI; records without a page id sort
+first and are revisits of the smallest id with their payload, responses where no id has it; repeated
+rows give repeated records with numbered record ids (rows that share the smallest id are all
+responses, and revisits refer to the first of them); rows that share an id share a shard, whose files
+still roll; a long payload is one record, held whole by its task; an empty table gives an empty
+manifest; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -200,8 +202,8 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 256 << 20, file
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("html", "utf-8")))
     facts = saved(rows.select("page_id", "sha1", F.octet_length("html").alias("n")), "digests")
-    first = facts.where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last").drop("last")
-    again = facts.where(F.col("n") >= least_bytes).join(first, "sha1").where("page_id <> first").select("page_id", "sha1", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.col("first").alias("refers_to")).distinct()
+    first = facts.where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.max(F.col("page_id").isNull()).alias("unnamed")).where("first <> last or (unnamed and first is not null)").select("sha1", "first")
+    again = facts.where(F.col("n") >= least_bytes).join(first, "sha1").where("not page_id <=> first").select("page_id", "sha1", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.col("first").alias("refers_to")).distinct()
     cuts = balanced_cuts(facts.select(F.col("page_id").alias("id"), (F.col("n") + 600).alias("bytes")).where("id is not null"), shard_bytes)
     both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(again)
     if cuts:

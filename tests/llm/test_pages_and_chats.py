@@ -16,7 +16,7 @@ def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, extra string").repartition(3)
 
 
-ROWS = [(1, "http://a", "<p>é</p>", "x"), (2, "http://b", "<p>é</p>", "x"), (3, None, None, None), (4, "http://c\r\nX: y", "", "x"), (5, "u", "z" * 200_000, "x"), (5, "u", "z" * 200_000, "x"), (6, "u", "z" * 200_000, "x"), (None, "n", "<p>é</p>", "x")] + [(k, f"http://{k}", f"page {k % 40}", "x") for k in range(10, 200)]
+ROWS = [(1, "http://a", "<p>é</p>", "x"), (2, "http://b", "<p>é</p>", "x"), (3, None, None, None), (4, "http://c\r\nX: y", "", "x"), (5, "u", "z" * 200_000, "x"), (5, "u", "z" * 200_000, "x"), (6, "u", "z" * 200_000, "x"), (None, "n", "<p>é</p>", "x"), (None, "n", "<p>é</p>", "x"), (None, "n", "of no id", "x"), (None, "o", "of no id", "x"), (None, "o", "page 30", "x"), (7, "v", "seven", "x"), (None, "v", "seven", "x")] + [(k, f"http://{k}", f"page {k % 40}", "x") for k in range(10, 200)]
 
 
 def test_archive_round_trip(spark):
@@ -28,7 +28,7 @@ def test_archive_round_trip(spark):
     want = []
     for i, _, h, _ in ROWS:
         p = (h or "").encode()
-        again = i is not None and first[p] < i
+        again = p in first and first[p] != i
         want.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if again else "response", first[p] if again else None))
     folder = shared_dir(spark, "warc-test")
     manifest = warc.write_warc(pages(spark, ROWS), folder, shard_bytes=20_000, file_bytes=3_000)
@@ -82,7 +82,7 @@ def test_record_ids_of_repeated_rows_differ(spark):
 
 def test_least_size_and_empty_table(spark):
     got = warc.archived(pages(spark, ROWS), least_bytes=100)
-    assert {r.page_id for r in got.where("record_type = 'revisit'").collect()} == {6}
+    assert {r.page_id for r in got.where("record_type = 'revisit'").collect()} == {6}  # the payload without an id is short
     assert warc.archived(pages(spark, [])).count() == 0
 
 
