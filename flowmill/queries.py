@@ -51,6 +51,13 @@ def economy(spark: SparkSession, sf_dir: str, grain: str = "region") -> plan.Eco
     return plan.Economy(market.flows_of(cells), kept(market.accounts_of(cells), "accounts"), market.productive)
 
 
+def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Flows and accounts of ``economy``. ``market.flows`` and ``market.accounts`` read the facts anew wherever a plan
+    or a job uses them, so they are for queries that do so once."""
+    e = economy(spark, sf_dir)
+    return e.flows, e.accounts
+
+
 def sector_labels(acc: DataFrame) -> DataFrame:
     return acc.select("sector").distinct().withColumn("productive", market.productive("sector").cast("int"))
 
@@ -64,8 +71,8 @@ def rounded(df: DataFrame, places: int, *names: str) -> DataFrame:
 
 @q(BASE + " select year, o_country, o_sector, d_country, d_sector, kind, value from flow where o_sector <> 'S4'")
 def o40_productive(s, d):
-    f = market.flows(s, d)
-    return flows.only_productive(f, sector_labels(market.accounts(s, d)))
+    f, a = tables(s, d)
+    return flows.only_productive(f, sector_labels(a))
 
 
 @q(BASE + " select year, o_country, o_sector, d_country, d_sector, kind, value from flow where o_country <> d_country")
@@ -85,7 +92,7 @@ def o43_imports_key(s, d):
 
 @q(BASE + ", c as (select distinct o_country as c from flow), y as (select distinct year from flow) select y.year, a.c as origin, b.c as destination, round(coalesce(sum(case when a.c <> b.c then value end), 0), 2) as value from y cross join c a cross join c b left join flow f on f.year = y.year and f.o_country = a.c and f.d_country = b.c group by all")
 def o44_zero_diagonal(s, d):
-    f = market.flows(s, d)
+    f = economy(s, d).flows
     return rounded(flows.bilateral(f, {"value": F.col("value")}, f.select(F.col("o_country").alias("country")).distinct()), 2, "value")
 
 
@@ -169,34 +176,34 @@ def o59_exactly_one(s, d):
 
 @q(BASE + ", k as (select c.country, t.sector from (select distinct country from acc) c cross join (select distinct sector from acc) t) select 1996::int as year, k.country, k.sector, a.gdp_us from k left join acc a on a.year = 1996 and a.country = k.country and a.sector = k.sector")
 def o60_left_join(s, d):
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     k = relational.skeleton(a.select("country").distinct(), a.select("sector").distinct()).withColumn("year", F.lit(1996))
     return k.join(a.select("year", "country", "sector", "gdp_us"), ["year", "country", "sector"], "left")
 
 
 @q(BASE + " select c.country, t.sector from (select distinct country from acc) c cross join (select distinct sector from acc) t")
 def o61_skeleton(s, d):
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     return relational.skeleton(a.select("country").distinct(), a.select("sector").distinct())
 
 
 @q(BASE + " select year, country, sector, case when sector in ('S0', 'S1') then 'hours_hs' else 'hours_ms' end as ktype, case when sector in ('S0', 'S1') then hours_hs else hours_ms end as amount from acc")
 def o62_typed_lookup(s, d):
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     rows = a.select("year", "country", "sector", F.when(F.col("sector").isin("S0", "S1"), "hours_hs").otherwise("hours_ms").alias("ktype"))
     return relational.typed_lookup(rows, a.select("year", "country", "sector", "hours_hs", "hours_ms"), ["year", "country", "sector"], ["hours_hs", "hours_ms"], "ktype", "amount")
 
 
 @q(BASE + ", t as (select year, country, sector, gdp_us as v from acc where country in ('ASIA', 'EUROPE') union all select year, 'MD', sector, avg(gdp_us) from acc where country in ('ASIA', 'EUROPE') group by all) select a.year, a.country, a.sector, round(t.v, 7) as v from acc a left join t on t.year = a.year and t.sector = a.sector and t.country = case when a.country in ('ASIA', 'EUROPE') then a.country else 'MD' end")
 def o63_fallback_join(s, d):
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     t = preparation.with_mean_country(a.where(F.col("country").isin("ASIA", "EUROPE")).select("year", "country", "sector", F.col("gdp_us").alias("v")), "v")
     return rounded(relational.with_fallback(a.select("year", "country", "sector"), t, "country", "MD", ["year", "sector"]), 7, "v").select("year", "country", "sector", "v")
 
 
 @q(BASE + " select a.year, a.country, a.sector, round(a.gdp_us / t.total, 9) as share from acc a join (select year, sum(gdp_us) as total from acc group by year) t using (year)")
 def o64_broadcast_scalar(s, d):
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     t = a.groupBy("year").agg(F.sum("gdp_us").alias("total"))
     return rounded(a.join(F.broadcast(t), "year").withColumn("share", F.col("gdp_us") / F.col("total")), 9, "share").select("year", "country", "sector", "share")
 
@@ -208,7 +215,7 @@ def o65_base_year(s, d):
 
 @q(BASE + " select a.year, a.country, a.sector, b.gdp_us as next from acc a left join acc b on b.year = a.year + 1 and a.country = b.country and a.sector = b.sector")
 def o66_year_offset(s, d):
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     return relational.shifted(a.select("year", "country", "sector"), a.select("year", "country", "sector", F.col("gdp_us").alias("next")), ["country", "sector"], 1)
 
 
@@ -271,8 +278,8 @@ def o86_formula(s, d):
 _LACK = "(select *, case when sector = 'S1' and country = 'ASIA' then null else hours_emp end as h, case when sector in ('S0','S1','S2','S3','S4') and country = 'AFRICA' then null else gdp_us end as g from acc)"
 
 
-def _lacking(s, d):
-    a = market.accounts(s, d)
+def _lacking(s, d, a=None):
+    a = market.accounts(s, d) if a is None else a
     return a.withColumn("h", F.when((F.col("sector") == "S1") & (F.col("country") == "ASIA"), None).otherwise(F.col("hours_emp"))).withColumn("g", F.when(F.col("country") == "AFRICA", None).otherwise(F.col("gdp_us")))
 
 
@@ -320,7 +327,7 @@ def o99_argmin(s, d):
 
 @q(BASE + " select year, sector, round(avg(gdp_us), 7) as gdp_us from acc where country <> 'ASIA' group by all")
 def o100_country_mean(s, d):
-    m = preparation.with_mean_country(market.accounts(s, d).where("country <> 'ASIA'").select("year", "country", "sector", "gdp_us"), "gdp_us", "MD").where("country = 'MD'")
+    m = preparation.with_mean_country(economy(s, d).accounts.where("country <> 'ASIA'").select("year", "country", "sector", "gdp_us"), "gdp_us", "MD").where("country = 'MD'")
     return rounded(m.select("year", "sector", "gdp_us"), 7, "gdp_us")
 
 
@@ -443,7 +450,7 @@ def o128_union(s, d):
 
 @q(BASE + " select year, country, sector, 'emp' as indicator, emp as value from acc union all select year, country, sector, 'hours', hours_emp from acc")
 def o129_bind_indicators(s, d):
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     return a.select("year", "country", "sector", F.lit("emp").alias("indicator"), F.col("emp").alias("value")).unionByName(a.select("year", "country", "sector", F.lit("hours").alias("indicator"), F.col("hours_emp").alias("value")))
 
 
@@ -454,7 +461,7 @@ def o130_fingerprint(s, d):
 
 @q(BASE + " select country as name, 'country' as kind from acc group by 1 union select sector, 'sector' from acc group by 1")
 def o34_stacked_labels(s, d):
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     return relational.stacked_labels({"country": a.select("country"), "sector": a.select("sector")})
 
 
@@ -463,15 +470,15 @@ def o34_stacked_labels(s, d):
 
 @q(BASE + " select year, o_country, o_sector, d_country, d_sector, round(value + case when o_sector = 'S0' then value * 0.1 else 0 end, 4) as value from flow where kind = 'industry'")
 def o140_input_flows(s, d):
-    f = market.flows(s, d)
+    f = economy(s, d).flows
     dep = f.where("kind = 'industry' and o_sector = 'S0'").withColumn("value", F.col("value") * 0.1)
     return rounded(leontief.input_flows(f, dep), 4, "value")
 
 
 @q(BASE + ", x as (select year, country, sector, case when sector = 'S3' then 0 else go_us end as x from acc) select f.year, f.o_country, f.o_sector, f.d_country, f.d_sector, case when f.value = 0 then '0/0' else 'nonzero/0' end as class from flow f left join x on x.year = f.year and x.country = f.d_country and x.sector = f.d_sector where kind = 'industry' and coalesce(x, 0) = 0")
 def o141_zero_output(s, d):
-    f = market.flows(s, d)
-    x = market.accounts(s, d).select("year", "country", "sector", F.when(F.col("sector") == "S3", 0.0).otherwise(F.col("go_us")).alias("x"))
+    f, a = tables(s, d)
+    x = a.select("year", "country", "sector", F.when(F.col("sector") == "S3", 0.0).otherwise(F.col("go_us")).alias("x"))
     return leontief.zero_output_scan(leontief.input_flows(f, None), x).select("year", "o_country", "o_sector", "d_country", "d_sector", "class")
 
 
@@ -631,7 +638,7 @@ def i25_capital_depreciation(s, d):
 
 @q(BASE + ", w as (select year, o_country, o_sector, d_country, d_sector, case when d_sector = 'S3' then 0 else value end as weight from flow where kind = 'industry'), t as (select year, d_country, d_sector, sum(weight) as t from w group by all), fb as (select year, o_country, o_sector, d_country, sum(value) as v from flow where kind = 'final' group by all), main as (select w.year, w.o_country, w.o_sector, w.d_country, w.d_sector, weight / t * capital as value from w join t using (year, d_country, d_sector) join acc a on a.year = w.year and a.country = d_country and a.sector = d_sector where t <> 0), rest as (select a.year, o_country, o_sector, d_country, a.sector as d_sector, v / sum(v) over (partition by a.year, d_country, a.sector) * capital as value from acc a join fb on fb.year = a.year and fb.d_country = a.country where capital <> 0 and not exists (select 1 from t where t.year = a.year and t.d_country = a.country and t.d_sector = a.sector and t <> 0)) select year, o_country, o_sector, d_country, d_sector, round(value, 3) as value from (select * from main union all select * from rest)")
 def o162_column_allocation(s, d):
-    f, a = market.flows(s, d), market.accounts(s, d)
+    f, a = tables(s, d)
     w = f.where("kind = 'industry'").select(*flows.ORIGIN, "d_country", "d_sector", F.when(F.col("d_sector") == "S3", 0.0).otherwise(F.col("value")).alias("weight"))
     fb = f.where("kind = 'final'").select(*flows.ORIGIN, "d_country", F.col("value").alias("weight"))
     return rounded(capital.allocate(w, a.select("year", "country", "sector", F.col("capital").alias("stock")), fb), 3, "value")
@@ -766,8 +773,9 @@ def i_country_rollup(s, d):
 
 @q(BASE + ", b as (select o_country, o_sector, d_country, value / sum(value) over (partition by d_country) as b from flow where kind = 'final' and year = 1995), p as (select year, country, sector, go_us / hours_emp as price from acc), l as (select p.year, b.d_country as country, sum(b * price) as v from b join p on p.country = o_country and p.sector = o_sector group by all) select year, country, round(v / max(v) filter (year = 1995) over (partition by country), 9) as index from l")
 def i29_basket_price(s, d):
-    prices = market.accounts(s, d).select("year", "country", "sector", (F.col("go_us") / F.col("hours_emp")).alias("price"))
-    return rounded(capital.laspeyres(capital.national_basket(market.flows(s, d), "HH"), prices, 1995), 9, "index")
+    f, a = tables(s, d)
+    prices = a.select("year", "country", "sector", (F.col("go_us") / F.col("hours_emp")).alias("price"))
+    return rounded(capital.laspeyres(capital.national_basket(f, "HH"), prices, 1995), 9, "index")
 
 
 @q(LAM + ", b as (select o_country, o_sector, d_country, value / sum(value) over (partition by d_country) as b from flow where kind = 'final' and year = 1995), p as (select a.year, a.country, a.sector, go_us / hours_emp * lam as pv from acc a join lam l on l.year = a.year and l.country = a.country and l.sector = a.sector), l2 as (select p.year, b.d_country as country, sum(b * pv) as v from b join p on p.country = o_country and p.sector = o_sector group by all) select year, country, round(v / max(v) filter (year = 1995) over (partition by country), 8) as basket_value from l2")
@@ -877,7 +885,7 @@ def a2_hours_per_worker(s, d):
 
 @q(BASE + " select year, country, sector, round(case when country = 'ASIA' then emp * (year - 1940) / 100 else empe end, 6) as empe from acc")
 def a3_wage_share(s, d):
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     return rounded(assumptions.wage_share(a, "ASIA", a.select("year", (F.col("year") - 1940.0).alias("percent")).distinct()), 6, "empe").select("year", "country", "sector", "empe")
 
 
@@ -887,25 +895,25 @@ k as (select a.year, a.sector, a.capital / a.hours_emp as ph from acc a join le
 o as (select a.year, a.sector, 5000.0 * (a.gdp_us * e / va) / sum(a.gdp_us * e / va) over (partition by a.year) as emp, h / e as he from acc a join w using (year, sector) where a.country = 'ASIA')
 select o.year, o.sector, round(emp, 6) as emp, round(emp * he, 6) as hours_emp, round(emp * he * ph, 4) as capital from o left join k on k.year = o.year and k.sector = o.sector""")
 def a4_rest_of_world(s, d):
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     r = assumptions.rest_of_world(a.withColumn("country", F.when(F.col("country") == "ASIA", "ROW").otherwise(F.col("country"))), a.select("year").distinct().withColumn("total", F.lit(5000.0)))
     return rounded(rounded(r.where("country = 'ROW'"), 6, "emp", "hours_emp"), 4, "capital").select("year", "sector", "emp", "hours_emp", "capital")
 
 
 @q(BASE + ", t as (select *, hours_hs / hours_emp as hs, hours_ms / hours_emp as ms from acc), m as (select year, sector, avg(hs) as hs, avg(ms) as ms from t where country <> 'ASIA' group by all) select t.year, t.country, t.sector, round(case when country = 'ASIA' then 1 - m.hs - m.ms else 1 - t.hs - t.ms end, 9) as share_ls from t join m using (year, sector)")
 def a7_skill_shares(s, d):
-    t = indicators.with_indicators(market.accounts(s, d), ["share_hs", "share_ms"])
+    t = indicators.with_indicators(economy(s, d).accounts, ["share_hs", "share_ms"])
     return rounded(assumptions.skill_shares_from_mean(t, "ASIA"), 9, "share_ls").select("year", "country", "sector", "share_ls")
 
 
 @q(BASE + ", m as (select year, sector, sum(comp_emp) / sum(gdp_us) as r from acc where country <> 'ASIA' group by all) select a.year, a.country, a.sector, round(case when country = 'ASIA' then gdp_us * r else comp_emp end, 4) as comp_emp from acc a left join m using (year, sector)")
 def a7_compensation(s, d):
-    return rounded(assumptions.compensation_from_world(market.accounts(s, d), "ASIA"), 4, "comp_emp").select("year", "country", "sector", "comp_emp")
+    return rounded(assumptions.compensation_from_world(economy(s, d).accounts, "ASIA"), 4, "comp_emp").select("year", "country", "sector", "comp_emp")
 
 
 @q(BASE + ", m as (select year, sector, sum(capital) / sum(gdp_us) as r from acc where country in ('EUROPE', 'AMERICA') group by all) select a.year, a.country, a.sector, round(case when country = 'ASIA' then gdp_us * r else capital end, 4) as capital from acc a left join m using (year, sector)")
 def a7_capital(s, d):
-    return rounded(assumptions.capital_from_list(market.accounts(s, d), ["EUROPE", "AMERICA"], "ASIA"), 4, "capital").select("year", "country", "sector", "capital")
+    return rounded(assumptions.capital_from_list(economy(s, d).accounts, ["EUROPE", "AMERICA"], "ASIA"), 4, "capital").select("year", "country", "sector", "capital")
 
 
 @q(BASE + " select year, country, sector, case when country = 'ASIA' then 0 else emp end as emp, case when country = 'ASIA' then 0 else hours_emp end as hours_emp from acc")
@@ -915,7 +923,7 @@ def a8_without_region(s, d):
 
 @q(BASE + " select year, o_country, o_sector, d_country, d_sector, kind, round(value * (year - 1990) / 10, 4) as value from flow")
 def a9_conversion(s, d):
-    f, a = market.flows(s, d), market.accounts(s, d)
+    f, a = tables(s, d)
     return rounded(assumptions.converted(f, a, a.select("year", ((F.col("year") - 1990) / 10).alias("rate")).distinct(), ["gdp_us"])[0], 4, "value")
 
 
@@ -924,7 +932,7 @@ def a9_conversion(s, d):
 
 @q(BASE + " select country, sector as code, year, gdp_us as value from acc where sector <> 'S0'")
 def p1_long_years(s, d):
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     years = [r.year for r in a.select("year").distinct().orderBy("year").collect()]
     wide = a.groupBy("country", F.col("sector").alias("code")).pivot("year", years).agg(F.first("gdp_us"))
     wide = wide.select("country", "code", *(F.col(str(y)).alias(f"_{y}") for y in years))
@@ -938,7 +946,7 @@ def p4_units(s, d):
 
 @q(BASE + ", t as (select year, country, sum(capital) as value from acc group by all) select a.year, a.country, a.sector as code, round(t.value * a.gdp_us / sum(a.gdp_us) over (partition by a.year, a.country), 4) as value from acc a join t using (year, country)")
 def p5_disaggregation(s, d):
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     totals = a.groupBy("year", "country").agg(F.sum("capital").alias("value")).withColumn("code", F.lit("TOT"))
     mapping = a.select(F.lit("TOT").alias("aggregated"), F.col("sector").alias("disaggregated")).distinct()
     return rounded(preparation.disaggregated(totals, mapping, a.select("year", "country", F.col("sector").alias("code"), F.col("gdp_us").alias("weight"))), 4, "value")
@@ -948,14 +956,15 @@ def p5_disaggregation(s, d):
 def p6_accounting_identity(s, d):
     """Planted: output 1 % too high, output missing, and output off by less than the tolerance."""
     x = F.col("go_us") * F.when(F.expr("country = 'ASIA' and sector = 'S0'"), 1.01).when(F.col("sector") == "S3", 1 + 1e-10).otherwise(1.0)
-    output = market.accounts(s, d).where("not (country = 'EUROPE' and year = 1996)").select("year", "country", "sector", x.alias("x"))
-    return rounded(preparation.accounting_errors(market.flows(s, d), output), 2, "uses", "x")
+    f, a = tables(s, d)
+    output = a.where("not (country = 'EUROPE' and year = 1996)").select("year", "country", "sector", x.alias("x"))
+    return rounded(preparation.accounting_errors(f, output), 2, "uses", "x")
 
 
 @q(BASE + ", t as (select year, country, sector, case when country = 'ASIA' and sector = 'S2' then null else go_us end as go_us, case when sector = 'S4' then 'Infinity'::double else gdp_us end as gdp_us from acc union all select year, country, sector, go_us, gdp_us from acc where sector = 'S1') select * from (select 'repeated key' as problem, count(*) as n from (select 1 from t group by year, country, sector having count(*) > 1) union all select 'go_us: not finite', count(*) from t where go_us is null or isnan(go_us) or isinf(go_us) union all select 'gdp_us: not finite', count(*) from t where gdp_us is null or isnan(gdp_us) or isinf(gdp_us)) where n > 0")
 def p8_table_keys(s, d):
     """Planted: repeated keys, missing and infinite values."""
-    a = market.accounts(s, d).select("year", "country", "sector", "go_us", "gdp_us")
+    a = economy(s, d).accounts.select("year", "country", "sector", "go_us", "gdp_us")
     damaged = a.withColumns({"go_us": F.when(~F.expr("country = 'ASIA' and sector = 'S2'"), F.col("go_us")), "gdp_us": F.when(F.col("sector") == "S4", F.lit("Infinity").cast("double")).otherwise(F.col("gdp_us"))})
     return preparation.key_errors(damaged.unionByName(a.where("sector = 'S1'")), ["year", "country", "sector"], ["go_us", "gdp_us"])
 
@@ -1107,14 +1116,14 @@ def x1_deviations(s, d):
 
 @q(BASE + " select year, country, round(sum(go_us) / 1e6, 6) as market, round(sum(gdp_us) / 1e6, 6) as net, round(100 * (sum(gdp_us) - sum(go_us)) / sum(go_us), 6) as net_pct from acc group by all")
 def x3_price_table(s, d):
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     rows = analytics.by_method({"market": a.select("year", "country", F.col("go_us").alias("value")), "net": a.select("year", "country", F.col("gdp_us").alias("value"))})
     return rounded(analytics.price_table(rows, ["market", "net"]), 6, "market", "net", "net_pct")
 
 
 @q(BASE + ", p as (select year, o_country as o, d_country as d, sum(value) as v from flow where o_country <> d_country group by all) select a.year, a.o as origin, a.d as destination, round(a.v - coalesce(b.v, 0), 2) as net from p a left join p b on b.year = a.year and b.o = a.d and b.d = a.o where a.o < a.d")
 def x4_pair_series(s, d):
-    pairs = flows.bilateral(market.flows(s, d), {"v": F.col("value")})
+    pairs = flows.bilateral(economy(s, d).flows, {"v": F.col("value")})
     return rounded(analytics.pair_series(pairs, "v"), 2, "net")
 
 

@@ -9,7 +9,7 @@ from flowmill.functions import safe
 from flowmill.functions.aggspec import AggSpec, audited
 from flowmill.functions.keep import kept, shared_path
 from flowmill.operators import assumptions, capital, flows, preparation, relational, satellites, validation
-from flowmill.queries import _INV, _LACK, BASE, LAM, _lacking, _lam, _lcu, _simple, q, rounded
+from flowmill.queries import _INV, _LACK, BASE, LAM, _lacking, _lam, _lcu, _simple, economy, q, rounded, tables
 from flowmill.sources import bundles, market, positions, readers
 
 KEYS = ["year", "country", "sector"]
@@ -46,7 +46,7 @@ def o04_catalog_csv(s, d):
 def o08_wide_block(s, d):
     """A block of final demand as tab-separated lines with a header, read back as cells."""
     path = shared_path(s, "block")
-    f = market.flows(s, d).where("kind = 'final'")
+    f = economy(s, d).flows.where("kind = 'final'")
     countries = [r.d_country for r in f.select("d_country").distinct().orderBy("d_country").collect()]
     wide = f.groupBy("o_country", "o_sector").pivot("d_country", countries).agg(F.sum(market.money("value")))
     line = F.concat_ws("\t", "o_country", "o_sector", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("0")) for c in countries))
@@ -65,7 +65,7 @@ def o21_result_csv(s, d):
 @q(BASE + f" select year, country, sector, h, g, case when h is null then 'source_missing' else 'finite' end as h__state, case when g is null then 'not_applicable' else 'finite' end as g__state from {_LACK}")
 def o22_sparse_states(s, d):
     """States stored as one row per missing cell and put back."""
-    a = _lacking(s, d).select(*KEYS, "h", "g")
+    a = _lacking(s, d, economy(s, d).accounts).select(*KEYS, "h", "g")
     stated = a.withColumns({"hs": F.lit("source_missing"), "gs": F.lit("not_applicable")})
     sparse = kept(safe.sparse_states(stated, KEYS, ["h", "g"], {"h": "hs", "g": "gs"}), "states")
     return safe.restored_states(a, KEYS, ["h", "g"], sparse).select(*KEYS, "h", "g", "h__state", "g__state")
@@ -99,7 +99,7 @@ _WIDE = f"(select year, country, sector, i as indicator, case i when 'go_us' the
 @q(BASE + f" select y.year, i.indicator, s.sector, c.country, w.value from (select distinct year from acc) y cross join (select distinct country from acc) c cross join (select distinct sector from acc) s cross join (values ('emp'), ('go_us')) i(indicator) left join {_WIDE} w on w.year = y.year and w.country = c.country and w.sector = s.sector and w.indicator = i.indicator")
 def o02_legacy_array(s, d):
     """An array of four axes as lines in column-major order, over many files; labels come back from positions."""
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     cells = a.unpivot(KEYS, ["emp", "go_us"], "indicator", "value").where("not (sector = 'S2' and indicator = 'emp')")
     of = lambda c: sorted(r[0] for r in a.select(c).distinct().collect())
     axes = {"year": of("year"), "indicator": ["emp", "go_us"], "sector": of("sector"), "country": of("country")}
@@ -157,7 +157,7 @@ def o26_generation(s, d):
 def o20_install(s, d):
     """A bundle with file hashes, replaced by another in two steps, verified and read."""
     path = shared_path(s, "bundle")
-    a = market.accounts(s, d).select(*KEYS, "go_us")
+    a = economy(s, d).accounts.select(*KEYS, "go_us")
     bundles.install(a, path)
     bundles.install(a.withColumn("go_us", F.col("go_us") * 2), path, replace=True)
     return bundles.opened(s, path)
@@ -176,7 +176,7 @@ def o17_years(s, d):
 
 @q(BASE + ", a as (select year, country, sum(go_us) as output, sum(emp) as jobs from acc group by all), b as (select year, country, sum(gdp_us) as output from acc where country <> 'ASIA' group by all) select a.year, a.country, round(a.output, 2) as output_x, jobs, round(b.output, 2) as output_y from a left join b using (year, country)")
 def o69_cross_method(s, d):
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     x = a.groupBy("year", "country").agg(F.sum("go_us").alias("output"), F.sum("emp").alias("jobs"))
     y = a.where("country <> 'ASIA'").groupBy("year", "country").agg(F.sum("gdp_us").alias("output"))
     return rounded(relational.side_by_side(x, y, ["year", "country"]), 2, "output_x", "output_y")
@@ -202,7 +202,7 @@ _INV_CUT = _INV.replace("sum(value) as value from flow", "sum(greatest(value - 3
 @q(BASE + ", " + _INV_CUT + " select year, o_country, o_sector, d_country, d_sector, round(value, 3) as value from kc where value is not null and not isnan(value)")
 def o158_capital_composition_listed(s, d):
     """Investment 30 000 lower: the negative cells that arise are those of the list, and count as 0."""
-    f, a = market.flows(s, d), market.accounts(s, d)
+    f, a = tables(s, d)
     ktype = F.when(F.col("o_sector").isin("S0", "S1"), "k0").otherwise("k1")
     final = f.where("kind = 'final'")
     cells = final.groupBy("year", "o_country", "o_sector", ktype.alias("ktype"), "d_country").agg((F.sum("value") - 30000).alias("value"))
@@ -218,7 +218,7 @@ def o158_capital_composition_listed(s, d):
 @q(BASE + ", w as (select *, case when d_sector = 'S3' then 0 else value end as weight from flow where kind = 'industry'), main as (select w.year, o_country, o_sector, d_country, d_sector, weight / nullif(sum(weight) over (partition by w.year, d_country, d_sector), 0) * capital as value from w join acc a on a.year = w.year and a.country = d_country and a.sector = d_sector), fb as (select * from flow where kind = 'final'), rest as (select a.year, o_country, o_sector, d_country, a.sector as d_sector, value / sum(value) over (partition by a.year, d_country, a.sector) * capital as value from acc a join fb on fb.year = a.year and fb.d_country = a.country where capital <> 0 and (a.sector = 'S3' or not exists (select 1 from flow f where kind = 'industry' and f.year = a.year and f.d_country = a.country and f.d_sector = a.sector))) select year, o_country, o_sector, d_country, d_sector, round(value, 3) as value from (select * from main where value is not null union all select * from rest)")
 def o163_strict_allocation(s, d):
     """Columns that S3 buys have no weights; these, and the ones without flows, are the allowed ones."""
-    f, a = market.flows(s, d), market.accounts(s, d)
+    f, a = tables(s, d)
     w = f.where("kind = 'industry'").select(*flows.ORIGIN, "d_country", "d_sector", F.when(F.col("d_sector") == "S3", 0.0).otherwise(F.col("value")).alias("weight"))
     fb = f.where("kind = 'final'").select(*flows.ORIGIN, "d_country", F.col("value").alias("weight"))
     stock = a.select(*KEYS, F.col("capital").alias("stock"))
@@ -231,7 +231,7 @@ def o163_strict_allocation(s, d):
 @q(BASE + " select year, country, sector, greatest(gdp_us - comp_emp * 5, 0) as weight from acc")
 def o165_listed_weights(s, d):
     """Negative weights become 0; they have to be the listed ones."""
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     listed = a.where("comp_emp * 5 > gdp_us").select(*KEYS)
     return capital.truncated(a.select(*KEYS, (F.col("gdp_us") - F.col("comp_emp") * 5).alias("weight")), "weight", listed, KEYS)[0]
 
@@ -239,7 +239,7 @@ def o165_listed_weights(s, d):
 @q(BASE + " select year, country, sector, case when sector = 'S1' and country = 'ASIA' then 0 else capital end as stock from acc where not (country = 'AFRICA' and sector = 'S2') union all select year, country, sector, null from acc where country = 'AFRICA' and sector = 'S2'")
 def o167_sanitised_stock(s, d):
     """Planted: negative stocks that are pinned with their values, missing ones of the rest of the world."""
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     stock = a.select(*KEYS, F.expr("case when country = 'AFRICA' and sector = 'S2' then null when sector = 'S1' and country = 'ASIA' then -capital else capital end").alias("stock"))
     pinned = a.where("sector = 'S1' and country = 'ASIA' and capital > 0").select(*KEYS, (-F.col("capital")).alias("stock"))
     return capital.sanitised_stock(stock, pinned, "AFRICA")
@@ -266,7 +266,7 @@ o as (select a.year, a.sector, 5000.0 * (a.gdp_us * e / va) / sum(a.gdp_us * e /
 select o.year, o.sector, round(emp, 6) as emp, round(emp * he, 6) as hours_emp, round(emp * coalesce(per, r), 4) as capital from o join g using (year) left join k on k.year = o.year and k.sector = o.sector""")
 def a6_rest_of_world_by_worker(s, d):
     """Capital per worker of the least intensive country, which may be the region itself."""
-    a = market.accounts(s, d)
+    a = economy(s, d).accounts
     r = assumptions.rest_of_world(a, a.select("year").distinct().withColumn("total", F.lit(5000.0)), "ASIA", exclude_row=False, basis="emp")
     return rounded(rounded(r.where("country = 'ASIA'"), 6, "emp", "hours_emp"), 4, "capital").select("year", "sector", "emp", "hours_emp", "capital")
 
@@ -351,18 +351,19 @@ def i43_reference_basket_value(s, d):
 def p2_missing_as_zero(s, d):
     """The fingerprint is made from the labels that are known to lack, not from the missing cells."""
     label = F.concat_ws("|", *KEYS)
-    known = market.accounts(s, d).where("country = 'ASIA' and sector = 'S1'")
+    a = economy(s, d).accounts
+    known = a.where("country = 'ASIA' and sector = 'S1'")
     md5 = relational.set_fingerprint(known, [], label).first().md5
-    return preparation.missing_as_zero(_lacking(s, d).select(*KEYS, "h"), "h", label, md5)
+    return preparation.missing_as_zero(_lacking(s, d, a).select(*KEYS, "h"), "h", label, md5)
 
 
 @q(BASE + " select year, country, sector as code, 'EMP' as variable, emp as value from acc union all select year, country, sector, v, case when v = 'VA_USD' then gdp_us else go_us end from acc, (values ('VA_USD'), ('GO_USD')) t(v)")
 def p3_rows_as_variables(s, d):
-    a = market.accounts(s, d)
+    f, a = tables(s, d)
     below = a.unpivot(KEYS, ["gdp_us", "go_us"], "o_sector", "value")
     below = below.select("year", F.lit("TOT").alias("o_country"), "o_sector", F.col("country").alias("d_country"), F.col("sector").alias("d_sector"), F.lit("row").alias("kind"), "value")
     long = a.select("year", "country", F.col("sector").alias("code"), F.lit("EMP").alias("variable"), F.col("emp").alias("value"))
-    return preparation.with_io_rows(long, market.flows(s, d).unionByName(below), {"gdp_us": "VA_USD", "go_us": "GO_USD"})
+    return preparation.with_io_rows(long, f.unionByName(below), {"gdp_us": "VA_USD", "go_us": "GO_USD"})
 
 
 @q(BASE + " select year, country, sector, case when country = 'ASIA' and sector = 'S1' then null else hours_emp end as h, case when sector = 'S1' then 'source_missing' else 'finite' end as declared from acc where sector = 'S1' and country <> 'ASIA'")
@@ -375,7 +376,7 @@ def p7_missing_masks(s, d):
 @q(BASE + ", n as (select year, country, sector, gdp_us - comp_emp * 5 as v from acc where gdp_us < comp_emp * 5) select year, country, sector, case when country = 'ASIA' then 'unexpected' else 'different' end as problem from n where country in ('ASIA', 'EUROPE')")
 def p9_pinned_negatives(s, d):
     """Planted in the list: one country lacks, another has values off by 1 %."""
-    a = market.accounts(s, d).select(*KEYS, (F.col("gdp_us") - F.col("comp_emp") * 5).alias("v"))
+    a = economy(s, d).accounts.select(*KEYS, (F.col("gdp_us") - F.col("comp_emp") * 5).alias("v"))
     pinned = a.where("v < 0 and country <> 'ASIA'").withColumn("v", F.when(F.col("country") == "EUROPE", F.col("v") * 1.01).otherwise(F.col("v")))
     return preparation.negatives_apart(a, "v", pinned, KEYS)
 
