@@ -600,8 +600,8 @@ def o155_international_basket(s, d):
 _INV = "inv as (select year, o_country, o_sector, case when o_sector in ('S0', 'S1') then 'k0' else 'k1' end as ktype, d_country, sum(value) as value from flow where kind = 'final' group by all), sh as (select year, country, sector, 'k0' as ktype, hours_hs / hours_emp as share from acc where country in ('ASIA', 'EUROPE') union all select year, country, sector, 'k1', 1 - hours_hs / hours_emp from acc where country in ('ASIA', 'EUROPE')), shm as (select * from sh union all select year, 'MD', sector, ktype, avg(share) from sh group by year, sector, ktype), rt as (select year, country, sector, gdp_us / sum(gdp_us) over (partition by year, country) as ratio from acc), kw as (select i.year, i.o_country, i.o_sector, i.d_country, r.sector as d_sector, i.ktype, i.value * r.ratio * s.share as weight from inv i join rt r on r.year = i.year and r.country = i.d_country join shm s on s.year = i.year and s.sector = r.sector and s.ktype = i.ktype and s.country = case when r.country in ('ASIA', 'EUROPE') then r.country else 'MD' end), kc as (select kw.*, weight / sum(weight) over (partition by kw.year, d_country, d_sector) * a.capital as value from kw join acc a on a.year = kw.year and a.country = d_country and a.sector = d_sector)"
 
 
-def _composition(s, d):
-    f, a = market.flows(s, d), market.accounts(s, d)
+def _composition(f, a):
+    """Weights of capital by type and the stocks, from flows and accounts that are kept."""
     ktype = F.when(F.col("o_sector").isin("S0", "S1"), "k0").otherwise("k1")
     inv = f.where("kind = 'final'").groupBy("year", "o_country", "o_sector", ktype.alias("ktype"), "d_country").agg(F.sum("value").alias("value"))
     own = a.where(F.col("country").isin("ASIA", "EUROPE")).select("year", "country", "sector", (F.col("hours_hs") / F.col("hours_emp")).alias("k0"), (1 - F.col("hours_hs") / F.col("hours_emp")).alias("k1"))
@@ -612,7 +612,7 @@ def _composition(s, d):
 
 @q(BASE + ", " + _INV + " select year, o_country, o_sector, d_country, d_sector, round(value, 3) as value from kc")
 def o157_capital_composition(s, d):
-    w, stock = _composition(s, d)
+    w, stock = _composition(*tables(s, d))
     return rounded(capital.allocate(w.drop("ktype"), stock, strict=True), 3, "value")
 
 
@@ -622,7 +622,7 @@ def o160_depreciation(s, d):
 
 
 def _depreciation(s, d):
-    w, stock = _composition(s, d)
+    w, stock = _composition(market.flows(s, d), market.accounts(s, d))
     k = capital.allocate(w.drop("ktype"), stock)
     labels = stock.select("year", "sector").distinct()
     rates = labels.withColumn("ktype", F.lit("k0")).withColumn("rate", F.lit(0.05)).unionByName(labels.withColumn("ktype", F.lit("k1")).withColumn("rate", F.lit(0.1)))
@@ -805,7 +805,7 @@ REGION = "AFRICA"
 
 def _method_economy(s, d) -> plan.Economy:
     e = economy(s, d)
-    w, stock = _composition(s, d)
+    w, stock = _composition(e.flows, e.accounts)
     labels = stock.select("year", "sector").distinct()
     rates = labels.withColumn("ktype", F.lit("k0")).withColumn("rate", F.lit(0.01)).unionByName(labels.withColumn("ktype", F.lit("k1")).withColumn("rate", F.lit(0.02)))
     ktypes = stock.select(F.col("sector").alias("o_sector")).distinct().withColumn("ktype", F.when(F.col("o_sector").isin("S0", "S1"), "k0").otherwise("k1"))
@@ -1046,7 +1046,7 @@ def v7_ranges(s, d):
 @q(BASE + ", " + _INV + ", g as (select distinct year, d_country, d_sector, ktype from kc where year < (select max(year) from acc)) select 'depreciation_sums' as check_id, count(*) as n, 0.01::double as max_scaled, 'failed' as status from g")
 def v5_depreciation_sums(s, d):
     """Depreciation against capital times rates. Planted: one destination's, of one type, 1 % too high."""
-    w, stock = _composition(s, d)
+    w, stock = _composition(*tables(s, d))
     k = kept(capital.allocate(w.drop("ktype"), stock), "composition")
     labels = stock.select("year", "sector").distinct()
     rates = labels.withColumn("ktype", F.lit("k0")).withColumn("rate", F.lit(0.05)).unionByName(labels.withColumn("ktype", F.lit("k1")).withColumn("rate", F.lit(0.1)))
@@ -1093,7 +1093,7 @@ def v_ledger(s, d):
     e = economy(s, d)
     r = plan.calculate(e, METHODS["wiodr13"])
     n = e.accounts.count()
-    w, stock = _composition(s, d)
+    w, stock = _composition(market.flows(s, d), market.accounts(s, d))
     k = capital.allocate(w.drop("ktype"), stock)
     totals = stock.select("year", F.col("country").alias("d_country"), F.col("sector").alias("d_sector"), F.col("stock").alias("total"))
     raised = F.when(F.col("country") == "ASIA", F.col("gdp_us") * 1.1).otherwise(F.col("gdp_us"))
