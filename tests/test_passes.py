@@ -9,7 +9,7 @@ from flowmill.queries import QUERIES
 from flowmill.sources import market
 
 SF = "/root/testdata/sf0.001"
-ONCE = ["o163_strict_allocation", "m_wiodr13", "m_ochoa_1", "v_ledger", "i25_capital_depreciation", "m_alternative_1"]
+ONCE = ["o163_strict_allocation", "m_wiodr13", "m_ochoa_1", "v_ledger", "i25_capital_depreciation", "m_alternative_1", "m_ochoa_2"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
