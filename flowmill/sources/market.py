@@ -10,6 +10,8 @@ years x industries^2 rows; every later operator works on that aggregate.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,40 +29,71 @@ def money(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(18,2)")
 
 
+def hundredths(c: str) -> Column:
+    """``money`` in whole hundredths: a product and a rounding where that is certain to give the same, which spares
+    the number's way through its digits; the decimal elsewhere."""
+    x = F.col(c) * 100
+    near = F.rint(x)
+    return F.when((F.abs(x) < 1e11) & (F.abs(x - near) < 1e-4), near.cast("long")).otherwise((money(c) * 100).cast("long"))
+
+
+#: Measures of a line, in hundredths. Below LARGE, sums of products of two of them are exact as longs up to 2^31 lines a cell.
+MEASURES = ["price", "discount", "tax", "hours"]
+LARGE = 2.0**32
+
+
 def lines(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
-    """Order lines with seller and buyer labels; ``grain``: region or nation."""
+    """Order lines with seller and buyer labels and MEASURES; ``grain``: region or nation. A line with a large product has
+    its measures in ``large`` (and whether it is open), and null elsewhere."""
     nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     place = nation.select("n_nationkey", F.col("r_name" if grain == "region" else "n_name").alias("country"))
     seller = read(spark, sf_dir, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("country").alias("o_country"))
     buyer = read(spark, sf_dir, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("country").alias("d_country"), "c_mktsegment")
     part = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("S"), F.floor((F.col("p_size") - 1) / 10).cast("int")).alias("o_sector"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(buyer, F.col("o_custkey") == F.col("c_custkey"))
-    item = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", F.year("l_shipdate").alias("year"))
+    item = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", F.year("l_shipdate").alias("year"), F.coalesce(F.col("l_returnflag") == "R", F.lit(False)).alias("final"), (F.col("l_linestatus") == "O").alias("open"),
+        hundredths("l_extendedprice").alias("price"), hundredths("l_discount").alias("discount"), hundredths("l_tax").alias("tax"), hundredths("l_quantity").alias("hours"),
+    )
+    price, discount, tax, hours = (F.abs(F.col(c).cast("double")) for c in MEASURES)
+    item = item.withColumn("large", F.when(F.greatest(price * F.greatest(discount + 100, tax), hours) >= LARGE, F.struct(*MEASURES, "open")))
+    item = item.withColumns({c: F.when(F.col("large").isNull(), F.col(c)) for c in MEASURES})
     joined = item.join(part, F.col("l_partkey") == F.col("p_partkey")).join(seller, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     segments = F.array(*map(F.lit, SEGMENTS))
     sector = F.concat(F.lit("S"), F.array_position(segments, F.col("c_mktsegment")) - 1)
-    kind = F.when(F.col("l_returnflag") == "R", "final").otherwise("industry")
-    return joined.withColumn("kind", kind).withColumn("d_sector", F.when(F.col("kind") == "final", HOUSEHOLDS).otherwise(sector))
+    return joined.withColumns({"kind": F.when(F.col("final"), "final").otherwise("industry"), "d_sector": F.when(F.col("final"), HOUSEHOLDS).otherwise(sector)})
 
 
 FLOW = ["year", "o_country", "o_sector", "d_country", "d_sector", "kind"]
-#: Bounds of the discount that set the two upper skills apart.
-HIGH, MIDDLE = 0.03, 0.07
+#: Bounds of the discount, in hundredths, that set the two upper skills apart.
+HIGH, MIDDLE = 3, 7
+#: Fractional digits of the cells' measures.
+PLACES = {"go_us": 2, "gdp_us": 4, "hours_emp": 2, "hours_empe": 2, "comp_emp": 6, "comp_empe": 6, "capital": 6, "hours_hs": 2, "hours_ms": 2, "comp_hs": 6, "comp_ms": 6}
+
+
+def _measured(price: Column, discount: Column, tax: Column, hours: Column, open_: Column) -> dict[str, Column]:
+    """The measures of a line in units of their last decimal place but for the factors that ``_FACTOR`` names."""
+    pay, high, middle = price * tax, discount < HIGH, (discount >= HIGH) & (discount < MIDDLE)
+    part = lambda cond, c: F.when(cond, c).otherwise(F.lit(0))
+    return {
+        "go_us": price, "gdp_us": price * (F.lit(100) - discount), "hours_emp": hours, "hours_empe": part(open_, hours), "comp_emp": pay, "comp_empe": part(open_, pay), "capital": price * discount,
+        "hours_hs": part(high, hours), "hours_ms": part(middle, hours), "comp_hs": part(high, pay), "comp_ms": part(middle, pay),
+    }
+
+
+#: Pay is 8 times price x tax and capital 20 times price x discount.
+_FACTOR = {"comp_emp": 800, "comp_empe": 800, "comp_hs": 800, "comp_ms": 800, "capital": 2000}
 
 
 def cells(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
     """All measures by flow cell: the only aggregation of the facts. Flows and accounts are sums of it, exact as it
-    holds decimals."""
-    price, one = money("l_extendedprice"), F.lit(1).cast("decimal(18,2)")
-    discount, hours = money("l_discount"), money("l_quantity")
-    pay = price * money("l_tax") * F.lit(8).cast("decimal(18,2)")
-    open_, high, middle = F.col("l_linestatus") == "O", discount < HIGH, (discount >= HIGH) & (discount < MIDDLE)
-    part = lambda cond, c: F.sum(F.when(cond, c).otherwise(F.lit(0)))
-    return lines(spark, sf_dir, grain).groupBy(*FLOW).agg(
-        F.sum(price).alias("go_us"), F.sum(price * (one - discount)).alias("gdp_us"), F.count("*").alias("emp"), F.count_if(open_).alias("empe"), F.sum(hours).alias("hours_emp"), part(open_, hours).alias("hours_empe"),
-        F.sum(pay).alias("comp_emp"), part(open_, pay).alias("comp_empe"), F.sum(price * discount * F.lit(20).cast("decimal(18,2)")).alias("capital"),
-        part(high, hours).alias("hours_hs"), part(middle, hours).alias("hours_ms"), part(high, pay).alias("comp_hs"), part(middle, pay).alias("comp_ms"),
-    )
+    holds decimals. Lines are summed as longs; equal large ones are counted, and multiplied as decimals."""
+    own = _measured(*map(F.col, MEASURES), F.col("open"))
+    sums = lines(spark, sf_dir, grain).groupBy(*FLOW, "large").agg(F.count("*").alias("emp"), F.count_if("open").alias("empe"), *(F.sum(c).alias(n) for n, c in own.items()))
+    large = _measured(*(F.col(f"large.{c}").cast("decimal(18,0)") for c in MEASURES), F.col("large.open"))
+    whole = {n: F.when(F.col("large").isNull(), F.col(n).cast("decimal(38,0)")).otherwise((large[n] * F.col("emp").cast("decimal(18,0)")).cast("decimal(38,0)")) for n in PLACES}
+    total = lambda n: (F.sum(whole[n]) * F.lit(_FACTOR.get(n, 1)) * F.lit(Decimal(1).scaleb(-PLACES[n]))).cast(f"decimal(38,{PLACES[n]})")
+    return sums.groupBy(*FLOW).agg(F.sum("emp").alias("emp"), F.sum("empe").alias("empe"), *(total(n).alias(n) for n in PLACES))
 
 
 def flows_of(cells: DataFrame) -> DataFrame:
