@@ -42,26 +42,36 @@ MEASURES = ["price", "discount", "tax", "hours"]
 LARGE = 2.0**32
 
 
+#: Sellers up to this number are sent to every task as (key, label): some 50 MB, whatever their size by Spark's estimate.
+BROADCAST_ROWS = 1_000_000
+
+
 def lines(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
-    """Order lines with seller and buyer labels and MEASURES; ``grain``: region or nation. A line with a large product has
-    its measures in ``large`` (and whether it is open), and null elsewhere."""
+    """Order lines with seller and buyer labels, sectors as numbers, and MEASURES; ``grain``: region or nation. Sellers come
+    first, without a shuffle where they are few, so that the shuffles by part and by order carry narrow lines."""
     nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     place = nation.select("n_nationkey", F.col("r_name" if grain == "region" else "n_name").alias("country"))
-    seller = read(spark, sf_dir, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("country").alias("o_country"))
-    buyer = read(spark, sf_dir, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("country").alias("d_country"), "c_mktsegment")
-    part = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("S"), F.floor((F.col("p_size") - 1) / 10).cast("int")).alias("o_sector"))
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(buyer, F.col("o_custkey") == F.col("c_custkey"))
+    supplier = read(spark, sf_dir, "supplier")
+    seller = supplier.join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("country").alias("o_country"))
+    seller = F.broadcast(seller) if supplier.count() <= BROADCAST_ROWS else seller
+    segment = F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment")).cast("int") - 1
+    buyer = read(spark, sf_dir, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("country").alias("d_country"), segment.alias("segment"))
+    part = read(spark, sf_dir, "part").select("p_partkey", F.floor((F.col("p_size") - 1) / 10).cast("int").alias("size"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(buyer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "d_country", "segment")
     item = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", F.year("l_shipdate").alias("year"), F.coalesce(F.col("l_returnflag") == "R", F.lit(False)).alias("final"), (F.col("l_linestatus") == "O").alias("open"),
         hundredths("l_extendedprice").alias("price"), hundredths("l_discount").alias("discount"), hundredths("l_tax").alias("tax"), hundredths("l_quantity").alias("hours"),
     )
+    item = item.join(seller, F.col("l_suppkey") == F.col("s_suppkey")).drop("l_suppkey", "s_suppkey")
+    item = item.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
+    return item.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
+
+
+def parted(lines: DataFrame) -> DataFrame:
+    """A line with a large product gets its measures in ``large`` (and whether it is open), and null elsewhere."""
     price, discount, tax, hours = (F.abs(F.col(c).cast("double")) for c in MEASURES)
-    item = item.withColumn("large", F.when(F.greatest(price * F.greatest(discount + 100, tax), hours) >= LARGE, F.struct(*MEASURES, "open")))
-    item = item.withColumns({c: F.when(F.col("large").isNull(), F.col(c)) for c in MEASURES})
-    joined = item.join(part, F.col("l_partkey") == F.col("p_partkey")).join(seller, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    segments = F.array(*map(F.lit, SEGMENTS))
-    sector = F.concat(F.lit("S"), F.array_position(segments, F.col("c_mktsegment")) - 1)
-    return joined.withColumns({"kind": F.when(F.col("final"), "final").otherwise("industry"), "d_sector": F.when(F.col("final"), HOUSEHOLDS).otherwise(sector)})
+    lines = lines.withColumn("large", F.when(F.greatest(price * F.greatest(discount + 100, tax), hours) >= LARGE, F.struct(*MEASURES, "open")))
+    return lines.withColumns({c: F.when(F.col("large").isNull(), F.col(c)) for c in MEASURES})
 
 
 FLOW = ["year", "o_country", "o_sector", "d_country", "d_sector", "kind"]
@@ -89,7 +99,10 @@ def cells(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
     """All measures by flow cell: the only aggregation of the facts. Flows and accounts are sums of it, exact as it
     holds decimals. Lines are summed as longs; equal large ones are counted, and multiplied as decimals."""
     own = _measured(*map(F.col, MEASURES), F.col("open"))
-    sums = lines(spark, sf_dir, grain).groupBy(*FLOW, "large").agg(F.count("*").alias("emp"), F.count_if("open").alias("empe"), *(F.sum(c).alias(n) for n, c in own.items()))
+    keys = ["year", "o_country", "size", "d_country", F.when(~F.col("final"), F.col("segment")).alias("segment"), "final", "large"]
+    sums = parted(lines(spark, sf_dir, grain)).groupBy(*keys).agg(F.count("*").alias("emp"), F.count_if("open").alias("empe"), *(F.sum(c).alias(n) for n, c in own.items()))
+    numbered = lambda c: F.concat(F.lit("S"), F.col(c))
+    sums = sums.withColumns({"o_sector": numbered("size"), "d_sector": F.when(F.col("final"), HOUSEHOLDS).otherwise(numbered("segment")), "kind": F.when(F.col("final"), "final").otherwise("industry")})
     large = _measured(*(F.col(f"large.{c}").cast("decimal(18,0)") for c in MEASURES), F.col("large.open"))
     whole = {n: F.when(F.col("large").isNull(), F.col(n).cast("decimal(38,0)")).otherwise((large[n] * F.col("emp").cast("decimal(18,0)")).cast("decimal(38,0)")) for n in PLACES}
     total = lambda n: (F.sum(whole[n]) * F.lit(_FACTOR.get(n, 1)) * F.lit(Decimal(1).scaleb(-PLACES[n]))).cast(f"decimal(38,{PLACES[n]})")

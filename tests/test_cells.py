@@ -53,3 +53,23 @@ def test_no_decimal_is_summed_by_line(spark, tmp_path):
     plan = market.cells(spark, tables(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     by_line = [line for line in plan.splitlines() if re.match(r"\W*Aggregate ", line)][-1]
     assert "sum(price" in by_line and "decimal" not in by_line and "MakeDecimal" not in by_line
+
+
+def test_few_sellers_shuffle_no_lines(spark, tmp_path, monkeypatch):
+    """At 6 GB Spark's estimate of the sellers had all lines shuffled by seller too, and every shuffle carried wide lines."""
+    folder = tables(spark, tmp_path)
+    plan = lambda: market.cells(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    by_seller = lambda text: [line for line in text.splitlines() if re.search(r"Join \[l_suppkey", line)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        (join,) = by_seller(plan())
+        assert "BroadcastHashJoin" in join
+        shuffled = market.lines(spark, folder)
+        monkeypatch.setattr(market, "BROADCAST_ROWS", 0)
+        (many,) = by_seller(plan())
+        (row,) = market.cells(spark, folder).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in many
+    assert {n: row[n] for n in wanted()} == wanted()
+    assert {n for n, t in shuffled.dtypes if t not in ("int", "bigint", "boolean")} == {"o_country", "d_country"}
