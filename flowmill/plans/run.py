@@ -129,12 +129,11 @@ def system(e: Economy, method: Method, t: DataFrame) -> tuple[DataFrame, DataFra
     return leontief.system(leontief.input_flows(e.flows, depreciation(e, method)), labour), labour
 
 
-def matrices(e: Economy, method: Method, t: DataFrame):
-    """Coefficients, labour requirements, lambda, valued flows with transfers, and the same summed by
-    destination country. The solution (a row for each industry and year) is kept."""
+def values(e: Economy, method: Method, t: DataFrame):
+    """Coefficients, labour requirements and lambda. The solution (a row for each industry and year) is kept; what needs
+    valued flows too takes ``revalued``."""
     c, labour = system(e, method, t)
-    lam = leontief.lambda_of(kept(leontief.solution(c, labour), "solution"))
-    return c, labour, lam, *revalued(e, lam)
+    return c, labour, leontief.lambda_of(kept(leontief.solution(c, labour), "solution"))
 
 
 def revalued(e: Economy, lam: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -496,15 +496,21 @@ def o143_direct_labour(s, d):
 
 
 def _lam(s, d):
+    """The economy, its coefficients, labour requirements and lambda."""
     e = economy(s, d)
-    c, labour, lam, valued, _ = plan.matrices(e, METHODS["wiodr13"], plan.prepared(e, METHODS["wiodr13"]))
-    return e, c, labour, lam, valued
+    return e, *plan.values(e, METHODS["wiodr13"], plan.prepared(e, METHODS["wiodr13"]))
+
+
+def _valued(s, d):
+    """The economy, its valued flows, and these by destination country."""
+    e, _, _, lam = _lam(s, d)
+    return e, *plan.revalued(e, lam)
 
 
 def _traded(s, d):
     """The economy and its valued flows by destination country."""
-    e = economy(s, d)
-    return e, plan.matrices(e, METHODS["wiodr13"], plan.prepared(e, METHODS["wiodr13"]))[4]
+    e, _, traded = _valued(s, d)
+    return e, traded
 
 
 @q(LAM + " select year, country, sector, round(lam, 9) as lam from lam")
@@ -565,12 +571,12 @@ _NATIONS = market.SQL_LAMBDA.replace("sr.r_name", "sn.n_name").replace("cr.r_nam
 def o144_lambda_nations(s, d):
     """The solve by nation: five times as many countries as in the other queries."""
     e = economy(s, d, "nation")
-    return rounded(plan.matrices(e, METHODS["wiodr13"], plan.prepared(e, METHODS["wiodr13"]))[2], 9, "lam")
+    return rounded(plan.values(e, METHODS["wiodr13"], plan.prepared(e, METHODS["wiodr13"]))[2], 9, "lam")
 
 
 @q(LAM + ", r as (select a.year, a.j_c as c, a.j_s as s, sum(a.a * l.lam) as inflow from a join lam l on l.year = a.year and l.country = a.i_c and l.sector = a.i_s group by all) select l.year, l.country, l.sector, round(abs(l.lam - inflow - hours / x.x), 9) as residual from lam l join r on r.year = l.year and r.c = l.country and r.s = l.sector join x on x.year = l.year and x.country = l.country and x.sector = l.sector")
 def o146_residual(s, d):
-    _, c, labour, lam, _ = _lam(s, d)
+    _, c, labour, lam = _lam(s, d)
     side = lam.select("year", F.col("country").alias("o_country"), F.col("sector").alias("o_sector"), "lam")
     inflow = c.join(side, ["year", "o_country", "o_sector"]).groupBy("year", F.col("d_country").alias("country"), F.col("d_sector").alias("sector")).agg(F.sum(F.col("a") * F.col("lam")).alias("inflow"))
     rows = labour.where("productive and x > 0").join(lam, ["year", "country", "sector"]).join(inflow, ["year", "country", "sector"], "left")
@@ -584,7 +590,7 @@ def o152_balance_factor(s, d):
 
 @q(VAL + " select year, o_country, o_sector, d_country, d_sector, kind, round(transfer, 5) + 0.0 as transfer from tr")
 def o153_transfers(s, d):
-    return _lam(s, d)[4].select(*flows.ORIGIN, "d_country", "d_sector", "kind", (F.round("transfer", 5) + 0.0).alias("transfer"))
+    return _valued(s, d)[1].select(*flows.ORIGIN, "d_country", "d_sector", "kind", (F.round("transfer", 5) + 0.0).alias("transfer"))
 
 
 @q(BASE + " select year, o_country, o_sector, d_country, round(value / sum(value) over (partition by year, d_country), 9) as basket from flow where kind = 'final'")
@@ -780,7 +786,7 @@ def i29_basket_price(s, d):
 
 @q(LAM + ", b as (select o_country, o_sector, d_country, value / sum(value) over (partition by d_country) as b from flow where kind = 'final' and year = 1995), p as (select a.year, a.country, a.sector, go_us / hours_emp * lam as pv from acc a join lam l on l.year = a.year and l.country = a.country and l.sector = a.sector), l2 as (select p.year, b.d_country as country, sum(b * pv) as v from b join p on p.country = o_country and p.sector = o_sector group by all) select year, country, round(v / max(v) filter (year = 1995) over (partition by country), 8) as basket_value from l2")
 def i30_basket_value(s, d):
-    e, _, _, lam, _ = _lam(s, d)
+    e, _, _, lam = _lam(s, d)
     prices = e.accounts.select("year", "country", "sector", (F.col("go_us") / F.col("hours_emp")).alias("price"))
     return rounded(indicators.basket_value(capital.national_basket(e.flows, "HH"), prices, lam, 1995), 8, "basket_value")
 
@@ -848,7 +854,7 @@ def _method(name: str, region: str, multiplier: str = "1.0", offset: int | None
         (method,) = admitted([name], "calculate", allow_experimental=True, catalog=METHODS)
         e = _method_economy(s, d)
         t = plan.prepared(e, method)
-        lam = plan.matrices(e, method, t)[2]
+        lam = plan.values(e, method, t)[2]
         rows = t.select("year", "country", "sector", F.col("abstract_emp_mv").alias("abstract"), "capital").join(lam, ["year", "country", "sector"])
         return rows.select("year", "country", "sector", (F.round(F.when(market.productive("sector"), F.col("abstract")).otherwise(0.0), 3) + 0.0).alias("abstract"), (F.round("lam", 9) + 0.0).alias("lam"), (F.round("capital", 2) + 0.0).alias("capital"))
 

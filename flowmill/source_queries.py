@@ -336,7 +336,7 @@ e as (select c.year, c.country, max_by(rate, quoted.year) * any_value(per_unit)
 select h.year, h.country, round(hours, 9) as basket_hours, round(hours * f.rate * (100 + length(h.country) * (h.year - 1995)) / e.rate, 6) as value from h join e on e.year = h.year and e.country = h.country left join e f on f.country = h.country and f.year = 1995""")
 def i43_reference_basket_value(s, d):
     """Planted: rates are quoted every other year, and two countries change their currency, one of them twice."""
-    e, _, _, lam, _ = _lam(s, d)
+    e, _, _, lam = _lam(s, d)
     rates = e.accounts.groupBy(F.col("country").alias("currency"), "year").agg((F.sum("go_us") / 1e7).alias("rate")).where("year % 2 = 1")
     used = s.createDataFrame([("ASIA", 1996, "EUROPE", 2.0), ("AFRICA", 1998, "EUROPE", 4.0), ("AFRICA", 1996, "ASIA", 3.0)], "country string, year int, currency string, per_unit double")
     prices = e.accounts.select("country", "year").distinct().withColumn("cpi", 100 + F.length("country") * (F.col("year") - 1995))

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from flowmill import source_queries  # noqa: F401
+from flowmill.plans import run
 from flowmill.queries import QUERIES
 from flowmill.sources import market
 
@@ -21,3 +22,13 @@ def test_facts_are_read_once(spark, monkeypatch, name):
     got = QUERIES[name](spark, SF)
     assert len(made) == 1
     assert not [f for f in got.inputFiles() if "lineitem" in f]
+
+
+@pytest.mark.parametrize("name", ["m_ochoa_2", "o144_lambda"])
+def test_labour_values_need_no_valued_flows(spark, monkeypatch, name):
+    """All flows were valued and their sums by destination written, for a result that has neither."""
+    made, kept = [], run.kept
+    monkeypatch.setattr(run, "kept", lambda df, what: made.append(what) or kept(df, what))
+    got = QUERIES[name](spark, SF)
+    assert sorted(made) == ["labour", "prepared", "solution"]
+    assert not [f for f in got.inputFiles() if "/traded-" in f]
